@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfield.llm import packing, robust_quality, secret_scan, url_filter, wordpiece
+from wayfield.llm import mixing, packing, robust_quality, secret_scan, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +72,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+MIX_PLAN = mixing.MixPlan(
+    domain_weights={"g0": 0.5, "g1": 0.3, "g2": 0.2},
+    lang_weights={"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1},
+    budget_share=0.8,
+    max_epochs=2,
+)
+#: Sources are named src<number>; a domain is that number modulo 3.
+SOURCE_DOMAIN = "concat('g', cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3)"
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source").withColumn("domain", F.expr(SOURCE_DOMAIN))
+    return mixing.mix(docs, MIX_PLAN, F.col("domain")).drop("text")
+
+
 @query
 def op7_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
