@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.llm import mixing, packing, robust_quality, secret_scan, shingle_join, url_filter, wordpiece
+from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,11 @@ def op7_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.judge(docs).drop("lang", "source")
 
 
+@query
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(documents(spark, sf_dir))
+
+
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(documents(spark, sf_dir)).drop("cls")
