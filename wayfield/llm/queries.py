@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, url_filter, wordpiece
+from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, suffix_levels, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """ % ", ".join(map(str, URL_RULES))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = wordpiece.rank_file_pieces(vocabulary("byte_bpe_50k.tiktoken"))
