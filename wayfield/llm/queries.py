@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, suffix_levels, url_filter, wordpiece
+from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, spot_sigs, suffix_levels, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,11 @@ MIX_PLAN = mixing.MixPlan(
 SOURCE_DOMAIN = "concat('g', cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3)"
 
 
+@query
+def op5_spot_sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_sigs.fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source").withColumn("domain", F.expr(SOURCE_DOMAIN))
