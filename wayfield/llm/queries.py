@@ -111,7 +111,7 @@ def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_duplicates(documents(spark, sf_dir)).drop("cls")
+    return shingle_join.near_duplicates(documents(spark, sf_dir)).drop("content", "component")
 
 
 @query

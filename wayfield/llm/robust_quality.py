@@ -67,9 +67,9 @@ def _covered(starts: str) -> str:
     return f"aggregate({starts}, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', cast(p as bigint), 'n', a.n + least(3L, p - a.last)), a -> a.n)"
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    kept = [c for c in docs.columns if c != text]
+def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` without the text (unless asked for), with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    kept = [c for c in docs.columns if keep_text or c != text]
     out = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = out.withColumn("__words", F.expr(f"regexp_extract_all(__text, r'{WORD}', 0)"))
     out = out.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), l -> l rlike r'{WORD}')"))
@@ -179,18 +179,21 @@ def _start(rows: DataFrame, n_groups: int) -> DataFrame:
     return _attach(rows, wide, ["__g"], n_groups).select("__g", *(f"__x{k}" for k in range(p)), _bin(sum(parts[1:], parts[0])).alias("__bin"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` without the text, with the base statistics, ``distance`` (squared) and ``kept``."""
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _grouped(stats: DataFrame, lang: str, source: str) -> DataFrame:
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~"))
-    stats = statistics(docs, text).withColumns({"__lang": group(lang), "__source": group(source)})
-    names = [c for c in docs.columns if c != text]
+    return stats.withColumns({"__lang": group(lang), "__source": group(source)}).select("*", *vector())
+
+
+def _fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Group of each (language, source), estimate of each group, and how many (language, source) there are."""
     p = len(FEATURES)
-    stats = materialize(stats.select("*", *vector()), "quality-statistics")
     sound = stats.filter(~F.col("base_failed"))
     sizes = sound.groupBy("__lang", "__source").agg(F.count("*").alias("__n"))
     small = F.col("__n") < MIN_GROUP
-    per_lang = Window.partitionBy("__lang", small)
-    levels = sizes.withColumn("__n_lang", F.sum("__n").over(per_lang))
+    levels = sizes.withColumn("__n_lang", F.sum("__n").over(Window.partitionBy("__lang", small)))
     name = F.when(~small, F.concat_ws("\t", "__lang", "__source")).when(F.col("__n_lang") >= MIN_GROUP, F.col("__lang")).otherwise(F.lit(""))
     levels = materialize(levels.select("__lang", "__source", name.alias("__g")), "quality-groups")
     n_groups = levels.count()
@@ -200,8 +203,26 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         subset = _attach(binned, _cut(binned), ["__g"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
         estimate = materialize(_moments(subset), f"quality-estimate-{step}")
         binned = _attach(rows, estimate, ["__g"], n_groups).select("__g", *(f"__x{k}" for k in range(p)), _bin(_distance()).alias("__bin"))
+    return levels, estimate, n_groups
+
+
+def _verdict(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int], names: list[str]) -> DataFrame:
+    levels, estimate, n_groups = fitted
     judged = _attach(_attach(stats, levels, ["__lang", "__source"], n_groups), estimate, ["__g"], n_groups)
     distance = F.when(~F.col("base_failed"), _distance())
-    statistic = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = judged.select(*(F.col(f"`{c}`") for c in names), *statistic, distance.alias("distance"))
+    judged = judged.select(*(F.col(f"`{c}`") for c in names), *STATISTICS, distance.alias("distance"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``docs`` without the text, with the base statistics, ``distance`` (squared) and ``kept``."""
+    stats = materialize(_grouped(statistics(docs, text), lang, source), "quality-statistics")
+    return _verdict(stats, _fit(stats), [c for c in docs.columns if c != text])
+
+
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are read once for the estimates and once to be judged, and never exchanged."""
+    narrow = docs.select(*(F.col(f"`{c}`") for c in (text, lang, source)))
+    fitted = _fit(materialize(_grouped(statistics(narrow, text), lang, source).select("__lang", "__source", "base_failed", *(f"__x{k}" for k in range(len(FEATURES)))), "quality-statistics"))
+    stats = _grouped(statistics(docs, text, keep_text=True), lang, source)
+    return _verdict(stats, fitted, docs.columns).filter("kept").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -220,7 +220,8 @@ def _linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str) -> D
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and cls (hash of the set), one row per row of ``docs``."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
+    the text) and component (a key that the texts of one component share; null for an empty set)."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     every = materialize(classes(docs, "text", "doc_id"), "classes")
     known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
@@ -250,6 +251,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             now = materialize(open_.select("token", "cls", "packed", "degree", "comp"), f"open-{step}")
     placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = materialize(placed.join(least, "comp").select("cls", "component_id"), "class-components")
+    by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
     out = every.join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+    component_id = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "content", "component")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, among equals the one of the least text hash.
+
+    Rows with an empty set stay. What goes is named by doc_id and text hash; the list is sent to all tasks where it
+    is counted and small, and joined otherwise.
+    """
+    found = materialize(near_duplicates(docs, doc_id, text).select("doc_id", "content", "component"), "near-duplicates")
+    members = found.filter("component IS NOT NULL")
+    best = members.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("best"))
+    gone = members.join(best, "component").filter(~F.struct("doc_id", "content").eqNullSafe(F.col("best")))
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content")).distinct(), "near-gone")
+    repeated = members.groupBy("doc_id", "content").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content"))
+    repeated = materialize(repeated, "near-repeated")
+    keyed = docs.withColumn("__content", F.xxhash64(F.col(f"`{text}`")))
+    named = lambda small: F.broadcast(small) if small.count() <= MAX_BROADCAST_CLASSES else small
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__content") == F.col("__gone_content"))
+    left = keyed.join(named(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        twice = left.join(named(repeated), same, "left_semi").dropDuplicates([doc_id, "__content"])
+        left = left.join(named(repeated), same, "left_anti").union(twice)
+    return left.drop("__content")
