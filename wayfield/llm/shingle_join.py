@@ -53,38 +53,60 @@ def _class_of(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes())], dtype=np.uint64).view(np.int64)[0])
 
 
-def classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, content (hash of the text), n (set size) and cls (hash of the set; null where empty)."""
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles per cell, 4 to 8 cells a shingle, as longs. Where two sets' bitmaps differ in x cells,
+    they differ in x shingles at least."""
+    cells = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    odd = np.bincount(((shingles >> np.uint64(SKETCH_BITS)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, cls = [], []
-            for raw in raw_texts(batch.column(2)):
-                s = shingle_set(word_hashes(raw), WORDS)
-                ns.append(len(s))
-                cls.append(_class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "content", "n", "cls"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, content long, n long, cls long")
+def _differ() -> str:
+    """How many cells of u_bits and v_bits differ, the larger bitmap folded to the smaller's cells."""
+    half = lambda x, n: f"CASE WHEN size({x}) > {n} THEN zip_with(slice({x}, 1, {n}), slice({x}, {n} + 1, {n}), (p, q) -> p ^ q) ELSE {x} END"
+    least = "least(size(u_bits), size(v_bits))"
+    return f"aggregate(zip_with({half('u_bits', least)}, {half('v_bits', least)}, (p, q) -> bit_count(p ^ q)), 0, (a, x) -> a + x)"
 
 
-def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """Counts of shingles over all texts by the low bits of their hash: 2**SKETCH_BITS numbers, whatever the input's size.
+def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.ndarray]:
+    """Per row doc_id, content (hash of the text), n (set size), cls (hash of the set; null where empty) and the set's
+    bitmap (once per class and task); and a count sketch of all shingles by the low bits of their hash.
 
-    Tasks send slices of their counts; a slice is added up row by row, so that memory is that of one slice.
+    The sketch is 2**SKETCH_BITS numbers, whatever the input's size. Tasks write slices of their counts next to the
+    rows; a slice is added up row by row, so that memory is that of one slice.
     """
     cells = 1 << SKETCH_BITS
     wide = cells // SKETCH_SLICES
+    shape = "doc_id long, content long, n long, cls long, bits array<long>, slice int, counts binary"
+    names = [f.split()[0] for f in shape.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(cells, dtype=np.int64), set()
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
+            ns, cls, bits, lows = [], [], [], []
+            for raw in raw_texts(batch.column(2)):
                 s = shingle_set(word_hashes(raw), WORDS)
-                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), 1)
+                ns.append(len(s))
+                c = _class_of(s) if len(s) else None
+                cls.append(c)
+                if c is None or c in seen:
+                    bits.append(None)
+                    continue
+                seen.add(c)
+                bits.append(bitmap(s))
+                lows.append((s & np.uint64(cells - 1)).astype(np.int64))
+            if len(seen) > 200_000:
+                seen.clear()
+            if lows:
+                total += np.bincount(np.concatenate(lows), minlength=cells)
+            nothing = [None] * len(ns)
+            columns = (batch.column(0), batch.column(1), ns, cls, bits, nothing, nothing)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
         parts = [total[i * wide : (i + 1) * wide].astype("<u4").tobytes() for i in range(SKETCH_SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int64()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+        nothing = [None] * SKETCH_SLICES
+        columns = (*[nothing] * 5, range(SKETCH_SLICES), parts)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,14 +114,15 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(part, dtype="<u4").astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    shape = "slice long, counts binary"
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, shape)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("string").alias("text"))
+    both = materialize(rows.mapInArrow(run, shape), "classes")
     out = np.zeros(cells, dtype=np.int64)
-    for row in parts.repartition(SKETCH_SLICES, "slice").mapInArrow(add, shape).collect():
+    slices = both.filter("slice IS NOT NULL").select("slice", "counts").repartition(SKETCH_SLICES, "slice")
+    for row in slices.mapInArrow(add, "slice int, counts binary").collect():
         out[row["slice"] * wide : (row["slice"] + 1) * wide] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out
+    return both.filter("slice IS NULL").select("doc_id", "content", "n", "cls", "bits"), out
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
@@ -162,6 +185,16 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct()
 
 
+def _promising(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps leave room for the overlap they need: overlap <= (u_n + v_n - differing cells) / 2."""
+    ids = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    wanted = bitmaps.join(ids, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    side = lambda x: wanted.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    sizes = F.col("u_n") + F.col("v_n")
+    return both.filter((NUMERATOR + DENOMINATOR) * (sizes - F.expr(_differ())) >= 2 * NUMERATOR * sizes).select("u", "v")
+
+
 def _leaders(members: DataFrame) -> DataFrame:
     """Per shingle the member of highest degree of each component, for the first few components."""
     best = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.desc("degree"), "cls"))
@@ -223,20 +256,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
     the text) and component (a key that the texts of one component share; null for an empty set)."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    every = materialize(classes(docs, "text", "doc_id"), "classes")
+    every, counts = read_once(docs, "text", "doc_id")
     known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
     known = materialize(known, "known-classes")
-    ranks = frequency_classes(sketch(docs, "text"))
-    members = materialize(shared_members(prefixes(docs, ranks, "text")), "members")
-    degree = members.groupBy("cls").agg(F.count("*").alias("degree"))
-    members = materialize(members.join(degree, "cls"), "members-by-degree")
+    bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
+    found = materialize(shared_members(prefixes(docs, frequency_classes(counts), "text")), "members")
+    degree = found.groupBy("cls").agg(F.count("*").alias("degree"))
+    members = materialize(found.join(degree, "cls"), "members-by-degree")
+    discard(found)
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "u long, v long")
     now = members.withColumn("comp", F.col("cls"))
     comps = spark.createDataFrame([], "node long, component long")
     for step in range(LEADER_ROUNDS + 1):
-        pairs = _pairs(_leaders(now), now) if step < LEADER_ROUNDS else _pairs(now, now)
-        pairs = materialize(pairs.join(tested, ["u", "v"], "left_anti"), f"pairs-{step}")
+        dealt = now.repartition("token")
+        pairs = _pairs(_leaders(dealt), dealt) if step < LEADER_ROUNDS else _pairs(dealt, dealt)
+        pairs = materialize(_promising(pairs.join(tested, ["u", "v"], "left_anti"), bitmaps), f"pairs-{step}")
         if pairs.isEmpty():
             if step < LEADER_ROUNDS:
                 continue
