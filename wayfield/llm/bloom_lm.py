@@ -45,12 +45,29 @@ BASE = 1.5
 MIN_BIGRAM = 2
 BITS_PER_EVENT = 12
 HASHES = 6
+#: Bytes of a bigram's hash that are kept besides its shard.
+LOW_BYTES = 5
 GROUP_BYTES = 128 << 20
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, keys binary, counts binary, n_train long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, compressed, after how many there are."""
+    wide = np.ascontiguousarray(numbers)
+    planes = wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes()
+    return len(wide).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def spread_out(packed: bytes, kind: str) -> np.ndarray:
+    n, item = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(packed[8:], n * item, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(item, n).T).view(kind).ravel()
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -69,7 +86,7 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Chunks of documents as CHUNKS says; word numbers follow the order of the word hashes."""
+    """Chunks of documents as CHUNKS says; words are numbered from the most frequent on."""
 
     def pack(chunk: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         number: dict[bytes, int] = {b"\n": 0}
@@ -80,13 +97,14 @@ def encode(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             stream.append(0)
             lengths.append(len(words) + 1)
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), dtype=np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        local = place[np.array(stream, dtype=np.int64)]
+        first = np.array(stream, dtype=np.int64)
+        order = np.argsort(-np.bincount(first, minlength=len(keys)), kind="stable")
+        place = np.empty(len(order), dtype="<u4")
+        place[order] = np.arange(len(order), dtype="<u4")
+        local = place[first]
         train = np.repeat(~np.array(held, dtype=bool), lengths)
         counts = np.bincount(local[train], minlength=len(keys)).astype("<u8")
-        cells = [[chunk], [ids], [held], [lengths], [local.astype("<u4").tobytes()], [keys[order].astype("<u8").tobytes()], [counts.tobytes()], [int(train.sum())]]
+        cells = [[chunk], [ids], [held], [lengths], [squeezed(local)], [keys[order].astype("<u8").tobytes()], [squeezed(counts)], [int(train.sum())]]
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=[f.split()[0] for f in CHUNKS.split(", ")])
 
@@ -136,14 +154,15 @@ class Segments:
 
     spread = staticmethod(lambda keys: keys)
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
+    def __init__(self, lengths: list[tuple[int, int]], data: bytes, bits: int):
+        """``lengths``: shard and bytes of each segment, in the order in which ``data`` holds them."""
         self.bits = bits
         self.start, self.size = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.uint64)
         at = 0
-        for shard, part in parts.items():
-            self.start[shard], self.size[shard] = at, len(part) * 8
-            at += len(part) * 8
-        self.data = np.frombuffer(b"".join(parts.values()), dtype=np.uint8)
+        for shard, length in lengths:
+            self.start[shard], self.size[shard] = at, length * 8
+            at += length * 8
+        self.data = np.frombuffer(data, dtype=np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key: probes until one is missing; 0 for keys of shards that are not here."""
@@ -168,20 +187,22 @@ def _unigrams(chunks: DataFrame, bits: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, counts = np.frombuffer(k, "<u8"), np.frombuffer(c, "<u8")
+                keys = np.frombuffer(k, "<u8")
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], spread_out(c, "<u8")[order]
                 e = _edges(keys, bits)
-                cells = [(s, chunk, keys[e[s] : e[s + 1]].tobytes(), counts[e[s] : e[s + 1]].tobytes()) for s in range(1 << bits) if e[s] < e[s + 1]]
+                cells = [(s, chunk, keys[e[s] : e[s + 1]].tobytes(), squeezed(counts[e[s] : e[s + 1]])) for s in range(1 << bits) if e[s] < e[s + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells, strict=True)], names=["shard", "chunk", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
         every, back = np.unique(np.concatenate(keys), return_inverse=True)
-        asked = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("counts").to_pylist()])
+        asked = np.concatenate([spread_out(x, "<u8") for x in table.column("counts").to_pylist()])
         total = np.bincount(back, weights=asked.astype(np.float64), minlength=len(every)).astype("<u8")
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         known = total > 0
-        rows = [*zip(table.column("chunk").to_pylist(), [x.tobytes() for x in np.split(total[back], cuts)], [0] * len(keys), strict=True)]
+        rows = [*zip(table.column("chunk").to_pylist(), [squeezed(x) for x in np.split(total[back], cuts)], [0] * len(keys), strict=True)]
         rows.append((-1, build_segment(every[known], levels_of(total[known])), int(known.sum())))
         return pa.table([pa.array([shard] * len(rows), pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))], names=["shard", "chunk", "body", "words"])
 
@@ -189,6 +210,14 @@ def _unigrams(chunks: DataFrame, bits: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, body binary, words long")
 
 
+def _opened(ids: bytes, keys: bytes, totals: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, word hashes and total counts of a chunk; the counts come shard by shard, in the order of the hashes."""
+    hashes = np.frombuffer(keys, "<u8")
+    counts = np.empty(len(hashes), dtype=np.uint64)
+    counts[np.argsort(hashes, kind="stable")] = np.concatenate([spread_out(t, "<u8") for t in totals])
+    return spread_out(ids, "<u4").astype(np.int64), hashes, counts
+
+
 def _stream(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hash and bigram key at each token; a document's first token follows an end."""
     now = keys[ids]
@@ -202,10 +231,10 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for held, lengths, i, k, t in zip(*(batch.column(n).to_pylist() for n in ("held", "lengths", "ids", "keys", "totals")), strict=True):
-                ids, keys = np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(k, "<u8")
-                level = levels_of(np.frombuffer(t, "<u8"))
+                ids, keys, totals = _opened(i, k, t)
+                level = levels_of(totals)
                 _, pair = _stream(keys, ids)
-                end = int(np.searchsorted(keys, np.uint64(END)))
+                end = int(np.flatnonzero(keys == np.uint64(END))[0])
                 context = level[np.concatenate([[end], ids[:-1]])]
                 train = np.repeat(~np.array(held, dtype=bool), lengths)
                 every, first, counts = np.unique(pair[train], return_index=True, return_counts=True)
@@ -215,22 +244,22 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
                 for s in range(1 << bits):
                     part = slice(e[s], e[s + 1])
                     if e[s] < e[s + 1]:
-                        low = every[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                        low = every[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES].tobytes()
                         small, many = np.minimum(counts[part], 255).astype(np.uint8), np.flatnonzero(counts[part] >= 255)
-                        cells.append((s, low, small.tobytes(), context[part].tobytes(), many.astype("<u4").tobytes(), counts[part][many].astype("<u8").tobytes()))
+                        cells.append((s, low, squeezed(small), squeezed(context[part]), many.astype("<u4").tobytes(), counts[part][many].astype("<u8").tobytes()))
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells, strict=True)], names=["shard", "low", "small", "context", "many", "large"])
 
     def gather(table: pa.Table) -> pa.Table:
         shard, lows, counts, contexts = table.column("shard")[0].as_py(), [], [], []
         for low, small, context, many, large in zip(*(table.column(n).to_pylist() for n in ("low", "small", "context", "many", "large")), strict=True):
-            wide = np.zeros((len(small), 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            n = np.frombuffer(small, np.uint8).astype(np.int64)
+            n = spread_out(small, "u1").astype(np.int64)
+            wide = np.zeros((len(n), 8), dtype=np.uint8)
+            wide[:, :LOW_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, LOW_BYTES)
             n[np.frombuffer(many, "<u4").astype(np.int64)] = np.frombuffer(large, "<u8")
             lows.append(wide.view("<u8").ravel())
             counts.append(n)
-            contexts.append(np.frombuffer(context, np.uint8))
+            contexts.append(spread_out(context, "u1"))
         every, first, back = np.unique(np.concatenate(lows), return_index=True, return_inverse=True)
         total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64)).astype(np.int64)
         context = np.concatenate(contexts)[first].astype(np.int64)
@@ -245,8 +274,8 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
 
 
 def _low(keys: np.ndarray) -> np.ndarray:
-    """What is left of a bigram key within its shard: its low 48 bits, spread again."""
-    return mixed(keys & np.uint64((1 << 48) - 1))
+    """What is left of a bigram key within its shard: its low bytes, spread again."""
+    return mixed(keys & np.uint64((1 << 8 * LOW_BYTES) - 1))
 
 
 class PairSegments(Segments):
@@ -269,10 +298,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n_words = answers.filter("chunk = -1").agg(F.sum("words")).first()[0] or 0
     by_chunk = answers.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "body"))).alias("parts"))
     chunks = encoded.drop("counts", "n_train").join(by_chunk.select("chunk", F.col("parts.body").alias("parts")), "chunk")
-    chunks = materialize(chunks.select("doc_ids", "held", "lengths", "ids", "keys", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))").alias("totals")), "lm-chunks")
-    pair_bits = _shard_bits(2 * (id_bytes or 0))
-    pairs = materialize(_bigrams(chunks, pair_bits), "lm-bigrams")
+    chunks = materialize(chunks.select("doc_ids", "held", "lengths", "ids", "keys", F.col("parts").alias("totals")), "lm-chunks")
     discard(encoded)
+    pair_bits = _shard_bits(4 * (id_bytes or 0))
+    pairs = materialize(_bigrams(chunks, pair_bits), "lm-bigrams")
     sizes = answers.filter("chunk = -1").agg(F.sum(F.length("body"))).first()[0] or 0
     sizes += pairs.agg(F.sum(F.length("body"))).first()[0] or 0
     shares = pairs.select(F.posexplode_outer(F.arrays_zip("tokens", "once")).alias("level", "x")).groupBy("level").agg(F.sum("x.tokens").alias("t"), F.sum("x.once").alias("o")).filter("t > 0").collect()
@@ -281,8 +310,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         backoff[row["level"]] = min(1.0, max(1e-4, row["o"] / row["t"]))
     floor = float(n_train + n_words + 1)
 
-    def model(group: list[tuple[str, int, bytes]]) -> tuple[Segments, PairSegments]:
-        return Segments({s: b for k, s, b in group if k == "one"}, bits), PairSegments({s: b for k, s, b in group if k == "two"}, pair_bits)
+    def model(group: dict[str, tuple[list[tuple[int, int]], bytes]]) -> tuple[Segments, PairSegments]:
+        return Segments(*group["one"], bits), PairSegments(*group["two"], pair_bits)
 
     def probe(filters, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, pair = _stream(keys, ids)
@@ -290,11 +319,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return filters[0].levels(keys), filters[1].levels(every)[back]
 
     def scored(row: dict, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-        ids, keys, totals = np.frombuffer(row["ids"], "<u4").astype(np.int64), np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["totals"], "<u8")
+        ids, keys, totals = _opened(row["ids"], row["keys"], row["totals"])
         lengths = np.array(row["lengths"], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         base = np.log10((totals.astype(np.float64) + 1) / floor)[ids]
-        end = int(np.searchsorted(keys, np.uint64(END)))
+        end = int(np.flatnonzero(keys == np.uint64(END))[0])
         before = np.concatenate([[end], ids[:-1]])
         uni = ((counts_of(one) + 1) / floor)[ids]
         context, back_off = counts_of(one)[before], backoff[one[before]]
@@ -310,18 +339,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     source = answers.filter("chunk = -1").select(F.lit("one").alias("kind"), "shard", "body").union(pairs.select(F.lit("two"), "shard", "body"))
     if sizes <= GROUP_BYTES:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in source.collect()])
+        shared = spark.sparkContext.broadcast(_joined(source.collect()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = model(shared.value)
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield scored(row, *probe(filters, np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["ids"], "<u4").astype(np.int64)))
+                    yield scored(row, *probe(filters, np.frombuffer(row["keys"], "<u8"), spread_out(row["ids"], "<u4").astype(np.int64)))
 
         return chunks.mapInArrow(run, SCORES)
     return _score_in_groups(chunks, source, model, probe, scored)
 
 
+def _joined(rows: list) -> dict[str, tuple[list[tuple[int, int]], bytes]]:
+    """Segments by kind: shard and length of each, and all their bytes."""
+    return {k: ([(r["shard"], len(r["body"])) for r in rows if r["kind"] == k], b"".join(r["body"] for r in rows if r["kind"] == k)) for k in ("one", "two")}
+
+
 def _score_in_groups(chunks: DataFrame, source: DataFrame, model, probe, scored) -> DataFrame:
     """The same for a filter over GROUP_BYTES: one pass per group of segments, levels added up in the chunks."""
     spark = chunks.sparkSession
@@ -332,14 +366,14 @@ def _score_in_groups(chunks: DataFrame, source: DataFrame, model, probe, scored)
     for i, (first, last) in enumerate(plan):
         key, at = F.struct("kind", "shard"), lambda x: F.struct(F.lit(x[0]).alias("kind"), F.lit(x[1]).cast("long").alias("shard"))
         wanted = source.filter((key >= at(first)) & (key <= at(last)))
-        shared = spark.sparkContext.broadcast([tuple(r) for r in wanted.collect()])
+        shared = spark.sparkContext.broadcast(_joined(wanted.collect()))
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             filters = model(shared.value)
             for batch in batches:
                 rows = batch.to_pylist()
                 for row in rows:
-                    found = probe(filters, np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["ids"], "<u4").astype(np.int64))
+                    found = probe(filters, np.frombuffer(row["keys"], "<u8"), spread_out(row["ids"], "<u4").astype(np.int64))
                     for name, got in zip(("one", "two"), found, strict=True):
                         row[name] = (got if row[name] is None else got + np.frombuffer(row[name], np.uint8)).tobytes()
                 yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
