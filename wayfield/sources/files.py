@@ -39,7 +39,8 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str
     lines = spark.read.option("lineSep", "\n").text(path).withColumn("place", F.monotonically_increasing_id())
     header = {k.lower(): float(v) for k, v in (r["value"].split() for r in lines.filter(F.col("value").rlike(r"^\s*[A-Za-z]")).collect())}
     body = lines.filter(~F.col("value").rlike(r"^\s*[A-Za-z]")).coalesce(1).sortWithinPartitions("place")
-    rows = body.select((F.monotonically_increasing_id()).alias("row_no"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
+    numbered = body.withColumn("row_no", F.monotonically_increasing_id())
+    rows = numbered.select("row_no", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
     cells = rows.select("row_no", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("value"))
     return cells.filter(F.col("value") != header.get("nodata_value", float("nan"))), header
 
