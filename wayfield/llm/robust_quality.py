@@ -40,6 +40,7 @@ CUTOFF = 100.0
 CONSISTENCY = 0.75 / 0.504628
 BINS_PER_OCTAVE = 32
 MAX_BROADCAST_GROUPS = 20_000
+MAX_BROADCAST_REJECTED = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 _POSITION_BITS = 22
 
@@ -67,9 +68,9 @@ def _covered(starts: str) -> str:
     return f"aggregate({starts}, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', cast(p as bigint), 'n', a.n + least(3L, p - a.last)), a -> a.n)"
 
 
-def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` without the text (unless asked for), with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    kept = [c for c in docs.columns if keep_text or c != text]
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    kept = [c for c in docs.columns if c != text]
     out = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = out.withColumn("__words", F.expr(f"regexp_extract_all(__text, r'{WORD}', 0)"))
     out = out.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), l -> l rlike r'{WORD}')"))
@@ -182,9 +183,12 @@ def _start(rows: DataFrame, n_groups: int) -> DataFrame:
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def _named(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("~"))
+
+
 def _grouped(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~"))
-    return stats.withColumns({"__lang": group(lang), "__source": group(source)}).select("*", *vector())
+    return stats.withColumns({"__lang": _named(lang), "__source": _named(source)}).select("*", *vector())
 
 
 def _fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -221,8 +225,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept. Texts are read once for the estimates and once to be judged, and never exchanged."""
-    narrow = docs.select(*(F.col(f"`{c}`") for c in (text, lang, source)))
-    fitted = _fit(materialize(_grouped(statistics(narrow, text), lang, source).select("__lang", "__source", "base_failed", *(f"__x{k}" for k in range(len(FEATURES)))), "quality-statistics"))
-    stats = _grouped(statistics(docs, text, keep_text=True), lang, source)
-    return _verdict(stats, fitted, docs.columns).filter("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that are kept.
+
+    A verdict depends on text, language and source alone, so what is rejected is named by a hash of these; the list is
+    sent to all tasks where it is counted and small, and joined otherwise.
+    """
+    of = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), _named(lang), _named(source))
+    keyed = docs.withColumn("__verdict_of", of)
+    judged = judge(keyed.select("__verdict_of", *(F.col(f"`{c}`") for c in (text, lang, source))), text, lang, source)
+    rejected = materialize(judged.filter(~F.col("kept")).select("__verdict_of").distinct(), "quality-rejected")
+    few = rejected.count() <= MAX_BROADCAST_REJECTED
+    return keyed.join(F.broadcast(rejected) if few else rejected, "__verdict_of", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
