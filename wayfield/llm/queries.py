@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.llm import bloom_lm, mixing, packing, robust_quality, secret_scan, shingle_join, spot_sigs, suffix_levels, url_filter, wordpiece
+from wayfield.llm import bloom_lm, mixing, oracles, packing, robust_quality, secret_scan, shingle_join, spot_sigs, suffix_levels, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,22 +43,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-ORACLES["op1_url_filter"] = """
-WITH cut AS (
-  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
-), rules(verdict, rule_host, rule_path) AS (
-  VALUES %s
-), hits AS (
-  SELECT page_id, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule,
-         arg_max(verdict, len(rule_host || rule_path)) AS verdict
-  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY page_id
-)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)
-""" % ", ".join(map(str, URL_RULES))
+ORACLES["op1_url_filter"] = oracles.url_rules(URL_RULES)
 
 
 @query
@@ -77,6 +62,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+ORACLES["op4_secret_scan"] = oracles.secrets()
+
+
 MIX_PLAN = mixing.MixPlan(
     domain_weights={"g0": 0.5, "g1": 0.3, "g2": 0.2},
     lang_weights={"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1},
@@ -98,6 +86,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_PLAN, F.col("domain")).drop("text")
 
 
+ORACLES["op6_source_mixing"] = oracles.mixture(MIX_PLAN, "'g' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 AS VARCHAR)")
+
+
 @query
 def op7_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
