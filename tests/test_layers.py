@@ -130,3 +130,25 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert sorted(r.n for r in spark.table("seen").collect()) == [6, 6]
     assert sorted(r.n for r in sessions(rows, "15 minutes").collect()) == [1] * 12
+
+
+def test_facade(spark, tmp_path):
+    from wayfield.facade import AccessibilityAnalyzer, AreaOfInterest, HexGrid, PointsOfInterest, StreetNetwork
+
+    nodes = spark.createDataFrame([(1, 0, 0), (2, 100, 0), (3, 200, 0)], "id long, x long, y long")
+    edges = spark.createDataFrame([(1, 2, 0, 100), (2, 3, 0, 100)], "u long, v long, key_no int, len long")
+    net, pois = StreetNetwork(nodes, edges), PointsOfInterest(spark.createDataFrame([(7, 1, 1, "b", 9.0)], "pid long, x long, y long, kind string, area double"))
+    out = AccessibilityAnalyzer(net, pois, [150, 250]).run()
+    assert {tuple(r) for r in out["nodes"].collect()} == {(1, 0), (2, 0), (3, 1)}
+    assert pois.assign_score_by_values("kind", ["a", "b"]).places.first().score == 0.5 and pois.assign_score_by_area("area", [1, 5]).places.first().score == 1.0
+    area = AreaOfInterest("POLYGON ((-5 -5, 150 -5, 150 5, -5 5, -5 -5))")
+    assert {r.id for r in area.clip(nodes).collect()} == {1, 2}
+    net.save(spark, f"file://{tmp_path}/net")
+    assert StreetNetwork.load(spark, f"file://{tmp_path}/net").edges.count() == 2
+    grid = HexGrid.from_points(nodes.withColumn("v", F.lit(1)), {"v": "sum"}, 100.0, 1)
+    assert grid.resample(0, {"v": "sum"}).cells.agg(F.sum("v")).first()[0] == 3 and "v_right" in grid.join(grid).cells.columns
+
+
+def test_adaptive_grid():
+    grid = scoring.adaptive_grid(lambda x: x * x, 0, 1, 0.1)
+    assert all(b * b - a * a <= 0.1 for a, b in zip(grid, grid[1:], strict=False))

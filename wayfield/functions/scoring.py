@@ -48,3 +48,14 @@ def thresholds_exceeded(value: Column, steps: Sequence[float]) -> Column:
 def grid_ceiling(value: Column, grid: Sequence[float]) -> Column:
     """The least grid value that is at least ``value``; null beyond the grid."""
     return F.array_min(F.filter(F.array(*(F.lit(float(g)) for g in sorted(grid))), lambda g: g >= value))
+
+
+def adaptive_grid(score: Callable[[float], float], low: float, high: float, delta: float, max_rounds: int = 20) -> list[float]:
+    """Grid values between which ``score`` changes by at most ``delta``: midpoints are added where it changes by more."""
+    grid = [float(low), float(high)]
+    for _ in range(max_rounds):
+        wide = [i for i in range(len(grid) - 1) if abs(score(grid[i + 1]) - score(grid[i])) > delta]
+        if not wide:
+            break
+        grid = sorted(grid + [(grid[i] + grid[i + 1]) / 2 for i in wide])
+    return grid
