@@ -126,9 +126,10 @@ def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nd
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for what does not stand out from the sketch's noise, else how many doublings above it."""
-    noise = 4.0 * max(1.0, float(counts.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / noise)) + 1, 0, 60).astype(np.uint8)
+    """0 for what does not stand out from the sketch's noise (six deviations of a Poisson count), else the doublings above it."""
+    mean = float(counts.mean())
+    noise = 6.0 * max(1.0, mean**0.5)
+    return np.clip(np.floor(np.log2(np.maximum(counts - mean, 1e-9) / noise)) + 1, 0, 60).astype(np.uint8)
 
 
 def prefix_length(n: int) -> int:
