@@ -38,7 +38,7 @@ from wayfield.llm.tokens64 import MULTIPLIER, mixed
 from wayfield.llm.word_ids import raw_texts
 from wayfield.session import discard, materialize
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 MIN_SHARD_BITS = 6
 BASE = 1.5
