@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -116,6 +118,21 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def robust_distances(x, floors, keep, consistency):
+    """Squared distances of rows of whole numbers from the concentrated three quarters, with histogram cuts."""
+    q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0, method="inverted_cdf")
+    d, least = (((x - q2) / np.maximum((q3 - q1) / 1.349, floors)) ** 2).sum(axis=1), math.inf
+    while True:
+        bins = np.floor(np.log2(d + 1) * 32)
+        near = x[bins <= np.sort(bins)[math.ceil(keep * len(x)) - 1]].astype(float)
+        cov = consistency * np.cov(near.T, bias=True) + np.diag(floors**2)
+        det = math.sqrt(np.linalg.det(cov))
+        if det >= least * (1 - 1e-9):
+            return d
+        c, least = x - near.mean(axis=0), det
+        d = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)
+
+
 def secret_spans(text, classes, assign, kinds, allowed):
     """Base spans and all spans as strings."""
     text = text or ""

@@ -139,6 +139,51 @@ def test_moments_give_mahalanobis_distances(spark):
     assert np.allclose(sorted(got), sorted(np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)))
 
 
+def test_outliers_in_one_statistic_go(spark):
+    """Symbols between all words, repeated lines or repeated words alone reject; the rest stays."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(600):
+        w = some(rng.randint(60, 200))
+        rows.append((i, "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12)), "en", "s"))
+    for i in range(20):
+        w, few, phrase = some(120), some(20), " ".join(some(3))
+        rows.append((1000 + i, " | ".join(w), "en", "s"))
+        rows.append((2000 + i, "\n".join(rng.choices(few, k=120)), "en", "s"))
+        rows.append((3000 + i, " ".join(x for k in range(18) for x in (phrase, *w[3 * k : 3 * k + 3])), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = robust_quality.judge(df).collect()
+    assert not any(r.base_failed for r in judged)
+    assert {r.doc_id for r in judged if r.kept} == set(range(600))
+    assert all((robust_quality.SCALE * x / (f * robust_quality.SCALE)) ** 2 > robust_quality.CUTOFF for x, f in zip((8, 8, 1, 0.5), robust_quality.FLOORS, strict=True))
+    assert {r.doc_id for r in robust_quality.keep(df).collect()} == set(range(600))
+
+
+def test_verdicts_match_a_plain_estimate(spark):
+    """And of the labelled documents those of quality 1 stay and those of quality 0 go."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stats = robust_quality._grouped(robust_quality.statistics(docs), "lang", "source")
+    sound, groups = [r for r in stats.collect() if not r.base_failed], defaultdict(list)
+    sizes = Counter((r["__lang"], r["__source"]) for r in sound)
+    rest = Counter(r["__lang"] for r in sound if sizes[r["__lang"], r["__source"]] < robust_quality.MIN_GROUP)
+    for r in sound:
+        g = r["__lang"], r["__source"]
+        groups[g if sizes[g] >= robust_quality.MIN_GROUP else g[0] if rest[g[0]] >= robust_quality.MIN_GROUP else ""].append(r)
+    want = {}
+    for members in groups.values():
+        x = np.array([[r[f"__x{k}"] for k in range(4)] for r in members])
+        d = brute.robust_distances(x, np.array(robust_quality.FLOORS) * robust_quality.SCALE, robust_quality.KEEP_SHARE, robust_quality.CONSISTENCY)
+        want |= {r.doc_id: v for r, v in zip(members, d, strict=True)}
+    judged = {r.doc_id: r for r in robust_quality.judge(docs.select("doc_id", "text", "lang", "source")).collect()}
+    assert {d: r.distance for d, r in judged.items() if not r.base_failed} == pytest.approx(want)
+    assert {d for d, r in judged.items() if r.kept} == {d for d, v in want.items() if v <= robust_quality.CUTOFF}
+    for r in spark.read.parquet(f"{path}/labels.parquet").filter("quality IS NOT NULL").collect():
+        assert judged[r.doc_id].base_failed or judged[r.doc_id].kept == (r.quality == 1)
+
+
 def test_language_model(docs):
     rows = rows_of(docs, "doc_id", "text")
     counts, tokens = Counter(), {}

@@ -5,15 +5,16 @@ statistic vector (word length, symbols per word, share of repeated lines, share
 each transformed) is held in thousandths as whole numbers. Per group a minimum-covariance-
 determinant estimate is made: start from the share ``KEEP_SHARE`` of documents nearest to the
 coordinate-wise median, then concentrate: mean and covariance of the kept documents, distances of
-all, keep the nearest again. Every step is a grouped sum over fixed-size partial results: a cut
+all, keep the nearest again, until a group's determinant no longer falls. Every step is a grouped sum over fixed-size partial results: a cut
 at the h-th distance comes from a histogram of distances, not from sorting a group, so that a
 group of any size is summed in parallel. A document is rejected where its squared Mahalanobis
-distance, made consistent for the share kept, is over ``CUTOFF``.
+distance, made consistent for the share kept, is over ``CUTOFF``, the chi-square quantile for the four statistics.
 
 Groups are (language, source); one of fewer than ``MIN_GROUP`` documents is judged with the rest of
 its language, and that too, if it is small, with all such rest. ``FLOORS`` is the least standard
 deviation per statistic: a group in which nearly all documents have, say, no symbol has no spread
-there, and without a floor any other value would be infinitely far.
+there, and without a floor any other value would be infinitely far. Each is small enough that its statistic
+alone can pass the cutoff (words repeat in at most half of a document that the base rules leave).
 
 Defined cases: null text counts as empty and has no words; null language or source is a value of its
 own; documents failing the base rules are rejected and take no part in the estimates; repeated rows
@@ -31,11 +32,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FEATURES = ("word_length", "symbols", "repeat_lines", "repeat_words")
 SCALE = 1000
-FLOORS = (0.08, 0.25, 0.15, 0.15)
+FLOORS = (0.08, 0.25, 0.15, 0.1)
 KEEP_SHARE = 0.75
-STEPS = 2
 MIN_GROUP = 200
-CUTOFF = 100.0
+#: Chi-square with 4 degrees of freedom: 0.999 is its distribution here.
+CUTOFF = 18.4668
+#: A determinant that falls by a smaller share than this has settled.
+SETTLED = 1e-9
 #: Chi-square with 4 degrees of freedom: 0.75 is its distribution at 5.3853; with 6, 0.5046 is.
 CONSISTENCY = 0.75 / 0.504628
 BINS_PER_OCTAVE = 32
@@ -110,9 +113,9 @@ def vector() -> list[Column]:
     return [F.round(SCALE * x).cast("long").alias(f"__x{k}") for k, x in enumerate(raw)]
 
 
-def _attach(rows: DataFrame, small: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+def _attach(rows: DataFrame, small: DataFrame, keys: list[str], n_groups: int, how: str = "left") -> DataFrame:
     """Join one row per group; sent to every task only where the groups are counted and few."""
-    return rows.join(F.broadcast(small) if n_groups <= MAX_BROADCAST_GROUPS else small, keys, "left")
+    return rows.join(F.broadcast(small) if n_groups <= MAX_BROADCAST_GROUPS else small, keys, how)
 
 
 def _bin(distance: Column) -> Column:
@@ -129,7 +132,7 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and lower Cholesky factor of the floored covariance, per group, from whole-number sums."""
+    """Mean, lower Cholesky factor and its determinant of the floored covariance, per group, from whole-number sums."""
     p = len(FEATURES)
     x = [F.col(f"__x{k}").cast("decimal(19,0)") for k in range(p)]
     sums = [F.sum(x[k]).cast("double").alias(f"__s{k}") for k in range(p)]
@@ -149,7 +152,10 @@ def _moments(rows: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"__l{k}_{i}") * F.col(f"__l{j}_{i}")
             out = out.withColumn(f"__l{k}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if k == j else rest / F.col(f"__l{j}_{j}"))
     names = [f"__m{k}" for k in range(p)] + [f"__l{k}_{j}" for k in range(p) for j in range(k + 1)]
-    return out.select("__g", *names)
+    det = F.col("__l0_0")
+    for k in range(1, p):
+        det = det * F.col(f"__l{k}_{k}")
+    return out.select("__g", *names, det.alias("__det"))
 
 
 def _distance() -> Column:
@@ -202,12 +208,26 @@ def _fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     levels = materialize(levels.select("__lang", "__source", name.alias("__g")), "quality-groups")
     n_groups = levels.count()
     rows = _attach(sound, levels, ["__lang", "__source"], n_groups).select("__g", *(f"__x{k}" for k in range(p)))
-    binned = _start(rows, n_groups)
-    for step in range(STEPS + 1):
-        subset = _attach(binned, _cut(binned), ["__g"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
-        estimate = materialize(_moments(subset), f"quality-estimate-{step}")
-        binned = _attach(rows, estimate, ["__g"], n_groups).select("__g", *(f"__x{k}" for k in range(p)), _bin(_distance()).alias("__bin"))
-    return levels, estimate, n_groups
+    nearest = lambda binned: _attach(binned, _cut(binned), ["__g"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
+    moving = materialize(_moments(nearest(_start(rows, n_groups))), "quality-estimate-0")
+    found = [moving]
+    while not moving.isEmpty():  # each round lowers a determinant of every group in it, so there is a last one
+        binned = _attach(rows, moving, ["__g"], n_groups, "inner").select("__g", *(f"__x{k}" for k in range(p)), _bin(_distance()).alias("__bin"))
+        before = moving.select("__g", F.col("__det").alias("__before"))
+        after = materialize(_moments(nearest(binned)).join(before, "__g"), f"quality-estimate-{len(found)}")
+        moving = after.filter(F.col("__det") < (1 - SETTLED) * F.col("__before")).drop("__before")
+        found.append(moving)
+    return levels, _last(found), n_groups
+
+
+def _last(found: list[DataFrame]) -> DataFrame:
+    """Per group its row in the last of these tables that has one."""
+    every = [df.withColumn("__step", F.lit(i)) for i, df in enumerate(found)]
+    rows = every[0]
+    for df in every[1:]:
+        rows = rows.unionByName(df)
+    one = F.max_by(F.struct(*found[0].columns), "__step").alias("e")
+    return materialize(rows.groupBy("__g").agg(one).select("e.*"), "quality-estimate")
 
 
 def _verdict(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int], names: list[str]) -> DataFrame:
