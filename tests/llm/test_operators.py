@@ -212,6 +212,19 @@ def test_language_model_on_held_out_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_on_the_smallest_table(spark):
+    held = [r for r in bloom_lm.score(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_bigrams_seen_once_count(spark):
+    train, held = ([i for i in range(200) if bloom_lm.held_out(i) == x] for x in (False, True))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(random.Random(d).sample(words, 60))) for d in train[:20]] + [(train[20], "w1 once w2"), (held[0], "w1 once w2"), (held[1], "w2 once w1")]
+    got = {r.doc_id: r for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score) and got[held[0]].score > got[held[1]].score + 1
+
+
 def test_filter_holds_levels():
     keys = np.sort(bloom_lm.mixed(np.arange(1, 3000, dtype=np.uint64)))
     levels = bloom_lm.levels_of(np.arange(1, 3000))

@@ -3,9 +3,9 @@
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end token per document.
 Counts of unigrams and bigrams over all training documents go into the filter as levels
 1 + floor(log_b c): an n-gram of level q is stored under the levels 1 to q, and a lookup probes 1,
-2, ... until one is missing. Bigrams seen once are left to the smoothing. With the level's middle as
-count, p(w|h) = L * c(hw) / c(h) + (1 - L) * (c(w) + 1) / (N + V + 1), where 1 - L is, for contexts
-of h's level, the share of training tokens that came in bigrams seen once. Probabilities over the
+2, ... until one is missing. All bigrams are stored, those seen once too. With the level's middle as
+count, p(w|h) = L * c(hw) / c(h) + (1 - L) * (c(w) + 1) / (N + V + 1), where 1 - L is Witten and
+Bell's t / (n + t) over the contexts of h's level, with n training tokens in t distinct bigrams. Probabilities over the
 known words and one unknown word add up to at most 1, up to the quantisation.
 
 Exact unigram counts, for the base score, come by request: a chunk of documents asks once for each
@@ -42,7 +42,6 @@ CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 MIN_SHARD_BITS = 6
 BASE = 1.5
-MIN_BIGRAM = 2
 BITS_PER_EVENT = 12
 HASHES = 6
 #: Bytes of a bigram's hash that are kept besides its shard.
@@ -226,7 +225,7 @@ def _stream(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
-    """Per shard its segment, and per context level the training tokens and those in bigrams seen once."""
+    """Per shard its segment, and per context level the training tokens and their distinct bigrams."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,13 +263,12 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64)).astype(np.int64)
         context = np.concatenate(contexts)[first].astype(np.int64)
         tokens = np.bincount(context, weights=total.astype(np.float64), minlength=256).astype(np.int64)
-        once = np.bincount(context[total == 1], minlength=256).astype(np.int64)
-        kept = total >= MIN_BIGRAM
-        segment = build_segment(_low(every[kept]), levels_of(total[kept]))
-        return pa.table([pa.array([shard], pa.int64()), pa.array([segment]), pa.array([tokens.tolist()], pa.list_(pa.int64())), pa.array([once.tolist()], pa.list_(pa.int64()))], names=["shard", "body", "tokens", "once"])
+        kinds = np.bincount(context, minlength=256).astype(np.int64)
+        segment = build_segment(_low(every), levels_of(total))
+        return pa.table([pa.array([shard], pa.int64()), pa.array([segment]), pa.array([tokens.tolist()], pa.list_(pa.int64())), pa.array([kinds.tolist()], pa.list_(pa.int64()))], names=["shard", "body", "tokens", "kinds"])
 
     sent = chunks.select("held", "lengths", "ids", "keys", "totals").mapInArrow(send, "shard long, low binary, small binary, context binary, many binary, large binary")
-    return sent.groupBy("shard").applyInArrow(gather, "shard long, body binary, tokens array<long>, once array<long>")
+    return sent.groupBy("shard").applyInArrow(gather, "shard long, body binary, tokens array<long>, kinds array<long>")
 
 
 def _low(keys: np.ndarray) -> np.ndarray:
@@ -304,10 +302,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     pairs = materialize(_bigrams(chunks, pair_bits), "lm-bigrams")
     sizes = answers.filter("chunk = -1").agg(F.sum(F.length("body"))).first()[0] or 0
     sizes += pairs.agg(F.sum(F.length("body"))).first()[0] or 0
-    shares = pairs.select(F.posexplode_outer(F.arrays_zip("tokens", "once")).alias("level", "x")).groupBy("level").agg(F.sum("x.tokens").alias("t"), F.sum("x.once").alias("o")).filter("t > 0").collect()
+    shares = pairs.select(F.posexplode_outer(F.arrays_zip("tokens", "kinds")).alias("level", "x")).groupBy("level").agg(F.sum("x.tokens").alias("t"), F.sum("x.kinds").alias("k")).filter("t > 0").collect()
     backoff = np.full(256, 1.0)
     for row in shares:
-        backoff[row["level"]] = min(1.0, max(1e-4, row["o"] / row["t"]))
+        backoff[row["level"]] = row["k"] / (row["t"] + row["k"])
     floor = float(n_train + n_words + 1)
 
     def model(group: dict[str, tuple[list[tuple[int, int]], bytes]]) -> tuple[Segments, PairSegments]:
