@@ -152,3 +152,31 @@ def test_facade(spark, tmp_path):
 def test_adaptive_grid():
     grid = scoring.adaptive_grid(lambda x: x * x, 0, 1, 0.1)
     assert all(b * b - a * a <= 0.1 for a, b in zip(grid, grid[1:], strict=False))
+
+
+def test_short_edges_of_a_large_component_contract(spark):
+    n = 5000
+    nodes = spark.createDataFrame([(i, 10 * i, 0) for i in range(n)], "id long, x long, y long")
+    edges = spark.createDataFrame([(i, i + 1, 0, 10) for i in range(n - 1)], "u long, v long, key_no int, len long")
+    merged, kept = graph.contract_short(nodes, edges, 10)
+    assert sorted((r.id, r.x) for r in merged.collect()) == [(i, 10 * i + 5) for i in range(0, n, 2)]
+    assert kept.count() == n // 2 - 1
+
+
+def test_linkage_is_that_of_the_whole_matrix():
+    import numpy as np
+    import pandas as pd
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        xy = rng.integers(-12, 13, (rng.integers(1, 60), 2)) if seed % 2 else rng.normal(size=(rng.integers(1, 60), 2)) * 9
+        groups, limit = [[i] for i in range(len(xy))], 7.0
+        while len(xy) != 2:
+            far = lambda g, h: max(np.hypot(*(xy[i] - xy[j])) for i in g for j in h)
+            best = min(((far(g, h), g[0], h[0], g, h) for k, g in enumerate(groups) for h in groups[k + 1 :]), default=None, key=lambda t: t[:3])
+            if best is None or best[0] > limit:
+                break
+            groups = sorted([g for g in groups if g is not best[3] and g is not best[4]] + [sorted(best[3] + best[4])])
+        want = {i: g[0] for g in groups for i in g} if len(xy) != 2 else {0: 0, 1: 0}
+        got = graph._complete_linkage(limit)(pd.DataFrame({"id": range(len(xy)), "x": xy[:, 0], "y": xy[:, 1]}))
+        assert dict(zip(got["id"], got["target"], strict=True)) == want

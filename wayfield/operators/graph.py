@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,8 +14,6 @@ from pyspark.sql import functions as F
 from wayfield.operators.components import components
 from wayfield.session import materialize
 
-MAX_LINKAGE_GROUP = 4096
-
 
 def keyed(edges: DataFrame, *order: str) -> DataFrame:
     """Edges with key_no counted per (u, v) in a total order."""
@@ -48,32 +50,60 @@ def shortest_parallel(edges: DataFrame, undirected: bool = True) -> DataFrame:
     return edges.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
+def _close_pairs(xy: np.ndarray, limit: float) -> Iterator[tuple[float, int, int]]:
+    """(distance, i, j), i < j, of all points at most ``limit`` apart, by grid cells of that size."""
+    cells = defaultdict(list)
+    for i, at in enumerate(map(tuple, np.floor(xy / (limit or 1.0)).tolist())):
+        cells[at].append(i)
+    for (cx, cy), own in cells.items():
+        mine = np.array(own)
+        for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+            if (other := cells.get((cx + dx, cy + dy))) is None:
+                continue
+            for i in mine:
+                near = np.array(other)
+                near = near[near > i] if dx == dy == 0 else near
+                far = np.hypot(xy[i, 0] - xy[near, 0], xy[i, 1] - xy[near, 1])
+                for j, d in zip(near[far <= limit].tolist(), far[far <= limit].tolist(), strict=True):
+                    yield d, min(int(i), j), max(int(i), j)
+
+
 def _complete_linkage(limit: float):
-    """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge."""
+    """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge.
+
+    The nearest groups merge first (the least members among equals). Groups farther apart than ``limit`` never merge,
+    so only the pairs within it are held, whatever the component's size.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        groups = [[i] for i in range(len(pdf))]
+        into = list(range(len(pdf)))
         if len(pdf) == 2:
-            groups = [[0, 1]]
-        elif len(pdf) <= MAX_LINKAGE_GROUP:
-            xy = pdf[["x", "y"]].to_numpy(dtype=float)
-            far = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-            np.fill_diagonal(far, np.inf)
-            alive = list(range(len(pdf)))
-            while len(alive) > 1:
-                part = far[np.ix_(alive, alive)]
-                i, j = divmod(int(part.argmin()), len(alive))
-                if part[i, j] > limit:
-                    break
-                a, b = sorted((alive[i], alive[j]))
-                groups[a] += groups[b]
-                far[a], far[:, a] = np.maximum(far[a], far[b]), np.maximum(far[:, a], far[:, b])
-                far[a, a] = np.inf
-                alive.remove(b)
-            groups = [groups[a] for a in alive]
-        least = {i: int(pdf["id"][min(g)]) for g in groups for i in g}
-        return pd.DataFrame({"id": pdf["id"], "target": [least[i] for i in range(len(pdf))]})
+            into = [0, 0]
+        else:
+            far = defaultdict(dict)
+            heap = list(_close_pairs(pdf[["x", "y"]].to_numpy(dtype=float), limit))
+            for d, a, b in heap:
+                far[a][b] = far[b][a] = d
+            heapify(heap)
+            while heap:
+                d, a, b = heappop(heap)
+                if far[a].get(b) != d:
+                    continue
+                into[b] = a
+                mine, gone = far[a], far.pop(b)
+                del mine[b], gone[a]
+                for c in gone:
+                    del far[c][b]
+                for c in [c for c in mine if c not in gone]:
+                    del mine[c], far[c][a]
+                for c in mine:
+                    if gone[c] > mine[c]:
+                        mine[c] = far[c][a] = gone[c]
+                        heappush(heap, (gone[c], min(a, c), max(a, c)))
+        for i in range(len(into)):  # groups go by their least member, so what a node merged into is settled before it
+            into[i] = into[into[i]]
+        return pd.DataFrame({"id": pdf["id"], "target": [int(pdf["id"][a]) for a in into]})
 
     return run
 
