@@ -45,3 +45,11 @@ def test_nearest_takes_the_least_id_among_equals_and_reaches_far(spark):
     targets = spark.createDataFrame([(5, 3, 4), (4, 4, 3), (9, 100, 100)], "tid long, x long, y long")
     got = {tuple(r) for r in nearest(points, targets, 100).collect()}
     assert got == {(1, 4, 25), (2, 9, 2 * 4900**2)}
+
+
+def test_nearest_finds_targets_at_any_distance(spark):
+    points = spark.createDataFrame([(1, 0, 0), (2, 900_000, 5), (3, 0, -7_000_000), (4, None, 1)], "pid long, x long, y long")
+    targets = spark.createDataFrame([(5, 6390, 6390), (6, 0, 6520), (7, 800_000, -90_000), (8, None, None)], "tid long, x long, y long")
+    got = {tuple(r) for r in nearest(points, targets, 100).collect()}
+    assert got == {(1, 6, 6520**2), (2, 7, 100_000**2 + 90_005**2), (3, 7, 800_000**2 + 6_910_000**2)}
+    assert nearest(points, targets.limit(0), 100).count() == 0

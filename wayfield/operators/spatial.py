@@ -12,29 +12,39 @@ def cell(x: Column, size: int) -> Column:
     return F.floor(x / F.lit(size)).cast("long")
 
 
+def _finite(df: DataFrame) -> DataFrame:
+    """Rows whose x and y are numbers; others are near nothing."""
+    number = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    return df.filter(number("x") & number("y"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, size: int, max_rings: int = 64) -> DataFrame:
     """Per point (pid, x, y) the nearest target (tid, x, y): pid, tid, d2 (squared distance; least tid among equals).
 
     Targets are looked up in the cells around the point's, ring by ring: a point is settled when its best is
-    no farther than the rings searched so far can hide. The search radius doubles, so far points cost few rounds.
+    no farther than the rings searched so far can hide. The search radius doubles, so far points cost few rounds;
+    beyond ``max_rings`` rings it goes on with rings of larger cells, until no point waits. Without targets, or without
+    coordinates, a point has no row.
     """
-    targets = targets.select("tid", F.col("x").alias("tx"), F.col("y").alias("ty"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    waiting, done, radius = points.select("pid", "x", "y"), None, 1
+    targets = _finite(targets).select("tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    waiting, done, radius = _finite(points).select("pid", "x", "y"), None, 1
     while True:
+        placed = targets.select("*", cell(F.col("tx"), size).alias("cx"), cell(F.col("ty"), size).alias("cy"))
         around = F.sequence(F.lit(-radius), F.lit(radius))
         cells = waiting.select("pid", "x", "y", F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
         cells = cells.select("pid", "x", "y", (cell(F.col("x"), size) + F.col("i")).alias("cx"), (cell(F.col("y"), size) + F.col("j")).alias("cy"))
         d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-        found = cells.join(targets, ["cx", "cy"]).groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), F.col("tid"))).alias("best"))
+        found = cells.join(placed, ["cx", "cy"]).groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), F.col("tid"))).alias("best"))
         settled = found.filter(F.col("best.d2") <= (radius * size) * (radius * size)).select("pid", "best.tid", "best.d2")
-        if radius >= max_rings:
-            settled = found.select("pid", "best.tid", "best.d2")
         settled = materialize(settled, "nearest")
         done = settled if done is None else done.union(settled)
         waiting = materialize(waiting.join(settled, "pid", "left_anti"), "nearest-waiting")
-        if radius >= max_rings or waiting.isEmpty():
+        if waiting.isEmpty() or (radius == 1 and targets.isEmpty()):
             return done
-        radius *= 2
+        if 2 * radius <= max_rings:
+            radius *= 2
+        else:
+            size, radius = 2 * radius * size, 1
 
 
 def within(points: DataFrame, targets: DataFrame, distance: int) -> DataFrame:
