@@ -318,3 +318,28 @@ def test_subset_sum_is_the_best():
             sums |= {s + k * length for s in sums for k in range(n + 1)}
         taken = packing.fill_window(counts, space)
         assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= space) and all(n <= counts[k] for k, n in taken.items())
+
+
+def test_word_ids_equal_the_tokenizer():
+    from hypothesis import example, given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    from wayfield.llm.word_ids import WordIds
+
+    spec = open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read()
+    ours, whole = WordIds(spec), Tokenizer.from_str(spec)
+    pieces = st.sampled_from(["<|", "|>", "<|endoftext|>", "<|EndOfText|>", "ΟΔΟΣ", "Σ", "H\u0331", "İ", "\u212a", "e\u0301", "don't", "'S", " ", "\n", "\u3000", "\x1c", "A1b2", "...", "Ǆ", "ß", "漢字", "!?)"])
+
+    @settings(max_examples=400, deadline=None, database=None)
+    @given(st.lists(st.one_of(st.text(max_size=8), pieces), max_size=12))
+    @example(["Hello <| World"])
+    @example(["ΟΔΟΣ test"])
+    @example(["Hello <|endoftext|>World <|STARTOFTEXT|>"])
+    def same(parts):
+        text = "".join(parts)
+        assert np.frombuffer(ours.encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+    same()
+    big = "Wörter ΚΑΙ Ünïcode Teﬁ " * 200_000  # some 5 MB
+    assert len(ours.encode(big.encode())) == 4 * len(whole.encode(big, add_special_tokens=False).ids)

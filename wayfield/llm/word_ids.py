@@ -1,9 +1,12 @@
 """Token ids of whole texts for a word-level BPE file, computed once per distinct word.
 
-The vocabulary file normalises (NFC, white space, lower case), cuts the text into runs of
-letters, single digits and runs of other signs, and applies BPE inside each run; so the ids of
+The vocabulary file normalises (NFC, white space, then lower case sign by sign), cuts the text into
+runs of letters, single digits and runs of other signs, and applies BPE inside each run; so the ids of
 a text are those of its white-space separated chunks, one after the other. A chunk's ids are
 kept in a bounded cache as little-endian unsigned 32-bit bytes, and a text's ids are one join.
+
+Chunks of ASCII letters, and of letters below ``PROVEN`` after NFC, go to the BPE model at once; every other
+chunk goes through the whole tokenizer, and so does a whole text that holds a special token's name.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from array import array
 import pyarrow as pa
 
 CACHE_ENTRIES = 400_000
+#: Letters below this code point are letters in every version of the character tables.
+PROVEN = 0x530
 _TRAILING = b".,;:!?)"
 _WORKER: dict[str, "WordIds"] = {}
 
@@ -69,6 +74,7 @@ class WordIds:
 
         self.whole = Tokenizer.from_str(spec)
         self.bpe = self.whole.model.tokenize
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.tails = _Bounded(self._run, 4096)
         self.chunks = _Bounded(self._chunk, cache_entries)
@@ -78,20 +84,27 @@ class WordIds:
         word = run.decode("ascii") if run.isascii() else "".join([self.letters[b] for b in run])
         return _packed([t.id for t in self.bpe(word)])
 
+    def _whole(self, text: bytes) -> bytes:
+        return _packed(self.whole.encode(text.decode("utf-8"), add_special_tokens=False).ids)
+
     def _chunk(self, chunk: bytes) -> bytes:
         core = chunk.rstrip(_TRAILING)
         tail = self.tails[chunk[len(core) :]] if len(core) < len(chunk) else b""
         if core.isalpha():
-            return _packed([t.id for t in self.bpe(core.decode("ascii"))]) + tail
+            return _packed([t.id for t in self.bpe(core.decode("ascii").lower())]) + tail
         if core and not core.isascii():
-            text = unicodedata.normalize("NFC", core.decode("utf-8")).lower()
-            if text.isalpha():
+            # NFC comes first: a small letter may compose where its capital does not; and one letter's lower
+            # case does not depend on the letters around it
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", core.decode("utf-8"))])
+            if text.isalpha() and max(map(ord, text)) < PROVEN:
                 return self._run(text.encode()) + tail
-        return _packed(self.whole.encode(chunk.decode("utf-8"), add_special_tokens=False).ids)
+        return self._whole(chunk)
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # a special token's name is case-sensitive
-            text = text.lower()
+        if any(name in text for name in self.special):
+            return self._whole(text)
+        if text.isascii() and not any(name in (lowered := text.lower()) for name in self.special):
+            text = lowered  # fewer different chunks to remember
         return b"".join([self.chunks[c] for c in text.split()])
 
 
