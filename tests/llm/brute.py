@@ -118,19 +118,46 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def robust_distances(x, floors, keep, consistency):
-    """Squared distances of rows of whole numbers from the concentrated three quarters, with histogram cuts."""
-    q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0, method="inverted_cdf")
-    d, least = (((x - q2) / np.maximum((q3 - q1) / 1.349, floors)) ** 2).sum(axis=1), math.inf
+def _estimate(x, keep, sampling, consistency, above, prior, start):
+    """(determinant, mean, spread) of least determinant over the concentration steps from one start."""
+    mean, cov, best = *start, (math.inf, None, None)
     while True:
+        c = x - mean
+        d = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov + np.diag(sampling**2)), c)
         bins = np.floor(np.log2(d + 1) * 32)
         near = x[bins <= np.sort(bins)[math.ceil(keep * len(x)) - 1]].astype(float)
-        cov = consistency * np.cov(near.T, bias=True) + np.diag(floors**2)
-        det = math.sqrt(np.linalg.det(cov))
-        if det >= least * (1 - 1e-9):
-            return d
-        c, least = x - near.mean(axis=0), det
-        d = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)
+        mean, cov = near.mean(axis=0), consistency * np.cov(near.T, bias=True)
+        if above is not None:
+            w, off = prior / (len(near) + prior), mean - above[0]
+            mean, cov = (1 - w) * mean + w * above[0], (1 - w) * cov + w * above[1] + w * (1 - w) * np.outer(off, off)
+        det = math.sqrt(np.linalg.det(cov + np.diag(sampling**2)))
+        if det >= best[0] * (1 - 1e-9):
+            return best
+        best = det, mean, cov
+
+
+def robust_distances(rows, sampling, keep, consistency, prior):
+    """key -> squared distance, for rows (key, lang, source, vector of whole numbers)."""
+    above, out = {}, {}
+    for depth in range(3):
+        groups, now = defaultdict(list), {}
+        for key, *place, x in rows:
+            groups[tuple(place[:depth])].append((key, x))
+        for g, members in groups.items():
+            x, up = np.array([v for _, v in members]), above.get(g[:-1]) if depth else None
+            q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0)
+            starts = [(q2, np.diag(np.maximum((q3 - q1) / 1.349, sampling) ** 2 - sampling**2)), (x.mean(axis=0), np.cov(x.T, bias=True)), *([up] if depth else [])]
+            now[g] = min((_estimate(x, keep, sampling, consistency, up, prior, s) for s in starts), key=lambda e: e[0])[1:]
+            if depth == 2:
+                c, inverse = x - now[g][0], np.linalg.inv(now[g][1] + np.diag(sampling**2))
+                out |= dict(zip((k for k, _ in members), np.einsum("ij,jk,ik->i", c, inverse, c), strict=True))
+        above = now
+    return out
+
+
+def cased_like_words(candidate):
+    capitals, small = (len(re.findall(p, candidate)) for p in ("[A-Z]", "[a-z]"))
+    return not re.search("[0-9]", candidate) and (4 * capitals <= len(candidate) or 8 * small <= len(candidate))
 
 
 def secret_spans(text, classes, assign, kinds, allowed):
@@ -142,7 +169,7 @@ def secret_spans(text, classes, assign, kinds, allowed):
     every = list(base)
     for c in classes:
         for m in re.finditer(c.pattern, text):
-            if any(re.search(r, m[0]) for r in allowed if not (c.kind == "entropy_hex" and r == allowed[3])):
+            if cased_like_words(m[0]) or any(re.search(r, m[0]) for r in allowed[: len(allowed) - (c.kind == "entropy_hex")]):
                 continue
             hot = []
             for i in range(len(m[0]) - 19):

@@ -122,23 +122,13 @@ def test_quality_statistics_and_verdicts(spark, docs):
     texts = [None, "", " \n ", "a", "a a a", "a a a a", "a b c a b c", "é è\n\n é è \né è\n"]
     texts += ["".join(rng.choice(["a ", "b ", "c\n", "\n", "#é ", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, kept string")
-    for r in robust_quality.statistics(df).collect():
+    for r in robust_quality.judge(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.statistics(texts[r.doc_id])
     judged = robust_quality.judge(docs.select("doc_id", "text", "lang", "source")).collect()
     assert all(not r.kept for r in judged if r.base_failed) and sum(r.kept for r in judged) > 100
     assert robust_quality.judge(docs.select("doc_id", "text", "lang", "source").limit(0)).count() == 0
 
 
-def test_moments_give_mahalanobis_distances(spark):
-    rng = np.random.default_rng(0)
-    x = np.round(rng.normal(size=(500, 4)) * [300, 900, 400, 700] + [5, 6, 7, 8]).astype(int)
-    rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "__g string, __x0 long, __x1 long, __x2 long, __x3 long")
-    got = [r.d for r in rows.join(robust_quality._moments(rows), "__g").select(robust_quality._distance().alias("d")).collect()]
-    cov = robust_quality.CONSISTENCY * np.cov(x.T, bias=True) + np.diag((np.array(robust_quality.FLOORS) * robust_quality.SCALE) ** 2)
-    c = x - x.mean(axis=0)
-    assert np.allclose(sorted(got), sorted(np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)))
-
-
 def test_outliers_in_one_statistic_go(spark):
     """Symbols between all words, repeated lines or repeated words alone reject; the rest stays."""
     rng = random.Random(11)
@@ -157,29 +147,20 @@ def test_outliers_in_one_statistic_go(spark):
     judged = robust_quality.judge(df).collect()
     assert not any(r.base_failed for r in judged)
     assert {r.doc_id for r in judged if r.kept} == set(range(600))
-    assert all((robust_quality.SCALE * x / (f * robust_quality.SCALE)) ** 2 > robust_quality.CUTOFF for x, f in zip((8, 8, 1, 0.5), robust_quality.FLOORS, strict=True))
+    assert all((robust_quality.SCALE * x / (f * robust_quality.SCALE)) ** 2 > robust_quality.CUTOFF for x, f in zip((8, 8, 1, 0.5), robust_quality.SAMPLING, strict=True))
     assert {r.doc_id for r in robust_quality.keep(df).collect()} == set(range(600))
 
 
 def test_verdicts_match_a_plain_estimate(spark):
     """And of the labelled documents those of quality 1 stay and those of quality 0 go."""
-    path = "/root/testdata/sf0.01"
+    rq, path = robust_quality, "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    stats = robust_quality._grouped(robust_quality.statistics(docs), "lang", "source")
-    sound, groups = [r for r in stats.collect() if not r.base_failed], defaultdict(list)
-    sizes = Counter((r["__lang"], r["__source"]) for r in sound)
-    rest = Counter(r["__lang"] for r in sound if sizes[r["__lang"], r["__source"]] < robust_quality.MIN_GROUP)
-    for r in sound:
-        g = r["__lang"], r["__source"]
-        groups[g if sizes[g] >= robust_quality.MIN_GROUP else g[0] if rest[g[0]] >= robust_quality.MIN_GROUP else ""].append(r)
-    want = {}
-    for members in groups.values():
-        x = np.array([[r[f"__x{k}"] for k in range(4)] for r in members])
-        d = brute.robust_distances(x, np.array(robust_quality.FLOORS) * robust_quality.SCALE, robust_quality.KEEP_SHARE, robust_quality.CONSISTENCY)
-        want |= {r.doc_id: v for r, v in zip(members, d, strict=True)}
-    judged = {r.doc_id: r for r in robust_quality.judge(docs.select("doc_id", "text", "lang", "source")).collect()}
+    stats = rq.measured(docs, "text", "lang", "source", F.col("doc_id"))
+    sound = [(r.doc_id, r["__lang"], r["__source"], [r[f"__x{k}"] for k in range(4)]) for r in stats.collect() if not r.base_failed]
+    want = brute.robust_distances(sound, np.array(rq.SAMPLING) * rq.SCALE, rq.KEEP_SHARE, rq.CONSISTENCY, rq.PRIOR)
+    judged = {r.doc_id: r for r in rq.judge(docs.select("doc_id", "text", "lang", "source")).collect()}
     assert {d: r.distance for d, r in judged.items() if not r.base_failed} == pytest.approx(want)
-    assert {d for d, r in judged.items() if r.kept} == {d for d, v in want.items() if v <= robust_quality.CUTOFF}
+    assert {d for d, r in judged.items() if r.kept} == {d for d, v in want.items() if v <= rq.CUTOFF}
     for r in spark.read.parquet(f"{path}/labels.parquet").filter("quality IS NOT NULL").collect():
         assert judged[r.doc_id].base_failed or judged[r.doc_id].kept == (r.quality == 1)
 

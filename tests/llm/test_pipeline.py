@@ -1,7 +1,7 @@
 """The pipeline's stages and its whole run against plain versions, with nulls, empty texts and copies."""
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -24,27 +24,16 @@ def sf_dir(spark, tmp_path_factory):
     return str(where)
 
 
-def sound_groups(rows):
-    """Rows that pass the base rules, as (doc_id, vector), by the group they are judged in."""
+def plain_quality(rows):
     sound = []
     for d, t, lang, source in rows:
         n, chars, symbols, dup, repeat = brute.statistics(t)
         if n >= 50 and 2 * repeat <= n:
             lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
             sound.append((d, lang, source, [math.floor(1000 * x + 0.5) for x in (math.log(chars / n), math.log1p(10 * symbols / n), dup / lines, repeat / n)]))
-    sizes, out = Counter(r[1:3] for r in sound), defaultdict(list)
-    rest = Counter(r[1] for r in sound if sizes[r[1:3]] < robust_quality.MIN_GROUP)
-    for d, lang, source, x in sound:
-        out[(lang, source) if sizes[lang, source] >= robust_quality.MIN_GROUP else lang if rest[lang] >= robust_quality.MIN_GROUP else ""].append((d, x))
-    return out
-
-
-def plain_quality(rows):
-    kept, floors = set(), np.array(robust_quality.FLOORS) * robust_quality.SCALE
-    for members in sound_groups(rows).values():
-        distances = brute.robust_distances(np.array([x for _, x in members]), floors, robust_quality.KEEP_SHARE, robust_quality.CONSISTENCY)
-        kept |= {d for (d, _), v in zip(members, distances, strict=True) if v <= robust_quality.CUTOFF}
-    return kept
+    rq = robust_quality
+    distances = brute.robust_distances(sound, np.array(rq.SAMPLING) * rq.SCALE, rq.KEEP_SHARE, rq.CONSISTENCY, rq.PRIOR)
+    return {d for d, v in distances.items() if v <= rq.CUTOFF}
 
 
 def plain_copies(rows):

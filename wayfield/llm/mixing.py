@@ -10,7 +10,8 @@ order of limit over weight, the exhausted ones are a prefix, found by running su
 A leaf's share is whole epochs of all its documents, then a token-prefix of one more epoch: the
 documents in a seeded order of that epoch while their running token count stays within the
 rest. The running count never needs a leaf in one task: tokens are summed per slice of the
-order, slices are added up, and only the one slice in which the prefix ends is put in order.
+order, slices are added up, and only the one slice in which the prefix ends is put in order. A leaf of n
+rows has about sqrt(n) slices of sqrt(n) rows, so neither step holds more than that in one task.
 
 A token is a word ``[^\\x20\\x09-\\x0D]+``. Defined cases: null text has no tokens; null domain,
 language or source is a leaf of its own; rows that repeat whole are chosen together; a leaf
@@ -26,10 +27,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfield.llm.carry import packed, unpacked
 from wayfield.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_SLICE = 512
 MAX_BROADCAST_LEAVES = 50_000
 MAX_LISTED_WEIGHTS = 2_000
 LEVELS = ("__domain", "__lang", "__source")
@@ -108,27 +109,26 @@ def _slice(order: Column, slices: Column) -> Column:
     return F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * slices).cast("long")
 
 
-def mix(docs: DataFrame, plan: MixPlan, domain: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The chosen rows of ``docs``, once per epoch that has them, with ``epoch`` and ``n_tokens``."""
-    names = docs.columns
+def _chosen(docs: DataFrame, plan: MixPlan, domain: Column, doc_id: str, text: str, lang: str, source: str) -> DataFrame:
+    """The chosen rows as ``__row``, once per epoch that has them, with ``__n`` tokens and ``__epoch``."""
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "__domain": _named(domain),
-            "__lang": _named(F.col(f"`{lang}`")),
-            "__source": _named(F.col(f"`{source}`")),
-            "__n": F.expr(f"cast(regexp_count(coalesce(cast(`{text}` as string), ''), r'{WORD}') as bigint)"),
-            "__digest": F.md5(content.cast("binary")),
-        }
+    keyed = docs.select(
+        packed(docs),
+        _named(domain).alias("__domain"),
+        _named(F.col(f"`{lang}`")).alias("__lang"),
+        _named(F.col(f"`{source}`")).alias("__source"),
+        F.expr(f"cast(regexp_count(coalesce(cast(`{text}` as string), ''), r'{WORD}') as bigint)").alias("__n"),
+        F.md5(content.cast("binary")).alias("__digest"),
+        F.col(f"`{doc_id}`").alias("__id"),
     )
-    narrow = materialize(keyed.select(*LEVELS, F.col(f"`{doc_id}`").alias("__id"), "__n", "__digest"), "mix-tokens")
+    narrow = materialize(keyed.select(*LEVELS, "__id", "__n", "__digest"), "mix-tokens")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("__n").alias("__tokens"), F.count("*").alias("__rows"))
     leaves = materialize(leaves, "mix-leaves")
     planned = budgets(leaves, plan).filter(F.col("__tokens") > 0)
     planned = planned.withColumn("__budget", F.floor("__budget").cast("long"))
     planned = planned.withColumns({"__epochs": F.floor(F.col("__budget") / F.col("__tokens")).cast("long")})
     planned = planned.withColumns(
-        {"__rest": F.col("__budget") - F.col("__epochs") * F.col("__tokens"), "__slices": F.ceil(F.col("__rows") / F.lit(ROWS_PER_SLICE)).cast("long")}
+        {"__rest": F.col("__budget") - F.col("__epochs") * F.col("__tokens"), "__slices": F.ceil(F.sqrt(F.col("__rows"))).cast("long")}
     )
     planned = materialize(planned.select(*LEVELS, "__epochs", "__rest", "__slices"), "mix-plan")
     few = planned.count() <= MAX_BROADCAST_LEAVES
@@ -147,12 +147,20 @@ def mix(docs: DataFrame, plan: MixPlan, domain: Column, doc_id: str = "doc_id",
     cuts = within.filter(F.col("__end") <= F.col("__rest")).groupBy(*LEVELS).agg(F.max("__order").alias("__cut"))
     final = planned.join(ends, list(LEVELS)).join(cuts, list(LEVELS), "left").select(*LEVELS, "__epochs", "__slices", "__last", "__cut")
     final = materialize(final, "mix-cuts")
-    chosen = attach(keyed, final).withColumn("__order", _order(plan, F.col("__epochs"), F.col(f"`{doc_id}`"), F.col("__digest")))
+    chosen = attach(keyed, final).withColumn("__order", _order(plan, F.col("__epochs"), F.col("__id"), F.col("__digest")))
     at = _slice(F.col("__order"), F.col("__slices"))
     in_prefix = F.when(F.col("__last").isNull() | (at < F.col("__last")), True).otherwise((at == F.col("__last")) & (F.col("__order") <= F.coalesce("__cut", F.lit(""))))
     chosen = chosen.withColumn("__copies", F.col("__epochs") + F.when(in_prefix, 1).otherwise(0)).filter(F.col("__copies") > 0)
-    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("epoch")
-    taken = {"epoch", "n_tokens"} & set(names)
-    if taken:
-        raise ValueError(f"docs has columns named {sorted(taken)}")
-    return chosen.select(*(F.col(f"`{c}`") for c in names), F.col("__n").alias("n_tokens"), epochs)
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("__epoch")
+    return chosen.select("__row", "__n", epochs)
+
+
+def mix(docs: DataFrame, plan: MixPlan, domain: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The chosen rows of ``docs``, once per epoch that has them, with ``epoch`` and ``n_tokens``."""
+    rows = _chosen(docs, plan, domain, doc_id, text, lang, source)
+    return rows.select(*unpacked(docs, but=("n_tokens", "epoch")), F.col("__n").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+
+
+def choose(docs: DataFrame, plan: MixPlan, domain: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The same rows with the columns of ``docs`` alone."""
+    return _chosen(docs, plan, domain, doc_id, text, lang, source).select(*unpacked(docs))

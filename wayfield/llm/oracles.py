@@ -39,8 +39,9 @@ def secrets() -> str:
     table = "[" + ", ".join(f"CAST({w} AS BIGINT)" for w in secret_scan.weights()) + "]"
     extra = []
     for c in secret_scan.CLASSES:
-        rules = [r for r in secret_scan.ALLOWED if not (c.kind == "entropy_hex" and r == secret_scan.ALLOWED[3])]
-        suppressed = " OR ".join(f"regexp_matches(m, {_quoted(r)})" for r in rules)
+        kinds = lambda p: f"len(regexp_extract_all(m, '{p}'))"
+        words = f"({kinds('[0-9]')} = 0 AND ({secret_scan.CAPITALS} * {kinds('[A-Z]')} <= len(m) OR {secret_scan.SMALL} * {kinds('[a-z]')} <= len(m)))"
+        suppressed = " OR ".join([words, *(f"regexp_matches(m, {_quoted(r)})" for r in secret_scan.allowed_for(c))])
         chars = f"string_split(substr(m, w + 1, {secret_scan.WINDOW}), '')"
         score = f"list_sum(list_transform(list_distinct({chars}), lambda ch: {table}[len(list_filter({chars}, lambda y: y = ch)) + 1]))"
         hot = f"CASE WHEN {suppressed} THEN [] ELSE list_filter(range(0, len(m) - {secret_scan.WINDOW} + 1), lambda w: {score} <= {secret_scan.hot_sum(c.bits)}) END"

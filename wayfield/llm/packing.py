@@ -11,8 +11,9 @@ A partition of the input is packed by the task that reads it: no shuffle, memory
 pool (``pool_rests`` rests of less than ``capacity`` ids each), and a lost executor repeats only
 its own tasks.
 
-Defined cases: null or empty text gives the end id alone; repeated rows are packed each on their
-own; null doc_id stays null; an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty text gives the end id alone; a text longer than a window fills as many as it
+needs; repeated rows are packed each on their own, told apart by ``document_row``; null doc_id stays null;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfield.llm.word_ids import raw_texts, worker_encoder
 
 CAPACITY = 4096
 POOL_RESTS = 256
 END_ID = 2
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, document_row long"
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -69,7 +71,7 @@ def powers_of_two(n: int) -> list[int]:
 
 
 class Packer:
-    """Packs the rests of one partition. A rest is (doc, start, doc_tokens, ids as bytes)."""
+    """Packs the rests of one partition. A rest is (doc, start, doc_tokens, ids as bytes); a doc is (doc_id, row)."""
 
     def __init__(self, partition: int, capacity: int = CAPACITY, pool_rests: int = POOL_RESTS):
         self.capacity, self.pool_rests = capacity, pool_rests
@@ -83,7 +85,8 @@ class Packer:
         return self.next_sequence - 1
 
     def _emit(self, doc, start: int, tokens: int, ids: bytes, sequence: int, offset: int, padded: int) -> None:
-        self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, offset, padded))
+        doc_id, row = doc
+        self.out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, offset, padded, row))
 
     def add(self, doc, ids: bytes) -> None:
         tokens, step = len(ids) // 4, self.capacity
@@ -181,12 +184,14 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, shared.value)
-        packer = Packer(TaskContext.get().partitionId(), capacity, pool_rests)
+        packer, row = Packer(TaskContext.get().partitionId(), capacity, pool_rests), TaskContext.get().partitionId() << 33
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                packer.add(doc, encoder.encode(raw) + end)
+                packer.add((doc, row), encoder.encode(raw) + end)
+                row += 1
             yield _batch(packer.rows())
         packer.finish()
         yield _batch(packer.rows())
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, SCHEMA)

@@ -2,23 +2,28 @@
 
 Base statistics come from the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. Each document's
 statistic vector (word length, symbols per word, share of repeated lines, share of repeated words,
-each transformed) is held in thousandths as whole numbers. Per group a minimum-covariance-
-determinant estimate is made: start from the share ``KEEP_SHARE`` of documents nearest to the
-coordinate-wise median, then concentrate: mean and covariance of the kept documents, distances of
-all, keep the nearest again, until a group's determinant no longer falls. Every step is a grouped sum over fixed-size partial results: a cut
-at the h-th distance comes from a histogram of distances, not from sorting a group, so that a
-group of any size is summed in parallel. A document is rejected where its squared Mahalanobis
-distance, made consistent for the share kept, is over ``CUTOFF``, the chi-square quantile for the four statistics.
-
-Groups are (language, source); one of fewer than ``MIN_GROUP`` documents is judged with the rest of
-its language, and that too, if it is small, with all such rest. ``FLOORS`` is the least standard
-deviation per statistic: a group in which nearly all documents have, say, no symbol has no spread
-there, and without a floor any other value would be infinitely far. Each is small enough that its statistic
-alone can pass the cutoff (words repeat in at most half of a document that the base rules leave).
-
-Defined cases: null text counts as empty and has no words; null language or source is a value of its
-own; documents failing the base rules are rejected and take no part in the estimates; repeated rows
-count each; an empty table gives no rows; extra columns are ignored.
+each transformed) is held in thousandths as whole numbers. Per group a minimum-covariance-determinant
+estimate is made: from each of several starts (the coordinate-wise median with quartile ranges, all documents'
+mean and covariance, the estimate of the group above) the nearest share ``KEEP_SHARE`` of documents is kept, mean
+and covariance of these give new distances, and so on until the determinant no longer falls; of all
+starts and steps the one of least determinant wins. A document is rejected where its squared
+Mahalanobis distance is over ``CUTOFF``, the chi-square quantile for the four statistics; the covariance is made
+consistent for the share kept.
+
+Groups are (language, source), inside languages, inside all. A group's estimate counts the one above it as
+``PRIOR`` more documents, whatever its size: a group of a handful leans on its language, one of a million stands alone.
+A document's statistics vary by sampling besides: ``SAMPLING`` is the deviation in a document of ``MIN_WORDS`` words,
+and its square adds to the variances (the estimate is the regularised one, and never singular: most
+documents have no symbol and no repeated line). Each is small enough that its statistic alone can pass the
+cutoff (words repeat in at most half of a document that the base rules leave).
+
+Every step is a grouped sum over fixed-size partial results: quartiles come from counts of at most some thousand
+values, and a cut at the h-th distance from a histogram of distances, so a group of any size is summed in parallel.
+
+Defined cases: null text counts as empty and has no words; texts of any length count whole; null language or source
+is a value of its own; documents failing the base rules are rejected and take no part in the estimates; repeated rows
+count each; an empty table gives no rows; extra columns, whatever their names, stay as they are (``judge``
+puts its own in the place of columns named as those).
 """
 
 from __future__ import annotations
@@ -26,15 +31,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfield.session import materialize
+from wayfield.llm.carry import packed, unpacked
+from wayfield.session import discard, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FEATURES = ("word_length", "symbols", "repeat_lines", "repeat_words")
 SCALE = 1000
-FLOORS = (0.08, 0.25, 0.15, 0.1)
+#: In a document of MIN_WORDS words: word lengths vary by 0.57 of their mean; a symbol every 32 words; shares of eleven lines
+#: and of 25 windows.
+SAMPLING = (0.08, 0.25, 0.15, 0.1)
 KEEP_SHARE = 0.75
-MIN_GROUP = 200
+PRIOR = 200
 #: Chi-square with 4 degrees of freedom: 0.999 is its distribution here.
 CUTOFF = 18.4668
 #: A determinant that falls by a smaller share than this has settled.
@@ -71,10 +79,9 @@ def _covered(starts: str) -> str:
     return f"aggregate({starts}, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', cast(p as bigint), 'n', a.n + least(3L, p - a.last)), a -> a.n)"
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    kept = [c for c in docs.columns if c != text]
-    out = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+def statistics(docs: DataFrame, text: str, carried: list[Column], kept: list[str]) -> DataFrame:
+    """The columns ``carried`` (named ``kept``), with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    out = docs.select(*carried, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     out = out.withColumn("__words", F.expr(f"regexp_extract_all(__text, r'{WORD}', 0)"))
     out = out.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), l -> l rlike r'{WORD}')"))
     out = out.withColumn("__windows", F.expr(_repeated_words("__words")))
@@ -118,72 +125,92 @@ def _attach(rows: DataFrame, small: DataFrame, keys: list[str], n_groups: int, h
     return rows.join(F.broadcast(small) if n_groups <= MAX_BROADCAST_GROUPS else small, keys, how)
 
 
-def _bin(distance: Column) -> Column:
-    return F.floor(F.log2(distance + 1) * BINS_PER_OCTAVE).cast("int")
+def _bin(distance: str) -> str:
+    return f"cast(floor(log2({distance} + 1) * {BINS_PER_OCTAVE}) as int)"
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """Per group the smallest histogram bin that, with all below, holds the share to keep."""
-    histogram = rows.groupBy("__g", "__bin").agg(F.count("*").alias("__c"))
-    order = Window.partitionBy("__g").orderBy("__bin")
-    total = Window.partitionBy("__g")
-    cumulated = histogram.select("__g", "__bin", F.sum("__c").over(order).alias("__below"), F.sum("__c").over(total).alias("__n"))
-    return cumulated.filter(F.col("__below") >= F.ceil(F.lit(KEEP_SHARE) * F.col("__n"))).groupBy("__g").agg(F.min("__bin").alias("__cut"))
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean, lower Cholesky factor and its determinant of the floored covariance, per group, from whole-number sums."""
-    p = len(FEATURES)
-    x = [F.col(f"__x{k}").cast("decimal(19,0)") for k in range(p)]
-    sums = [F.sum(x[k]).cast("double").alias(f"__s{k}") for k in range(p)]
-    crosses = [F.sum((F.col(f"__x{k}") * F.col(f"__x{j}")).cast("decimal(19,0)")).cast("double").alias(f"__s{k}_{j}") for k in range(p) for j in range(k + 1)]
-    out = rows.groupBy("__g").agg(F.count("*").cast("double").alias("__h"), *sums, *crosses)
-    out = out.withColumns({f"__m{k}": F.col(f"__s{k}") / F.col("__h") for k in range(p)})
-    cov = {}
-    for k in range(p):
-        for j in range(k + 1):
-            value = CONSISTENCY * (F.col(f"__s{k}_{j}") / F.col("__h") - F.col(f"__m{k}") * F.col(f"__m{j}"))
-            cov[f"__v{k}_{j}"] = value + F.lit((FLOORS[k] * SCALE) ** 2) if k == j else value
-    out = out.withColumns(cov)
-    for k in range(p):
-        for j in range(k + 1):
-            rest = F.col(f"__v{k}_{j}")
-            for i in range(j):
-                rest = rest - F.col(f"__l{k}_{i}") * F.col(f"__l{j}_{i}")
-            out = out.withColumn(f"__l{k}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if k == j else rest / F.col(f"__l{j}_{j}"))
-    names = [f"__m{k}" for k in range(p)] + [f"__l{k}_{j}" for k in range(p) for j in range(k + 1)]
-    det = F.col("__l0_0")
-    for k in range(1, p):
-        det = det * F.col(f"__l{k}_{k}")
-    return out.select("__g", *names, det.alias("__det"))
-
-
-def _distance() -> Column:
+    """Per group and start the smallest histogram bin that, with all below, holds the share to keep."""
+    histogram = rows.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("__c"))
+    total = Window.partitionBy("__g", "__s")
+    cumulated = histogram.select("__g", "__s", "__bin", F.sum("__c").over(total.orderBy("__bin")).alias("__below"), F.sum("__c").over(total).alias("__n"))
+    return cumulated.filter(F.col("__below") >= F.ceil(F.lit(KEEP_SHARE) * F.col("__n"))).groupBy("__g", "__s").agg(F.min("__bin").alias("__cut"))
+
+
+P = len(FEATURES)
+X = [f"__x{k}" for k in range(P)]
+MEANS = [f"__m{k}" for k in range(P)]
+LOWER = [f"{k}_{j}" for k in range(P) for j in range(k + 1)]
+SPREADS, FACTORS = [f"__b{kj}" for kj in LOWER], [f"__l{kj}" for kj in LOWER]
+
+
+#: Whole-number sums, so that their order does not matter.
+SUMS = [
+    "cast(count(*) as double) AS __h",
+    *(f"cast(sum(cast({x} as decimal(19,0))) as double) AS __s{k}" for k, x in enumerate(X)),
+    *(f"cast(sum(cast(__x{k} * __x{j} as decimal(19,0))) as double) AS __s{k}_{j}" for k in range(P) for j in range(k + 1)),
+]
+
+
+def _let(name: str, value: str, then: str) -> str:
+    """``then``, in which ``name`` is a value that is computed once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def _factored(means: dict[str, str], spreads: dict[str, str]) -> str:
+    """Struct of the estimate: means, spreads, the lower Cholesky factor of spreads plus sampling variance, its determinant."""
+    factors = {f"__l{k}_{j}": f"f{j}.__l{k}_{j}" for k in range(P) for j in range(k + 1)}
+    det = " * ".join(f"f{k}.__l{k}_{k}" for k in range(P))
+    out = _struct({c: f"v.{c}" for c in (*MEANS, *SPREADS)} | factors | {"__det": det})
+    for j in reversed(range(P)):
+        left = lambda k: f"v.__b{k}_{j}" + (f" + {(SAMPLING[k] * SCALE) ** 2!r}D" if k == j else "") + "".join(f" - f{c}.__l{k}_{c} * f{c}.__l{j}_{c}" for c in range(j))  # noqa: B023, E731
+        column = _struct({f"__l{j}_{j}": f"d{j}"} | {f"__l{k}_{j}": f"({left(k)}) / d{j}" for k in range(j + 1, P)})
+        out = _let(f"d{j}", f"sqrt(greatest({left(j)}, 1e-9D))", _let(f"f{j}", column, out))
+    return _let("v", _struct(means | spreads), out)
+
+
+def _estimated(sums: DataFrame, above: DataFrame | None, keys: list[str], consistency: float = CONSISTENCY) -> DataFrame:
+    """Estimates from sums (``keys``, __up, SUMS), with the estimate above (__g) as PRIOR documents more."""
+    own = _struct({f"o{k}": f"__s{k} / __h" for k in range(P)})
+    spread = {kj: f"{consistency!r}D * (__s{kj} / __h - o.o{kj[0]} * o.o{kj[2]})" for kj in LOWER}
+    if above is None:
+        e = _factored({f"__m{k}": f"o.o{k}" for k in range(P)}, {f"__b{kj}": x for kj, x in spread.items()})
+        return sums.selectExpr(*keys, _let("o", own, e) + " AS __e")
+    w = f"({float(PRIOR)!r}D / (__h + {float(PRIOR)!r}D))"
+    means = {f"__m{k}": f"(1 - {w}) * o.o{k} + {w} * __m{k}_up" for k in range(P)}
+    apart = lambda kj: f"(o.o{kj[0]} - __m{kj[0]}_up) * (o.o{kj[2]} - __m{kj[2]}_up)"
+    pooled = {f"__b{kj}": f"(1 - {w}) * {x} + {w} * __b{kj}_up + {w} * (1 - {w}) * {apart(kj)}" for kj, x in spread.items()}
+    named = above.selectExpr("__g AS __up", *(f"{c} AS {c}_up" for c in (*MEANS, *SPREADS)))
+    return sums.join(named, "__up").selectExpr(*keys, _let("o", own, _factored(means, pooled)) + " AS __e")
+
+
+def _distance() -> str:
     """Squared Mahalanobis distance by forward substitution."""
-    z: list[Column] = []
-    for k in range(len(FEATURES)):
-        rest = F.col(f"__x{k}") - F.col(f"__m{k}")
-        for j in range(k):
-            rest = rest - F.col(f"__l{k}_{j}") * z[j]
-        z.append(rest / F.col(f"__l{k}_{k}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
-
-
-def _start(rows: DataFrame, n_groups: int) -> DataFrame:
-    """Rows with the histogram bin of their distance from the coordinate-wise median, in floored quartile ranges."""
-    p = len(FEATURES)
-    long = rows.select("__g", F.posexplode(F.array(*(F.col(f"__x{k}") for k in range(p)))).alias("__k", "__v")).groupBy("__g", "__k", "__v").agg(F.count("*").alias("__c"))
-    order, total = Window.partitionBy("__g", "__k").orderBy("__v"), Window.partitionBy("__g", "__k")
-    ranked = long.select("__g", "__k", "__v", F.sum("__c").over(order).alias("__below"), F.sum("__c").over(total).alias("__n"))
-    quartile = lambda q: F.min(F.when(F.col("__below") >= q * F.col("__n"), F.col("__v")))
-    each = ranked.groupBy("__g", "__k").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"))
-    one = [F.max(F.when(F.col("__k") == k, F.col(q))).alias(f"__{q}_{k}") for k in range(p) for q in ("q1", "q2", "q3")]
-    wide = each.groupBy("__g").agg(*one)
-    parts = []
-    for k in range(p):
-        spread = F.greatest((F.col(f"__q3_{k}") - F.col(f"__q1_{k}")) / 1.349, F.lit(FLOORS[k] * SCALE))
-        parts.append(F.pow((F.col(f"__x{k}") - F.col(f"__q2_{k}")) / spread, F.lit(2.0)))
-    return _attach(rows, wide, ["__g"], n_groups).select("__g", *(f"__x{k}" for k in range(p)), _bin(sum(parts[1:], parts[0])).alias("__bin"))
+    z: list[str] = []
+    for k in range(P):
+        z.append(f"((__x{k} - __m{k}" + "".join(f" - __l{k}_{j} * {z[j]}" for j in range(k)) + f") / __l{k}_{k})")
+    return "(" + " + ".join(f"{v} * {v}" for v in z) + ")"
+
+
+def _starts(rows: DataFrame, above: DataFrame | None) -> DataFrame:
+    """The estimates (__g, __s, __up, ...) that concentration begins from."""
+    quartiles = [f"percentile({x}, array(0.25D, 0.5D, 0.75D)) AS __q{k}" for k, x in enumerate(X)]
+    each = materialize(rows.groupBy("__g").agg(*map(F.expr, ["first(__up) AS __up", *quartiles, *SUMS])), "quality-groups")
+    keys = ["__g", "__up"]
+    spread = lambda k: f"pow(greatest((__q{k}[2] - __q{k}[0]) / 1.349D, {SAMPLING[k] * SCALE!r}D), 2.0D) - {(SAMPLING[k] * SCALE) ** 2!r}D"
+    median = _factored({f"__m{k}": f"__q{k}[1]" for k in range(P)}, {f"__b{k}_{j}": spread(k) if k == j else "0.0D" for k in range(P) for j in range(k + 1)})
+    out = each.selectExpr(*keys, median + " AS __e", "0 AS __s")
+    out = out.unionByName(_estimated(each, None, keys, 1.0).withColumn("__s", F.lit(1)))
+    if above is not None:
+        fields = [*MEANS, *SPREADS, *FACTORS, "__det"]
+        around = above.select(F.col("__g").alias("__up"), F.struct(*fields).alias("__e"))
+        out = out.unionByName(each.select(*keys).join(around, "__up").withColumn("__s", F.lit(2)))
+    out = materialize(out, "quality-starts").select(*keys, "__s", "__e.*")
+    return out.withColumn("__det", F.lit(float("inf")))
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -193,55 +220,64 @@ def _named(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("~"))
 
 
-def _grouped(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    return stats.withColumns({"__lang": _named(lang), "__source": _named(source)}).select("*", *vector())
+def _concentrate(rows: DataFrame, above: DataFrame | None) -> DataFrame:
+    """Per group (__g, inside __up) the estimate of least determinant; ``above`` has those of the groups around."""
+    keys = ["__g", "__s", "__up"]
+    moving = _starts(rows, above)
+    n_groups, found, written = moving.count(), [moving], []
+    while not moving.isEmpty():  # each round lowers the determinant of all that stay in it, so there is a last one
+        binned = _attach(rows.select("__g", *X), moving, ["__g"], n_groups, "inner").selectExpr(*keys, *X, _bin(_distance()) + " AS __bin")
+        near = _attach(binned, _cut(binned), ["__g", "__s"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
+        before = moving.select("__g", "__s", F.col("__det").alias("__before"))
+        after = materialize(_estimated(near.groupBy(*keys).agg(*map(F.expr, SUMS)), above, keys).join(before, ["__g", "__s"]), "quality-estimate")
+        moving = after.select(*keys, "__before", "__e.*").filter(F.col("__det") < (1 - SETTLED) * F.col("__before")).drop("__before")
+        written.append(after)
+        found.append(moving)
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    columns = ["__g", *MEANS, *SPREADS, *FACTORS, "__det"]
+    best = F.min_by(F.struct(*columns), F.struct("__det", "__s")).alias("e")
+    out = materialize(every.groupBy("__g").agg(best).select("e.*"), "quality-estimate")
+    for df in written:
+        discard(df)
+    return out
+
 
+def _group() -> Column:
+    return F.concat_ws("\t", "__lang", "__source")
 
-def _fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Group of each (language, source), estimate of each group, and how many (language, source) there are."""
-    p = len(FEATURES)
+
+def _fit(stats: DataFrame) -> DataFrame:
+    """The estimate of each (language, source) that has sound documents."""
     sound = stats.filter(~F.col("base_failed"))
-    sizes = sound.groupBy("__lang", "__source").agg(F.count("*").alias("__n"))
-    small = F.col("__n") < MIN_GROUP
-    levels = sizes.withColumn("__n_lang", F.sum("__n").over(Window.partitionBy("__lang", small)))
-    name = F.when(~small, F.concat_ws("\t", "__lang", "__source")).when(F.col("__n_lang") >= MIN_GROUP, F.col("__lang")).otherwise(F.lit(""))
-    levels = materialize(levels.select("__lang", "__source", name.alias("__g")), "quality-groups")
-    n_groups = levels.count()
-    rows = _attach(sound, levels, ["__lang", "__source"], n_groups).select("__g", *(f"__x{k}" for k in range(p)))
-    nearest = lambda binned: _attach(binned, _cut(binned), ["__g"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
-    moving = materialize(_moments(nearest(_start(rows, n_groups))), "quality-estimate-0")
-    found = [moving]
-    while not moving.isEmpty():  # each round lowers a determinant of every group in it, so there is a last one
-        binned = _attach(rows, moving, ["__g"], n_groups, "inner").select("__g", *(f"__x{k}" for k in range(p)), _bin(_distance()).alias("__bin"))
-        before = moving.select("__g", F.col("__det").alias("__before"))
-        after = materialize(_moments(nearest(binned)).join(before, "__g"), f"quality-estimate-{len(found)}")
-        moving = after.filter(F.col("__det") < (1 - SETTLED) * F.col("__before")).drop("__before")
-        found.append(moving)
-    return levels, _last(found), n_groups
+    whole = F.lit("")
+    above = _concentrate(sound.select(whole.alias("__g"), whole.alias("__up"), *X), None)
+    above = _concentrate(sound.select(F.col("__lang").alias("__g"), whole.alias("__up"), *X), above)
+    return _concentrate(sound.select(_group().alias("__g"), F.col("__lang").alias("__up"), *X), above)
 
 
-def _last(found: list[DataFrame]) -> DataFrame:
-    """Per group its row in the last of these tables that has one."""
-    every = [df.withColumn("__step", F.lit(i)) for i, df in enumerate(found)]
-    rows = every[0]
-    for df in every[1:]:
-        rows = rows.unionByName(df)
-    one = F.max_by(F.struct(*found[0].columns), "__step").alias("e")
-    return materialize(rows.groupBy("__g").agg(one).select("e.*"), "quality-estimate")
+def measured(docs: DataFrame, text: str, lang: str, source: str, carried: Column) -> DataFrame:
+    """``carried`` (one column), __lang, __source, the statistics and the vector, written once."""
+    name = docs.select(carried).columns[0]
+    columns = [carried, _named(lang).alias("__lang"), _named(source).alias("__source")]
+    return materialize(statistics(docs, text, columns, [name, "__lang", "__source"]).select("*", *vector()), "quality-statistics")
 
 
-def _verdict(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int], names: list[str]) -> DataFrame:
-    levels, estimate, n_groups = fitted
-    judged = _attach(_attach(stats, levels, ["__lang", "__source"], n_groups), estimate, ["__g"], n_groups)
-    distance = F.when(~F.col("base_failed"), _distance())
-    judged = judged.select(*(F.col(f"`{c}`") for c in names), *STATISTICS, distance.alias("distance"))
+def _verdicts(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``distance`` (squared) and ``kept``."""
+    estimate = _fit(stats)
+    judged = _attach(stats.withColumn("__g", _group()), estimate, ["__g"], estimate.count())
+    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.expr(_distance())))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` without the text, with the base statistics, ``distance`` (squared) and ``kept``."""
-    stats = materialize(_grouped(statistics(docs, text), lang, source), "quality-statistics")
-    return _verdict(stats, _fit(stats), [c for c in docs.columns if c != text])
+    others = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    judged = _verdicts(measured(docs, text, lang, source, packed(others)))
+    out = (*STATISTICS, "distance", "kept")
+    return judged.select(*unpacked(others, but=out), *out)
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -250,9 +286,8 @@ def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     A verdict depends on text, language and source alone, so what is rejected is named by a hash of these; the list is
     sent to all tasks where it is counted and small, and joined otherwise.
     """
-    of = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), _named(lang), _named(source))
-    keyed = docs.withColumn("__verdict_of", of)
-    judged = judge(keyed.select("__verdict_of", *(F.col(f"`{c}`") for c in (text, lang, source))), text, lang, source)
-    rejected = materialize(judged.filter(~F.col("kept")).select("__verdict_of").distinct(), "quality-rejected")
+    of = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), _named(lang), _named(source)).alias("__of")
+    judged = _verdicts(measured(docs, text, lang, source, of))
+    rejected = materialize(judged.filter(~F.col("kept")).select("__of").distinct(), "quality-rejected")
     few = rejected.count() <= MAX_BROADCAST_REJECTED
-    return keyed.join(F.broadcast(rejected) if few else rejected, "__verdict_of", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(packed(docs), of).join(F.broadcast(rejected) if few else rejected, "__of", "left_anti").select(*unpacked(docs))

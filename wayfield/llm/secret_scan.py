@@ -7,13 +7,15 @@ over it. The counts of the characters in the window are kept incrementally: a st
 character, removes one, and changes the sum of c*log2(c) by two table differences; that sum gives
 the window's Shannon entropy. Where a window's entropy reaches the class's threshold, it is hot, and
 the candidate's span goes from its first hot window to the end of its last. Candidates on the
-allow list (no digit, UUIDs, dates, plain numbers, few distinct letters) are suppressed; base spans never are.
+allow list are suppressed: UUIDs, dates and plain numbers, and those without a digit that are cased like
+words (capitals are a quarter at most, or nearly all letters are capitals); base spans never are.
 
 c*log2(c) is held in billionths as whole numbers, so that the sum is the same whatever the order.
 
 Everything is computed within a row: no shuffle. Defined cases: null text counts as empty and has
-no spans; null doc_id stays null; repeated rows are scanned each; an empty table gives no rows;
-extra columns are ignored. Positions are code points, ends exclusive.
+no spans, and stays null when masked; null doc_id stays null; texts of any length are scanned whole; repeated
+rows are scanned each; an empty table gives no rows; extra columns, whatever their names, are ignored by
+``scan`` and kept as they are by ``redact``. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfield.llm.carry import packed, unpacked
+
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,11 +55,12 @@ CLASSES = (
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", LETTERS + "+/_=-", 3.7),
 )
 ALLOWED = (
-    r"^[^0-9]+$",
     r"^[0-9/_=+-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9A-Fa-f]+$",
 )
+#: Of a candidate without digits: capitals and small letters, as shares 1/4 and 1/8 of its length at most.
+CAPITALS, SMALL = 4, 8
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 _SPANS = "array<struct<start:int,rank:int,stop:int>>"
 
@@ -105,9 +110,15 @@ def _hot(candidate: str, cls: CharacterClass) -> str:
     return f"aggregate(sequence(1, length({candidate})), {zero}, {marked}, a -> named_struct('first', a.first, 'stop', a.stop))"
 
 
+def allowed_for(cls: CharacterClass) -> tuple[str, ...]:
+    """The patterns of the allow list that hold for a class: hex digits alone are a candidate of their own class."""
+    return ALLOWED[:-1] if cls.kind == "entropy_hex" else ALLOWED
+
+
 def _suppressed(candidate: str, cls: CharacterClass) -> str:
-    rules = [r for r in ALLOWED if not (cls.kind == "entropy_hex" and r == ALLOWED[3])]
-    return "(" + " OR ".join(f"{candidate} rlike {_literal(r)}" for r in rules) + ")"
+    count = lambda p: f"regexp_count({candidate}, {_literal(p)})"
+    words = f"({count('[0-9]')} = 0 AND ({CAPITALS} * {count('[A-Z]')} <= length({candidate}) OR {SMALL} * {count('[a-z]')} <= length({candidate})))"
+    return "(" + " OR ".join([words, *(f"{candidate} rlike {_literal(r)}" for r in allowed_for(cls))]) + ")"
 
 
 def _entropy_spans(spans: str, matches: str, cls: CharacterClass, rank: int) -> str:
@@ -122,10 +133,11 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(element_at({names}, s.rank + 1), ':', s.start, ':', s.stop)), ',')")
 
 
-def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__text`` and the sorted arrays ``__base`` and ``__all`` of struct(start, rank, stop)."""
+def find_spans(docs: DataFrame, text: str, carried: Column) -> DataFrame:
+    """``carried``, ``__text`` and the sorted arrays ``__base`` and ``__all`` of struct(start, rank, stop)."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, **{c.kind: c.pattern for c in CLASSES}}
-    out = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    out = docs.select(carried, whole.alias("__text"))
     out = out.withColumns({f"__m_{k}": F.expr(f"regexp_extract_all(__text, {_literal(p)}, 0)") for k, p in patterns.items()})
     out = out.withColumn("__v_assign", F.expr(f"CASE WHEN size(__m_assign) = 0 THEN cast(array() as array<string>) ELSE regexp_extract_all(__text, {_literal(ASSIGN)}, 2) END"))
     out = out.withColumns({f"__s_{k}": F.expr(_located("__text", f"__m_{k}", p, KINDS.index(k))) for k, p in patterns.items()})
@@ -138,8 +150,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of base spans, the hash of the base spans, and all spans as ``kind:start:end``."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return find_spans(narrow).select(
+    return find_spans(docs, text, F.col(f"`{doc_id}`").cast("long").alias("doc_id")).select(
         "doc_id",
         *(F.size(f"__s_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(_joined("__base").cast("binary"), 256).alias("base_sha256"),
@@ -149,11 +160,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask`` (overlapping spans by one); null text stays null."""
-    columns = docs.columns
-    out = find_spans(docs, text)
+    out = find_spans(docs, text, packed(docs))
     clean = f"""aggregate(__all, named_struct('at', 0, 'parts', cast(array() as array<string>)), (a, s) ->
       CASE WHEN s.start >= a.at THEN named_struct('at', s.stop, 'parts', concat(a.parts, array(substring(__text, a.at + 1, s.start - a.at), '{mask}')))
            ELSE named_struct('at', greatest(a.at, s.stop), 'parts', a.parts) END,
       a -> concat(array_join(a.parts, ''), substring(__text, a.at + 1)))"""
-    kept = F.expr(f"CASE WHEN `{text}` IS NULL THEN NULL WHEN size(__all) = 0 THEN __text ELSE {clean} END")
-    return out.select(*(kept.alias(c) if c == text else F.col(f"`{c}`") for c in columns))
+    masked = F.expr(f"CASE WHEN __row.`{text}` IS NULL THEN NULL WHEN size(__all) = 0 THEN __text ELSE {clean} END")
+    return out.select(*unpacked(docs, **{text: masked}))

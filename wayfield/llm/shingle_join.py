@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfield.llm.carry import packed, unpacked
 from wayfield.operators.components import components
 from wayfield.llm.tokens64 import shingle_set, word_hashes
 from wayfield.llm.word_ids import raw_texts
@@ -306,11 +307,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content")).distinct(), "near-gone")
     repeated = members.groupBy("doc_id", "content").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content"))
     repeated = materialize(repeated, "near-repeated")
-    keyed = docs.withColumn("__content", F.xxhash64(F.col(f"`{text}`")))
+    keyed = docs.select(packed(docs), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__content"))
     named = lambda small: F.broadcast(small) if small.count() <= MAX_BROADCAST_CLASSES else small
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__content") == F.col("__gone_content"))
+    same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__content") == F.col("__gone_content"))
     left = keyed.join(named(gone), same, "left_anti")
     if not repeated.isEmpty():
-        twice = left.join(named(repeated), same, "left_semi").dropDuplicates([doc_id, "__content"])
-        left = left.join(named(repeated), same, "left_anti").union(twice)
-    return left.drop("__content")
+        twice = left.join(named(repeated), same, "left_semi").dropDuplicates(["__id", "__content"])
+        left = left.join(named(repeated), same, "left_anti").select("__row").union(twice.select("__row"))
+    return left.select(*unpacked(docs))
