@@ -1,7 +1,12 @@
 """A training corpus from raw documents: quality rules, near duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads them for the next.
+documents. ``run`` writes each stage's rows as Parquet in the shared folder, reads them for the next and deletes them
+once that is written.
+
+Defined cases, in every stage: null in any column, empty and very long texts, ties, repeated rows and empty tables are
+taken as the stage's operator says in its docstring; columns besides those of documents, whatever their names, stay.
+A document that mixing takes twice is two documents to packing, told apart by ``document_row``.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfield.llm import mixing, packing, robust_quality, secret_scan, shingle_join
 from wayfield.llm.queries import SOURCE_DOMAIN, vocabulary
-from wayfield.session import materialize
+from wayfield.session import discard, materialize
 
 MIX = mixing.MixPlan(
     domain_weights={"g0": 0.4, "g1": 0.3, "g2": 0.3},
@@ -40,8 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the token budgets of domains, languages and sources, as often as their leaf has epochs."""
-    mixed = mixing.mix(docs, MIX, F.expr(SOURCE_DOMAIN))
-    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixing.choose(docs, MIX, F.expr(SOURCE_DOMAIN))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
