@@ -13,12 +13,14 @@ of its distinct words. Chunks (about ``CHUNK_BYTES`` of text) are written once,
 numbers and sorted word hashes; requests, and counts of bigrams, are dealt by hash to shards, each
 chunk naming an n-gram once, so no word is hot and a shard's size is set by the number of shards.
 
-Each shard builds its own segment of the filter, of bits in proportion to what it holds. The
-segments are sent to all tasks in groups of at most ``GROUP_BYTES`` (one group unless the corpus is
-large); levels found with each group are added up, as an n-gram lives in one segment only.
-
-Defined cases: null or empty text is the end token alone; null doc_id counts as training; repeated
-rows count and are scored each; an empty table gives no rows; extra columns are ignored.
+Each shard builds its own segment of the filter, of bits in proportion to what it holds. Unigrams are probed in the
+shard that is asked for them. The bigrams' segments are broadcast while they are at most ``BROADCAST_BYTES`` together;
+a larger filter stays where it is, and each chunk's distinct bigrams are dealt to the shards once, to be probed there.
+Either way the same bits answer, so the scores are the same.
+
+Defined cases: null or empty text is the end token alone; a text of any length is whole in one chunk; null doc_id counts
+as training; repeated rows count and are scored each; an empty table gives no rows; extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ BITS_PER_EVENT = 12
 HASHES = 6
 #: Bytes of a bigram's hash that are kept besides its shard.
 LOW_BYTES = 5
-GROUP_BYTES = 128 << 20
+BROADCAST_BYTES = 128 << 20
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, keys binary, counts binary, n_train long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -123,10 +125,11 @@ def encode(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, CHUNKS)
 
 
-def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each shard (the top bits) begins among sorted keys."""
-    starts = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
+def _cells(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The shards (the top bits) that sorted keys have, each with its part of them."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[len(keys) > 0], shard[1:] != shard[:-1]]))
+    return zip(shard[first].tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(keys)]), strict=True)
 
 
 def _positions(keys: np.ndarray, level: int, cells: np.ndarray | int) -> Iterator[np.ndarray]:
@@ -181,7 +184,7 @@ class Segments:
 
 
 def _unigrams(chunks: DataFrame, bits: int) -> DataFrame:
-    """Per chunk and shard the total counts asked for (rows of chunk -1: the shard's segment and vocabulary size)."""
+    """Per chunk and shard the total counts asked for, and the filter's levels (rows of chunk -1: the shard's vocabulary size)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +192,7 @@ def _unigrams(chunks: DataFrame, bits: int) -> DataFrame:
                 keys = np.frombuffer(k, "<u8")
                 order = np.argsort(keys, kind="stable")
                 keys, counts = keys[order], spread_out(c, "<u8")[order]
-                e = _edges(keys, bits)
-                cells = [(s, chunk, keys[e[s] : e[s + 1]].tobytes(), squeezed(counts[e[s] : e[s + 1]])) for s in range(1 << bits) if e[s] < e[s + 1]]
+                cells = [(shard, chunk, keys[part].tobytes(), squeezed(counts[part])) for shard, part in _cells(keys, bits)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells, strict=True)], names=["shard", "chunk", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -201,20 +203,22 @@ def _unigrams(chunks: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(back, weights=asked.astype(np.float64), minlength=len(every)).astype("<u8")
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         known = total > 0
-        rows = [*zip(table.column("chunk").to_pylist(), [squeezed(x) for x in np.split(total[back], cuts)], [0] * len(keys), strict=True)]
-        rows.append((-1, build_segment(every[known], levels_of(total[known])), int(known.sum())))
-        return pa.table([pa.array([shard] * len(rows), pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))], names=["shard", "chunk", "body", "words"])
+        segment = build_segment(every[known], levels_of(total[known]))
+        level = Segments([(shard, len(segment))], segment, bits).levels(every)
+        parts = lambda x: [squeezed(part) for part in np.split(x[back], cuts)]
+        rows = [*zip(table.column("chunk").to_pylist(), parts(total), parts(level), [0] * len(keys), strict=True)]
+        rows.append((-1, b"", b"", int(known.sum())))
+        return pa.table([pa.array([shard] * len(rows), pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))], names=["shard", "chunk", "body", "level", "words"])
 
     asked = chunks.select("chunk", "keys", "counts").mapInArrow(ask, "shard long, chunk long, keys binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, body binary, words long")
+    return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, body binary, level binary, words long")
 
 
-def _opened(ids: bytes, keys: bytes, totals: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, word hashes and total counts of a chunk; the counts come shard by shard, in the order of the hashes."""
-    hashes = np.frombuffer(keys, "<u8")
-    counts = np.empty(len(hashes), dtype=np.uint64)
-    counts[np.argsort(hashes, kind="stable")] = np.concatenate([spread_out(t, "<u8") for t in totals])
-    return spread_out(ids, "<u4").astype(np.int64), hashes, counts
+def _in_order(keys: np.ndarray, parts: list[bytes], kind: str) -> np.ndarray:
+    """Values that came shard by shard, in the order of sorted keys, one per key."""
+    out = np.empty(len(keys), dtype=kind)
+    out[np.argsort(keys, kind="stable")] = np.concatenate([spread_out(t, kind) for t in parts])
+    return out
 
 
 def _stream(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,22 +234,18 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for held, lengths, i, k, t in zip(*(batch.column(n).to_pylist() for n in ("held", "lengths", "ids", "keys", "totals")), strict=True):
-                ids, keys, totals = _opened(i, k, t)
-                level = levels_of(totals)
+                ids, keys = spread_out(i, "<u4").astype(np.int64), np.frombuffer(k, "<u8")
+                level = levels_of(_in_order(keys, t, "<u8"))
                 _, pair = _stream(keys, ids)
                 end = int(np.flatnonzero(keys == np.uint64(END))[0])
                 context = level[np.concatenate([[end], ids[:-1]])]
                 train = np.repeat(~np.array(held, dtype=bool), lengths)
                 every, first, counts = np.unique(pair[train], return_index=True, return_counts=True)
                 context = context[train][first]
-                e = _edges(every, bits)
                 cells = []
-                for s in range(1 << bits):
-                    part = slice(e[s], e[s + 1])
-                    if e[s] < e[s + 1]:
-                        low = every[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES].tobytes()
-                        small, many = np.minimum(counts[part], 255).astype(np.uint8), np.flatnonzero(counts[part] >= 255)
-                        cells.append((s, low, squeezed(small), squeezed(context[part]), many.astype("<u4").tobytes(), counts[part][many].astype("<u8").tobytes()))
+                for shard, part in _cells(every, bits):
+                    small, many = np.minimum(counts[part], 255).astype(np.uint8), np.flatnonzero(counts[part] >= 255)
+                    cells.append((shard, _cut(every[part]), squeezed(small), squeezed(context[part]), many.astype("<u4").tobytes(), counts[part][many].astype("<u8").tobytes()))
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells, strict=True)], names=["shard", "low", "small", "context", "many", "large"])
 
@@ -253,10 +253,8 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
         shard, lows, counts, contexts = table.column("shard")[0].as_py(), [], [], []
         for low, small, context, many, large in zip(*(table.column(n).to_pylist() for n in ("low", "small", "context", "many", "large")), strict=True):
             n = spread_out(small, "u1").astype(np.int64)
-            wide = np.zeros((len(n), 8), dtype=np.uint8)
-            wide[:, :LOW_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, LOW_BYTES)
             n[np.frombuffer(many, "<u4").astype(np.int64)] = np.frombuffer(large, "<u8")
-            lows.append(wide.view("<u8").ravel())
+            lows.append(_uncut(low))
             counts.append(n)
             contexts.append(spread_out(context, "u1"))
         every, first, back = np.unique(np.concatenate(lows), return_index=True, return_inverse=True)
@@ -271,6 +269,17 @@ def _bigrams(chunks: DataFrame, bits: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(gather, "shard long, body binary, tokens array<long>, kinds array<long>")
 
 
+def _cut(keys: np.ndarray) -> bytes:
+    """The low bytes of keys, one after the other."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES].tobytes()
+
+
+def _uncut(low: bytes) -> np.ndarray:
+    wide = np.zeros((len(low) // LOW_BYTES, 8), dtype=np.uint8)
+    wide[:, :LOW_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, LOW_BYTES)
+    return wide.view("<u8").ravel()
+
+
 def _low(keys: np.ndarray) -> np.ndarray:
     """What is left of a bigram key within its shard: its low bytes, spread again."""
     return mixed(keys & np.uint64((1 << 8 * LOW_BYTES) - 1))
@@ -294,30 +303,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n_train, bits = n_train or 0, _shard_bits(2 * (key_bytes or 0))
     answers = materialize(_unigrams(encoded, bits), "lm-unigrams")
     n_words = answers.filter("chunk = -1").agg(F.sum("words")).first()[0] or 0
-    by_chunk = answers.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "body"))).alias("parts"))
-    chunks = encoded.drop("counts", "n_train").join(by_chunk.select("chunk", F.col("parts.body").alias("parts")), "chunk")
-    chunks = materialize(chunks.select("doc_ids", "held", "lengths", "ids", "keys", F.col("parts").alias("totals")), "lm-chunks")
+    by_chunk = answers.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "body", "level"))).alias("parts"))
+    chunks = encoded.drop("counts", "n_train").join(by_chunk.select("chunk", F.col("parts.body").alias("totals"), F.col("parts.level").alias("levels")), "chunk")
+    chunks = materialize(chunks, "lm-chunks")
     discard(encoded)
+    discard(answers)
     pair_bits = _shard_bits(4 * (id_bytes or 0))
     pairs = materialize(_bigrams(chunks, pair_bits), "lm-bigrams")
-    sizes = answers.filter("chunk = -1").agg(F.sum(F.length("body"))).first()[0] or 0
-    sizes += pairs.agg(F.sum(F.length("body"))).first()[0] or 0
+    size = pairs.agg(F.sum(F.length("body"))).first()[0] or 0
     shares = pairs.select(F.posexplode_outer(F.arrays_zip("tokens", "kinds")).alias("level", "x")).groupBy("level").agg(F.sum("x.tokens").alias("t"), F.sum("x.kinds").alias("k")).filter("t > 0").collect()
     backoff = np.full(256, 1.0)
     for row in shares:
         backoff[row["level"]] = row["k"] / (row["t"] + row["k"])
     floor = float(n_train + n_words + 1)
 
-    def model(group: dict[str, tuple[list[tuple[int, int]], bytes]]) -> tuple[Segments, PairSegments]:
-        return Segments(*group["one"], bits), PairSegments(*group["two"], pair_bits)
-
-    def probe(filters, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, pair = _stream(keys, ids)
-        every, back = np.unique(pair, return_inverse=True)
-        return filters[0].levels(keys), filters[1].levels(every)[back]
-
-    def scored(row: dict, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-        ids, keys, totals = _opened(row["ids"], row["keys"], row["totals"])
+    def scored(row: dict, ids: np.ndarray, keys: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        """Scores of a chunk's documents, from the level of each token's bigram."""
+        totals, one = _in_order(keys, row["totals"], "<u8"), _in_order(keys, row["levels"], "u1")
         lengths = np.array(row["lengths"], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         base = np.log10((totals.astype(np.float64) + 1) / floor)[ids]
@@ -335,68 +337,44 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCORES.split(", ")])
 
-    source = answers.filter("chunk = -1").select(F.lit("one").alias("kind"), "shard", "body").union(pairs.select(F.lit("two"), "shard", "body"))
-    if sizes <= GROUP_BYTES:
-        shared = spark.sparkContext.broadcast(_joined(source.collect()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = model(shared.value)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    yield scored(row, *probe(filters, np.frombuffer(row["keys"], "<u8"), spread_out(row["ids"], "<u4").astype(np.int64)))
-
-        return chunks.mapInArrow(run, SCORES)
-    return _score_in_groups(chunks, source, model, probe, scored)
-
-
-def _joined(rows: list) -> dict[str, tuple[list[tuple[int, int]], bytes]]:
-    """Segments by kind: shard and length of each, and all their bytes."""
-    return {k: ([(r["shard"], len(r["body"])) for r in rows if r["kind"] == k], b"".join(r["body"] for r in rows if r["kind"] == k)) for k in ("one", "two")}
-
-
-def _score_in_groups(chunks: DataFrame, source: DataFrame, model, probe, scored) -> DataFrame:
-    """The same for a filter over GROUP_BYTES: one pass per group of segments, levels added up in the chunks."""
-    spark = chunks.sparkSession
-    listed = source.select("kind", "shard", F.length("body").alias("size")).orderBy("kind", "shard")
-    plan = _plan(listed)
-    now = chunks.withColumns({"one": F.lit(None).cast("binary"), "two": F.lit(None).cast("binary")})
-    shape = now.schema
-    for i, (first, last) in enumerate(plan):
-        key, at = F.struct("kind", "shard"), lambda x: F.struct(F.lit(x[0]).alias("kind"), F.lit(x[1]).cast("long").alias("shard"))
-        wanted = source.filter((key >= at(first)) & (key <= at(last)))
-        shared = spark.sparkContext.broadcast(_joined(wanted.collect()))
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            filters = model(shared.value)
-            for batch in batches:
-                rows = batch.to_pylist()
-                for row in rows:
-                    found = probe(filters, np.frombuffer(row["keys"], "<u8"), spread_out(row["ids"], "<u4").astype(np.int64))
-                    for name, got in zip(("one", "two"), found, strict=True):
-                        row[name] = (got if row[name] is None else got + np.frombuffer(row[name], np.uint8)).tobytes()
-                yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-        before, now = now, materialize(now.mapInArrow(step, shape), f"lm-levels-{i}")
-        if i:
-            discard(before)
+    filters = None
+    if size <= BROADCAST_BYTES:
+        rows = pairs.select("shard", "body").collect()
+        filters = spark.sparkContext.broadcast(([(r["shard"], len(r["body"])) for r in rows], b"".join(r["body"] for r in rows)))
+    else:
+        chunks = chunks.join(_dealt_levels(chunks, pairs.select("shard", "body"), pair_bits), "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = filters and PairSegments(*filters.value, pair_bits)
         for batch in batches:
             for row in batch.to_pylist():
-                yield scored(row, np.frombuffer(row["one"], np.uint8), np.frombuffer(row["two"], np.uint8))
-
-    return now.mapInArrow(run, SCORES)
-
-
-def _plan(listed: DataFrame) -> list[tuple[tuple[str, int], tuple[str, int]]]:
-    """First and last (kind, shard) of each group; rows come in that order, a few at a time."""
-    out: list[list[tuple[str, int]]] = []
-    size = GROUP_BYTES + 1
-    for row in listed.toLocalIterator():
-        at = (row["kind"], row["shard"])
-        if size + row["size"] > GROUP_BYTES:
-            out.append([at, at])
-            size = 0
-        out[-1][1] = at
-        size += row["size"]
-    return [tuple(x) for x in out]
+                ids, keys = spread_out(row["ids"], "<u4").astype(np.int64), np.frombuffer(row["keys"], "<u8")
+                every, back = np.unique(_stream(keys, ids)[1], return_inverse=True)
+                level = model.levels(every) if model else np.concatenate([spread_out(x, "u1") for x in row["pair_levels"]])
+                yield scored(row, ids, keys, level[back])
+
+    return chunks.mapInArrow(run, SCORES)
+
+
+def _dealt_levels(chunks: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
+    """chunk and pair_levels: the levels of its distinct bigrams in the order of their keys, shard by shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, i, k in zip(*(batch.column(n).to_pylist() for n in ("chunk", "ids", "keys")), strict=True):
+                every = np.unique(_stream(np.frombuffer(k, "<u8"), spread_out(i, "<u4").astype(np.int64))[1])
+                cells = [(shard, chunk, _cut(every[part])) for shard, part in _cells(every, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells, strict=True)], names=["shard", "chunk", "low"])
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        held = [(s, len(b)) for s, b in zip(segment.column("shard").to_pylist(), segment.column("body").to_pylist(), strict=True)]
+        model = PairSegments(held, b"".join(segment.column("body").to_pylist()), bits)
+        shards, out = asked.column("shard").to_pylist(), []
+        for shard, low in zip(shards, asked.column("low").to_pylist(), strict=True):
+            out.append(squeezed(model.levels(_uncut(low) | np.uint64(shard) << np.uint64(64 - bits))))
+        return pa.table([asked.column("chunk").combine_chunks(), pa.array(shards, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "shard", "level"])
+
+    asked = chunks.select("chunk", "ids", "keys").mapInArrow(ask, "shard long, chunk long, low binary")
+    got = asked.groupBy("shard").cogroup(segments.groupBy("shard")).applyInArrow(answer, "chunk long, shard long, level binary")
+    listed = got.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "level"))).alias("parts"))
+    return listed.select("chunk", F.col("parts.level").alias("pair_levels"))

@@ -3,9 +3,9 @@
 The global order puts rare shingles first: a count sketch over all texts gives each shingle a
 frequency class, ties go by hash. In that order a set of n shingles can only be linked with
 another if they share one of its first n - ceil(0.75 n) + 1 (its prefix), so the fragment of the order
-that holds a shared shingle brings the two together. Then each pair is counted exactly: both sets
-are cut into fragments of the order, the overlaps are counted fragment by fragment, and summed per
-pair.
+that holds a shared shingle brings the two together. Then each pair is counted exactly: the order is cut by pivots
+into ``FRAGMENTS`` runs of about equal numbers of shingles in all, both sets are cut at the same pivots, a join per
+fragment counts the partial overlaps, and these are summed per pair.
 
 Texts with equal sets are one class from the start and meet no more. Links are searched for
 components, not for all pairs: at a shingle, members are compared with the leaders of the
@@ -18,8 +18,9 @@ Exchanges carry hashes only. The text is read twice more for sets of classes tha
 the list of those is sent to all tasks where it is counted and small, and joined otherwise.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; with fewer words than
-a shingle the whole sequence is one; repeated rows are one class; null doc_id takes no part in
-the least doc_id; an empty table gives no rows; extra columns are ignored.
+a shingle the whole sequence is one; texts of any length count whole; repeated rows are one class; null doc_id
+takes no part in the least doc_id; an empty table gives no rows; extra columns, whatever their names, are ignored
+(``keep_one`` keeps them as they are, and of rows with the same doc_id and text one).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from wayfield.llm.carry import packed, unpacked
 from wayfield.operators.components import components
 from wayfield.llm.tokens64 import shingle_set, word_hashes
-from wayfield.llm.word_ids import raw_texts
+from wayfield.llm.word_ids import raw_texts, short_batches
 from wayfield.session import discard, materialize
 
 WORDS = 5
@@ -47,6 +48,8 @@ FRAGMENTS = 4
 LEADERS = 4
 LEADER_ROUNDS = 2
 MAX_BROADCAST_CLASSES = 2_000_000
+#: Classes that a task remembers having sent; what it forgets is sent again and merged.
+MAX_SEEN = 100_000
 _PLACE_BITS = 32
 
 
@@ -84,7 +87,7 @@ def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(cells, dtype=np.int64), set()
-        for batch in batches:
+        for batch in short_batches(batches):
             ns, cls, bits, lows = [], [], [], []
             for raw in raw_texts(batch.column(2)):
                 s = shingle_set(word_hashes(raw), WORDS)
@@ -97,7 +100,7 @@ def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nd
                 seen.add(c)
                 bits.append(bitmap(s))
                 lows.append((s & np.uint64(cells - 1)).astype(np.int64))
-            if len(seen) > 200_000:
+            if len(seen) > MAX_SEEN:
                 seen.clear()
             if lows:
                 total += np.bincount(np.concatenate(lows), minlength=cells)
@@ -133,6 +136,15 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts - mean, 1e-9) / noise)) + 1, 0, 60).astype(np.uint8)
 
 
+def fragment_pivots(counts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Places in the order (class, plus the hash as a share of its range) that cut it into fragments of about equal counts."""
+    mass = np.bincount(ranks, weights=counts.astype(np.float64))
+    ends = np.cumsum(mass)
+    wanted = ends[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+    at = np.searchsorted(ends, wanted)
+    return at + (wanted - (ends[at] - mass[at])) / np.maximum(mass[at], 1.0)
+
+
 def prefix_length(n: int) -> int:
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
@@ -144,7 +156,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, mask = shared.value, np.uint64(len(shared.value) - 1)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in short_batches(batches):
             tokens, owners, packed = [], [], []
             for raw in raw_texts(batch.column(0)):
                 s = shingle_set(word_hashes(raw), WORDS)
@@ -156,7 +168,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, text: str) -> DataFrame:
                 tokens.append(s[order].view(np.int64))
                 owners.append(np.full(m, cls, dtype=np.int64))
                 packed.append((len(s) << _PLACE_BITS) | np.arange(m, dtype=np.int64))
-            if len(seen) > 200_000:
+            if len(seen) > MAX_SEEN:
                 seen.clear()
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, packed)], names=["token", "cls", "packed"])
@@ -204,24 +216,26 @@ def _leaders(members: DataFrame) -> DataFrame:
     return members.withColumn("__k", best).filter("__k = 1").withColumn("__k", few).filter(F.col("__k") <= LEADERS).drop("__k")
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+def _fragments(docs: DataFrame, wanted: DataFrame, text: str, ranks: np.ndarray, pivots: np.ndarray) -> DataFrame:
     """cls, fragment and the shingles there, for the classes in ``wanted`` (cls, content)."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        rank, mask, seen = shared.value, np.uint64(len(shared.value) - 1), set()
+        for batch in short_batches(batches):
             cls_out, fragment, arrays = [], [], []
             for raw, cls in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if cls in seen:
                     continue
                 seen.add(cls)
                 s = shingle_set(word_hashes(raw), WORDS)
-                for f, part in enumerate(np.array_split(s, np.searchsorted(s, _bounds()))):
-                    if len(part):
-                        cls_out.append(cls)
-                        fragment.append(f)
-                        arrays.append(part.view(np.int64))
-            if len(seen) > 200_000:
+                place = rank[(s & mask).astype(np.int64)] + s.astype(np.float64) / 2.0**64
+                of = np.searchsorted(pivots, place, side="right")
+                for f in np.unique(of).tolist():
+                    cls_out.append(cls)
+                    fragment.append(f)
+                    arrays.append(s[of == f].view(np.int64))
+            if len(seen) > MAX_SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cls_out, pa.int64()), pa.array(fragment, pa.int32()), pa.array(arrays, pa.list_(pa.int64()))], names=["cls", "fragment", "shingles"]
@@ -234,16 +248,10 @@ def _fragments(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return out.groupBy("cls", "fragment").agg(F.first("shingles").alias("shingles"))
 
 
-def _bounds() -> np.ndarray:
-    step = (1 << 64) // FRAGMENTS
-    return np.array([step * i for i in range(1, FRAGMENTS)], dtype=np.uint64)
-
-
-def _linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _linked(pairs: DataFrame, known: DataFrame, fragments) -> DataFrame:
     """The pairs (u, v) whose Jaccard similarity reaches the threshold; ``known`` has cls, n and content."""
     ids = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = known.join(ids, "cls", "left_semi").select("content", "cls")
-    parts = materialize(_fragments(docs, wanted, text), "fragments")
+    parts = materialize(fragments(known.join(ids, "cls", "left_semi").select("content", "cls")), "fragments")
     side = lambda x: parts.select(F.col("cls").alias(x), "fragment", F.col("shingles").alias(f"{x}_shingles"))
     partial = pairs.join(side("u"), "u").join(side("v"), ["v", "fragment"]).select("u", "v", F.size(F.array_intersect("u_shingles", "v_shingles")).cast("long").alias("c"))
     overlap = partial.groupBy("u", "v").agg(F.sum("c").alias("c"))
@@ -262,7 +270,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
     known = materialize(known, "known-classes")
     bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
-    found = materialize(shared_members(prefixes(docs, frequency_classes(counts), "text")), "members")
+    ranks = frequency_classes(counts)
+    pivots = fragment_pivots(counts, ranks)
+    fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
+    found = materialize(shared_members(prefixes(docs, ranks, "text")), "members")
     degree = found.groupBy("cls").agg(F.count("*").alias("degree"))
     members = materialize(found.join(degree, "cls"), "members-by-degree")
     discard(found)
@@ -270,6 +281,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = tested = spark.createDataFrame([], "u long, v long")
     now = members.withColumn("comp", F.col("cls"))
     comps = spark.createDataFrame([], "node long, component long")
+    spent = [members]
     for step in range(LEADER_ROUNDS + 1):
         dealt = now.repartition("token")
         pairs = _pairs(_leaders(dealt), dealt) if step < LEADER_ROUNDS else _pairs(dealt, dealt)
@@ -279,16 +291,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 continue
             break
         tested = tested.union(pairs)
-        links = links.union(_linked(pairs, known, docs, "text"))
+        links = links.union(_linked(pairs, known, fragments))
         comps = components(links)
         if step < LEADER_ROUNDS:
             labelled = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
             token = Window.partitionBy("token")
             open_ = labelled.withColumns({"__least": F.min("comp").over(token), "__most": F.max("comp").over(token)}).filter("__least <> __most")
             now = materialize(open_.select("token", "cls", "packed", "degree", "comp"), f"open-{step}")
+            spent.append(now)
     placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
+    for df in spent:
+        discard(df)
     out = every.join(by_class, "cls", "left")
     component_id = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "content", "component")

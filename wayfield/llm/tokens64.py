@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)], dtype=np.int8)
 _powers: dict[str, np.ndarray] = {}

@@ -7,25 +7,29 @@ the longest path; of two equal rules the later one stands.
 A url's host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in
 lower case; its path goes on from there up to ``?``, ``#`` or the end.
 
-The trie is built on the driver from the given rules and broadcast in shards of at most
-``RULES_PER_SHARD`` rules, so what one broadcast holds is bounded however long the list is; a url
-walks the shards one after the other and keeps the longest match. Each url is judged in the task
-that reads it: no shuffle.
+Rules are broadcast in shards of at most ``RULE_BYTES`` bytes, and each worker builds a shard's trie once.
+A list of one shard is judged in the task that reads the url, without a shuffle. A longer list takes
+one pass per shard, in each of which a url keeps the longest match so far; the passes are written to the
+shared folder and a shard's broadcast is destroyed after its pass, so no worker holds more than one
+trie, however long the list is.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the default
-verdict, unless a rule with empty host and path is given; repeated rows are judged one by one; an
-empty table gives no rows; extra columns are ignored.
+verdict, unless a rule with empty host and path is given; urls of any length are judged whole; repeated rows are
+judged one by one; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULES_PER_SHARD = 500_000
+from wayfield.session import discard, materialize
+
+RULE_BYTES = 32 << 20
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 
@@ -116,29 +120,62 @@ def split_url(url: str | None) -> tuple[str, str]:
     return lowered, slash + path
 
 
+def rule_shards(rules: Iterable[tuple[str, str, str]]) -> Iterator[list[tuple[str, str, str]]]:
+    """Rules in their order, in lists of at most RULE_BYTES characters."""
+    held, size = [], 0
+    for rule in rules:
+        if held and size + sum(map(len, rule)) > RULE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(tuple(rule))
+        size += sum(map(len, rule))
+    yield held
+
+
+_WORKER: dict[str, UrlTrie] = {}
+
+
+def _trie(key: str, rules: list[tuple[str, str, str]]) -> UrlTrie:
+    """One trie a worker, so that it outlives a task."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = UrlTrie(rules)
+    return _WORKER[key]
+
+
+STATE = "page_id long, url string, labels int, length int, rule string, verdict string"
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (host and path of the winning rule, else null) and verdict of every url."""
     context = pages.sparkSession.sparkContext
-    rules = list(rules)
-    shards = [context.broadcast(rules[i : i + RULES_PER_SHARD]) for i in range(0, len(rules), RULES_PER_SHARD)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [UrlTrie(s.value) for s in shards]
-        for batch in batches:
-            hosts, paths, found, verdicts = [], [], [], []
-            for one in batch.column(1).to_pylist():
-                host, path = split_url(one)
-                best = None
-                for trie in tries:
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
+    rows = rows.selectExpr("*", "cast(null as int) AS labels", "cast(null as int) AS length", "cast(null as string) AS rule", "cast(null as string) AS verdict")
+    shards = list(rule_shards(rules))
+
+    def matcher(shard: list[tuple[str, str, str]], last: bool):
+        shared, key = context.broadcast(shard), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = _trie(key, shared.value)
+            for batch in batches:
+                out = []
+                for page, one, *best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    host, path = split_url(one)
                     match = trie.match(host, path)
-                    if match and (best is None or match[:2] >= best[:2]):
+                    if match and (best[0] is None or match[:2] >= tuple(best[:2])):
                         best = match
-                hosts.append(host)
-                paths.append(path)
-                found.append(best[2] if best else None)
-                verdicts.append(best[3] if best else default)
-            columns = [batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, found, verdicts))]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
-    return rows.mapInArrow(run, SCHEMA)
+                    out.append((page, host, path, best[2], best[3] or default) if last else (page, one, *best))
+                shape = SCHEMA if last else STATE
+                names = [f.split()[0] for f in shape.split(", ")]
+                types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in shape.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names=names)
+
+        return run, shared
+
+    for shard in shards[:-1]:
+        run, shared = matcher(shard, last=False)
+        before, rows = rows, materialize(rows.mapInArrow(run, STATE), "url-matches")
+        discard(before)
+        shared.destroy()
+    return rows.mapInArrow(matcher(shards[-1], last=True)[0], SCHEMA)

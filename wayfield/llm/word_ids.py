@@ -15,6 +15,7 @@ import os
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
@@ -116,6 +117,13 @@ def worker_encoder(key: str, spec: str) -> WordIds:
     return _WORKER[key]
 
 
+def short_batches(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that are short enough for Python copies of their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     binary = column.cast(pa.large_binary())
