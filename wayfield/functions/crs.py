@@ -68,3 +68,42 @@ def web_mercator(lon: Column, lat: Column) -> Column:
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2.0)
     return 2 * EARTH_RADIUS * F.asin(F.sqrt(a))
+
+
+#: The widest and highest box, in kilometres, for which one UTM zone is taken as plane enough.
+UTM_WIDTH_KM, UTM_HEIGHT_KM = 750.0, 2000.0
+
+
+def is_utm_reasonable(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a box in degrees is narrow and low enough for one UTM zone."""
+    middle = (ymin + ymax) / 2
+    wide, high = haversine(xmin, middle, xmax, middle), haversine(xmin, ymin, xmin, ymax)
+    return (wide <= UTM_WIDTH_KM * 1000) & (high <= UTM_HEIGHT_KM * 1000)
+
+
+def authalic_latitude(lat: Column) -> Column:
+    """Latitude (radians) on the sphere of the ellipsoid's area at which zones have the ellipsoid's areas."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) + F.atanh(e * s) / e)
+    pole = (1 - e2) * (1 / (1 - e2) + math.atanh(e) / e)
+    return F.asin(F.least(F.greatest(q(F.sin(F.radians(lat))) / pole, F.lit(-1.0)), F.lit(1.0)))
+
+
+def authalic_radius() -> float:
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    return SEMI_MAJOR * math.sqrt((1 + (1 - e2) / e * math.atanh(e)) / 2)
+
+
+def geodesic_area(ring: Column) -> Column:
+    """Area in m2 of a closed ring of degrees: spherical excess, edge by edge, on the sphere of equal area."""
+
+    def part(s: Column) -> Column:
+        a, b = authalic_latitude(s["a"]["y"]), authalic_latitude(s["b"]["y"])
+        turn = F.radians(s["b"]["x"] - s["a"]["x"])
+        return 2 * F.atan2(F.tan(turn / 2) * (F.tan(a / 2) + F.tan(b / 2)), 1 + F.tan(a / 2) * F.tan(b / 2))
+
+    n = F.size(ring)
+    sides = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.abs(F.aggregate(F.transform(sides, part), F.lit(0.0), lambda acc, v: acc + v)) * authalic_radius() ** 2

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from wayfield.session import discard, materialize
 
 
-def _linked(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge."""
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _roots(edges: DataFrame) -> DataFrame:
+    """(u, m): the least smaller neighbour of every node that has one; edges are (u, v) with u > v."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _beside(edges: DataFrame, roots: DataFrame, end: str) -> DataFrame:
+    """Edges with the root of one end, null where it has none. The second key asks for exchanges right below the join, of
+    which Spark can split those of a hub."""
+    keyed = edges.withColumn("k", F.col(end).bitwiseAND(1023))
+    return keyed.join(roots.select(F.col("u").alias(end), F.col("u").bitwiseAND(1023).alias("k"), "m"), [end, "k"], "left")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    both = _linked(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    root = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(root, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(root.select("u", F.col("m").alias("v"))).distinct()
+    """A large star, then a small one. In a large star the larger end of an edge moves to the root of the smaller end, which
+    stays its own where it has none; so a hub that is the least of its neighbours is not touched."""
+    large = _beside(edges, _roots(edges), "v").select("u", F.coalesce("m", "v").alias("v")).distinct()
+    roots = _roots(large)
+    moved = _beside(large, roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return moved.union(roots.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

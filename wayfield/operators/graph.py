@@ -68,7 +68,7 @@ def _close_pairs(xy: np.ndarray, limit: float) -> Iterator[tuple[float, int, int
                     yield d, min(int(i), j), max(int(i), j)
 
 
-def _complete_linkage(limit: float):
+def _complete_linkage(limit: float, two_merge: bool = True):
     """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge.
 
     The nearest groups merge first (the least members among equals). Groups farther apart than ``limit`` never merge,
@@ -78,7 +78,7 @@ def _complete_linkage(limit: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         into = list(range(len(pdf)))
-        if len(pdf) == 2:
+        if len(pdf) == 2 and two_merge:
             into = [0, 0]
         else:
             far = defaultdict(dict)
@@ -108,6 +108,22 @@ def _complete_linkage(limit: float):
     return run
 
 
+def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
+    """Of edges (u, v, key_no, len, mx, my: its midpoint) between the same two nodes, those whose midpoints are at most ``separation``
+    apart are one: the shortest stays (the least u, v, key_no among equals)."""
+    pair = [F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")]
+    numbered = edges.select("*", *pair, F.row_number().over(Window.partitionBy(*pair).orderBy("len", "u", "v", "key_no")).alias("id"))
+    many = numbered.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter("n > 1").select("a", "b", "id", F.col("mx").alias("x"), F.col("my").alias("y"))
+    link = _complete_linkage(separation, two_merge=False)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return link(pdf).assign(a=key[0], b=key[1])[["a", "b", "id", "target"]]
+
+    groups = many.groupBy("a", "b").applyInPandas(run, "a long, b long, id int, target int")
+    gone = groups.filter("id <> target").select("a", "b", "id")  # a group goes by its least place, which is its shortest edge
+    return numbered.join(gone, ["a", "b", "id"], "left_anti").select(*edges.columns)
+
+
 def contract_short(nodes: DataFrame, edges: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
     """Merge nodes joined by edges of at most ``limit``: to their mean position, under the least id.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfield.operators.graph import split_edges
+from wayfield.operators.raster import rank_of
 from wayfield.operators.sssp import bounded_distances
 
 
@@ -69,10 +70,29 @@ def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edg
 
 
 def nearest_origin(edges: DataFrame, pois: DataFrame, cutoff: int) -> DataFrame:
-    """(node, poi, dist): the nearest poi (poi, node) of every node within the cutoff; the least id among equals."""
-    reach = bounded_distances(edges, pois.select(F.col("poi").cast("long").alias("grp"), "node"), cutoff)
-    best = reach.groupBy("node").agg(F.min(F.struct("dist", F.col("grp").alias("poi"))).alias("b"))
-    return best.select("node", "b.poi", "b.dist")
+    """(node, poi, dist): the nearest poi (poi, node) of every node within the cutoff; the least id among equals. One search."""
+    sources = pois.select(F.lit(1).cast("long").alias("grp"), "node", F.col("poi").alias("label"))
+    return bounded_distances(edges, sources, cutoff).select("node", F.col("label").alias("poi"), "dist")
+
+
+def served(reach: DataFrame, origins: DataFrame) -> DataFrame:
+    """(node, rank_no, remaining, poi): levels of nodes with the place that serves each."""
+    return reach.join(origins.select("node", "poi"), "node", "left")
+
+
+def processing_order(matrix: DataFrame, values: Sequence | None = None) -> DataFrame:
+    """(rank_no, distance, qualities, value) of a long matrix (quality, distance, value): the farthest distance at which a quality still
+    gives a value, qualities with the same one together; the worst rank first, far before near.
+
+    Ranks go by ``values``, best first; without it by the values themselves, highest first.
+    """
+    widest = matrix.filter("value IS NOT NULL").groupBy("quality", "value").agg(F.max("distance").alias("distance"))
+    if values is None:
+        ranked = widest.withColumn("rank_no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("value"))) - 1)  # a matrix is a few dozen rows
+    else:
+        ranked = widest.withColumn("rank_no", rank_of(F.col("value"), values))
+    grouped = ranked.groupBy("rank_no", "distance").agg(F.array_sort(F.collect_set("quality")).alias("qualities"), F.first("value").alias("value"))
+    return grouped.orderBy(F.desc("rank_no"), F.desc("distance"))
 
 
 def list_matrix(spark, distances: Sequence[int], quality: int = 1) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfield.functions import geometry
+from wayfield.operators.hexcells import matches
 from wayfield.session import materialize
 
 
-def cell(x: Column, size: int) -> Column:
+def cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("long")
 
 
@@ -18,7 +20,7 @@ def _finite(df: DataFrame) -> DataFrame:
     return df.filter(number("x") & number("y"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, size: int, max_rings: int = 64) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, size: int, max_rings: int = 8) -> DataFrame:
     """Per point (pid, x, y) the nearest target (tid, x, y): pid, tid, d2 (squared distance; least tid among equals).
 
     Targets are looked up in the cells around the point's, ring by ring: a point is settled when its best is
@@ -34,11 +36,12 @@ def nearest(points: DataFrame, targets: DataFrame, size: int, max_rings: int = 6
         cells = waiting.select("pid", "x", "y", F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
         cells = cells.select("pid", "x", "y", (cell(F.col("x"), size) + F.col("i")).alias("cx"), (cell(F.col("y"), size) + F.col("j")).alias("cy"))
         d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-        found = cells.join(placed, ["cx", "cy"]).groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), F.col("tid"))).alias("best"))
-        settled = found.filter(F.col("best.d2") <= (radius * size) * (radius * size)).select("pid", "best.tid", "best.d2")
-        settled = materialize(settled, "nearest")
-        done = settled if done is None else done.union(settled)
-        waiting = materialize(waiting.join(settled, "pid", "left_anti"), "nearest-waiting")
+        found = cells.join(placed, ["cx", "cy"], "left").groupBy("pid", "x", "y").agg(F.min(F.when(F.col("tid").isNotNull(), F.struct(d2.alias("d2"), F.col("tid")))).alias("best"))
+        settled = F.coalesce(F.col("best.d2") <= (radius * size) * (radius * size), F.lit(False))
+        judged = materialize(found.select("pid", "x", "y", "best.tid", "best.d2", settled.alias("settled")), "nearest")
+        fresh = judged.filter("settled").select("pid", "tid", "d2")
+        done = fresh if done is None else done.union(fresh)
+        waiting = judged.filter("NOT settled").select("pid", "x", "y")
         if waiting.isEmpty() or (radius == 1 and targets.isEmpty()):
             return done
         if 2 * radius <= max_rings:
@@ -55,3 +58,18 @@ def within(points: DataFrame, targets: DataFrame, distance: int) -> DataFrame:
     keyed = points.withColumns({"cx": cell(F.col("x"), distance), "cy": cell(F.col("y"), distance)})
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
     return keyed.join(spread, ["cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= distance * distance).drop("cx", "cy", "tx", "ty")
+
+
+def pairs_that_meet(a: DataFrame, b: DataFrame, block: float) -> DataFrame:
+    """(aid, bid) of closed rings (aid, ring) and (bid, ring) that have a point in common: the true cells of the all-with-all matrix."""
+    found = matches(b.select(F.col("bid").alias("sid"), "ring"), a.select(F.col("aid").alias("tid"), "ring"), block, "overlap")
+    return found.select(F.col("tid").alias("aid"), F.col("sid").alias("bid"))
+
+
+def points_in_rings(areas: DataFrame, points: DataFrame, block: float) -> DataFrame:
+    """(aid, pid) of points (pid, x, y) inside closed rings (aid, ring), by an equi-join on square blocks."""
+    box = geometry.bbox(F.col("ring"))
+    span = lambda lo, hi: F.sequence(cell(box[lo], block), cell(box[hi], block))
+    spread = areas.select("aid", "ring").withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
+    keyed = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": cell(F.col("x"), block), "cy": cell(F.col("y"), block)})
+    return keyed.join(spread, ["cx", "cy"]).filter(geometry.contains(F.col("ring"), F.col("x"), F.col("y"))).select("aid", "pid")

@@ -1,17 +1,16 @@
-"""Bounded multi-source shortest paths over an undirected street graph (edges u, v, len; sources grp, node).
+"""Bounded multi-source shortest paths over an undirected street graph (edges u, v, len; sources grp, node, and label if asked for).
 
-Small graphs (edge count checked) are sent to every task once, as arrays, and each source group is searched by a
-heap in the task that holds it. Larger graphs are relaxed by joins, round by round; every round is written to the shared
-folder, so a lost executor repeats one round at most. Distances are exact for whole-number lengths.
+Small graphs (the arcs are counted as they come) are sent to every task once, as arrays, and each source group is searched by
+whole frontiers in the task that holds it. Larger graphs are relaxed by joins, round by round; every round is written to the shared
+folder, so a lost executor repeats one round at most. Distances are exact for whole-number lengths. With a ``label`` (a long)
+the least label among the nearest sources comes along, so one search names the nearest source of every node.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.session import discard, materialize
@@ -24,50 +23,73 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: int, max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
-    """(grp, node, dist): the least distance from any source of the group, where it is at most ``cutoff``."""
-    if edges.count() <= max_broadcast_edges:
-        return _by_heap(edges, sources, cutoff)
-    return _by_rounds(edges, sources, cutoff)
+    """(grp, node, dist[, label]): the least distance from any source of the group, where it is at most ``cutoff``."""
+    labelled = "label" in sources.columns
+    label = F.col("label").cast("long") if labelled else F.lit(0).cast("long").alias("label")
+    sources = sources.select("grp", "node", label.alias("label")).groupBy("grp", "node").agg(F.min("label").alias("label"))
+    arcs = both_ways(edges).groupBy("u", "v").agg(F.min("len").alias("len"))
+    table = arcs.limit(2 * max_broadcast_edges + 1).toArrow()
+    if table.num_rows <= 2 * max_broadcast_edges:
+        out = _in_tasks(edges.sparkSession, table, sources, cutoff)
+    else:
+        out = _by_rounds(arcs, sources, cutoff)
+    return out if labelled else out.drop("label")
+
+
+def frontiers(starts: np.ndarray, heads: np.ndarray, lengths: np.ndarray, at: np.ndarray, labels: np.ndarray, cutoff) -> tuple[np.ndarray, np.ndarray]:
+    """Distance (cutoff + 1 where not reached) and label of every node, from the nodes ``at``; arcs are in CSR form."""
+    n = len(starts) - 1
+    dist, label = np.full(n, cutoff + 1, dtype=lengths.dtype), np.full(n, np.iinfo(np.int64).max)
+    dist[at], label[at] = 0, labels
+    while len(at):
+        many = starts[at + 1] - starts[at]
+        arc = np.arange(many.sum()) + np.repeat(starts[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        to, far, name = heads[arc], np.repeat(dist[at], many) + lengths[arc], np.repeat(label[at], many)
+        better = (far <= cutoff) & ((far < dist[to]) | ((far == dist[to]) & (name < label[to])))
+        to, far, name = to[better], far[better], name[better]
+        order = np.lexsort((name, far, to))
+        to, far, name = to[order], far[order], name[order]
+        first = np.flatnonzero(np.concatenate([[len(to) > 0], to[1:] != to[:-1]]))
+        at = to[first]
+        dist[at], label[at] = far[first], name[first]
+    return dist, label
+
+
+def _in_tasks(spark: SparkSession, arcs: pa.Table, sources: DataFrame, cutoff: int) -> DataFrame:
+    u, v, lengths = (arcs.column(c).to_numpy() for c in ("u", "v", "len"))
+    order = np.lexsort((v, u))
+    u, v, lengths = u[order], v[order], lengths[order]
+    names = np.unique(np.concatenate([u, v])) if len(u) else np.empty(0, dtype=np.int64)
+    starts = np.searchsorted(np.searchsorted(names, u), np.arange(len(names) + 1))
+    graph = spark.sparkContext.broadcast((names, starts, np.searchsorted(names, v), lengths))
+
+    def search(group: pa.Table) -> pa.Table:
+        names, starts, heads, lengths = graph.value
+        grp, node, mark = group.column("grp")[0].as_py(), group.column("node").to_numpy(), group.column("label").to_numpy()
+        known = np.isin(node, names)
+        dist, label = frontiers(starts, heads, lengths, np.searchsorted(names, node[known]), mark[known], cutoff)
+        hit = np.flatnonzero(dist <= cutoff)
+        lone = np.zeros((~known).sum(), dtype=np.int64)  # sources that no edge has
+        columns = [np.concatenate([names[hit], node[~known]]), np.concatenate([dist[hit].astype(np.int64), lone]), np.concatenate([label[hit], mark[~known]])]
+        return pa.table([pa.array([grp] * len(columns[0]), pa.int64()), *map(pa.array, columns)], names=["grp", "node", "dist", "label"])
 
+    return sources.groupBy("grp").applyInArrow(search, "grp long, node long, dist long, label long")
 
-def _by_heap(edges: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
-    rows = both_ways(edges).groupBy("u", "v").agg(F.min("len").alias("len")).toPandas().sort_values(["u", "v"])
-    names = np.unique(np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()])) if len(rows) else np.empty(0, dtype=np.int64)
-    u, v = np.searchsorted(names, rows["u"].to_numpy()), np.searchsorted(names, rows["v"].to_numpy())
-    starts = np.searchsorted(u, np.arange(len(names) + 1))
-    graph = edges.sparkSession.sparkContext.broadcast((names, starts, v, rows["len"].to_numpy()))
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, starts, heads, lengths = graph.value
-        best: dict[int, int] = {}
-        lone = sorted(set(pdf["node"]) - set(names.tolist()))
-        heap = [(0, int(i)) for i in np.searchsorted(names, np.intersect1d(pdf["node"].to_numpy(), names))]
-        while heap:
-            d, i = heapq.heappop(heap)
-            if i in best:
-                continue
-            best[i] = d
-            for j in range(starts[i], starts[i + 1]):
-                if heads[j] not in best and d + lengths[j] <= cutoff:
-                    heapq.heappush(heap, (int(d + lengths[j]), int(heads[j])))
-        nodes = [int(names[i]) for i in best] + lone
-        return pd.DataFrame({"grp": key[0], "node": nodes, "dist": [*best.values()] + [0] * len(lone)})
-
-    return sources.select("grp", "node").distinct().groupBy("grp").applyInPandas(search, "grp long, node long, dist long")
-
-
-def _by_rounds(edges: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
-    arcs = materialize(both_ways(edges).groupBy("u", "v").agg(F.min("len").alias("len")), "arcs")
-    best = materialize(sources.select("grp", "node", F.lit(0).cast("long").alias("dist")).distinct(), "reach")
+def _by_rounds(arcs: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
+    arcs = materialize(arcs, "arcs")
+    best = materialize(sources.select("grp", "node", F.lit(0).cast("long").alias("dist"), "label"), "reach")
     frontier = best
+    nearest = F.min(F.struct("dist", "label")).alias("b")
     while True:
-        steps = frontier.join(arcs, frontier["node"] == arcs["u"]).select("grp", F.col("v").alias("node"), (F.col("dist") + F.col("len")).cast("long").alias("dist")).filter(F.col("dist") <= cutoff)
-        steps = steps.groupBy("grp", "node").agg(F.min("dist").alias("dist"))
-        known = best.withColumnRenamed("dist", "old")
-        better = materialize(steps.join(known, ["grp", "node"], "left").filter("old IS NULL OR dist < old").select("grp", "node", "dist"), "frontier")
+        steps = frontier.join(arcs, frontier["node"] == arcs["u"]).select("grp", F.col("v").alias("node"), (F.col("dist") + F.col("len")).cast("long").alias("dist"), "label").filter(F.col("dist") <= cutoff)
+        steps = steps.groupBy("grp", "node").agg(nearest).select("grp", "node", "b.dist", "b.label")
+        known = best.withColumnsRenamed({"dist": "old", "label": "old_label"})
+        better = steps.join(known, ["grp", "node"], "left").filter("old IS NULL OR dist < old OR (dist = old AND label < old_label)").select("grp", "node", "dist", "label")
+        better = materialize(better, "frontier")
         if better.isEmpty():
             return best
-        after = materialize(best.union(better).groupBy("grp", "node").agg(F.min("dist").alias("dist")), "reach")
+        after = materialize(best.union(better).groupBy("grp", "node").agg(nearest).select("grp", "node", "b.dist", "b.label"), "reach")
         if frontier is not best:
             discard(frontier)
         discard(best)

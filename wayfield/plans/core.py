@@ -186,60 +186,12 @@ def a5_hex_resample(spark, d):
     return cells.select(up.alias("c"), "population").groupBy("c").agg(F.sum("population").alias("population")).select("c.q", "c.r", "population")
 
 
-@query(
-    "a1_hex_distribute",
-    with_layers(SIDE, PEOPLE, body="""SELECT cell, round(sum(share), 6) AS value FROM (
-  SELECT CAST(floor(x / 500) AS BIGINT) * 100000 + CAST(floor(y / 500) AS BIGINT) + dx AS cell, CAST(population AS DOUBLE) / 3 AS share
-  FROM people CROSS JOIN (VALUES (0), (1), (2)) t(dx)) GROUP BY cell"""),
-)
-def a1_hex_distribute(spark, d):
-    """A value shared evenly among the cells that it lists, then summed per cell."""
-    cell = F.floor(F.col("x") / 500).cast("long") * 100000 + F.floor(F.col("y") / 500).cast("long")
-    rows = _people(spark, d).withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: cell + i))
-    shared = rows.select(F.explode("cells").alias("cell"), (F.col("population").cast("double") / F.size("cells")).alias("share"))
-    return shared.groupBy("cell").agg(F.round(F.sum("share"), 6).alias("value"))
-
-
-@query(
-    "j2_hex_outer_join",
-    with_layers(SIDE, PEOPLE, POIS, body="""SELECT coalesce(a.cell, b.cell) AS cell, population, n_pois FROM
-  (SELECT CAST(floor(x / 500) AS BIGINT) * 100000 + CAST(floor(y / 500) AS BIGINT) AS cell, CAST(sum(population) AS BIGINT) AS population FROM people GROUP BY 1) a
-  FULL JOIN (SELECT CAST(floor(x / 500) AS BIGINT) * 100000 + CAST(floor(y / 500) AS BIGINT) AS cell, count(*) AS n_pois FROM pois GROUP BY 1) b ON a.cell = b.cell"""),
-)
-def j2_hex_outer_join(spark, d):
-    cell = (F.floor(F.col("x") / 500).cast("long") * 100000 + F.floor(F.col("y") / 500).cast("long")).alias("cell")
-    people = _people(spark, d).groupBy(cell).agg(F.sum("population").alias("population"))
-    return people.join(_pois(spark, d).groupBy(cell).agg(F.count("*").alias("n_pois")), "cell", "full")
-
-
 @query("u2_symmetric_closure", with_layers(SIDE, NODES, EDGES, body="SELECT u, v FROM edges UNION SELECT v, u FROM edges"))
 def u2_symmetric_closure(spark, d):
     e = _edges(spark, d).select("u", "v")
     return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-@query(
-    "p2_crop_nodes",
-    with_layers(SIDE, NODES, EDGES, body="""SELECT id, x, y FROM nodes WHERE id IN (
-  SELECT u FROM edges JOIN nodes ON id = u WHERE x < 700 AND y < 700 UNION SELECT v FROM edges JOIN nodes ON id = u WHERE x < 700 AND y < 700)"""),
-)
-def p2_crop_nodes(spark, d):
-    """Edges that start in the window, then the nodes that they end at."""
-    n = _nodes(spark, d)
-    inside = _edges(spark, d).join(n.filter("x < 700 AND y < 700").select(F.col("id").alias("u")), "u", "left_semi")
-    ends = inside.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    return n.join(ends, "id", "left_semi").select("id", "x", "y")
-
-
-@query(
-    "w1_edge_key",
-    "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS key_no FROM orders",
-)
-def w1_edge_key(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(w) - 1).alias("key_no"))
-
-
 @query(
     "w5_cumulative_length",
     with_layers(SIDE, NODES, EDGES, body="SELECT u, v, CAST(sum(len) OVER (PARTITION BY CAST(floor(u / n) AS BIGINT) ORDER BY u, v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM edges CROSS JOIN side WHERE v = u + 1"),
@@ -283,76 +235,6 @@ def w11_best_per_key(spark, d):
     return table(spark, d, "customer").withColumn("k", F.row_number().over(w)).filter("k = 1").select("c_nationkey", "c_custkey", "c_acctbal")
 
 
-_CENSUS = """SELECT c_nationkey AS geoid, count(*) AS universe, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building,
-  count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery FROM customer GROUP BY 1"""
-
-
-@query("a9_ratios", f"SELECT geoid, universe, round(CAST(building AS DOUBLE) / universe, 6) AS building_ratio, round(CAST(machinery AS DOUBLE) / universe, 6) AS machinery_ratio, round(universe / CAST(2.5 AS DOUBLE), 6) AS universe_density FROM ({_CENSUS})")
-def a9_ratios(spark, d):
-    count = lambda s: F.count(F.when(F.col("c_mktsegment") == s, 1))
-    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("geoid")).agg(F.count("*").alias("universe"), count("BUILDING").alias("building"), count("MACHINERY").alias("machinery"))
-    ratio = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("universe")), 6).alias(f"{c}_ratio")
-    return g.select("geoid", "universe", ratio("building"), ratio("machinery"), F.round(F.col("universe") / F.lit(2.5), 6).alias("universe_density"))
-
-
-@query("a10_weighted_mean", f"SELECT n_regionkey, CAST(sum(universe) AS BIGINT) AS universe, round(sum(building * universe) / CAST(sum(universe) AS DOUBLE), 6) AS building FROM ({_CENSUS}) JOIN nation ON geoid = n_nationkey GROUP BY 1")
-def a10_weighted_mean(spark, d):
-    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("universe"), F.count(F.when(F.col("c_mktsegment") == "BUILDING", 1)).alias("building"))
-    up = g.join(table(spark, d, "nation"), "n_nationkey").groupBy("n_regionkey")
-    return up.agg(F.sum("universe").alias("universe"), F.round(F.sum(F.col("building") * F.col("universe")) / F.sum("universe").cast("double"), 6).alias("building"))
-
-
-@query(
-    "a12_propagate_down",
-    "SELECT n_nationkey, round(total / CAST(count(*) OVER (PARTITION BY n_regionkey) AS DOUBLE), 6) AS share FROM nation JOIN (SELECT n_regionkey, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) USING (n_regionkey)",
-)
-def a12_propagate_down(spark, d):
-    """A region's sum shared evenly among its nations."""
-    nation = table(spark, d, "nation")
-    cents = F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))
-    total = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(cents.alias("total"))
-    size = nation.groupBy("n_regionkey").agg(F.count("*").alias("size"))
-    return nation.join(total, "n_regionkey").join(size, "n_regionkey").select("n_nationkey", F.round(F.col("total") / F.col("size").cast("double"), 6).alias("share"))
-
-
-@query(
-    "r5_focal_density",
-    with_layers(RASTER, "offsets AS (SELECT dr, dc FROM range(-2, 3) a(dr) CROSS JOIN range(-2, 3) b(dc) WHERE dr * dr + dc * dc <= 4)",
-                body="SELECT row_no + dr AS row_no, col + dc AS col, round(sum(v) / (13 * CAST(0.01 AS DOUBLE)), 4) AS density FROM raster CROSS JOIN offsets WHERE row_no + dr BETWEEN 0 AND 63 AND col + dc BETWEEN 0 AND 63 GROUP BY 1, 2"),
-)
-def r5_focal_density(spark, d):
-    """Focal sum over a disk of 13 cells, per km2, from rows of cells shifted by the kernel's offsets."""
-    disk = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]
-    offsets = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in disk))
-    moved = layer(spark, d, RASTER, name="raster").select("row_no", "col", "v", F.explode(offsets).alias("o"))
-    moved = moved.select((F.col("row_no") + F.col("o.dr")).alias("row_no"), (F.col("col") + F.col("o.dc")).alias("col"), "v").filter("row_no BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63")
-    return moved.groupBy("row_no", "col").agg(F.round(F.sum("v") / F.lit(len(disk) * 0.01), 4).alias("density"))
-
-
-@query("u9_mosaic", with_layers(RASTER, body="SELECT row_no, col, max(v) AS v FROM (SELECT * FROM raster UNION ALL SELECT row_no + 32, col, v FROM raster) GROUP BY 1, 2"))
-def u9_mosaic(spark, d):
-    r = layer(spark, d, RASTER, name="raster")
-    return r.union(r.select(F.col("row_no") + 32, "col", "v")).groupBy("row_no", "col").agg(F.max("v").alias("v"))
-
-
-@query("r3_reproject_nearest", with_layers(RASTER, "grid AS (SELECT row_no, col FROM range(0, 40) a(row_no) CROSS JOIN range(0, 40) b(col))", body="SELECT g.row_no, g.col, v FROM grid g LEFT JOIN raster s ON s.row_no = CAST(floor((g.row_no + CAST(0.5 AS DOUBLE)) * CAST(1.6 AS DOUBLE)) AS BIGINT) AND s.col = CAST(floor((g.col + CAST(0.5 AS DOUBLE)) * CAST(1.6 AS DOUBLE)) AS BIGINT)"))
-def r3_reproject_nearest(spark, d):
-    """Each target cell takes the source cell under its centre."""
-    grid = spark.range(40).select(F.col("id").alias("row_no")).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
-    at = lambda c: F.floor((F.col(c) + 0.5) * 1.6).cast("long")
-    source = layer(spark, d, RASTER, name="raster").select(F.col("row_no").alias("sr"), F.col("col").alias("sc"), "v")
-    return grid.withColumns({"sr": at("row_no"), "sc": at("col")}).join(source, ["sr", "sc"], "left").select("row_no", "col", "v")
-
-
-@query("n4_level_of_service", with_layers(RASTER, body="""SELECT row_no, col, demand, offer, demand - offer AS difference FROM (
-  SELECT row_no, col, CASE WHEN v > 400 THEN 0 WHEN v > 300 THEN 1 WHEN v > 200 THEN 2 ELSE 3 END AS demand, CAST((row_no + col) % 4 AS INT) AS offer FROM raster)"""))
-def n4_level_of_service(spark, d):
-    r = layer(spark, d, RASTER, name="raster")
-    demand = F.when(F.col("v") > 400, 0).when(F.col("v") > 300, 1).when(F.col("v") > 200, 2).otherwise(3)
-    out = r.select("row_no", "col", demand.alias("demand"), ((F.col("row_no") + F.col("col")) % 4).cast("int").alias("offer"))
-    return out.withColumn("difference", F.col("demand") - F.col("offer"))
-
-
 @query("u6_unpivot", "SELECT s_suppkey, 'acctbal' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier")
 def u6_unpivot(spark, d):
     wide = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("acctbal"), F.col("s_nationkey").cast("double").alias("nation"))
@@ -396,27 +278,3 @@ def q6_score_by_values(spark, d):
 @query("j16_grid_snap", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 5 THEN 5 WHEN l_quantity <= 15 THEN 15 WHEN l_quantity <= 40 THEN 40 END::DOUBLE AS grid FROM lineitem")
 def j16_grid_snap(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scoring.grid_ceiling(F.col("l_quantity"), [5, 15, 40]).alias("grid"))
-
-
-@query("p6_sanitize", "SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM part")
-def p6_sanitize(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z0-9_-]", "_").alias("name"))
-
-
-@query("p3_condense_rows", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = '1-URGENT' THEN '1-URGENT' WHEN o_orderpriority = 'F' OR o_orderstatus = 'F' THEN 'F' END AS value, coalesce(o_orderstatus, o_orderpriority) AS first_value FROM orders")
-def p3_condense_rows(spark, d):
-    both = F.array("o_orderpriority", "o_orderstatus")
-    listed = F.coalesce(*(F.when(F.array_contains(both, v), v) for v in ("1-URGENT", "F")))
-    return table(spark, d, "orders").select("o_orderkey", listed.alias("value"), F.coalesce("o_orderstatus", "o_orderpriority").alias("first_value"))
-
-
-@query("a17_modal_band", """WITH days AS (SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1),
-  cut AS (SELECT quantile_cont(v, CAST(0.9 AS DOUBLE)) * CAST(0.5 AS DOUBLE) AS low FROM days), kept AS (SELECT day, v FROM days CROSS JOIN cut WHERE v >= low)
-SELECT day, v, abs(v - (SELECT avg(v) FROM kept)) <= (SELECT stddev_pop(v) FROM kept) AS in_band FROM kept""")
-def a17_modal_band(spark, d):
-    """Days of at least half the 90th percentile, and whether each is within one deviation of their mean."""
-    days = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").cast("double").alias("v"))
-    cut = days.agg((F.percentile("v", 0.9) * 0.5).alias("low"))
-    kept = days.crossJoin(F.broadcast(cut)).filter("v >= low").select("day", "v")
-    stats = kept.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return kept.crossJoin(F.broadcast(stats)).select("day", "v", (F.abs(F.col("v") - F.col("m")) <= F.col("s")).alias("in_band"))

@@ -9,7 +9,7 @@ from wayfield.functions import crs, geometry
 from wayfield.operators import census, graph, isochrone, multires
 from wayfield.operators.components import components
 from wayfield.plans.core import ARCS, SNAP_POIS, _edges, _nodes, _people, _pois, _snap, reach_sql
-from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, RASTER, SIDE, layer, with_layers
+from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, with_layers
 from wayfield.plans.registry import query, table
 from wayfield.streaming.windows import intensity
 
@@ -172,32 +172,6 @@ def z1_service_intensity(spark, d):
     return intensity(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("r1_vectorize", with_layers(RASTER, body="SELECT row_no * 64 + col AS id, col * 100 AS xmin, row_no * 100 AS ymin, col * 100 + 100 AS xmax, row_no * 100 + 100 AS ymax, v FROM raster WHERE v > 50"))
-def r1_vectorize(spark, d):
-    r = layer(spark, d, RASTER, name="raster").filter("v > 50")
-    x, y = F.col("col") * 100, F.col("row_no") * 100
-    return r.select((F.col("row_no") * 64 + F.col("col")).alias("id"), x.alias("xmin"), y.alias("ymin"), (x + 100).alias("xmax"), (y + 100).alias("ymax"), "v")
-
-
-@query("r2_rasterize", with_layers(SIDE, POIS, body="""SELECT row_no, col, min(rank_no) AS rank_no FROM (SELECT CAST(floor(y / 250) AS BIGINT) + dr AS row_no, CAST(floor(x / 250) AS BIGINT) + dc AS col,
-  CASE quality WHEN 1000 THEN 0 WHEN 750 THEN 1 ELSE 2 END AS rank_no FROM pois CROSS JOIN (VALUES (-1), (0), (1)) a(dr) CROSS JOIN (VALUES (-1), (0), (1)) b(dc)) GROUP BY 1, 2"""))
-def r2_rasterize(spark, d):
-    """Squares around places burnt into cells; the first listed value wins."""
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    rank = F.when(F.col("quality") == 1000, 0).when(F.col("quality") == 750, 1).otherwise(2)
-    p = _pois(spark, d).select("x", "y", rank.alias("rank_no"), F.explode(around).alias("dr")).select("*", F.explode(around).alias("dc"))
-    return p.groupBy((F.floor(F.col("y") / 250).cast("long") + F.col("dr")).alias("row_no"), (F.floor(F.col("x") / 250).cast("long") + F.col("dc")).alias("col")).agg(F.min("rank_no").alias("rank_no"))
-
-
-@query("n1_rescale_population", with_layers(RASTER, body="SELECT row_no, col, round(v * (SELECT sum(v) FROM raster) / CAST(sum(v) OVER () AS DOUBLE), 4) AS v FROM raster WHERE (row_no + col) % 3 > 0 AND v > 50"))
-def n1_rescale_population(spark, d):
-    """Cells that touch a street keep the total of all."""
-    r = layer(spark, d, RASTER, name="raster")
-    kept = r.filter("(row_no + col) % 3 > 0 AND v > 50")
-    whole, part = r.agg(F.sum("v").alias("whole")), kept.agg(F.sum("v").cast("double").alias("part"))
-    return kept.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(part)).select("row_no", "col", F.round(F.col("v") * F.col("whole") / F.col("part"), 4).alias("v"))
-
-
 @query("w9_partition_mean", "SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS off, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS diff FROM lineitem")
 def w9_partition_mean(spark, d):
     mean = F.avg("l_quantity").over(Window.partitionBy("l_orderkey"))

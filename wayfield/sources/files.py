@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfield.functions import geometry
+from wayfield.operators.raster import touches_box
+
 VERSION = 1
 
 
@@ -35,14 +39,68 @@ def write_geojson_points(df: DataFrame, path: str) -> None:
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
-    """Cells (row_no, col, value) of an ESRI ASCII grid, without its nodata cells, and its header."""
+    """Cells (row_no, col, value) of an ESRI ASCII grid, without its nodata cells, and its header.
+
+    A line's row is the number of lines before it: counted per partition of the file first (a few numbers), then within each.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).withColumn("place", F.monotonically_increasing_id())
-    header = {k.lower(): float(v) for k, v in (r["value"].split() for r in lines.filter(F.col("value").rlike(r"^\s*[A-Za-z]")).collect())}
-    body = lines.filter(~F.col("value").rlike(r"^\s*[A-Za-z]")).coalesce(1).sortWithinPartitions("place")
-    numbered = body.withColumn("row_no", F.monotonically_increasing_id())
-    rows = numbered.select("row_no", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
-    cells = rows.select("row_no", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("value"))
-    return cells.filter(F.col("value") != header.get("nodata_value", float("nan"))), header
+    is_header = F.col("value").rlike(r"^\s*(?i:ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|dx|dy|nodata_value)\b")
+    header = {k.lower(): float(v) for k, v in (r["value"].split() for r in lines.filter(is_header).limit(12).collect())}
+    body = lines.filter(~is_header & (F.trim("value") != "")).withColumn("part", F.shiftright("place", 33))
+    before, at = {}, 0
+    for r in body.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        before[r["part"]], at = at, at + r["n"]
+    first = spark.createDataFrame(list(before.items()) or [(0, 0)], "part long, before long")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    rows = body.withColumn("within", within).join(F.broadcast(first), "part").withColumn("row_no", (F.col("before") + F.col("within")).cast("long"))
+    split = rows.select("row_no", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
+    cells = split.select("row_no", F.col("col").cast("long").alias("col"), F.expr("try_cast(v AS double)").alias("value"))
+    return cells.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") != header.get("nodata_value", float("nan")))), header
+
+
+#: Formats by ending, those that are fastest to read first.
+READERS = {
+    "parquet": lambda spark, path: spark.read.parquet(path),
+    "geojson": lambda spark, path: read_geojson(spark, path),
+    "json": lambda spark, path: read_geojson(spark, path),
+    "csv": lambda spark, path: spark.read.option("header", True).option("inferSchema", True).csv(path),
+}
+
+
+def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A vector layer by its path without an ending: the first of READERS that is there. With ``box`` rows whose x, y or ring meets it."""
+    stem = path.rsplit(".", 1)[0] if path.rsplit(".", 1)[-1] in READERS else path
+    for ending, reader in READERS.items():
+        fs, at = _fs(spark, f"{stem}.{ending}")
+        if fs.exists(at):
+            return in_box(reader(spark, f"{stem}.{ending}"), box)
+    raise FileNotFoundError(f"{stem} with none of {list(READERS)}")
+
+
+def in_box(df: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Rows that meet the box: by x, y, or by a ring's own box first and then exactly."""
+    if box is None:
+        return df
+    x0, y0, x1, y1 = (F.lit(float(v)) for v in box)
+    if "ring" in df.columns:
+        b = geometry.bbox(F.col("ring"))
+        return df.filter((b["xmax"] >= x0) & (b["xmin"] <= x1) & (b["ymax"] >= y0) & (b["ymin"] <= y1)).filter(touches_box(F.col("ring"), x0, y0, x1, y1))
+    return df.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+
+
+def geojson_rings(features: DataFrame) -> DataFrame:
+    """Polygons of ``read_geojson`` with ``ring``: their outer ring."""
+    rings = F.from_json("coordinates", "array<array<array<double>>>")[0]
+    return features.filter("kind = 'Polygon'").withColumn("ring", F.transform(rings, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+
+
+def load_shapes(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Layers of several files (a state or county each) as one, columns that some lack null, rows that meet the box."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_layer(spark, p, box) for p in paths])
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfield.functions import geometry
+from wayfield.operators import graph
+
 
 def _is(key: str, *values: str) -> Column:
     return F.coalesce(F.col("tags")[key].isin(*values), F.lit(False))
@@ -20,23 +23,32 @@ def _has(key: str) -> Column:
     return F.coalesce(F.map_contains_key("tags", key), F.lit(False))
 
 
-#: What each kind of place is tagged as.
-PLACES: dict[str, Column | object] = {
-    "green_areas": lambda: _is("leisure", "park", "garden", "recreation_ground") | _is("landuse", "forest", "grass", "recreation_ground", "village_green"),
+#: What each kind of place is tagged as (patterns match anywhere in the tag's value).
+PLACES: dict[str, Callable[[], Column]] = {
+    "green_areas": lambda: _is("leisure", "garden", "park") | _is("landuse", "greenfield", "grass", "forest"),
     "bus_stops": lambda: _is("highway", "bus_stop"),
     "schools": lambda: _is("amenity", "school"),
-    "healthcare": lambda: _like("amenity", "^(hospital|clinic|doctors)$") | _has("healthcare"),
-    "groceries": lambda: _like("shop", "^(supermarket|grocery|greengrocer|convenience)$") | _is("amenity", "marketplace"),
+    "healthcare": lambda: _like("amenity", "hospital|clinic|doctors|healthcare") | _has("healthcare"),
+    "groceries": lambda: _like("shop", "supermarket|grocery|convenience") | _is("amenity", "marketplace"),
     "shops": lambda: _has("shop"),
-    "restaurants": lambda: _like("amenity", "^(restaurant|cafe|bar|fast_food)$"),
+    "restaurants": lambda: _like("amenity", "restaurant|bar|pub|cafe|fast_food"),
     "libraries": lambda: _is("amenity", "library"),
     "pharmacies": lambda: _is("amenity", "pharmacy"),
-    "gyms": lambda: _is("leisure", "fitness_centre", "sports_centre"),
+    "gyms": lambda: _is("amenity", "gym"),
     "cinemas": lambda: _is("amenity", "cinema"),
 }
-MAIN_ROADS = ("motorway", "motorway_link", "trunk", "trunk_link")
-ROADS = ("primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road")
-PATHS = ("pedestrian", "footway", "path", "steps", "track")
+
+#: The highway values of each network profile.
+WALK = ("footway", "pedestrian", "path", "living_street", "steps", "residential", "service", "unclassified", "track")
+BIKE = ("cycleway", "path", "residential", "living_street", "unclassified", "service", "track")
+DRIVE = (
+    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link",
+    "tertiary", "tertiary_link", "residential", "unclassified", "service", "living_street",
+)
+PRIMARY = (
+    "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link",
+    "tertiary", "tertiary_link", "residential", "unclassified", "service", "living_street",
+)
 
 
 def places(elements: DataFrame, kind: str) -> DataFrame:
@@ -45,19 +57,43 @@ def places(elements: DataFrame, kind: str) -> DataFrame:
     return elements.filter(PLACES[kind]())
 
 
+def network_filters(profile: str) -> dict[str, bool | list[str]]:
+    """The tags, by key, of which a way needs one to be in the network of this profile."""
+    both = sorted({*WALK, *BIKE})
+    rules: dict[str, dict[str, bool | list[str]]] = {
+        "walk": {"highway": list(WALK), "foot": ["yes"]},
+        "bike": {"highway": list(BIKE), "bicycle": ["yes"]},
+        "drive": {"highway": list(DRIVE)},
+        "walk+bike": {"highway": both, "foot": ["yes"], "bicycle": ["yes"]},
+        "walk+bike+primary": {"highway": sorted({*both, *PRIMARY}), "foot": ["yes"], "bicycle": ["yes"]},
+        "all": {"highway": True},
+    }
+    if profile not in rules:
+        raise ValueError(f"unknown network profile: {profile}")
+    return rules[profile]
+
+
 def network(ways: DataFrame, profile: str) -> DataFrame:
     """Ways that a network of this profile has: walk, bike, drive, walk+bike, walk+bike+primary or all."""
-    walk = _is("highway", *ROADS[2:], *PATHS) | _is("foot", "yes", "designated")
-    bike = _is("highway", *ROADS[2:], "cycleway", "path", "track") | _is("bicycle", "yes", "designated")
-    rules = {
-        "walk": walk,
-        "bike": bike,
-        "drive": _is("highway", *MAIN_ROADS, *ROADS),
-        "walk+bike": walk | bike,
-        "walk+bike+primary": walk | bike | _is("highway", "primary", "primary_link"),
-        "all": _has("highway"),
-    }
-    return ways.filter(rules[profile])
+    return ways.filter(tag_filter(network_filters(profile)))
+
+
+def filter_arguments(filters: Mapping[str, bool | str | list[str]]) -> list[str]:
+    """The same filters as w/key=value,... arguments of a command-line tag filter."""
+    return [f"w/{k}" if v is True else f"w/{k}=" + ",".join(sorted([v] if isinstance(v, str) else v)) for k, v in filters.items()]
+
+
+def large_areas(areas: DataFrame, min_area: float = 200.0, min_width: float = 10.0) -> DataFrame:
+    """Areas (closed ring in metres) of at least ``min_area`` whose mean width, 2 * area / length of the ring, is half of
+    ``min_width`` or more: what a park has to be to count as one."""
+    area, around = F.abs(geometry.signed_area(F.col("ring"))), geometry.length(F.col("ring"))
+    return areas.filter((area >= min_area) & (2 * area / around >= min_width / 2))
+
+
+def bounded(query: str, box: tuple[float, float, float, float]) -> str:
+    """A query text with {{bbox}} filled in as south, west, north, east; ``box`` is xmin, ymin, xmax, ymax."""
+    x0, y0, x1, y1 = box
+    return query.replace("{{bbox}}", f"{y0},{x0},{y1},{x1}")
 
 
 def tag_filter(filters: Mapping[str, bool | str | list[str]]) -> Column:
@@ -88,3 +124,45 @@ def read_overpass(spark: SparkSession, path: str) -> DataFrame:
 def smallest_region(regions: DataFrame, contains: Column) -> DataFrame:
     """Of the regions that contain the area, the one of least area."""
     return regions.filter(contains).orderBy("area", "id").limit(1)
+
+
+def street_graph(spark: SparkSession, path: str, profile: str, project: Callable[[Column, Column], Column] | None = None, inside: Callable[[DataFrame], DataFrame] | None = None, min_edge: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a saved OSM XML extract: the profile's ways, projected, cropped to ``inside`` (a clip of nodes) and simplified."""
+    nodes, ways = read_xml(spark, path)
+    at = nodes.select("id", "x", "y")
+    if project is not None:
+        at = at.select("id", project(F.col("x"), F.col("y")).alias("p")).select("id", "p.x", "p.y")
+    nodes, edges = graph.from_ways(network(ways, profile).select("way", "nodes"), at)
+    if inside is not None:
+        nodes, edges = graph.crop(nodes, edges, inside(nodes).select("id"))
+    return graph.simplify(nodes, edges, min_edge)
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, x, y) and edges (u, v, key_no, len) of a GraphML file; attributes are found by the names its keys declare."""
+    data = "array<struct<_key:string,_VALUE:string>>"
+    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path)
+    named = {(r[2], r[1]): r[0] for r in keys.collect()}  # the declarations, a few per file
+    value = lambda kind, name: F.expr(f"filter(data, d -> d._key = '{named.get((kind, name), '')}')[0]._VALUE")
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id long, data {data}").load(path)
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source long, _target long, _id int, data {data}").load(path)
+    at = nodes.select(F.col("_id").alias("id"), value("node", "x").cast("double").alias("x"), value("node", "y").cast("double").alias("y"))
+    lines = edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), value("edge", "length").cast("double").alias("len"), F.coalesce("_id", F.lit(0)).alias("k"))
+    return at, graph.keyed(lines, "k", "len").select("u", "v", "key_no", "len")
+
+
+def address_fields(spark: SparkSession, path: str, fields: list[str]) -> dict[str, list[str]]:
+    """The different values of address fields in saved geocoder answers (one JSON object a line, ``address`` a map)."""
+    rows = spark.read.schema("address map<string,string>").json(path)
+    got = rows.select(*(F.array_sort(F.collect_set(F.col("address")[f])).alias(f) for f in fields)).first()
+    return got.asDict()
+
+
+def write_poly(df: DataFrame, name: str, path: str) -> None:
+    """Areas (closed ring, hole: bool) as a .poly text: one numbered section a ring, holes marked with "!"."""
+    point = lambda p: F.concat(F.lit("   "), F.format_string("%.7E", p["x"]), F.lit("   "), F.format_string("%.7E", p["y"]))
+    body = F.concat(F.when(F.col("hole"), "!").otherwise(""), F.col("section").cast("string"), F.lit("\n"), F.array_join(F.transform("ring", point), "\n"), F.lit("\nEND\n"))
+    # an area has few rings: numbering them is one small sort
+    numbered = df.withColumn("section", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("hole", F.xxhash64("ring"))))
+    one = numbered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", body.alias("t")))), lambda s: s["t"]), "").alias("t"))
+    one.select(F.concat(F.lit(name + "\n"), "t", F.lit("END")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
