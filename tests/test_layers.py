@@ -139,7 +139,7 @@ def test_facade(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2, 0, 100), (2, 3, 0, 100)], "u long, v long, key_no int, len long")
     net, pois = StreetNetwork(nodes, edges), PointsOfInterest(spark.createDataFrame([(7, 1, 1, "b", 9.0)], "pid long, x long, y long, kind string, area double"))
     out = AccessibilityAnalyzer(net, pois, [150, 250]).run()
-    assert {tuple(r) for r in out["nodes"].collect()} == {(1, 0), (2, 0), (3, 1)}
+    assert {tuple(r) for r in out["nodes"].collect()} == {(1, 0), (2, 0), (3, 1), (4, 0)}  # 4 is where the place meets its street
     assert pois.assign_score_by_values("kind", ["a", "b"]).places.first().score == 0.5 and pois.assign_score_by_area("area", [1, 5]).places.first().score == 1.0
     area = AreaOfInterest("POLYGON ((-5 -5, 150 -5, 150 5, -5 5, -5 -5))")
     assert {r.id for r in area.clip(nodes).collect()} == {1, 2}

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry, hexgrid, scoring
-from wayfield.operators import graph, isochrone
+from wayfield.operators import graph, hexcells, isochrone, population, raster, snapping
 from wayfield.operators.spatial import nearest, within
-from wayfield.sources import files
+from wayfield.session import materialize
+from wayfield.sources import files, osm
 
 
 class Layer:
@@ -73,6 +74,20 @@ class StreetNetwork(Layer):
     def crop(self, area: AreaOfInterest) -> StreetNetwork:
         return StreetNetwork(*graph.crop(self.nodes, self.edges, area.clip(self.nodes).select("id")))
 
+    def add_points(self, points: DataFrame, cell: float, max_distance: float, min_edge: float = 0.0) -> tuple[StreetNetwork, DataFrame]:
+        """The network with a node where each point (pid, x, y) snaps to its nearest street, and (pid, node, distance)."""
+        edges = self.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
+        nodes, parts, placed = snapping.add_points(points, self.nodes, edges, cell, max_distance, min_edge)
+        return StreetNetwork(nodes, graph.keyed(parts.select("u", "v", "len"), "len")), placed
+
+    @classmethod
+    def from_osm_xml(cls, spark: SparkSession, path: str, profile: str, **options) -> StreetNetwork:
+        return cls(*osm.street_graph(spark, path, profile, **options))
+
+    @classmethod
+    def from_graphml(cls, spark: SparkSession, path: str) -> StreetNetwork:
+        return cls(*osm.read_graphml(spark, path))
+
     def nearest_nodes(self, points: DataFrame, cell: int, max_distance: float | None = None) -> DataFrame:
         """points (pid, x, y) with the nearest node, null where it is farther than ``max_distance``."""
         near = nearest(points, self.nodes.select(F.col("id").alias("tid"), "x", "y"), cell)
@@ -108,6 +123,30 @@ class PointsOfInterest(Layer):
     def clip(self, area: AreaOfInterest) -> PointsOfInterest:
         return PointsOfInterest(area.clip(self.places))
 
+    @classmethod
+    def from_elements(cls, elements: DataFrame, kind: str, area: AreaOfInterest | None = None) -> PointsOfInterest:
+        """Places of a kind of ``osm.PLACES`` (parks, bus_stops, ... as there) among elements (id, x, y, tags), score 0 until one is assigned."""
+        found = osm.places(elements, kind).withColumnRenamed("id", "pid").withColumn("score", F.lit(0.0))
+        out = cls(found)
+        return out.clip(area) if area is not None else out
+
+    @classmethod
+    def from_overpass(cls, spark: SparkSession, path: str, kind: str, area: AreaOfInterest | None = None) -> PointsOfInterest:
+        """The same from a saved Overpass answer."""
+        return cls.from_elements(osm.read_overpass(spark, path), kind, area)
+
+    def to_points(self, network: StreetNetwork, block: float = 500.0) -> PointsOfInterest:
+        """Areas (pid, closed ring) as the points where streets enter them, other columns kept; those that no street enters go."""
+        edges = network.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
+        at = snapping.boundary_points(self.places.select("pid", "ring"), edges, network.nodes, block).select("pid", "x", "y")
+        return PointsOfInterest(at.join(self.places.drop("ring", "x", "y"), "pid"))
+
+    def to_hex(self, values: dict[str, str], base: float, resolution: int) -> HexGrid:
+        return HexGrid.from_points(self.places, values, base, resolution)
+
+    def count(self) -> int:
+        return self.places.count()
+
 
 @dataclass
 class HexGrid(Layer):
@@ -131,6 +170,31 @@ class HexGrid(Layer):
         rows = points.withColumn("__c", cell).groupBy("__c").agg(*(how[m](v).alias(v) for v, m in values.items()))
         return cls(rows.select("__c.q", "__c.r", *values), base, resolution)
 
+    @classmethod
+    def from_shapes(cls, shapes: DataFrame, key: str, values: dict[str, str], base: float, resolution: int, contain: str = "center", orders: dict | None = None) -> HexGrid:
+        """Values of shapes (closed ring) per cell: those cells that each is in as ``contain`` says, values by ``hexcells.aggregate``."""
+        size = hexgrid.edge(base, resolution)
+        cells = hexcells.fill(shapes, key, size, contain).groupBy(key).agg(F.collect_list(hexcells.cell_id(F.col("q"), F.col("r"))).alias("__cells"))
+        rows = shapes.drop("__cells").withColumn("__km2", F.abs(geometry.signed_area(F.col("ring"))) / 1e6).join(cells, key)
+        out = hexcells.aggregate(rows, "__cells", values, orders, key, hexcells.hex_area_km2(size), "__km2")
+        q, r = hexcells.from_cell_id(F.col("cell"))
+        return cls(out.select(q.alias("q"), r.alias("r"), *values), base, resolution)
+
+    @classmethod
+    def from_raster(cls, cells: DataFrame, grid: raster.Grid, base: float, resolution: int) -> HexGrid:
+        """A raster's values shared among the cells that its pixels meet, the total kept."""
+        return cls(hexcells.from_raster(raster.vectorize(cells, grid), hexgrid.edge(base, resolution)), base, resolution)
+
+    def with_rings(self) -> DataFrame:
+        """Cells with ``ring``, their closed boundary; cells without coordinates go."""
+        corners = hexgrid.boundary(F.col("q"), F.col("r"), hexgrid.edge(self.base, self.resolution))
+        return self.cells.filter("q IS NOT NULL AND r IS NOT NULL").withColumn("ring", F.concat(corners, F.slice(corners, 1, 1)))
+
+    def clip(self, area: AreaOfInterest) -> HexGrid:
+        """Cells whose centre lies in the area."""
+        x, y = hexgrid.centre(F.col("q").cast("double"), F.col("r").cast("double"), hexgrid.edge(self.base, self.resolution))
+        return HexGrid(area.clip(self.cells.withColumns({"x": x, "y": y})).drop("x", "y"), self.base, self.resolution)
+
     def resample(self, resolution: int, values: dict[str, str]) -> HexGrid:
         how = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
         up = hexgrid.parent(F.col("q"), F.col("r"), hexgrid.edge(self.base, self.resolution), hexgrid.edge(self.base, resolution))
@@ -143,7 +207,75 @@ class HexGrid(Layer):
 
 
 @dataclass
-class AccessibilityAnalyzer:
+class PopulationLayer(Layer):
+    """A raster of population: cells (row_no, col, value) on a grid."""
+
+    cells: DataFrame
+    grid: dict
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"cells": self.cells}
+
+    def attributes(self) -> dict:
+        return {"grid": self.grid}
+
+    @classmethod
+    def of(cls, cells: DataFrame, grid: raster.Grid) -> PopulationLayer:
+        return cls(cells, asdict(grid))
+
+    @classmethod
+    def from_ascii_grid(cls, spark: SparkSession, path: str) -> PopulationLayer:
+        """Rows of the file run down from the top."""
+        cells, h = files.read_ascii_grid(spark, path)
+        size = h["cellsize"]
+        x0, y0 = h.get("xllcorner", h.get("xllcenter", 0.0) - size / 2), h.get("yllcorner", h.get("yllcenter", 0.0) - size / 2)
+        return cls.of(cells, raster.Grid(x0, y0 + size * h["nrows"], size, -size, int(h["nrows"]), int(h["ncols"])))
+
+    @property
+    def where(self) -> raster.Grid:
+        return raster.Grid(**self.grid)
+
+    def filter_by_streets(self, network: StreetNetwork, buffer: float, least: float = 0.0) -> PopulationLayer:
+        ends = snapping.with_ends(network.edges, network.nodes)
+        return PopulationLayer(population.filter_by_streets(self.cells, self.where, ends, buffer, least), self.grid)
+
+    def density(self, buffer: float, shape: str = "disk") -> DataFrame:
+        return raster.density(self.cells, self.where, buffer, shape)
+
+    def to_hex(self, base: float, resolution: int) -> HexGrid:
+        return HexGrid.from_raster(self.cells, self.where, base, resolution)
+
+    def level_of_service(self, offer: DataFrame, thresholds: Sequence[tuple[float, float, str]], labels: Sequence[str], path: str | None = None) -> DataFrame:
+        """Demand, offer and difference per cell; with ``path`` all layers are also written there."""
+        levels = population.level_of_service(self.cells, self.where, offer, thresholds, labels)
+        if path is not None:
+            population.save_layers(levels, self.cells, path)
+        return levels
+
+
+@dataclass
+class AccessScore(Layer):
+    """The transit score's parameters; they are all that is saved, and functions are built from them."""
+
+    parameters: dict = field(default_factory=lambda: dict(scoring.TRANSIT))
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {}
+
+    def attributes(self) -> dict:
+        return {"parameters": self.parameters}
+
+    def score_stops(self, stops: DataFrame, headway: str = "headway", mode: str = "mode", speed: str = "speed") -> DataFrame:
+        return stops.withColumn("score", scoring.TransitScore(self.parameters).stop()(F.col(headway), F.col(mode), F.col(speed)))
+
+    def distance_matrix(self, stops: DataFrame, distances: Sequence[float], grid: Sequence[float]) -> DataFrame:
+        """(score, distance, value) for the distinct stop scores."""
+        model = scoring.TransitScore(self.parameters)
+        return scoring.score_matrix(stops, "score", distances, model.walk, grid)
+
+
+@dataclass
+class AccessibilityAnalyzer(Layer):
     """Levels that places give to a street network's nodes and edges."""
 
     network: StreetNetwork
@@ -152,21 +284,52 @@ class AccessibilityAnalyzer:
     cell: int = 100
     result: dict[str, DataFrame] = field(default_factory=dict)
 
-    def run(self, min_edge: int = 0) -> dict[str, DataFrame]:
-        """Tables ``reach`` (node, rank_no, remaining), ``nodes`` (node, rank_no) and ``edges`` with their labels."""
+    def tables(self) -> dict[str, DataFrame]:
+        inner = {f"network_{k}": v for k, v in self.network.tables().items()} | {f"pois_{k}": v for k, v in self.pois.tables().items()}
+        return inner | {f"result_{k}": v for k, v in self.result.items()}
+
+    def attributes(self) -> dict:
+        return {"distances": list(self.distances), "cell": self.cell}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> AccessibilityAnalyzer:
+        tables, attributes = files.load(spark, path, cls.__name__)
+        part = lambda p: {k.removeprefix(p): v for k, v in tables.items() if k.startswith(p)}
+        return cls(StreetNetwork(**part("network_")), PointsOfInterest(**part("pois_")), result=part("result_"), **attributes)
+
+    def run(self, min_edge: int = 0, max_distance: float = 1000.0, matrix: DataFrame | None = None, exact: bool = True) -> dict[str, DataFrame]:
+        """Tables ``reach`` (node, rank_no, remaining), ``nodes`` (node, rank_no), ``edges`` with their labels and ``placed`` (pid, node).
+
+        Places snap to their nearest streets, which get nodes there. ``matrix`` (quality, distance, rank_no) gives levels by quality, with
+        the places' ``quality`` column; without it the distances are the levels. With ``exact`` edges are cut where a level's reach ends.
+        """
         spark = self.network.nodes.sparkSession
-        snapped = self.network.nearest_nodes(self.pois.places.select("pid", "x", "y"), self.cell)
-        matrix = isochrone.list_matrix(spark, self.distances)
-        reach = isochrone.reaches(self.network.edges, snapped.select(F.lit(1).cast("long").alias("quality"), "node"), matrix)
-        edges = self.network.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
-        self.result = {"reach": reach, "nodes": isochrone.node_labels(reach, min_edge), "edges": isochrone.edge_reaches(edges, reach, len(self.distances), min_edge)}
+        network, placed = self.network.add_points(self.pois.places.select("pid", "x", "y"), self.cell, max_distance, min_edge)
+        quality = F.col("quality").cast("long") if matrix is not None else F.lit(1).cast("long")
+        sources = placed.join(self.pois.places.select("pid", quality.alias("quality")), "pid").filter("node IS NOT NULL").select("quality", "node")
+        matrix = isochrone.list_matrix(spark, self.distances) if matrix is None else matrix
+        ranks = (matrix.agg(F.max("rank_no")).first()[0] or 0) + 1
+        whole = network.edges.withColumn("len", F.round("len").cast("long"))  # whole metres, so that searches are exact
+        reach = materialize(isochrone.reaches(whole, sources, matrix), "reach")
+        edges = whole.withColumn("edge", F.xxhash64("u", "v", "key_no"))
+        if exact:
+            first_id = (network.nodes.agg(F.max("id")).first()[0] or 0) + 1
+            _, labelled = isochrone.exact(edges.select("edge", "u", "v", "len"), reach, ranks, first_id, min_edge)
+        else:
+            labelled = isochrone.edge_reaches(edges, reach, ranks, min_edge)
+        self.result = {"reach": reach, "nodes": isochrone.node_labels(reach, min_edge), "edges": labelled, "placed": placed}
         return self.result
 
     def run_buffers(self, points: DataFrame) -> DataFrame:
-        """points (pid, x, y) with the best ring of straight-line distance."""
+        """points (pid, x, y) with the best ring of straight-line distance, null where none reaches."""
         targets = self.pois.places.select(F.col("pid").alias("tid"), "x", "y")
-        near = within(points, targets, max(self.distances))
+        near = within(points.select("pid", "x", "y"), targets, max(self.distances))
         rank = F.lit(None).cast("int")
         for k in reversed(range(len(self.distances))):
             rank = F.when(F.col("d2") <= self.distances[k] ** 2, k).otherwise(rank)
-        return near.groupBy("pid").agg(F.min(rank).alias("rank_no"))
+        return points.select("pid").join(near.groupBy("pid").agg(F.min(rank).alias("rank_no")), "pid", "left")
+
+    def to_hex(self, base: float, resolution: int) -> HexGrid:
+        """The best level of the nodes in each hexagon."""
+        levels = self.result["nodes"].join(self.network.nodes, F.col("node") == F.col("id")).select("x", "y", "rank_no")
+        return HexGrid.from_points(levels, {"rank_no": "min"}, base, resolution)

@@ -26,13 +26,16 @@ def build_session(app: str = "wayfield", cores: int | str = "*", shuffle_partiti
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one; on a
+    cluster no folder of one machine will do, so it is an error there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     already = spark.sparkContext.getCheckpointDir()
     if already:
         return already.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = os.path.join(tempfile.mkdtemp(prefix="wayfield-"), "scratch")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -55,10 +58,14 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_wayfield_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
