@@ -101,12 +101,24 @@ def test_repeated_strings_go(spark):
     suffix_levels.HOT_GROUP = 2048
 
 
-def test_levels_merge_geometrically(spark):
-    family = suffix_levels.SuffixLevels()
-    for i in range(5):
-        family.add(spark.createDataFrame([(i, "".join(random.Random(i).choices("abcdef ", k=900)))], "content long, text string"))
-    family._carry()
+def test_levels_persist_and_merge_geometrically(spark, tmp_path):
+    texts = ["".join(random.Random(i).choices("abcdef ", k=900)) for i in range(6)]
+    texts[5] = texts[0][100:700] + texts[5]
+    entries = lambda i: suffix_levels._suffixes(spark.createDataFrame([(i, texts[i])], "content long, text string"), 1)
+    path = f"file://{tmp_path}/family"
+    family = suffix_levels.SuffixLevels(spark, path, 4)
+    assert all(family.add(entries(i)).count() == 0 for i in range(5))
     assert [rank for rank, _ in family.levels] == [2, 0]
+    plan = spark.table(family.levels[0][1]).select("key").hint("merge").join(spark.table(family.levels[1][1]).select("key"), "key", "left_semi")
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    for _, name in family.levels:
+        spark.sql(f"DROP TABLE {name}")
+    again = suffix_levels.SuffixLevels.open(spark, path)
+    assert again.levels == family.levels and again.buckets == 4
+    got = {(r.content) for r in again.add(entries(5)).collect()}
+    assert got == {0, 5} and [rank for rank, _ in again.levels] == [2, 1]
+    assert again.spark.table(again.levels[0][1]).count() + again.spark.table(again.levels[1][1]).count() == sum(entries(i).count() for i in range(6))
+    again.remove()
 
 
 def test_secret_spans_and_masks(spark):
