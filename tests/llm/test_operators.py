@@ -296,6 +296,47 @@ def test_fingerprints(docs):
         assert (r.near_edited, r.near_next) == (spot_sigs.likeness(mine, other), spot_sigs.likeness(mine, after))
 
 
+def plain_chains(text):
+    """Signatures as tuples of words: each anchor with the next two content words."""
+    found = []
+    for w in brute.words(brute.lowered(text)):
+        bare = w.strip(spot_sigs.PUNCTUATION.decode())
+        found.append((bare or w, not bare or bare in spot_sigs.COMMON))
+    chains = set()
+    for i, (w, anchor) in enumerate(found):
+        follow = [x for x, a in found[i + 1 :] if not a][:2]
+        if anchor and len(follow) == 2:
+            chains.add((w, *follow))
+    return chains or ({tuple(w for w, _ in found)} if found else set())
+
+
+def test_near_fingerprints_against_plain_chains(spark):
+    rng = random.Random(8)
+    common, content = ["the", "of", "der", "la"], [f"w{i}" for i in range(300)]
+    some = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(content) + rng.choice(["", ".", ","]) for _ in range(n)]
+    base, rows = [some(rng.choice([0, 3, 20, 80, 150])) for _ in range(25)], []
+    for i in range(160):
+        b = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5]) if b else 0):
+            b[rng.randrange(len(b))] = rng.choice(content)
+        rows.append((i, " ".join(b)))
+    rows += [(900, None), (901, "|"), (902, "The")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, cls int, component_id string")
+    got = {r.doc_id: r for r in spot_sigs.fingerprints(df).collect()}
+    chains = {d: plain_chains(t) for d, t in rows}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    parent = {d: d for d, _ in rows}
+    for a in chains:
+        assert len(got[a].fingerprint) == 8 * len(chains[a])
+        for b in chains:
+            if a < b and chains[a] and 4 * len(chains[a] & chains[b]) >= 3 * len(chains[a] | chains[b]):
+                x, y = brute.find(parent, a), brute.find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    assert {d: r.component_id for d, r in got.items()} == {d: brute.find(parent, d) for d in parent}
+    order = sorted(chains, reverse=True)
+    assert all(got[d].near_next == pytest.approx(like(chains[d], chains[n])) for d, n in zip(order, order[1:], strict=False))
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.choice([0, 1, 2, 5, 30])) if i % 17 else None, rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s2", "s4", None])) for i in range(400)]

@@ -72,6 +72,28 @@ def _differ() -> str:
     return f"aggregate(zip_with({half('u_bits', least)}, {half('v_bits', least)}, (p, q) -> bit_count(p ^ q)), 0, (a, x) -> a + x)"
 
 
+def sketch_slices(counts: np.ndarray) -> list[bytes]:
+    """A task's counts, cut into slices that can be added up row by row."""
+    return [part.astype("<u4").tobytes() for part in np.split(counts, SKETCH_SLICES)]
+
+
+def sketch_of(slices: DataFrame) -> np.ndarray:
+    """The whole sketch from all tasks' (slice, counts); its size is fixed, whatever the input's."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(part, dtype="<u4").astype(np.int64)
+                sums[k] = sums[k] + got if k in sums else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), dtype=np.int64)
+    for row in slices.repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    return out.ravel()
+
+
 def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.ndarray]:
     """Per row doc_id, content (hash of the text), n (set size), cls (hash of the set; null where empty) and the set's
     bitmap (once per class and task); and a count sketch of all shingles by the low bits of their hash.
@@ -80,7 +102,6 @@ def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nd
     rows; a slice is added up row by row, so that memory is that of one slice.
     """
     cells = 1 << SKETCH_BITS
-    wide = cells // SKETCH_SLICES
     shape = "doc_id long, content long, n long, cls long, bits array<long>, slice int, counts binary"
     names = [f.split()[0] for f in shape.split(", ")]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
@@ -107,26 +128,13 @@ def read_once(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nd
             nothing = [None] * len(ns)
             columns = (batch.column(0), batch.column(1), ns, cls, bits, nothing, nothing)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-        parts = [total[i * wide : (i + 1) * wide].astype("<u4").tobytes() for i in range(SKETCH_SLICES)]
         nothing = [None] * SKETCH_SLICES
-        columns = (*[nothing] * 5, range(SKETCH_SLICES), parts)
+        columns = (*[nothing] * 5, range(SKETCH_SLICES), sketch_slices(total))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(part, dtype="<u4").astype(np.int64)
-                sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
-
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("string").alias("text"))
     both = materialize(rows.mapInArrow(run, shape), "classes")
-    out = np.zeros(cells, dtype=np.int64)
-    slices = both.filter("slice IS NOT NULL").select("slice", "counts").repartition(SKETCH_SLICES, "slice")
-    for row in slices.mapInArrow(add, "slice int, counts binary").collect():
-        out[row["slice"] * wide : (row["slice"] + 1) * wide] = np.frombuffer(row["counts"], dtype=np.int64)
-    return both.filter("slice IS NULL").select("doc_id", "content", "n", "cls", "bits"), out
+    return both.filter("slice IS NULL").select("doc_id", "content", "n", "cls", "bits"), sketch_of(both.filter("slice IS NOT NULL").select("slice", "counts"))
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
@@ -262,36 +270,31 @@ def _linked(pairs: DataFrame, known: DataFrame, fragments) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
-    the text) and component (a key that the texts of one component share; null for an empty set)."""
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    every, counts = read_once(docs, "text", "doc_id")
-    known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    known = materialize(known, "known-classes")
-    bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
-    ranks = frequency_classes(counts)
-    pivots = fragment_pivots(counts, ranks)
-    fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
-    found = materialize(shared_members(prefixes(docs, ranks, "text")), "members")
+def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
+    """(node, component) of classes over links, from ``shared`` (token, cls, packed): prefix rows of shingles that several classes have.
+
+    ``candidates(a, b, tested)`` gives pairs (u, v) of rows of a and b of different components that meet, without those in ``tested``;
+    ``linked(pairs)`` those that are links. Members meet the leaders of components first, then all that are still apart.
+    """
+    spark = shared.sparkSession
+    found = materialize(shared, "members")
     degree = found.groupBy("cls").agg(F.count("*").alias("degree"))
     members = materialize(found.join(degree, "cls"), "members-by-degree")
     discard(found)
-    spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "u long, v long")
     now = members.withColumn("comp", F.col("cls"))
     comps = spark.createDataFrame([], "node long, component long")
     spent = [members]
     for step in range(LEADER_ROUNDS + 1):
         dealt = now.repartition("token")
-        pairs = _pairs(_leaders(dealt), dealt) if step < LEADER_ROUNDS else _pairs(dealt, dealt)
-        pairs = materialize(_promising(pairs.join(tested, ["u", "v"], "left_anti"), bitmaps), f"pairs-{step}")
+        pairs = candidates(_leaders(dealt), dealt, tested) if step < LEADER_ROUNDS else candidates(dealt, dealt, tested)
+        pairs = materialize(pairs, f"pairs-{step}")
         if pairs.isEmpty():
             if step < LEADER_ROUNDS:
                 continue
             break
         tested = tested.union(pairs)
-        links = links.union(_linked(pairs, known, fragments))
+        links = links.union(linked(pairs))
         comps = components(links)
         if step < LEADER_ROUNDS:
             labelled = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
@@ -299,11 +302,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             open_ = labelled.withColumns({"__least": F.min("comp").over(token), "__most": F.max("comp").over(token)}).filter("__least <> __most")
             now = materialize(open_.select("token", "cls", "packed", "degree", "comp"), f"open-{step}")
             spent.append(now)
+    for df in spent:
+        discard(df)
+    return comps
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
+    the text) and component (a key that the texts of one component share; null for an empty set)."""
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    every, counts = read_once(docs, "text", "doc_id")
+    known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    known = materialize(known, "known-classes")
+    bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
+    ranks = frequency_classes(counts)
+    pivots = fragment_pivots(counts, ranks)
+    fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
+    pairs = lambda a, b, tested: _promising(_pairs(a, b).join(tested, ["u", "v"], "left_anti"), bitmaps)
+    comps = link_classes(shared_members(prefixes(docs, ranks, "text")), pairs, lambda found: _linked(found, known, fragments))
     placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
-    for df in spent:
-        discard(df)
     out = every.join(by_class, "cls", "left")
     component_id = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "content", "component")

@@ -5,18 +5,19 @@ that stands alone counts as a common word. At each common word, the anchor, the
 words, common words skipped, form a signature with it; a fingerprint is the set of signatures, 32 bits each, written as sorted hex. A text
 without any signature has its whole word sequence as one; a text without words has none.
 
-Likeness is the Jaccard similarity of two fingerprints, pruned by set length: sets whose lengths alone
-keep it under the floor asked for are not compared. ``near_classes`` deals the signatures of fingerprints
-to partitions of set lengths, so that only sets whose lengths can reach the threshold meet there.
+Likeness is the Jaccard similarity of two fingerprints. ``near_classes`` finds the documents whose fingerprints
+are at least 0.75 alike: fingerprints belong to partitions of set length, so that only sets whose lengths
+can reach the threshold meet; there they meet under the rarest of their signatures (a count sketch tells which), and
+the Jaccard similarity of those that meet is pruned by length before it is counted. Equal fingerprints are one class;
+classes are compared with the leaders of components first, so a large group never meets all against all.
 
 The successor of each document in descending doc_id comes with one exchange of the texts by ranges of
 doc_id, in order within a range; the first document of each range is also sent to the range before it.
-The ranges' bounds and first documents (at most ``MAX_RANGES`` each, whatever the input) are all that the
-driver sees.
+The ranges' bounds and first documents are all that the driver sees: one of each for every ``ROWS_PER_RANGE`` documents.
 
-Defined cases: null text counts as empty; null doc_id comes last; equal doc_ids are in order of a hash of
-their texts; a lone document is its own successor; an empty table gives no rows; extra columns are
-ignored.
+Defined cases: null text counts as empty and has an empty fingerprint, which is near no other; null doc_id comes last and
+takes no part in the least doc_id; equal doc_ids are in order of a hash of their texts; texts of any length count whole;
+a lone document is its own successor; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from wayfield.operators.components import components
+from wayfield.llm import shingle_join
 from wayfield.llm.tokens64 import MULTIPLIER, mixed
-from wayfield.llm.word_ids import _Bounded, raw_texts
-from wayfield.session import materialize
+from wayfield.llm.word_ids import _Bounded, raw_texts, short_batches
+from wayfield.session import discard, materialize
 
 CHAIN = 2
 #: Common words of English, German, French and Spanish.
@@ -46,8 +47,9 @@ COMMON = frozenset(
 )
 PUNCTUATION = b".,;:!?()[]{}\"'*#$%&|<>"
 ROWS_PER_RANGE = 2_000
-MIN_RANGES, MAX_RANGES = 24, 10_000
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+MIN_RANGES = 24
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cls long"
+MAX_BROADCAST_CLASSES = 2_000_000
 
 _COMMON_BYTES = frozenset(w.encode() for w in COMMON)
 
@@ -105,7 +107,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     keyed = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "tie": F.xxhash64("text")})
     n = rows.count()
-    ranges = int(min(MAX_RANGES, max(MIN_RANGES, n // ROWS_PER_RANGE)))
+    ranges = int(max(MIN_RANGES, n // ROWS_PER_RANGE))
     shares = [i / ranges for i in range(1, ranges)]
     splits = keyed.agg(F.percentile_approx("key", shares, 20 * ranges)).first()[0] or []
     bounds = np.unique(np.array(splits, dtype=np.int64))
@@ -123,7 +125,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
     own, again = F.struct(F.col("bucket"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
     both = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, again))
     dealt = placed.select("doc_id", "text", "key", "tie", F.explode(both).alias("to")).select("to.bucket", "to.tail", "key", "tie", "doc_id", "text")
-    return dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.desc("tie")).select("bucket", "tail", "doc_id", "text")
+    return dealt.repartitionByRange(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.desc("tie")).select("bucket", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -132,8 +134,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def class_of(s: np.ndarray) -> int | None:
+    """A hash that equal fingerprints share; none for an empty one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document as SCHEMA says."""
+    """One row per document as SCHEMA says, with component_id, the least doc_id among documents near it, in the place of cls."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    near = near_classes(rows)
+    few = near.count() <= MAX_BROADCAST_CLASSES
+    out = _with_successors(rows).join(F.broadcast(near) if few else near, "cls", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("cls")
+
+
+def _with_successors(rows: DataFrame) -> DataFrame:
+    """One row per document (doc_id, text) as SCHEMA says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (bucket, doc_id, text, signatures)
@@ -145,47 +161,118 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     mine = held[2].decode("utf-8")
                     other = edited(mine, raw.decode("utf-8")).encode("utf-8")
                     changed = signatures(other)
-                    rows.append((held[1], len(mine), hashlib.sha256(other).hexdigest(), written(held[3]), written(changed), likeness(held[3], changed), likeness(held[3], sigs)))
+                    rows.append((held[1], len(mine), hashlib.sha256(other).hexdigest(), written(held[3]), written(changed), likeness(held[3], changed), likeness(held[3], sigs), class_of(held[3])))
                 held = None if tail else (bucket, doc, raw, sigs)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     return _in_order(rows).mapInArrow(run, SCHEMA)
 
 
-def near_classes(prints: DataFrame, near: tuple[int, int] = (3, 4), doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """doc_id, component_id (least doc_id reachable over fingerprints at least ``near`` alike) and n_links of its class.
-
-    Equal fingerprints are one class; empty ones are linked with nothing. A class of n signatures belongs to
-    the partition floor(log(n) / log(1 / near)); two classes that can reach ``near`` are in the same partition
-    or in neighbours, so a class is also sent to the next one. There it is listed under the first
-    n - ceil(near * n) + 1 of its signatures, rare ones first, and classes that meet under one are compared.
-    """
-    up, down = near
-    base = prints.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{fingerprint}`"), F.lit("")).alias("f"))
-    base = base.withColumn("cls", F.xxhash64("f"))
-    classes = base.filter("f <> ''").groupBy("cls").agg(F.first("f").alias("f"), F.min("doc_id").alias("least"))
-    classes = materialize(classes.withColumn("n", (F.length("f") / 8).cast("long")), "spot-classes")
-    cut = "transform(sequence(0, cast(n as int) - 1), i -> substring(f, 8 * i + 1, 8))"
-    often = classes.select(F.explode(F.expr(cut)).alias("sig")).groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = classes.select("cls", "n", F.explode(F.expr(cut)).alias("sig")).join(often, "sig")
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "sig"))
-    first = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(down / up)) + 1e-9).cast("int")
-    first = materialize(first.select("cls", "n", "sig", part.alias("part")), "spot-prefixes")
-    a = first.select(F.col("cls").alias("u"), F.col("n").alias("u_n"), "sig", "part")
-    b = first.select(F.col("cls").alias("v"), F.col("n").alias("v_n"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("home"))
-    met = a.join(b, ["sig", "part"]).filter("(home < part OR u < v)").filter(down * F.least("u_n", "v_n") >= up * F.greatest("u_n", "v_n"))
-    pairs = met.select("u", "v").distinct()
-    side = lambda x: classes.select(F.col("cls").alias(x), F.expr(cut).alias(f"{x}_s"), F.col("n").alias(f"{x}_n"))
-    common = F.size(F.array_intersect("u_s", "v_s"))
-    links = pairs.join(side("u"), "u").join(side("v"), "v").filter(down * common >= up * (F.col("u_n") + F.col("v_n") - common)).select("u", "v")
-    links = materialize(links, "spot-links")
-    degree = links.select(F.col("u").alias("cls")).union(links.select(F.col("v").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    placed = classes.select("cls", "least").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = placed.join(least, "comp").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = base.join(known, "cls", "left")
-    return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def _prints(rows: DataFrame) -> DataFrame:
+    """doc_id, cls and the fingerprint's bytes (once per class and task) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int | None] = {None}
+        for batch in short_batches(batches):
+            classes, prints = [], []
+            for raw in raw_texts(batch.column(1)):
+                s = signatures(raw)
+                c = class_of(s)
+                classes.append(c)
+                prints.append(None if c in seen else s.tobytes())
+                seen.add(c)
+            if len(seen) > 100_000:
+                seen = {None}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "cls", "print"])
+
+    return rows.mapInArrow(run, "doc_id long, cls long, print binary")
+
+
+def _sketch(prints: DataFrame) -> np.ndarray:
+    """Counts of signatures by their low bits."""
+    cells = 1 << shingle_join.SKETCH_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint32)
+            total += np.bincount(every & np.uint32(cells - 1), minlength=cells)
+        parts = shingle_join.sketch_slices(total)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=["slice", "counts"])
+
+    return shingle_join.sketch_of(prints.select("print").mapInArrow(run, "slice int, counts binary"))
+
+
+def _prefixes(prints: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """token, cls and packed (n, place) of the rarest n - ceil(0.75 n) + 1 signatures of each class."""
+    shared = prints.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, mask = shared.value, np.uint32(len(shared.value) - 1)
+        for batch in short_batches(batches):
+            tokens, owners, packed = [], [], []
+            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(raw, dtype=np.uint32)
+                m = shingle_join.prefix_length(len(s))
+                tokens.append(s[np.argsort(rank[s & mask], kind="stable")[:m]].astype(np.int64))
+                owners.append(np.full(m, cls, dtype=np.int64))
+                packed.append((len(s) << 32) | np.arange(m, dtype=np.int64))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, packed)], names=["token", "cls", "packed"])
+
+    return prints.select("cls", "print").mapInArrow(run, "token long, cls long, packed long")
+
+
+def _length_part() -> Column:
+    """The partition of a set's length: floor(log(n) / log(4 / 3)); lengths that can reach 0.75 are in the same or in neighbours."""
+    return F.floor(F.log(F.shiftright("packed", 32).cast("double")) / float(np.log(shingle_join.DENOMINATOR / shingle_join.NUMERATOR)) + 1e-9).cast("int")
+
+
+def _pairs(a: DataFrame, b: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of classes that meet under a signature in a partition of set length; a class of ``a`` also visits its neighbours."""
+    near = lambda df: df.withColumn("part", F.explode(F.array(_length_part() - 1, _length_part(), _length_part() + 1)))
+    named = lambda rows, side: rows.select("token", "part", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "packed", "comp")))
+    met = named(near(a), "a").join(named(b.withColumn("part", _length_part()), "b"), ["token", "part"])
+    met = met.filter(F.col("a_comp") != F.col("b_comp")).filter(shingle_join._possible())
+    return met.select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+
+
+def _linked(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs whose pruned Jaccard similarity is at least 0.75."""
+    ids = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    wanted = prints.join(ids, "cls", "left_semi").groupBy("cls").agg(F.first("print").alias("print"))
+    side = lambda x: wanted.select(F.col("cls").alias(x), F.col("print").alias(f"{x}_print"))
+    up, down = shingle_join.NUMERATOR, shingle_join.DENOMINATOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                if down * min(len(a), len(b)) >= up * max(len(a), len(b)):
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if down * common >= up * (len(a) + len(b) - common):
+                        kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64())).select(["u", "v"])
+
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_print", "v_print")
+    return materialize(both.mapInArrow(run, "u long, v long"), "spot-links")
+
+
+def near_classes(rows: DataFrame) -> DataFrame:
+    """(cls, component_id) of the classes of fingerprints of documents (doc_id, text) whose component has several documents:
+    component_id is the least doc_id reachable over fingerprints at least 0.75 alike. All other documents are alone."""
+    own = materialize(_prints(rows), "spot-prints")
+    prints = own.filter("print IS NOT NULL").select("cls", "print")
+    ranks = shingle_join.frequency_classes(_sketch(prints))
+    comps = shingle_join.link_classes(shingle_join.shared_members(_prefixes(prints, ranks)), _pairs, lambda pairs: _linked(pairs, prints))
+    known = own.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = materialize(placed.select("cls", "component", "least", "n"), "spot-placed")
+    several = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1")
+    out = materialize(placed.select("cls", "component").join(several.select("component", "component_id"), "component").select("cls", "component_id"), "spot-components")
+    for df in (own, placed):
+        discard(df)
+    return out
