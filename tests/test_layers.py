@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wayfield.functions import crs, geometry, hexgrid, scoring
 from wayfield.operators import census, graph, isochrone, multires
 from wayfield.operators.components import components
-from wayfield.plans.core import distance_matrix
 from wayfield.sources import files, osm
 from wayfield.streaming.windows import intensity, sessions
 
@@ -81,7 +80,7 @@ def test_hexagons_hold_their_centres(spark):
 
 
 def test_scores(spark):
-    assert [r.value for r in distance_matrix(spark, [1.0, 0.8, 0.6, 0.4, 0.2], [250, 500, 750, 1000]).orderBy(F.desc("poi_quality"), "distance").collect()] == [1 - (i + j) / 8 for i in range(5) for j in range(4)]
+    assert [r.value for r in isochrone.default_matrix(spark, [1.0, 0.8, 0.6, 0.4, 0.2], [250, 500, 750, 1000]).orderBy(F.desc("poi_quality"), "distance").collect()] == [1 - (i + j) / 8 for i in range(5) for j in range(4)]
     f = scoring.calibrated(lambda v: scoring.elasticity_score(v.cast("double"), 10, -0.35), (720,), (5,))
     r = spark.range(1).select(scoring.elasticity_score(F.lit(10.0), 10, -0.35).alias("one"), f(F.lit(720)).alias("low"), f(F.lit(5)).alias("high")).first()
     assert (r.one, r.low, r.high) == (1.0, 0.0, 1.0) and scoring.elasticity_from_linear_decay(0.5, 1.0) == -1.0

@@ -11,7 +11,7 @@ from wayfield.functions import crs, geometry, scoring, text
 from wayfield.operators import census, graph, hexcells, multires, population, raster, service, snapping
 from wayfield.operators.sssp import bounded_distances
 from wayfield.plans import workflows
-from wayfield.sources import files, osm
+from wayfield.sources import files, osm, tiff
 
 
 def ring(*points):
@@ -189,6 +189,23 @@ def test_tags_and_osm_files(spark, tmp_path):
     assert [r.id for r in osm.large_areas(areas).collect()] == [0]
 
 
+def test_tiff_round_trip(spark, tmp_path):
+    import numpy as np
+
+    cells = spark.createDataFrame([(0, 0, 1.5), (1, 2, -3.0), (2, 1, 7.0)], "row_no long, col long, value double")
+    grid = raster.Grid(100.0, 50.0, 10.0, -10.0, 3, 4)
+    tiff.write_tiff(cells, grid, f"file://{tmp_path}/a.tif")
+    got, where = tiff.read_tiff(spark, f"file://{tmp_path}/a.tif")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in cells.collect()} and where == grid
+    data = (tmp_path / "a.tif").read_bytes()
+    assert tiff.pixels_of(data).shape == (3, 4) and np.isclose(tiff.pixels_of(data)[1, 2], -3.0)
+    tiff.write_tiff(cells, raster.Grid(100.0, 20.0, 10.0, 10.0, 3, 4), f"file://{tmp_path}/b.tif")
+    turned, where = tiff.read_tiff(spark, f"file://{tmp_path}/b.tif")
+    assert (where.y0, where.dy) == (50.0, -10.0) and {(r.row_no, r.value) for r in turned.collect()} == {(2, 1.5), (1, -3.0), (0, 7.0)}
+    with pytest.raises(ValueError):
+        tiff.tags_of(b"GIF89a..")
+
+
 def test_files(spark, tmp_path):
     square = {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]}
     (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": "1"}, "geometry": square}]}))

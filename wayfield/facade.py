@@ -320,6 +320,11 @@ class AccessibilityAnalyzer(Layer):
         self.result = {"reach": reach, "nodes": isochrone.node_labels(reach, min_edge), "edges": labelled, "placed": placed}
         return self.result
 
+    def default_distance_matrix(self, steps: Sequence[int]) -> DataFrame:
+        """The standard matrix over the qualities (thousandths) that the places have."""
+        found = self.pois.places.select((F.col("quality") / 1000).alias("q")).filter("q > 0").distinct().orderBy(F.desc("q"))
+        return isochrone.default_matrix(self.network.nodes.sparkSession, [r["q"] for r in found.limit(1000).collect()], steps)
+
     def run_buffers(self, points: DataFrame) -> DataFrame:
         """points (pid, x, y) with the best ring of straight-line distance, null where none reaches."""
         targets = self.pois.places.select(F.col("pid").alias("tid"), "x", "y")

@@ -54,6 +54,24 @@ def edge_reaches(edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int =
     return out.select("edge", "u", "v", "len", label.alias("rank_no"), F.filter(F.array(*cuts), lambda c: c["at"].isNotNull()).alias("cuts"))
 
 
+def edge_labels(edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int = 0) -> DataFrame:
+    """Edges (edge, u, v, len) with ``rank_no``: the best of both ends' labels and of what both ends' reaches cover together; null without any."""
+    own = edge_reaches(edges, reach, ranks, min_edge).drop("cuts")
+    labels = node_labels(reach, min_edge)
+    side = lambda s: labels.select(F.col("node").alias(s), F.col("rank_no").alias(f"{s}_rank"))
+    out = own.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return out.withColumn("rank_no", F.least("rank_no", "u_rank", "v_rank")).select("edge", "u", "v", "len", "rank_no")
+
+
+def default_matrix(spark, qualities: Sequence[float], steps: Sequence[float]) -> DataFrame:
+    """(poi_quality, distance, value): 1 - (place of quality, best first + place of step) / (qualities + steps - 1), an implicit quality 0
+    counted, not under 0, three decimals."""
+    ordered = sorted(set(qualities), reverse=True)
+    whole = len(ordered) + 1 + len(steps) - 2
+    rows = [(float(q), int(s), round(max(0.0, 1 - (i + j) / whole), 3)) for i, q in enumerate(ordered) for j, s in enumerate(steps)]
+    return spark.createDataFrame(rows, "poi_quality double, distance int, value double")
+
+
 def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edge: int = 0) -> tuple[DataFrame, DataFrame]:
     """Cut nodes (id, edge, cut) and edges (edge, u, v, len, rank_no) with every edge cut where a rank's reach ends."""
     judged = edge_reaches(edges, reach, ranks, min_edge)

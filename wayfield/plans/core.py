@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import hexgrid, scoring
+from wayfield.operators import isochrone
 from wayfield.operators.spatial import nearest, within
 from wayfield.operators.sssp import bounded_distances
 from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, RASTER, SIDE, STOPS, layer, with_layers
@@ -128,16 +129,10 @@ FROM edges e LEFT JOIN ranks a ON a.node = e.u LEFT JOIN ranks b ON b.node = e.v
 )
 def t5_edge_accessibility(spark, d):
     """Edge label: the best of both ends' labels and of what both ends' reaches cover together."""
-    pois = _snap(spark, d, _pois(spark, d), "poi")
-    reach = bounded_distances(_edges(spark, d), pois.select(F.lit(1).cast("long").alias("grp"), "node"), 2500)
-    ranks = reach.select("node", F.when(F.col("dist") < 1000, 0).when(F.col("dist") < 2500, 1).otherwise(2).alias("rank_no"), (1000 - F.col("dist")).alias("rem0"), (2500 - F.col("dist")).alias("rem1"))
-    side = lambda s: ranks.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("rank_no", "rem0", "rem1")))
-    both = _edges(spark, d).join(side("u"), "u", "left").join(side("v"), "v", "left")
-    left = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
-    covered = lambda k: left(f"u_rem{k}") + left(f"v_rem{k}") > F.col("len")
-    own = F.when(covered(0), 0).when(covered(1), 1).otherwise(2)
-    rank = F.least(F.coalesce("u_rank_no", F.lit(2)), F.coalesce("v_rank_no", F.lit(2)), own)
-    return both.select("u", "v", rank.cast("int").alias("rank_no"))
+    pois = _snap(spark, d, _pois(spark, d), "poi").select(F.lit(1).cast("long").alias("quality"), "node")
+    edges = _edges(spark, d).withColumn("edge", F.col("u") * 1_000_000 + F.col("v"))
+    reach = isochrone.reaches(edges, pois, isochrone.list_matrix(spark, [1000, 2500]))
+    return isochrone.edge_labels(edges, reach, 2).select("u", "v", F.coalesce("rank_no", F.lit(2)).alias("rank_no"))
 
 
 @query("j9_nearest_node", with_layers(SIDE, NODES, PEOPLE, SNAP_PEOPLE, body="SELECT person, node, d2 FROM people_nodes"))
@@ -194,12 +189,12 @@ def u2_symmetric_closure(spark, d):
 
 @query(
     "w5_cumulative_length",
-    with_layers(SIDE, NODES, EDGES, body="SELECT u, v, CAST(sum(len) OVER (PARTITION BY CAST(floor(u / n) AS BIGINT) ORDER BY u, v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM edges CROSS JOIN side WHERE v = u + 1"),
+    with_layers(SIDE, NODES, EDGES, body="SELECT u, v, CAST(sum(len) OVER (PARTITION BY u ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM edges"),
 )
 def w5_cumulative_length(spark, d):
-    e = _edges(spark, d).crossJoin(F.broadcast(layer(spark, d, SIDE, name="side"))).filter("v = u + 1")
-    w = Window.partitionBy(F.floor(F.col("u") / F.col("n"))).orderBy("u", "v").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("u", "v", F.sum("len").over(w).alias("run"))
+    """Length so far along the streets that leave a node, in the order of their other ends."""
+    w = Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return _edges(spark, d).select("u", "v", F.sum("len").over(w).alias("run"))
 
 
 @query(
@@ -215,17 +210,6 @@ def w12_headway(spark, d):
     return gaps.groupBy("stop", "mode", "day").agg(F.round(F.avg("gap"), 4).alias("headway"), F.count("gap").alias("n"))
 
 
-@query(
-    "a16_stop_speed",
-    with_layers(STOPS, body="""SELECT stop, round(sum(abs(value) * n) / sum(n), 6) AS speed, count(DISTINCT mode) AS n_modes, bool_or(value > 100) AS any_fast FROM (
-  SELECT stop, mode, value, event_id % 7 + 1 AS n FROM stops) GROUP BY stop"""),
-)
-def a16_stop_speed(spark, d):
-    s = layer(spark, d, STOPS, name="stops").withColumn("n", F.col("event_id") % 7 + 1)
-    speed = F.round(F.sum(F.abs("value") * F.col("n")) / F.sum("n"), 6)
-    return s.groupBy("stop").agg(speed.alias("speed"), F.countDistinct("mode").alias("n_modes"), F.bool_or(F.col("value") > 100).alias("any_fast"))
-
-
 @query(
     "w11_best_per_key",
     "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k = 1",
@@ -249,14 +233,7 @@ def u7_pivot(spark, d):
 
 @query("t1_distance_matrix", "SELECT q / CAST(1000 AS DOUBLE) AS poi_quality, d AS distance, round(greatest(0, 1 - (i + j) / CAST(8 AS DOUBLE)), 3) AS value FROM (VALUES (1000, 0), (800, 1), (600, 2), (400, 3), (200, 4)) a(q, i) CROSS JOIN (VALUES (250, 0), (500, 1), (750, 2), (1000, 3)) b(d, j)")
 def t1_distance_matrix(spark, d):
-    return distance_matrix(spark, [1.0, 0.8, 0.6, 0.4, 0.2], [250, 500, 750, 1000])
-
-
-def distance_matrix(spark, qualities, steps):
-    """value = 1 - (place of quality + place of step) / (qualities + steps - 1), an implicit quality 0 counted."""
-    ordered = sorted(set(qualities), reverse=True)
-    rows = [(q, s, round(max(0.0, 1 - (i + j) / (len(ordered) + 1 + len(steps) - 2)), 3)) for i, q in enumerate(ordered) for j, s in enumerate(steps)]
-    return spark.createDataFrame(rows, "poi_quality double, distance int, value double")
+    return isochrone.default_matrix(spark, [1.0, 0.8, 0.6, 0.4, 0.2], [250, 500, 750, 1000])
 
 
 @query("q1_elasticity_score", "SELECT l_orderkey, l_linenumber, round(pow(l_quantity / CAST(10 AS DOUBLE), CAST(-0.35 AS DOUBLE)), 6) AS score FROM lineitem")

@@ -9,7 +9,7 @@ from wayfield.functions import crs, geometry
 from wayfield.operators import census, graph, isochrone, multires
 from wayfield.operators.components import components
 from wayfield.plans.core import ARCS, SNAP_POIS, _edges, _nodes, _people, _pois, _snap, reach_sql
-from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, with_layers
+from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, layer, with_layers
 from wayfield.plans.registry import query, table
 from wayfield.streaming.windows import intensity
 
@@ -117,12 +117,12 @@ def x1_area_length(spark, d):
 
 @query(
     "x4_web_mercator",
-    with_layers(SIDE, PEOPLE, body="""SELECT person, round(radians(x / CAST(100 AS DOUBLE)) * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + radians(y / CAST(200 AS DOUBLE)) / 2)) * 6378137, 3) AS my
-FROM people WHERE x < 17000 AND y < 16000"""),
+    with_layers(SIDE, PEOPLE, body="""SELECT person, round(radians(x * CAST(1.5 AS DOUBLE) / n) * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + radians(y * CAST(0.8 AS DOUBLE) / n) / 2)) * 6378137, 3) AS my FROM people CROSS JOIN side"""),
 )
 def x4_web_mercator(spark, d):
-    p = _people(spark, d).filter("x < 17000 AND y < 16000")
-    m = crs.web_mercator(F.col("x") / F.lit(100.0), F.col("y") / F.lit(200.0))
+    """All people, their coordinates as shares of 150 and 80 degrees."""
+    p = _people(spark, d).crossJoin(F.broadcast(layer(spark, d, SIDE, name="side")))  # one row
+    m = crs.web_mercator(F.col("x") * F.lit(1.5) / F.col("n"), F.col("y") * F.lit(0.8) / F.col("n"))
     return p.select("person", m.alias("m")).select("person", F.round("m.x", 3).alias("mx"), F.round("m.y", 3).alias("my"))
 
 
@@ -159,11 +159,12 @@ def a11_block_rollup(spark, d):
     return census.roll_up_blocks(blocks, "code", 3, ["n"])
 
 
-@query("j5_outer_join_sources", """SELECT coalesce(a.k, b.k) AS GEOID, customers, suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k = b.k""")
+@query("j5_outer_join_sources", """SELECT coalesce(a.k, b.k) AS GEOID, orders, suppliers FROM (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1) a
+FULL JOIN (SELECT s_suppkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def j5_outer_join_sources(spark, d):
-    a = table(spark, d, "customer").filter("c_nationkey % 3 > 0").groupBy(F.col("c_nationkey").alias("GEOID")).agg(F.count("*").alias("customers"))
-    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("GEOID")).agg(F.count("*").alias("suppliers"))
+    """Counts of two sources by key, keys of either kept."""
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("GEOID")).agg(F.count("*").alias("orders"))
+    b = table(spark, d, "supplier").groupBy(F.col("s_suppkey").alias("GEOID")).agg(F.count("*").alias("suppliers"))
     return census.outer_join([a, b], ["GEOID"])
 
 

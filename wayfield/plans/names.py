@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfield.functions import scoring, text
+from wayfield.functions import display, scoring, text
 from wayfield.operators import census, graph, multires, service
 from wayfield.plans.core import _edges, _nodes, _people
 from wayfield.plans.layers import EDGES, NODES, PEOPLE, SIDE, STOPS, layer, with_layers
@@ -249,3 +249,35 @@ def a12_propagate_down(spark, d):
 def a14_statistics(spark, d):
     """Population by label, the total, and percents."""
     return census.statistics(_people(spark, d), "segment", "population", "total")
+
+
+@query("v1_marker_radius", "SELECT s_suppkey, round(CASE WHEN p > 0 THEN 12 * least(greatest(s_acctbal, 0), p) / p ELSE 12 END, 6) AS radius FROM supplier CROSS JOIN (SELECT quantile_cont(s_acctbal, CAST(0.9 AS DOUBLE)) AS p FROM supplier)")
+def v1_marker_radius(spark, d):
+    return display.with_radius(table(spark, d, "supplier"), "s_acctbal").select("s_suppkey", F.round("radius", 6).alias("radius"))
+
+
+@query("j18_stop_speeds", with_layers(STOPS, "sp AS (SELECT stop, mode, avg(value) AS speed FROM stops WHERE value > 0 GROUP BY 1, 2)", body="SELECT event_id, round(speed, 6) AS speed FROM stops LEFT JOIN sp ON sp.stop = stops.stop AND sp.mode = stops.mode AND stops.event_id % 3 > 0"))
+def j18_stop_speeds(spark, d):
+    """Speeds of stop and trip onto stop times, null where none is known."""
+    s = layer(spark, d, STOPS, name="stops")
+    trip = F.when(F.col("event_id") % 3 > 0, F.col("mode"))
+    speeds = s.filter("value > 0").groupBy("stop", "mode").agg(F.avg("value").alias("speed")).withColumnRenamed("mode", "trip")
+    return service.with_speeds(s.withColumn("trip", trip), speeds, ["stop", "trip"]).select("event_id", F.round("speed", 6).alias("speed"))
+
+
+@query("a16_stop_speed", with_layers(STOPS, body="""SELECT stop, round(sum(abs(value) * n) / sum(n), 6) AS speed, count(DISTINCT mode) AS n_modes, bool_or(value > 100) AS any_inside FROM (
+  SELECT stop, mode, value, event_id % 7 + 1 AS n FROM stops) GROUP BY stop"""))
+def a16_stop_speed(spark, d):
+    """Mean absolute speed by trips, number of modes, and whether any departure is fast, per stop."""
+    s = layer(spark, d, STOPS, name="stops").withColumns({"n": F.col("event_id") % 7 + 1, "fast": F.col("value") > 100})
+    return service.stop_speeds(s, "stop", "value", "n", "mode", "fast").withColumn("speed", F.round("speed", 6))
+
+
+@query("c1_multires_layers", with_layers(SIDE, PEOPLE, body="SELECT nation, segment, CAST(sum(population) AS BIGINT) AS people, round(max(jobs) / CAST(count(*) OVER (PARTITION BY nation) AS DOUBLE), 4) AS jobs FROM people JOIN (SELECT s_nationkey AS nation, count(*) AS jobs FROM supplier GROUP BY 1) USING (nation) GROUP BY nation, segment"))
+def c1_multires_layers(spark, d):
+    """Nations, segments of a nation, people: population goes up, suppliers come down, shared evenly."""
+    people = _people(spark, d).select("nation", F.concat_ws("|", "nation", "segment").alias("part"), F.col("population").alias("people"))
+    parts = _people(spark, d).select("nation", "segment", F.concat_ws("|", "nation", "segment").alias("part")).distinct()
+    jobs = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("jobs"))
+    layers = multires.MultiresLayers([jobs, parts, people], ["nation", "part", ""], {"people": "sum", "jobs": "sum"})
+    return layers[1].filter("jobs IS NOT NULL").select("nation", "segment", "people", F.round("jobs", 4).alias("jobs"))

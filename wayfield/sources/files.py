@@ -109,6 +109,14 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, through Hadoop's file systems."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def save(spark: SparkSession, path: str, kind: str, tables: dict[str, DataFrame], attributes: dict | None = None, overwrite: bool = False) -> None:
     """Tables as zstd Parquet in one folder, with a manifest of what it is."""
     for name, df in tables.items():
@@ -129,3 +137,20 @@ def load(spark: SparkSession, path: str, kind: str) -> tuple[dict[str, DataFrame
     if manifest["class"] != kind:
         raise TypeError(f"{path} holds {manifest['class']}, not {kind}")
     return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}, manifest["attributes"]
+
+
+#: Names of the yearly population rasters, by kind and by year.
+RASTERS_BEFORE_2015 = {"100m": "wpgpunadj", "1km": "wpicuadj1km"}
+RASTERS_FROM_2015 = "G2_CN_POP_R25A_{}"
+AGES, MINORS = "G2_CN_Age_2024_{}", "G2_Age_U18_R25A_{}"
+
+
+def population_raster(kind: str, year: int, resolution: str = "100m", subset: str | None = None) -> str:
+    """The name of the saved raster to look for: ``pop`` by year (to 2030), or ``age_structures``."""
+    if kind == "age_structures":
+        return MINORS.format(resolution) if subset in ("under_18", "U18") else subset or AGES.format(resolution)
+    if kind != "pop":
+        raise ValueError(f"unknown kind of raster: {kind}")
+    if year > 2030:
+        raise ValueError(f"no raster for {year}")
+    return RASTERS_FROM_2015.format(resolution) if year >= 2015 else subset or RASTERS_BEFORE_2015[resolution]
