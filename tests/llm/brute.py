@@ -118,22 +118,19 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def _estimate(x, keep, sampling, consistency, above, prior, start):
-    """(determinant, mean, spread) of least determinant over the concentration steps from one start."""
-    mean, cov, best = *start, (math.inf, None, None)
+def _estimate(x, keep, sampling, consistency, start):
+    """(determinant, documents kept, mean, spread) of least determinant over the concentration steps from one start."""
+    mean, cov, best = *start, (math.inf, 0, None, None)
     while True:
         c = x - mean
         d = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov + np.diag(sampling**2)), c)
         bins = np.floor(np.log2(d + 1) * 32)
         near = x[bins <= np.sort(bins)[math.ceil(keep * len(x)) - 1]].astype(float)
         mean, cov = near.mean(axis=0), consistency * np.cov(near.T, bias=True)
-        if above is not None:
-            w, off = prior / (len(near) + prior), mean - above[0]
-            mean, cov = (1 - w) * mean + w * above[0], (1 - w) * cov + w * above[1] + w * (1 - w) * np.outer(off, off)
         det = math.sqrt(np.linalg.det(cov + np.diag(sampling**2)))
         if det >= best[0] * (1 - 1e-9):
             return best
-        best = det, mean, cov
+        best = det, len(near), mean, cov
 
 
 def robust_distances(rows, sampling, keep, consistency, prior):
@@ -144,12 +141,17 @@ def robust_distances(rows, sampling, keep, consistency, prior):
         for key, *place, x in rows:
             groups[tuple(place[:depth])].append((key, x))
         for g, members in groups.items():
-            x, up = np.array([v for _, v in members]), above.get(g[:-1]) if depth else None
+            x = np.array([v for _, v in members])
             q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0)
-            starts = [(q2, np.diag(np.maximum((q3 - q1) / 1.349, sampling) ** 2 - sampling**2)), (x.mean(axis=0), np.cov(x.T, bias=True)), *([up] if depth else [])]
-            now[g] = min((_estimate(x, keep, sampling, consistency, up, prior, s) for s in starts), key=lambda e: e[0])[1:]
+            starts = [(q2, np.diag(np.maximum((q3 - q1) / 1.349, sampling) ** 2 - sampling**2)), (q2, np.zeros((4, 4))), (x.mean(axis=0), np.cov(x.T, bias=True))]
+            _, n, mean, cov = min((_estimate(x, keep, sampling, consistency, s) for s in starts), key=lambda e: e[0])
+            if depth:
+                up, w = above[g[:-1]], prior / (n + prior)
+                off = mean - up[0]
+                mean, cov = (1 - w) * mean + w * up[0], (1 - w) * cov + w * up[1] + w * (1 - w) * np.outer(off, off)
+            now[g] = mean, cov
             if depth == 2:
-                c, inverse = x - now[g][0], np.linalg.inv(now[g][1] + np.diag(sampling**2))
+                c, inverse = x - mean, np.linalg.inv(cov + np.diag(sampling**2))
                 out |= dict(zip((k for k, _ in members), np.einsum("ij,jk,ik->i", c, inverse, c), strict=True))
         above = now
     return out

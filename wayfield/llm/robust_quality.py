@@ -3,15 +3,16 @@
 Base statistics come from the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. Each document's
 statistic vector (word length, symbols per word, share of repeated lines, share of repeated words,
 each transformed) is held in thousandths as whole numbers. Per group a minimum-covariance-determinant
-estimate is made: from each of several starts (the coordinate-wise median with quartile ranges, all documents'
-mean and covariance, the estimate of the group above) the nearest share ``KEEP_SHARE`` of documents is kept, mean
+estimate is made: from each of several starts (the coordinate-wise median with quartile ranges, the median with sampling
+deviations alone, all documents' mean and covariance) the nearest share ``KEEP_SHARE`` of documents is kept, mean
 and covariance of these give new distances, and so on until the determinant no longer falls; of all
 starts and steps the one of least determinant wins. A document is rejected where its squared
 Mahalanobis distance is over ``CUTOFF``, the chi-square quantile for the four statistics; the covariance is made
 consistent for the share kept.
 
-Groups are (language, source), inside languages, inside all. A group's estimate counts the one above it as
-``PRIOR`` more documents, whatever its size: a group of a handful leans on its language, one of a million stands alone.
+Groups are (language, source), inside languages, inside all; all three are estimated in the same passes. In the end a
+group's estimate counts the one above it as ``PRIOR`` more documents, whatever its size: a group of a handful leans on
+its language, one of a million stands alone.
 A document's statistics vary by sampling besides: ``SAMPLING`` is the deviation in a document of ``MIN_WORDS`` words,
 and its square adds to the variances (the estimate is the regularised one, and never singular: most
 documents have no symbol and no repeated line). Each is small enough that its statistic alone can pass the
@@ -28,6 +29,8 @@ puts its own in the place of columns named as those).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +132,17 @@ def _bin(distance: str) -> str:
     return f"cast(floor(log2({distance} + 1) * {BINS_PER_OCTAVE}) as int)"
 
 
+#: A group: level (0 all, 1 a language, 2 a source of it), language and source, the last two empty where the level has none.
+GROUP = ["__lv", "__a", "__b"]
+RUN = [*GROUP, "__s"]
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     """Per group and start the smallest histogram bin that, with all below, holds the share to keep."""
-    histogram = rows.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("__c"))
-    total = Window.partitionBy("__g", "__s")
-    cumulated = histogram.select("__g", "__s", "__bin", F.sum("__c").over(total.orderBy("__bin")).alias("__below"), F.sum("__c").over(total).alias("__n"))
-    return cumulated.filter(F.col("__below") >= F.ceil(F.lit(KEEP_SHARE) * F.col("__n"))).groupBy("__g", "__s").agg(F.min("__bin").alias("__cut"))
+    histogram = rows.groupBy(*RUN, "__bin").agg(F.count("*").alias("__c"))
+    total = Window.partitionBy(*RUN)
+    cumulated = histogram.select(*RUN, "__bin", F.sum("__c").over(total.orderBy("__bin")).alias("__below"), F.sum("__c").over(total).alias("__n"))
+    return cumulated.filter(F.col("__below") >= F.ceil(F.lit(KEEP_SHARE) * F.col("__n"))).groupBy(*RUN).agg(F.min("__bin").alias("__cut"))
 
 
 P = len(FEATURES)
@@ -173,19 +181,19 @@ def _factored(means: dict[str, str], spreads: dict[str, str]) -> str:
     return _let("v", _struct(means | spreads), out)
 
 
-def _estimated(sums: DataFrame, above: DataFrame | None, keys: list[str], consistency: float = CONSISTENCY) -> DataFrame:
-    """Estimates from sums (``keys``, __up, SUMS), with the estimate above (__g) as PRIOR documents more."""
+def _estimated(consistency: float = CONSISTENCY) -> str:
+    """The estimate's struct from SUMS."""
     own = _struct({f"o{k}": f"__s{k} / __h" for k in range(P)})
-    spread = {kj: f"{consistency!r}D * (__s{kj} / __h - o.o{kj[0]} * o.o{kj[2]})" for kj in LOWER}
-    if above is None:
-        e = _factored({f"__m{k}": f"o.o{k}" for k in range(P)}, {f"__b{kj}": x for kj, x in spread.items()})
-        return sums.selectExpr(*keys, _let("o", own, e) + " AS __e")
+    spread = {f"__b{kj}": f"{consistency!r}D * (__s{kj} / __h - o.o{kj[0]} * o.o{kj[2]})" for kj in LOWER}
+    return _let("o", own, _factored({f"__m{k}": f"o.o{k}" for k in range(P)}, spread))
+
+
+def _pooled() -> str:
+    """The struct of the estimate in __e over __h documents with the one above, in __up, as PRIOR documents more."""
     w = f"({float(PRIOR)!r}D / (__h + {float(PRIOR)!r}D))"
-    means = {f"__m{k}": f"(1 - {w}) * o.o{k} + {w} * __m{k}_up" for k in range(P)}
-    apart = lambda kj: f"(o.o{kj[0]} - __m{kj[0]}_up) * (o.o{kj[2]} - __m{kj[2]}_up)"
-    pooled = {f"__b{kj}": f"(1 - {w}) * {x} + {w} * __b{kj}_up + {w} * (1 - {w}) * {apart(kj)}" for kj, x in spread.items()}
-    named = above.selectExpr("__g AS __up", *(f"{c} AS {c}_up" for c in (*MEANS, *SPREADS)))
-    return sums.join(named, "__up").selectExpr(*keys, _let("o", own, _factored(means, pooled)) + " AS __e")
+    apart = lambda k: f"(__e.__m{k} - __up.__m{k})"
+    means = {c: f"(1 - {w}) * __e.{c} + {w} * __up.{c}" for c in MEANS}
+    return _factored(means, {f"__b{kj}": f"(1 - {w}) * __e.__b{kj} + {w} * __up.__b{kj} + {w} * (1 - {w}) * {apart(kj[0])} * {apart(kj[2])}" for kj in LOWER})
 
 
 def _distance() -> str:
@@ -196,21 +204,16 @@ def _distance() -> str:
     return "(" + " + ".join(f"{v} * {v}" for v in z) + ")"
 
 
-def _starts(rows: DataFrame, above: DataFrame | None) -> DataFrame:
-    """The estimates (__g, __s, __up, ...) that concentration begins from."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates (GROUP, __s, __e) that concentration begins from."""
     quartiles = [f"percentile({x}, array(0.25D, 0.5D, 0.75D)) AS __q{k}" for k, x in enumerate(X)]
-    each = materialize(rows.groupBy("__g").agg(*map(F.expr, ["first(__up) AS __up", *quartiles, *SUMS])), "quality-groups")
-    keys = ["__g", "__up"]
+    each = materialize(rows.groupBy(*GROUP).agg(*map(F.expr, [*quartiles, *SUMS])), "quality-groups")
     spread = lambda k: f"pow(greatest((__q{k}[2] - __q{k}[0]) / 1.349D, {SAMPLING[k] * SCALE!r}D), 2.0D) - {(SAMPLING[k] * SCALE) ** 2!r}D"
-    median = _factored({f"__m{k}": f"__q{k}[1]" for k in range(P)}, {f"__b{k}_{j}": spread(k) if k == j else "0.0D" for k in range(P) for j in range(k + 1)})
-    out = each.selectExpr(*keys, median + " AS __e", "0 AS __s")
-    out = out.unionByName(_estimated(each, None, keys, 1.0).withColumn("__s", F.lit(1)))
-    if above is not None:
-        fields = [*MEANS, *SPREADS, *FACTORS, "__det"]
-        around = above.select(F.col("__g").alias("__up"), F.struct(*fields).alias("__e"))
-        out = out.unionByName(each.select(*keys).join(around, "__up").withColumn("__s", F.lit(2)))
-    out = materialize(out, "quality-starts").select(*keys, "__s", "__e.*")
-    return out.withColumn("__det", F.lit(float("inf")))
+    median = {f"__m{k}": f"__q{k}[1]" for k in range(P)}
+    diagonal = lambda f: {f"__b{k}_{j}": f(k) if k == j else "0.0D" for k in range(P) for j in range(k + 1)}
+    starts = [_factored(median, diagonal(spread)), _factored(median, diagonal(lambda k: "0.0D")), _estimated(1.0)]
+    one = "explode(array(" + ", ".join(f"struct({i} AS __s, {e} AS __e)" for i, e in enumerate(starts)) + ")) AS x"
+    return materialize(each.selectExpr(*GROUP, one).select(*GROUP, "x.*"), "quality-starts")
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -220,41 +223,42 @@ def _named(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("~"))
 
 
-def _concentrate(rows: DataFrame, above: DataFrame | None) -> DataFrame:
-    """Per group (__g, inside __up) the estimate of least determinant; ``above`` has those of the groups around."""
-    keys = ["__g", "__s", "__up"]
-    moving = _starts(rows, above)
-    n_groups, found, written = moving.count(), [moving], []
+def _concentrate(rows: DataFrame) -> DataFrame:
+    """Per group (GROUP) the estimate of least determinant, as __e, over how many documents, as __h."""
+    starts = _starts(rows)
+    moving = starts.select(*RUN, "__e.*").withColumn("__det", F.lit(float("inf")))
+    n_groups, found, written = starts.count(), [], [starts]
     while not moving.isEmpty():  # each round lowers the determinant of all that stay in it, so there is a last one
-        binned = _attach(rows.select("__g", *X), moving, ["__g"], n_groups, "inner").selectExpr(*keys, *X, _bin(_distance()) + " AS __bin")
-        near = _attach(binned, _cut(binned), ["__g", "__s"], n_groups).filter(F.col("__bin") <= F.col("__cut"))
-        before = moving.select("__g", "__s", F.col("__det").alias("__before"))
-        after = materialize(_estimated(near.groupBy(*keys).agg(*map(F.expr, SUMS)), above, keys).join(before, ["__g", "__s"]), "quality-estimate")
-        moving = after.select(*keys, "__before", "__e.*").filter(F.col("__det") < (1 - SETTLED) * F.col("__before")).drop("__before")
+        binned = _attach(rows, moving, GROUP, n_groups, "inner").selectExpr(*RUN, *X, "__det AS __before", _bin(_distance()) + " AS __bin")
+        near = _attach(binned, _cut(binned), RUN, n_groups).filter(F.col("__bin") <= F.col("__cut"))
+        sums = near.groupBy(*RUN, "__before").agg(*map(F.expr, SUMS))
+        after = materialize(sums.selectExpr(*RUN, "__before", "__h", _estimated() + " AS __e"), "quality-estimate")
+        fell = after.filter(F.col("__e.__det") < (1 - SETTLED) * F.col("__before"))
+        moving = fell.select(*RUN, "__e.*")
         written.append(after)
-        found.append(moving)
-    every = found[0]
-    for df in found[1:]:
-        every = every.unionByName(df)
-    columns = ["__g", *MEANS, *SPREADS, *FACTORS, "__det"]
-    best = F.min_by(F.struct(*columns), F.struct("__det", "__s")).alias("e")
-    out = materialize(every.groupBy("__g").agg(best).select("e.*"), "quality-estimate")
+        found.append(fell.select(*RUN, "__h", "__e"))
+    if not found:
+        return starts.select(*GROUP, F.lit(0.0).alias("__h"), "__e")
+    best = F.min_by(F.struct("__h", "__e"), F.struct("__e.__det", "__s")).alias("x")
+    out = materialize(reduce(DataFrame.unionByName, found).groupBy(*GROUP).agg(best).select(*GROUP, "x.*"), "quality-estimates")
     for df in written:
         discard(df)
     return out
 
 
-def _group() -> Column:
-    return F.concat_ws("\t", "__lang", "__source")
-
-
 def _fit(stats: DataFrame) -> DataFrame:
-    """The estimate of each (language, source) that has sound documents."""
+    """The estimate (MEANS, FACTORS) of each __lang, __source that has sound documents, those above counted in."""
     sound = stats.filter(~F.col("base_failed"))
-    whole = F.lit("")
-    above = _concentrate(sound.select(whole.alias("__g"), whole.alias("__up"), *X), None)
-    above = _concentrate(sound.select(F.col("__lang").alias("__g"), whole.alias("__up"), *X), above)
-    return _concentrate(sound.select(_group().alias("__g"), F.col("__lang").alias("__up"), *X), above)
+    none = F.lit("")
+    levels = F.array(*(F.struct(F.lit(i).alias("__lv"), a.alias("__a"), b.alias("__b")) for i, (a, b) in enumerate(((none, none), (F.col("__lang"), none), (F.col("__lang"), F.col("__source"))))))
+    every = _concentrate(sound.select(F.explode(levels).alias("__k"), *X).select("__k.*", *X))
+    level = lambda i: every.filter(F.col("__lv") == i)
+    langs = level(1).crossJoin(F.broadcast(level(0).select(F.col("__e").alias("__up"))))  # one row for all documents
+    langs = materialize(langs.selectExpr("__a", _pooled() + " AS __up"), "quality-languages")
+    out = level(2).join(langs, "__a").selectExpr("__a AS __lang", "__b AS __source", _pooled() + " AS __e")
+    out = materialize(out, "quality-fitted")
+    discard(every)
+    return out.select("__lang", "__source", *(f"__e.{c}" for c in (*MEANS, *FACTORS)))
 
 
 def measured(docs: DataFrame, text: str, lang: str, source: str, carried: Column) -> DataFrame:
@@ -267,7 +271,7 @@ def measured(docs: DataFrame, text: str, lang: str, source: str, carried: Column
 def _verdicts(stats: DataFrame) -> DataFrame:
     """``stats`` with ``distance`` (squared) and ``kept``."""
     estimate = _fit(stats)
-    judged = _attach(stats.withColumn("__g", _group()), estimate, ["__g"], estimate.count())
+    judged = _attach(stats, estimate, ["__lang", "__source"], estimate.count())
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.expr(_distance())))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
