@@ -339,8 +339,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     filters = None
     if size <= BROADCAST_BYTES:
-        rows = pairs.select("shard", "body").collect()
-        filters = spark.sparkContext.broadcast(([(r["shard"], len(r["body"])) for r in rows], b"".join(r["body"] for r in rows)))
+        held, data = [], bytearray()
+        for row in pairs.select("shard", "body").toLocalIterator():  # a partition at a time, so that the driver holds the filter once
+            held.append((row["shard"], len(row["body"])))
+            data += row["body"]
+        filters = spark.sparkContext.broadcast((held, data))
+        del data
     else:
         chunks = chunks.join(_dealt_levels(chunks, pairs.select("shard", "body"), pair_bits), "chunk")
 
