@@ -101,6 +101,26 @@ def test_repeated_strings_go(spark):
     suffix_levels.HOT_GROUP = 2048
 
 
+def test_marked_texts_are_told_by_a_filter_of_bounded_size(spark, monkeypatch):
+    passage = "".join(random.Random(1).choices("abcdef ", k=500))
+    rows = [(i, passage * (i % 3 == 0) + "".join(random.Random(i).choices("abcdef ", k=300))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.removed_repeats(rows)
+    for bits in (1 << 26, 1 << 6):
+        monkeypatch.setattr(suffix_levels, "FILTER_BITS", bits, raising=False)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_levels.remove_repeats(df).collect()} == want
+    texts = spark.range(2000).select(F.xxhash64("id").alias("content"), F.lit("x").alias("text"))
+    lists = spark.range(1000).select(F.xxhash64("id").alias("content"), F.array(F.lit(1)).alias("marks"))
+    monkeypatch.setattr(suffix_levels, "FILTER_BITS", 1 << 26, raising=False)
+    marked, rest = suffix_levels._with_lists(texts, lists)
+    assert marked.filter("marks IS NOT NULL").count() == 1000 and rest.count() > 900
+    for part in (marked, rest):
+        assert "strategy=broadcast" not in part._jdf.queryExecution().optimizedPlan().toString()
+    windows = spark.createDataFrame([(1, i, 0, True, (passage[:450] + str(i)).encode()) for i in range(5)], "key long, content long, first long, single boolean, bytes binary")
+    compared = suffix_levels._compare_by_exchange(windows)
+    assert "Join LeftSemi" in compared._jdf.queryExecution().optimizedPlan().toString() and compared.count() == 5 * 51
+
+
 def test_levels_persist_and_merge_geometrically(spark, tmp_path):
     texts = ["".join(random.Random(i).choices("abcdef ", k=900)) for i in range(6)]
     texts[5] = texts[0][100:700] + texts[5]
