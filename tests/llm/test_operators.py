@@ -121,6 +121,19 @@ def test_marked_texts_are_told_by_a_filter_of_bounded_size(spark, monkeypatch):
     assert "Join LeftSemi" in compared._jdf.queryExecution().optimizedPlan().toString() and compared.count() == 5 * 51
 
 
+def test_near_duplicates_hold_little_at_once(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen, write, usual = [], shingle_join.materialize, spark.conf.get(name)
+    monkeypatch.setattr(shingle_join, "materialize", lambda *a, **b: (seen.append(spark.conf.get(name)), write(*a, **b))[1])
+    df = spark.createDataFrame([(i, f"{'a b c d e f g h ' * 3} {i % 2}") for i in range(20)], "doc_id long, text string")
+    assert {r.component_id for r in shingle_join.near_duplicates(df).collect()} <= {0, 1}
+    assert seen and set(seen) == {str(4 << 20)} and spark.conf.get(name) == usual
+    rows = spark.createDataFrame([(1, 5, 0), (1, 5, 1), (1, 6, 0), (2, 5, 3)], "token long, cls long, packed long")
+    shared = shingle_join.shared_members(rows)
+    assert shared._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
+    assert sorted(map(tuple, shared.collect())) == [(1, 5, 0), (1, 6, 0)]
+
+
 def test_levels_persist_and_merge_geometrically(spark, tmp_path):
     texts = ["".join(random.Random(i).choices("abcdef ", k=900)) for i in range(6)]
     texts[5] = texts[0][100:700] + texts[5]

@@ -37,7 +37,7 @@ from wayfield.llm.carry import packed, unpacked
 from wayfield.operators.components import components
 from wayfield.llm.tokens64 import shingle_set, word_hashes
 from wayfield.llm.word_ids import raw_texts, short_batches
-from wayfield.session import discard, materialize
+from wayfield.session import discard, materialize, small_batches
 
 WORDS = 5
 #: The threshold as a fraction, so that every comparison is between whole numbers.
@@ -186,8 +186,9 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, text: str) -> DataFrame:
 
 def shared_members(rows: DataFrame) -> DataFrame:
     """The prefix rows of shingles that two classes or more have, once per class."""
-    token, ordered = Window.partitionBy("token"), Window.partitionBy("token").orderBy("cls", "packed")
-    marked = rows.withColumns({"__least": F.min("cls").over(token), "__most": F.max("cls").over(token), "__before": F.lag("cls").over(ordered)})
+    ordered = Window.partitionBy("token").orderBy("cls", "packed")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the same order, so that rows are sorted once
+    marked = rows.withColumns({"__least": F.min("cls").over(whole), "__most": F.max("cls").over(whole), "__before": F.lag("cls").over(ordered)})
     return marked.filter("__least <> __most AND (__before IS NULL OR __before <> cls)").select("token", "cls", "packed")
 
 
@@ -311,18 +312,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
     the text) and component (a key that the texts of one component share; null for an empty set)."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    every, counts = read_once(docs, "text", "doc_id")
-    known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    known = materialize(known, "known-classes")
-    bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
-    ranks = frequency_classes(counts)
-    pivots = fragment_pivots(counts, ranks)
-    fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
-    pairs = lambda a, b, tested: _promising(_pairs(a, b).join(tested, ["u", "v"], "left_anti"), bitmaps)
-    comps = link_classes(shared_members(prefixes(docs, ranks, "text")), pairs, lambda found: _linked(found, known, fragments))
-    placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
-    least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
+    with small_batches(docs.sparkSession):
+        every, counts = read_once(docs, "text", "doc_id")
+        known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
+        known = materialize(known, "known-classes")
+        bitmaps = every.filter("bits IS NOT NULL").select("cls", "n", "bits")
+        ranks = frequency_classes(counts)
+        pivots = fragment_pivots(counts, ranks)
+        fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
+        pairs = lambda a, b, tested: _promising(_pairs(a, b).join(tested, ["u", "v"], "left_anti"), bitmaps)
+        comps = link_classes(shared_members(prefixes(docs, ranks, "text")), pairs, lambda found: _linked(found, known, fragments))
+        placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
+        least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+        by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
     out = every.join(by_class, "cls", "left")
     component_id = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "content", "component")
