@@ -370,6 +370,22 @@ def test_near_fingerprints_against_plain_chains(spark):
     assert all(got[d].near_next == pytest.approx(like(chains[d], chains[n])) for d, n in zip(order, order[1:], strict=False))
 
 
+def test_only_promising_fingerprints_meet(spark, monkeypatch):
+    written, write = {}, spot_sigs.materialize
+    monkeypatch.setattr(spot_sigs, "materialize", lambda df, label, *a: written.setdefault(label, write(df, label, *a)))
+    sets = {c: np.arange(c * 1000, c * 1000 + 100, dtype=np.uint32) * np.uint32(2654435761) for c in range(40)}
+    sets[40] = np.concatenate([sets[0][:95], sets[1][:5]])
+    prints = spark.createDataFrame([(c, np.sort(x).tobytes()) for c, x in sets.items()], "cls long, print binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(41) for b in range(a + 1, 41)], "u long, v long")
+    assert [tuple(r) for r in spot_sigs._linked(pairs, prints).collect()] == [(0, 40)]
+    assert "spot-promising" in written
+    rows = spark.createDataFrame([(1, c, (100 << 32) | c, 1, c) for c in range(9)], "token long, cls long, packed long, degree long, comp long")
+    tested = spark.createDataFrame([], "u long, v long")
+    met = spot_sigs._pairs(shingle_join._leaders(rows.repartition("token")), rows, tested)
+    assert "Generate explode" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count() == 4 * 5 + 6 and spot_sigs._pairs(rows, rows, tested).count() == 36
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.choice([0, 1, 2, 5, 30])) if i % 17 else None, rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s2", "s4", None])) for i in range(400)]

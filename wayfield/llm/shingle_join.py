@@ -274,7 +274,7 @@ def _linked(pairs: DataFrame, known: DataFrame, fragments) -> DataFrame:
 def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
     """(node, component) of classes over links, from ``shared`` (token, cls, packed): prefix rows of shingles that several classes have.
 
-    ``candidates(a, b, tested)`` gives pairs (u, v) of rows of a and b of different components that meet, without those in ``tested``;
+    ``candidates(a, b, tested)`` gives pairs (u, v) of rows of a (leaders, or b itself) and b of different components that meet, without those in ``tested``;
     ``linked(pairs)`` those that are links. Members meet the leaders of components first, then all that are still apart.
     """
     spark = shared.sparkSession
@@ -287,8 +287,7 @@ def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
     comps = spark.createDataFrame([], "node long, component long")
     spent = [members]
     for step in range(LEADER_ROUNDS + 1):
-        dealt = now.repartition("token")
-        pairs = candidates(_leaders(dealt), dealt, tested) if step < LEADER_ROUNDS else candidates(dealt, dealt, tested)
+        pairs = candidates(_leaders(now.repartition("token")) if step < LEADER_ROUNDS else now, now, tested)
         pairs = materialize(pairs, f"pairs-{step}")
         if pairs.isEmpty():
             if step < LEADER_ROUNDS:

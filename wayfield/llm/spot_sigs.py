@@ -8,7 +8,7 @@ without any signature has its whole word sequence as one; a text without words h
 Likeness is the Jaccard similarity of two fingerprints. ``near_classes`` finds the documents whose fingerprints
 are at least 0.75 alike: fingerprints belong to partitions of set length, so that only sets whose lengths
 can reach the threshold meet; there they meet under the rarest of their signatures (a count sketch tells which), and
-the Jaccard similarity of those that meet is pruned by length before it is counted. Equal fingerprints are one class;
+the Jaccard similarity of those that meet is pruned by length and by bitmaps before it is counted. Equal fingerprints are one class;
 classes are compared with the leaders of components first, so a large group never meets all against all.
 
 The successor of each document in descending doc_id comes with one exchange of the texts by ranges of
@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from wayfield.llm import shingle_join
+from wayfield.llm import shingle_join, suffix_levels
 from wayfield.llm.tokens64 import MULTIPLIER, mixed
 from wayfield.llm.word_ids import _Bounded, raw_texts, short_batches
-from wayfield.session import discard, materialize
+from wayfield.session import discard, materialize, small_batches
 
 CHAIN = 2
 #: Common words of English, German, French and Spanish.
@@ -142,7 +142,8 @@ def class_of(s: np.ndarray) -> int | None:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document as SCHEMA says, with component_id, the least doc_id among documents near it, in the place of cls."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    near = near_classes(rows)
+    with small_batches(rows.sparkSession):
+        near = near_classes(rows)
     few = near.count() <= MAX_BROADCAST_CLASSES
     out = _with_successors(rows).join(F.broadcast(near) if few else near, "cls", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("cls")
@@ -231,18 +232,41 @@ def _length_part() -> Column:
 
 
 def _pairs(a: DataFrame, b: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of classes that meet under a signature in a partition of set length; a class of ``a`` also visits its neighbours."""
-    near = lambda df: df.withColumn("part", F.explode(F.array(_length_part() - 1, _length_part(), _length_part() + 1)))
-    named = lambda rows, side: rows.select("token", "part", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "packed", "comp")))
-    met = named(near(a), "a").join(named(b.withColumn("part", _length_part()), "b"), ["token", "part"])
+    """Pairs of classes that meet under a signature in the same or neighbouring partitions of set length. A signature's leaders, few by
+    count, meet all there; where a is b, a class visits its neighbours, and a partition of a signature is a group of its own."""
+    named = lambda rows, side, part: rows.select("token", part, *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "packed", "comp")))
+    if a is b:
+        near = F.explode(F.array(_length_part() - 1, _length_part(), _length_part() + 1)).alias("part")
+        met = named(a, "a", near).join(named(b, "b", _length_part().alias("part")), ["token", "part"])
+    else:
+        met = named(a, "a", _length_part().alias("a_part")).join(named(b, "b", _length_part().alias("b_part")), "token")
+        met = met.filter(F.abs(F.col("a_part") - F.col("b_part")) <= 1)
     met = met.filter(F.col("a_comp") != F.col("b_comp")).filter(shingle_join._possible())
     return met.select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
 
 
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+
+
+def _bitmaps(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, n and the bitmap (a fifth of a fingerprint's bytes) of the classes in ``pairs``, and few others."""
+    shared = prints.sparkSession.sparkContext.broadcast(suffix_levels.bloom(_classes_of(pairs), "cls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short_batches(batches):
+            batch = batch.filter(pa.array(suffix_levels.hits(shared.value, batch.column(0).to_numpy())))
+            sets = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in batch.column(1).to_pylist()]
+            bits = pa.array([shingle_join.bitmap(mixed(s)) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), bits], names=["cls", "n", "bits"])
+
+    return prints.select("cls", "print").mapInArrow(run, "cls long, n long, bits array<long>")
+
+
 def _linked(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs whose pruned Jaccard similarity is at least 0.75."""
-    ids = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = prints.join(ids, "cls", "left_semi").groupBy("cls").agg(F.first("print").alias("print"))
+    """The pairs whose pruned Jaccard similarity is at least 0.75; only those whose bitmaps leave room for it meet as fingerprints."""
+    pairs = materialize(shingle_join._promising(pairs, _bitmaps(prints, pairs)), "spot-promising")
+    wanted = prints.filter(suffix_levels.maybe_in(_classes_of(pairs), "cls")).groupBy("cls").agg(F.first("print").alias("print"))
     side = lambda x: wanted.select(F.col("cls").alias(x), F.col("print").alias(f"{x}_print"))
     up, down = shingle_join.NUMERATOR, shingle_join.DENOMINATOR
 
@@ -258,7 +282,9 @@ def _linked(pairs: DataFrame, prints: DataFrame) -> DataFrame:
             yield batch.take(pa.array(kept, pa.int64())).select(["u", "v"])
 
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_print", "v_print")
-    return materialize(both.mapInArrow(run, "u long, v long"), "spot-links")
+    links = materialize(both.mapInArrow(run, "u long, v long"), "spot-links")
+    discard(pairs)
+    return links
 
 
 def near_classes(rows: DataFrame) -> DataFrame:
