@@ -251,3 +251,12 @@ def test_projection_and_geometry(spark):
     assert raster.kernel_size(1) == 5 and raster.kernel_size(2) == 13 and raster.kernel_size(1, "square") == 9
     touched = population.touched_by_streets(raster.Grid(0, 0, 10, 10, 3, 3), spark.createDataFrame([(1.0, 1.0, 29.0, 1.0)], "ax double, ay double, bx double, by double"), 0.0)
     assert {tuple(r) for r in touched.collect()} == {(0, 0), (0, 1), (0, 2)}
+
+
+def test_band_holds_values_exactly_one_deviation_away(spark):
+    rows = [(f"n{n}-{at}", d, 8.0 + (d + at) % 2) for n in (4, 6, 8, 12, 20) for at in (0, 1) for d in range(n)]
+    days = spark.createDataFrame(rows, "feed string, day int, v double")
+    want = sorted((feed, day) for feed, day, _ in rows)
+    for parts in (1, 2, 3):
+        assert sorted((r.feed, r.day) for r in service.modal_band(days.repartition(parts), "v", "feed").collect()) == want
+    assert service.representative(days, "v", "day", "feed").first()["v"] == 9.0

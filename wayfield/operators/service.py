@@ -13,6 +13,7 @@ from wayfield.functions.scoring import TransitScore, grid_ceiling_clipped
 def modal_band(rows: DataFrame, value: str, by: str | None = None, bins: int = 5) -> DataFrame:
     """Rows whose value is usual: at least half the 90th percentile, in the fullest of ``bins`` equal bins of these (tied bins and
     all between them count), and within one deviation of the mean there. ``band_mean`` is that mean. One band per ``by``.
+    A value exactly one deviation away counts; for whole numbers this is decided without rounding, whatever the order of rows.
 
     Steps are grouped sums whose results (a few numbers per group) are joined back.
     """
@@ -39,8 +40,10 @@ def modal_band(rows: DataFrame, value: str, by: str | None = None, bins: int = 5
     modal = counts.withColumn("__most", most).filter("__n = __most").groupBy("__of").agg(F.min("__bin").alias("__b0"), F.max("__bin").alias("__b1"))
     edge = lambda b: F.col("__lo") + F.col(b) * (F.col("__hi") - F.col("__lo")) / bins
     inside = attach(binned, modal).filter((F.col("__v") >= edge("__b0")) & (F.col("__v") <= F.col("__lo") + (F.col("__b1") + 1) * (F.col("__hi") - F.col("__lo")) / bins))
-    stats = inside.groupBy(of).agg(F.avg("__v").alias("band_mean"), F.stddev_pop("__v").alias("__s"), F.count("*").alias("__n"))
-    out = attach(inside, stats).filter("__n = 1 OR abs(__v - band_mean) <= __s")
+    inside = inside.withColumn("__x", F.col("__v") - F.col("__lo"))
+    # n x - sum x and n sum x^2 - (sum x)^2 are n times the distance from the mean and n^2 times the variance
+    stats = inside.groupBy(of).agg(F.avg("__v").alias("band_mean"), F.sum("__x").alias("__sum"), F.sum(F.col("__x") * F.col("__x")).alias("__squares"), F.count("*").alias("__n"))
+    out = attach(inside, stats).filter("__n = 1 OR (__n * __x - __sum) * (__n * __x - __sum) <= __n * __squares - __sum * __sum")
     columns = [c for c in rows.columns if not c.startswith("__")]
     return out.select(*dict.fromkeys([*keys, *columns]), "band_mean")
 
