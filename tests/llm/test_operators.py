@@ -121,6 +121,20 @@ def test_marked_texts_are_told_by_a_filter_of_bounded_size(spark, monkeypatch):
     assert "Join LeftSemi" in compared._jdf.queryExecution().optimizedPlan().toString() and compared.count() == 5 * 51
 
 
+def test_near_duplicates_broadcast_only_what_is_counted(spark, tmp_path):
+    """Joins of exchanged sides build nothing on the driver; the classes whose fragments are read are counted and sent."""
+    texts = [" ".join(f"w{(k * 7 + i) % 997}" for i in range(60)) + f" x{k % 3}" * (k % 4) for k in range(40) for _ in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, store = spark.read.parquet(f"{tmp_path}/docs"), spark._jsparkSession.sharedState().statusStore()
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), store.executionsCount()
+    found = shingle_join.near_duplicates(docs)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert len(plans) > 10 and all("MapInArrow" in x for x in plans if "BroadcastExchange" in x)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in brute.shingle_components(list(enumerate(texts))).items()}
+
+
 def test_near_duplicates_hold_little_at_once(spark, monkeypatch):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     seen, write, usual = [], shingle_join.materialize, spark.conf.get(name)

@@ -37,7 +37,7 @@ from wayfield.llm.carry import packed, unpacked
 from wayfield.operators.components import components
 from wayfield.llm.tokens64 import shingle_set, word_hashes
 from wayfield.llm.word_ids import raw_texts, short_batches
-from wayfield.session import discard, materialize, small_batches
+from wayfield.session import discard, exchanged_joins, materialize, small_batches
 
 WORDS = 5
 #: The threshold as a fraction, so that every comparison is between whole numbers.
@@ -302,6 +302,8 @@ def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
             open_ = labelled.withColumns({"__least": F.min("comp").over(token), "__most": F.max("comp").over(token)}).filter("__least <> __most")
             now = materialize(open_.select("token", "cls", "packed", "degree", "comp"), f"open-{step}")
             spent.append(now)
+            if now.isEmpty():  # all that meet are in one component already
+                break
     for df in spent:
         discard(df)
     return comps
@@ -311,7 +313,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), content (hash of
     the text) and component (a key that the texts of one component share; null for an empty set)."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), exchanged_joins(docs.sparkSession):
         every, counts = read_once(docs, "text", "doc_id")
         known = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("content").alias("content"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
         known = materialize(known, "known-classes")
@@ -335,13 +337,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows with an empty set stay. What goes is named by doc_id and text hash; the list is sent to all tasks where it
     is counted and small, and joined otherwise.
     """
-    found = materialize(near_duplicates(docs, doc_id, text).select("doc_id", "content", "component"), "near-duplicates")
-    members = found.filter("component IS NOT NULL")
-    best = members.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("best"))
-    gone = members.join(best, "component").filter(~F.struct("doc_id", "content").eqNullSafe(F.col("best")))
-    gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content")).distinct(), "near-gone")
-    repeated = members.groupBy("doc_id", "content").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content"))
-    repeated = materialize(repeated, "near-repeated")
+    with exchanged_joins(docs.sparkSession):
+        found = materialize(near_duplicates(docs, doc_id, text).select("doc_id", "content", "component"), "near-duplicates")
+        members = found.filter("component IS NOT NULL")
+        best = members.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("best"))
+        gone = members.join(best, "component").filter(~F.struct("doc_id", "content").eqNullSafe(F.col("best")))
+        gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content")).distinct(), "near-gone")
+        repeated = members.groupBy("doc_id", "content").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__gone_id"), F.col("content").alias("__gone_content"))
+        repeated = materialize(repeated, "near-repeated")
     keyed = docs.select(packed(docs), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__content"))
     named = lambda small: F.broadcast(small) if small.count() <= MAX_BROADCAST_CLASSES else small
     same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__content") == F.col("__gone_content"))
