@@ -93,3 +93,39 @@ ordered AS (SELECT k.*, epochs, budget - epochs * tokens AS rest, {place("CAST(e
 chosen AS (SELECT *, epochs + CASE WHEN sum(n) OVER (PARTITION BY dm, lg, sc ORDER BY place RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, lang, source, domain, n AS n_tokens, CAST(unnest(range(copies)) AS BIGINT) AS epoch FROM chosen
 """
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def inner_products(k: int, every: int) -> str:
+    """The k largest inner products of every row whose id ``every`` divides."""
+    return f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def product_codes(parts: int, entries: int, rounds: int) -> str:
+    """Integer product quantisation: every part against every entry."""
+    steps = [
+        f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, len(embedding) // {parts} AS w
+  FROM embeddings WHERE {_SOUND}),
+x AS (SELECT vec_id, label, part, x[part * w + 1 : part * w + w] AS p FROM v, (SELECT unnest(range({parts})) AS part)),
+b0 AS (SELECT part, f.entry, p AS e FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) f USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT x.vec_id, x.label, x.part, x.p, b{r}.entry,
+  CAST(list_sum(list_transform(list_zip(x.p, b{r}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN b{r} USING (part)),
+a{r} AS MATERIALIZED (SELECT vec_id, label, part, p, entry, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, entry, i, CAST(sum(p[i + 1]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range((SELECT max(w) FROM v))) AS i) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.e, b{r}.e) AS e FROM b{r} LEFT JOIN m{r} USING (part, entry))""")
+    return f"""
+WITH {", ".join(steps)},
+c AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM c, h"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.llm import bloom_lm, mixing, oracles, packing, robust_quality, secret_scan, shingle_join, spot_sigs, suffix_levels, url_filter, wordpiece
+from wayfield.llm import annulus_codes, bloom_lm, mixing, oracles, packing, robust_quality, secret_scan, shingle_join, spot_sigs
+from wayfield.llm import stable_search, suffix_levels, tsqr_whitening, url_filter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies; the files stay outside the repository."""
     import public_tokenizers
@@ -108,3 +113,24 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op11_stable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_search.nearest(embeddings(spark, sf_dir), "id % 20 = 0", k=20)
+
+
+ORACLES["op11_stable_search"] = oracles.inner_products(k=20, every=20)
+
+
+@query
+def op12_annulus_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus_codes.encode(embeddings(spark, sf_dir))
+
+
+ORACLES["op12_annulus_codes"] = oracles.product_codes(annulus_codes.PARTS, annulus_codes.ENTRIES, annulus_codes.ROUNDS)
+
+
+@query
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsqr_whitening.whiten(embeddings(spark, sf_dir))
