@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry, hexgrid, scoring
+from wayfield.functions import hexgrid, scoring, shapes
 from wayfield.operators import graph, hexcells, isochrone, population, raster, snapping
 from wayfield.operators.spatial import nearest, within
 from wayfield.session import materialize
@@ -35,7 +35,7 @@ class Layer:
 
 @dataclass
 class AreaOfInterest(Layer):
-    """A closed ring as WKT."""
+    """An area of one or more parts, with holes, as WKT (POLYGON or MULTIPOLYGON)."""
 
     wkt: str
 
@@ -45,17 +45,17 @@ class AreaOfInterest(Layer):
     def attributes(self) -> dict:
         return {"wkt": self.wkt}
 
-    def ring(self) -> Column:
-        return geometry.points_of(F.lit(self.wkt))
+    def shape(self) -> Column:
+        return shapes.from_wkt(F.lit(self.wkt))
 
     def bounds(self, spark: SparkSession) -> tuple[float, float, float, float]:
-        return tuple(spark.range(1).select(geometry.bbox(self.ring()).alias("b")).first()["b"])
+        return tuple(spark.range(1).select(shapes.bbox(self.shape()).alias("b")).first()["b"])
 
     def clip(self, points: DataFrame) -> DataFrame:
-        """Rows whose x, y lie inside: the box as plain comparisons for the scan, then the ring."""
+        """Rows whose x, y lie inside: the box as plain comparisons for the scan, then the shape."""
         x0, y0, x1, y1 = self.bounds(points.sparkSession)
         inside = points.filter((F.col("x") >= x0) & (F.col("x") <= x1) & (F.col("y") >= y0) & (F.col("y") <= y1))
-        return inside.filter(geometry.contains(self.ring(), F.col("x").cast("double"), F.col("y").cast("double")))
+        return inside.filter(shapes.contains(self.shape(), F.col("x").cast("double"), F.col("y").cast("double")))
 
 
 @dataclass
@@ -136,10 +136,10 @@ class PointsOfInterest(Layer):
         return cls.from_elements(osm.read_overpass(spark, path), kind, area)
 
     def to_points(self, network: StreetNetwork, block: float = 500.0) -> PointsOfInterest:
-        """Areas (pid, closed ring) as the points where streets enter them, other columns kept; those that no street enters go."""
+        """Areas (pid, ``shape`` or closed ``ring``) as the points where streets enter them, other columns kept; those that no street enters go."""
         edges = network.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
-        at = snapping.boundary_points(self.places.select("pid", "ring"), edges, network.nodes, block).select("pid", "x", "y")
-        return PointsOfInterest(at.join(self.places.drop("ring", "x", "y"), "pid"))
+        at = snapping.boundary_points(self.places.select("pid", shapes.of(self.places).alias("shape")), edges, network.nodes, block).select("pid", "x", "y")
+        return PointsOfInterest(at.join(self.places.drop("ring", "shape", "x", "y"), "pid"))
 
     def to_hex(self, values: dict[str, str], base: float, resolution: int) -> HexGrid:
         return HexGrid.from_points(self.places, values, base, resolution)
@@ -171,11 +171,11 @@ class HexGrid(Layer):
         return cls(rows.select("__c.q", "__c.r", *values), base, resolution)
 
     @classmethod
-    def from_shapes(cls, shapes: DataFrame, key: str, values: dict[str, str], base: float, resolution: int, contain: str = "center", orders: dict | None = None) -> HexGrid:
-        """Values of shapes (closed ring) per cell: those cells that each is in as ``contain`` says, values by ``hexcells.aggregate``."""
+    def from_shapes(cls, areas: DataFrame, key: str, values: dict[str, str], base: float, resolution: int, contain: str = "center", orders: dict | None = None) -> HexGrid:
+        """Values of areas (``shape`` or closed ``ring``) per cell: those cells that each is in as ``contain`` says, values by ``hexcells.aggregate``."""
         size = hexgrid.edge(base, resolution)
-        cells = hexcells.fill(shapes, key, size, contain).groupBy(key).agg(F.collect_list(hexcells.cell_id(F.col("q"), F.col("r"))).alias("__cells"))
-        rows = shapes.drop("__cells").withColumn("__km2", F.abs(geometry.signed_area(F.col("ring"))) / 1e6).join(cells, key)
+        cells = hexcells.fill(areas, key, size, contain).groupBy(key).agg(F.collect_list(hexcells.cell_id(F.col("q"), F.col("r"))).alias("__cells"))
+        rows = areas.drop("__cells").withColumn("__km2", shapes.area(shapes.of(areas)) / 1e6).join(cells, key)
         out = hexcells.aggregate(rows, "__cells", values, orders, key, hexcells.hex_area_km2(size), "__km2")
         q, r = hexcells.from_cell_id(F.col("cell"))
         return cls(out.select(q.alias("q"), r.alias("r"), *values), base, resolution)

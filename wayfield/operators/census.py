@@ -139,9 +139,9 @@ def roll_up_blocks(df: DataFrame, code: str, digits: int, values: Sequence[str])
 
 
 def resample_to(areas: DataFrame, targets: DataFrame, block: float, sums: Sequence[str], means: Mapping[str, str]) -> DataFrame:
-    """Areas (sid, closed ring, values) into the targets (tid, ring) that hold their centroids: sums of counts, weighted means of rates.
+    """Areas (sid, ``shape`` or closed ``ring``, values) into the targets (tid, ring) that hold their centroids: sums of counts, weighted means of rates.
     Targets without an area have nulls."""
-    rows = parents(areas, targets, block).drop("n_children").join(areas.drop("ring"), "sid")
+    rows = parents(areas, targets, block).drop("n_children").join(areas.drop("ring", "shape"), "sid")
     return targets.select("tid").join(resample(rows, "tid", sums, means), "tid", "left")
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry, hexgrid
+from wayfield.functions import hexgrid, shapes
 from wayfield.operators.raster import label_of, rank_of
 
 CONTAIN = ("center", "centroid", "full", "overlap", "bbox_overlap", "center_overlap")
@@ -21,24 +21,9 @@ def _hexagon(size: float) -> Column:
     return F.concat(corners, F.slice(corners, 1, 1))
 
 
-def _meets(ring: Column, other: Column) -> Column:
-    """Whether two closed rings have a point in common."""
-    first = other[0]
-    vertex = F.exists(ring, lambda p: geometry.contains(other, p["x"], p["y"])) | F.exists(other, lambda p: geometry.contains(ring, p["x"], p["y"]))
-    edges = F.exists(geometry.segments(ring), lambda s: F.exists(geometry.segments(other), lambda t: geometry.segments_cross(s["a"], s["b"], t["a"], t["b"])))
-    return vertex | edges | geometry.contains(ring, first["x"], first["y"])
-
-
-def _inside(ring: Column, other: Column) -> Column:
-    """Whether ``other`` lies in ``ring``: all its vertices do, and no edges cross."""
-    edges = F.exists(geometry.segments(ring), lambda s: F.exists(geometry.segments(other), lambda t: geometry.segments_cross(s["a"], s["b"], t["a"], t["b"])))
-    return F.forall(other, lambda p: geometry.contains(ring, p["x"], p["y"])) & ~edges
-
-
-def candidates(shapes: DataFrame, size: float) -> DataFrame:
-    """All columns of ``shapes`` (with a closed ``ring``), and q, r of each cell whose hexagon can meet the ring's box."""
-    box = geometry.bbox(F.col("ring"))
-    out = shapes.withColumn("__b", box)
+def candidates(areas: DataFrame, size: float) -> DataFrame:
+    """All columns of ``areas`` (with ``shape``), and q, r of each cell whose hexagon can meet the shape's box."""
+    out = areas.withColumn("__b", shapes.bbox(F.col("shape")))
     r0, r1 = F.floor((F.col("__b.ymin") - size) / (1.5 * size)), F.ceil((F.col("__b.ymax") + size) / (1.5 * size))
     out = out.withColumn("r", F.explode(F.sequence(r0.cast("long"), r1.cast("long"))))
     wide = hexgrid.ROOT3 * size
@@ -46,8 +31,8 @@ def candidates(shapes: DataFrame, size: float) -> DataFrame:
     return out.withColumn("q", F.explode(F.sequence(q0.cast("long"), q1.cast("long")))).drop("__b")
 
 
-def fill(shapes: DataFrame, key: str, size: float, contain: str = "center") -> DataFrame:
-    """(key, q, r) of the cells of each shape with a closed ``ring``.
+def fill(areas: DataFrame, key: str, size: float, contain: str = "center") -> DataFrame:
+    """(key, q, r) of the cells of each area, a ``shape`` or a closed ``ring``.
 
     center: the cell's centre lies in it; centroid: the one cell that holds the shape's centroid; full: the whole cell lies in it;
     overlap: they meet; bbox_overlap: their boxes meet; center_overlap: center, and overlap for shapes that hold no centre.
@@ -55,20 +40,21 @@ def fill(shapes: DataFrame, key: str, size: float, contain: str = "center") -> D
     if contain not in CONTAIN:
         raise ValueError(f"contain must be one of {CONTAIN}")
     if contain == "centroid":
-        at = geometry.centroid(F.col("ring"))
-        return shapes.select(key, at.alias("__p")).select(key, hexgrid.cell(F.col("__p.x"), F.col("__p.y"), size).alias("__c")).select(key, "__c.q", "__c.r")
-    near = candidates(shapes.select(key, "ring"), size)
+        at = shapes.centroid(shapes.of(areas))
+        return areas.select(key, at.alias("__p")).filter("__p IS NOT NULL").select(key, hexgrid.cell(F.col("__p.x"), F.col("__p.y"), size).alias("__c")).select(key, "__c.q", "__c.r")
+    shape, hexagon = F.col("shape"), shapes.of_ring(_hexagon(size))
+    near = candidates(areas.select(key, shapes.of(areas).alias("shape")), size)
     x, y = hexgrid.centre(F.col("q").cast("double"), F.col("r").cast("double"), size)
-    centre = geometry.contains(F.col("ring"), x, y)
+    centre = shapes.contains(shape, x, y)
     if contain == "center":
         out = near.filter(centre)
     elif contain == "full":
-        out = near.filter(_inside(F.col("ring"), _hexagon(size)))
+        out = near.filter(shapes.inside(shape, hexagon))
     elif contain == "bbox_overlap":
-        b, half = geometry.bbox(F.col("ring")), hexgrid.ROOT3 / 2 * size
+        b, half = shapes.bbox(shape), hexgrid.ROOT3 / 2 * size
         out = near.filter((x + half >= b["xmin"]) & (x - half <= b["xmax"]) & (y + size >= b["ymin"]) & (y - size <= b["ymax"]))
     else:
-        out = near.filter(_meets(F.col("ring"), _hexagon(size)))
+        out = near.filter(shapes.meets(shape, hexagon))
         if contain == "center_overlap":
             mine = near.filter(centre)
             rest = out.join(mine.select(key).distinct(), key, "left_anti")
@@ -122,29 +108,30 @@ def whole_if_integral(value: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("long"))
 
 
-def _blocked(shapes: DataFrame, block: float) -> DataFrame:
-    """``shapes`` once per block of a square grid that their ring's box meets (bx, by)."""
-    b = geometry.bbox(F.col("ring"))
-    ends = lambda lo, hi: F.sequence(F.floor(b[lo] / block).cast("long"), F.floor(b[hi] / block).cast("long"))
-    return shapes.withColumn("bx", F.explode(ends("xmin", "xmax"))).withColumn("by", F.explode(ends("ymin", "ymax")))
+def _blocked(areas: DataFrame, block: float, box: str) -> DataFrame:
+    """``areas`` once per block of a square grid that the box in a column meets (bx, by)."""
+    ends = lambda lo, hi: F.sequence(F.floor(F.col(box)[lo] / block).cast("long"), F.floor(F.col(box)[hi] / block).cast("long"))
+    return areas.withColumn("bx", F.explode(ends("xmin", "xmax"))).withColumn("by", F.explode(ends("ymin", "ymax")))
 
 
 def matches(sources: DataFrame, targets: DataFrame, block: float, contain: str = "center") -> DataFrame:
-    """(tid, sid) of sources (sid, ring) and targets (tid, ring) by an equi-join on square blocks with the exact predicate left.
+    """(tid, sid) of sources (sid) and targets (tid), each a ``shape`` or a closed ``ring``, by an equi-join on square blocks with the
+    exact predicate left.
 
     center and centroid: the source's centroid lies in the target; full: the whole source does; overlap: they meet;
     bbox_overlap: their boxes do; center_overlap: center, and overlap for sources that it places nowhere.
     """
-    s = _blocked(sources.select("sid", F.col("ring")), block).withColumnRenamed("ring", "s_ring")
-    t = _blocked(targets.select("tid", F.col("ring")), block).withColumnRenamed("ring", "t_ring")
+    # Centres and boxes are columns of their own side, so that no pair computes them again.
+    held = sources.select("sid", shapes.of(sources).alias("source"))
+    s = _blocked(held.select("sid", "source", shapes.centroid(F.col("source")).alias("at"), shapes.bbox(F.col("source")).alias("s_box")), block, "s_box")
+    t = _blocked(targets.select("tid", shapes.of(targets).alias("target")).withColumn("t_box", shapes.bbox(F.col("target"))), block, "t_box")
     near = s.join(t, ["bx", "by"])
-    at = geometry.centroid(F.col("s_ring"))
-    a, b = geometry.bbox(F.col("s_ring")), geometry.bbox(F.col("t_ring"))
+    source, target, at, a, b = (F.col(c) for c in ("source", "target", "at", "s_box", "t_box"))
     boxes = (a["xmax"] >= b["xmin"]) & (a["xmin"] <= b["xmax"]) & (a["ymax"] >= b["ymin"]) & (a["ymin"] <= b["ymax"])
     rules = {
-        "center": geometry.contains(F.col("t_ring"), at["x"], at["y"]),
-        "full": _inside(F.col("t_ring"), F.col("s_ring")),
-        "overlap": _meets(F.col("t_ring"), F.col("s_ring")),
+        "center": shapes.contains(target, at["x"], at["y"]),
+        "full": shapes.inside(target, source),
+        "overlap": shapes.meets(target, source),
         "bbox_overlap": boxes,
     }
     rules["centroid"] = rules["center"]
@@ -159,7 +146,7 @@ def resample(sources: DataFrame, targets: DataFrame, block: float, methods: Mapp
     """Every target (tid) with the values of the sources that match it; distribute shares a source among its targets."""
     pairs = matches(sources, targets, block, contain)
     n = pairs.groupBy("sid").agg(F.count("*").alias("__n"))
-    rows = pairs.join(n, "sid").join(sources.drop("ring"), "sid")
+    rows = pairs.join(n, "sid").join(sources.drop("ring", "shape"), "sid")
     shared = [(F.col(c).cast("double") / F.col("__n")).alias(c) if how == "distribute" else F.col(c) for c, how in methods.items()]
     out = _grouped(rows.select("tid", "sid", *shared), ["tid"], methods, orders or {}, "sid")
     return targets.select("tid").join(out, "tid", "left")
@@ -188,9 +175,9 @@ def from_cell_id(cell: Column) -> tuple[Column, Column]:
 
 def from_raster(vectors: DataFrame, size: float, value: str = "value", contain: str = "center_overlap") -> DataFrame:
     """Cell boxes (id, xmin, ymin, xmax, ymax, value) shared among hexagons, the total kept."""
-    shapes = vectors.select("id", F.col(value).alias("value"), box(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("ring"))
-    lists = fill(shapes, "id", size, contain).groupBy("id").agg(F.collect_list(cell_id(F.col("q"), F.col("r"))).alias("cells"))
-    out = aggregate(shapes.join(lists, "id").select("value", "cells"), "cells", {"value": "distribute"})
+    areas = vectors.select("id", F.col(value).alias("value"), box(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("ring"))
+    lists = fill(areas, "id", size, contain).groupBy("id").agg(F.collect_list(cell_id(F.col("q"), F.col("r"))).alias("cells"))
+    out = aggregate(areas.join(lists, "id").select("value", "cells"), "cells", {"value": "distribute"})
     q, r = from_cell_id(F.col("cell"))
     return out.select(q.alias("q"), r.alias("r"), "value")
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfield.functions import shapes
 from wayfield.operators.hexcells import parents
 from wayfield.sources import files
 
@@ -46,7 +47,7 @@ def fill(layers: list[DataFrame], ids: list[str], methods: dict[str, str]) -> li
 
 @dataclass
 class MultiresLayers:
-    """Polygon layers (closed ring, own id column), coarsest first, each linked to the one above by the centroids of its areas.
+    """Polygon layers (``shape`` or closed ``ring``, own id column), coarsest first, each linked to the one above by the centroids of its areas.
 
     ``methods`` says per column how it goes up (sum, mean, min, max, or density_<column>: the mean weighted by that column); sums are
     shared evenly on the way down, all else is copied.
@@ -60,7 +61,7 @@ class MultiresLayers:
         """A finer layer than those before; it gets the id of the area above that holds each centroid (null where none does)."""
         if self.layers:
             above, up = self.layers[-1], self.ids[-1]
-            found = parents(areas.select(F.col(key).alias("sid"), "ring"), above.select(F.col(up).alias("tid"), "ring"), block)
+            found = parents(areas.select(F.col(key).alias("sid"), shapes.of(areas).alias("shape")), above.select(F.col(up).alias("tid"), shapes.of(above).alias("shape")), block)
             areas = areas.join(found.select(F.col("sid").alias(key), F.col("tid").alias(up)), key, "left")
         return MultiresLayers([*self.layers, areas], [*self.ids, key], self.methods | dict(methods or {}))
 

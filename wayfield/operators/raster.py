@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry
+from wayfield.functions import shapes
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,9 @@ def has_data(value: Column, kind: str, nodata=None) -> Column:
     return ok if nodata is None else ok & (value != F.lit(nodata))
 
 
-def crop(cells: DataFrame, grid: Grid, ring: Column) -> tuple[DataFrame, Grid]:
-    """Cells whose centre lies in the ring, in the smallest window that holds them, and that window's grid."""
-    kept = cells.filter(geometry.contains(ring, grid.x(F.col("col")), grid.y(F.col("row_no"))))
+def crop(cells: DataFrame, grid: Grid, ring: Column | None = None, shape: Column | None = None) -> tuple[DataFrame, Grid]:
+    """Cells whose centre lies in the ring or shape, in the smallest window that holds them, and that window's grid."""
+    kept = cells.filter(shapes.contains(shapes.of_ring(ring) if shape is None else shape, grid.x(F.col("col")), grid.y(F.col("row_no"))))
     r0, r1, c0, c1 = kept.agg(F.min("row_no"), F.max("row_no"), F.min("col"), F.max("col")).first()
     if r0 is None:
         return kept, Grid(grid.x0, grid.y0, grid.dx, grid.dy, 0, 0, grid.srid)
@@ -80,11 +80,11 @@ def crop(cells: DataFrame, grid: Grid, ring: Column) -> tuple[DataFrame, Grid]:
     return shifted, Grid(grid.x0 + c0 * grid.dx, grid.y0 + r0 * grid.dy, grid.dx, grid.dy, r1 - r0 + 1, c1 - c0 + 1, grid.srid)
 
 
-def vectorize(cells: DataFrame, grid: Grid, ring: Column | None = None, keep_nodata: bool = False, nodata=None) -> DataFrame:
-    """id (row * columns + column), the box of each cell and its value; with ``ring`` cells whose centre lies inside."""
+def vectorize(cells: DataFrame, grid: Grid, ring: Column | None = None, keep_nodata: bool = False, nodata=None, shape: Column | None = None) -> DataFrame:
+    """id (row * columns + column), the box of each cell and its value; with ``ring`` or ``shape`` cells whose centre lies inside."""
     out = cells if keep_nodata else cells.filter(has_data(F.col("value"), dict(cells.dtypes)["value"], nodata))
-    if ring is not None:
-        out = out.filter(geometry.contains(ring, grid.x(F.col("col")), grid.y(F.col("row_no"))))
+    if ring is not None or shape is not None:
+        out = out.filter(shapes.contains(shapes.of_ring(ring) if shape is None else shape, grid.x(F.col("col")), grid.y(F.col("row_no"))))
     xs, ys = (grid.x(F.col("col"), 0.0), grid.x(F.col("col"), 1.0)), (grid.y(F.col("row_no"), 0.0), grid.y(F.col("row_no"), 1.0))
     box = [F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax")]
     return out.select((F.col("row_no") * grid.n_cols + F.col("col")).alias("id"), *box, "value")
@@ -106,37 +106,23 @@ def label_of(rank: Column, order: Sequence) -> Column:
     return out
 
 
-def touches_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a closed ring and a box have a point in common: a corner of the box inside, a vertex in the box, or edges that cross."""
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    corners = [point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1)]
-    inside = geometry.contains(ring, x0, y0) | geometry.contains(ring, x1, y0) | geometry.contains(ring, x1, y1) | geometry.contains(ring, x0, y1)
-    vertex = F.exists(ring, lambda p: (p["x"] >= x0) & (p["x"] <= x1) & (p["y"] >= y0) & (p["y"] <= y1))
+def rasterize(areas: DataFrame, grid: Grid, value: str, order: Sequence | None = None, all_touched: bool = False) -> DataFrame:
+    """(row_no, col, value) of areas (``shape`` or closed ``ring``): the first listed of ``order`` wins, else the largest value.
 
-    def crossing(s: Column) -> Column:
-        hits = [geometry.segments_cross(s["a"], s["b"], corners[i], corners[(i + 1) % 4]) for i in range(4)]
-        return reduce(lambda a, b: a | b, hits)
-
-    return inside | vertex | F.exists(geometry.segments(ring), crossing)
-
-
-def rasterize(shapes: DataFrame, grid: Grid, value: str, order: Sequence | None = None, all_touched: bool = False) -> DataFrame:
-    """(row_no, col, value) of shapes with a closed ``ring``: the first listed of ``order`` wins, else the largest value.
-
-    A shape is burnt into the cells whose centre it holds, or with ``all_touched`` into those it touches. Candidates
+    An area is burnt into the cells whose centre it holds, or with ``all_touched`` into those it touches. Candidates
     come from its box, so the work is in proportion to the area covered.
     """
-    boxed = shapes.select(F.col(value).alias("value"), "ring", geometry.bbox(F.col("ring")).alias("b"))
+    boxed = areas.select(F.col(value).alias("value"), shapes.of(areas).alias("shape")).withColumn("b", shapes.bbox(F.col("shape")))
     ends = lambda f, lo, hi, n: (F.greatest(F.least(f(lo), f(hi)), F.lit(0).cast("long")), F.least(F.greatest(f(lo), f(hi)), F.lit(n - 1).cast("long")))
     r0, r1 = ends(grid.row, F.col("b.ymin"), F.col("b.ymax"), grid.n_rows)
     c0, c1 = ends(grid.col, F.col("b.xmin"), F.col("b.xmax"), grid.n_cols)
     spread = boxed.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 AND c0 <= c1")
-    spread = spread.select("value", "ring", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_no")).select("value", "ring", "row_no", F.explode(F.sequence("c0", "c1")).alias("col"))
+    spread = spread.select("value", "shape", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_no")).select("value", "shape", "row_no", F.explode(F.sequence("c0", "c1")).alias("col"))
     if all_touched:
         xs, ys = (grid.x(F.col("col"), 0.0), grid.x(F.col("col"), 1.0)), (grid.y(F.col("row_no"), 0.0), grid.y(F.col("row_no"), 1.0))
-        hit = touches_box(F.col("ring"), F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+        hit = shapes.touches_box(F.col("shape"), F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
     else:
-        hit = geometry.contains(F.col("ring"), grid.x(F.col("col")), grid.y(F.col("row_no")))
+        hit = shapes.contains(F.col("shape"), grid.x(F.col("col")), grid.y(F.col("row_no")))
     burnt = spread.filter(hit)
     if order is None:
         return burnt.groupBy("row_no", "col").agg(F.max("value").alias("value"))

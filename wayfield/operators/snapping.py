@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry
+from wayfield.functions import geometry, shapes
 from wayfield.operators.graph import split_edges
 from wayfield.operators.spatial import cell, nearest
 from wayfield.operators.sssp import bounded_distances
@@ -140,8 +140,9 @@ def isochrone(edges: DataFrame, sources: DataFrame, radius: int, first_id: int,
 
 
 def boundary_points(areas: DataFrame, edges: DataFrame, nodes: DataFrame, block: float) -> DataFrame:
-    """(pid, edge, x, y): where the boundary of an area (pid, closed ring) crosses a street; areas that cross none have no row."""
-    sides = areas.select("pid", F.posexplode(geometry.segments(F.col("ring"))).alias("k", "s"))
+    """(pid, edge, x, y): where the boundary of an area (pid) crosses a street, holes and all parts too; areas
+    (``shape`` or closed ``ring``) that cross none have no row."""
+    sides = areas.select("pid", F.posexplode(shapes.sides(shapes.of(areas))).alias("k", "s"))
     sides = sides.select("pid", "k", F.col("s.a.x").alias("px"), F.col("s.a.y").alias("py"), F.col("s.b.x").alias("qx"), F.col("s.b.y").alias("qy"))
     span = lambda a, b: F.sequence(cell(F.least(a, b), block), cell(F.greatest(a, b), block))
     sides = sides.withColumn("cx", F.explode(span("px", "qx"))).withColumn("cy", F.explode(span("py", "qy")))
@@ -162,11 +163,11 @@ def nodes_to_points(ids: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def served_inside(nodes: DataFrame, areas: DataFrame, block: float) -> DataFrame:
-    """(node, rank_no): the best rank of the areas (rank_no, closed ring) that hold a node, whatever its street distance."""
-    b = geometry.bbox(F.col("ring"))
-    spread = areas.withColumn("cx", F.explode(F.sequence(cell(b["xmin"], block), cell(b["xmax"], block)))).withColumn("cy", F.explode(F.sequence(cell(b["ymin"], block), cell(b["ymax"], block))))
+    """(node, rank_no): the best rank of the areas (rank_no, ``shape`` or closed ``ring``) that hold a node, whatever its street distance."""
+    b = shapes.bbox(F.col("shape"))
+    spread = areas.select("rank_no", shapes.of(areas).alias("shape")).withColumn("cx", F.explode(F.sequence(cell(b["xmin"], block), cell(b["xmax"], block)))).withColumn("cy", F.explode(F.sequence(cell(b["ymin"], block), cell(b["ymax"], block))))
     keyed = nodes.select(F.col("id").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": cell(F.col("x"), block), "cy": cell(F.col("y"), block)})
-    inside = keyed.join(spread, ["cx", "cy"]).filter(geometry.contains(F.col("ring"), F.col("x"), F.col("y")))
+    inside = keyed.join(spread, ["cx", "cy"]).filter(shapes.contains(F.col("shape"), F.col("x"), F.col("y")))
     return inside.groupBy("node").agg(F.min("rank_no").alias("rank_no"))
 
 

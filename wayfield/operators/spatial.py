@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry
+from wayfield.functions import shapes
 from wayfield.operators.hexcells import matches
 from wayfield.session import materialize
 
@@ -61,15 +61,15 @@ def within(points: DataFrame, targets: DataFrame, distance: int) -> DataFrame:
 
 
 def pairs_that_meet(a: DataFrame, b: DataFrame, block: float) -> DataFrame:
-    """(aid, bid) of closed rings (aid, ring) and (bid, ring) that have a point in common: the true cells of the all-with-all matrix."""
-    found = matches(b.select(F.col("bid").alias("sid"), "ring"), a.select(F.col("aid").alias("tid"), "ring"), block, "overlap")
+    """(aid, bid) of areas (aid) and (bid), each a ``shape`` or a closed ``ring``, that have a point in common: the true cells of the all-with-all matrix."""
+    found = matches(b.withColumnRenamed("bid", "sid"), a.withColumnRenamed("aid", "tid"), block, "overlap")
     return found.select(F.col("tid").alias("aid"), F.col("sid").alias("bid"))
 
 
 def points_in_rings(areas: DataFrame, points: DataFrame, block: float) -> DataFrame:
-    """(aid, pid) of points (pid, x, y) inside closed rings (aid, ring), by an equi-join on square blocks."""
-    box = geometry.bbox(F.col("ring"))
+    """(aid, pid) of points (pid, x, y) inside areas (aid, ``shape`` or closed ``ring``), by an equi-join on square blocks."""
+    box = shapes.bbox(F.col("shape"))
     span = lambda lo, hi: F.sequence(cell(box[lo], block), cell(box[hi], block))
-    spread = areas.select("aid", "ring").withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
+    spread = areas.select("aid", shapes.of(areas).alias("shape")).withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
     keyed = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": cell(F.col("x"), block), "cy": cell(F.col("y"), block)})
-    return keyed.join(spread, ["cx", "cy"]).filter(geometry.contains(F.col("ring"), F.col("x"), F.col("y"))).select("aid", "pid")
+    return keyed.join(spread, ["cx", "cy"]).filter(shapes.contains(F.col("shape"), F.col("x"), F.col("y"))).select("aid", "pid")

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry
-from wayfield.operators.raster import touches_box
+from wayfield.functions import shapes
 
 VERSION = 1
 
@@ -23,10 +22,18 @@ def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, flo
     return df.filter((F.col("x") >= x0) & (F.col("x") <= x1) & (F.col("y") >= y0) & (F.col("y") <= y1))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """kind, coordinates (JSON text) and properties (map) per feature."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+def read_geojson(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """kind, coordinates (JSON text) and properties (map) per feature.
+
+    A feature collection is one JSON value, so a file is one task's work. With ``by_line`` files hold a feature a line, as this library's writers and
+    the newline-delimited form have it, also lines of a collection that end in a comma; these are split like any text. Other lines go.
+    """
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    if by_line:
+        lines = spark.read.text(path).filter(F.col("value").rlike(r'^\s*\x1E?\{.*"geometry"'))
+        rows = lines.select(F.from_json(F.regexp_replace("value", r"^\s*\x1E|,\s*$", ""), feature).alias("f")).filter("f IS NOT NULL")
+    else:
+        rows = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return rows.select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
@@ -63,12 +70,14 @@ READERS = {
     "parquet": lambda spark, path: spark.read.parquet(path),
     "geojson": lambda spark, path: read_geojson(spark, path),
     "json": lambda spark, path: read_geojson(spark, path),
+    "geojsonl": lambda spark, path: read_geojson(spark, path, by_line=True),
+    "geojsonseq": lambda spark, path: read_geojson(spark, path, by_line=True),
     "csv": lambda spark, path: spark.read.option("header", True).option("inferSchema", True).csv(path),
 }
 
 
 def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """A vector layer by its path without an ending: the first of READERS that is there. With ``box`` rows whose x, y or ring meets it."""
+    """A vector layer by its path without an ending: the first of READERS that is there. With ``box`` rows whose x, y, shape or ring meets it."""
     stem = path.rsplit(".", 1)[0] if path.rsplit(".", 1)[-1] in READERS else path
     for ending, reader in READERS.items():
         fs, at = _fs(spark, f"{stem}.{ending}")
@@ -78,13 +87,14 @@ def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, f
 
 
 def in_box(df: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
-    """Rows that meet the box: by x, y, or by a ring's own box first and then exactly."""
+    """Rows that meet the box: by x, y, or by a shape's own box first and then exactly."""
     if box is None:
         return df
     x0, y0, x1, y1 = (F.lit(float(v)) for v in box)
-    if "ring" in df.columns:
-        b = geometry.bbox(F.col("ring"))
-        return df.filter((b["xmax"] >= x0) & (b["xmin"] <= x1) & (b["ymax"] >= y0) & (b["ymin"] <= y1)).filter(touches_box(F.col("ring"), x0, y0, x1, y1))
+    if "ring" in df.columns or "shape" in df.columns:
+        shape = shapes.of(df)
+        b = shapes.bbox(shape)
+        return df.filter((b["xmax"] >= x0) & (b["xmin"] <= x1) & (b["ymax"] >= y0) & (b["ymin"] <= y1)).filter(shapes.touches_box(shape, x0, y0, x1, y1))
     return df.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
@@ -94,6 +104,18 @@ def geojson_rings(features: DataFrame) -> DataFrame:
     return features.filter("kind = 'Polygon'").withColumn("ring", F.transform(rings, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
 
 
+def geojson_shapes(features: DataFrame) -> DataFrame:
+    """Polygons and multi-polygons of ``read_geojson`` with ``shape``, all parts and holes; other kinds of geometry go."""
+    return features.filter("kind IN ('Polygon', 'MultiPolygon')").withColumn("shape", shapes.from_geojson(F.col("kind"), F.col("coordinates")))
+
+
+def write_geojson_shapes(df: DataFrame, path: str) -> None:
+    """One feature a line, from ``shape`` (or ``ring``) and the other columns as properties."""
+    other = [c for c in df.columns if c not in ("shape", "ring")]
+    head = F.concat(F.lit('{"type":"Feature","geometry":'), shapes.to_geojson(shapes.of(df)), F.lit(',"properties":'))
+    df.select(F.concat(head, F.to_json(F.struct(*other)), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
 def load_shapes(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Layers of several files (a state or county each) as one, columns that some lack null, rows that meet the box."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_layer(spark, p, box) for p in paths])
