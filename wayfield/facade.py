@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions import hexgrid, scoring, shapes
-from wayfield.operators import graph, hexcells, isochrone, population, raster, snapping
+from wayfield.operators import graph, hexcells, isochrone, overlay, population, raster, snapping
 from wayfield.operators.spatial import nearest, within
 from wayfield.session import materialize
 from wayfield.sources import files, osm
@@ -45,6 +45,13 @@ class AreaOfInterest(Layer):
     def attributes(self) -> dict:
         return {"wkt": self.wkt}
 
+    @classmethod
+    def union_of(cls, areas: DataFrame, tile: float = 500.0) -> AreaOfInterest:
+        """The union of areas (``shape`` or closed ``ring``). Its text comes to the driver, as that of any area of interest."""
+        parts = overlay.union(areas.select(F.lit("").alias("key"), shapes.of(areas).alias("shape")), tile)
+        whole = parts.agg(F.flatten(F.collect_list("shape")).alias("shape"))
+        return cls(whole.select(shapes.to_wkt(F.col("shape")).alias("wkt")).first().wkt)
+
     def shape(self) -> Column:
         return shapes.from_wkt(F.lit(self.wkt))
 
@@ -334,6 +341,12 @@ class AccessibilityAnalyzer(Layer):
             rank = F.when(F.col("d2") <= self.distances[k] ** 2, k).otherwise(rank)
         return points.select("pid").join(near.groupBy("pid").agg(F.min(rank).alias("rank_no")), "pid", "left")
 
+    def buffer_rings(self, matrix: DataFrame | None = None, tile: float = 500.0) -> DataFrame:
+        """Parts (rank_no, shape, area) of straight-line reach: each level without the better ones. Places have x, y or ``shape``."""
+        quality = F.col("quality").cast("long") if matrix is not None else F.lit(1).cast("long")
+        matrix = isochrone.list_matrix(self.network.nodes.sparkSession, self.distances) if matrix is None else matrix
+        return overlay.rings_by_level(self.pois.places.withColumn("quality", quality), matrix, tile)
+
     def to_hex(self, base: float, resolution: int) -> HexGrid:
         """The best level of the nodes in each hexagon."""
         levels = self.result["nodes"].join(self.network.nodes, F.col("node") == F.col("id")).select("x", "y", "rank_no")

@@ -99,6 +99,15 @@ def circle(x: Column, y: Column, radius: float, quadrant: int = 4) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(4 * quadrant)), lambda i: F.struct((x + radius * F.cos(i * step)).alias("x"), (y + radius * F.sin(i * step)).alias("y")))
 
 
+def capsule(a: Column, b: Column, radius: float, quadrant: int = 4) -> Column:
+    """Closed ring of what lies within ``radius`` of the segment ab, with so many segments a quarter turn."""
+    step = 3.141592653589793 / 2 / quadrant
+    toward = F.when((a["x"] == b["x"]) & (a["y"] == b["y"]), F.lit(0.0)).otherwise(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
+    turn = lambda p, start: F.transform(F.sequence(F.lit(0), F.lit(2 * quadrant)), lambda i: F.struct((p["x"] + radius * F.cos(toward + start + i * step)).alias("x"), (p["y"] + radius * F.sin(toward + start + i * step)).alias("y")))
+    ring = F.concat(turn(b, -3.141592653589793 / 2), turn(a, 3.141592653589793 / 2))
+    return F.concat(ring, F.slice(ring, 1, 1))
+
+
 def vertices(df, key: str, line: str):
     """(key, seq from 1, x, y, run: length so far) of every vertex of a line column."""
     w = Window.partitionBy(key).orderBy("seq")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from wayfield.facade import AreaOfInterest
 from wayfield.functions import shapes
-from wayfield.operators import hexcells, raster, spatial
+from wayfield.operators import hexcells, overlay, raster, spatial
 from wayfield.plans.core import _people, _pois
 from wayfield.plans.layers import NODES, PEOPLE, POIS, SIDE, layer, with_layers
 from wayfield.plans.registry import query
-from wayfield.plans.surfaces import GRID_CELLS, HEXES, SIZE, _homes, _pop
+from wayfield.plans.surfaces import GRID_CELLS, HEXES, SIZE, _homes, _pop, _squares
 
 OUTER, HOLE, ISLAND, AWAY = 230.25, 90.25, 60.25, 400
 
@@ -95,3 +97,88 @@ _ODD = " + ".join(f"CASE WHEN ({ay} > y) != ({by} > y) AND x < CAST({bx - ax} AS
 def f1_area_clip(spark, d):
     """Street nodes in an area of two parts, one of them concave with a hole."""
     return AreaOfInterest(_TEXT).clip(layer(spark, d, SIDE, NODES, name="nodes")).select("id")
+
+
+# Overlay. The oracles cut the plane at all sides of the squares (for each key) and add up the cells by what covers them.
+
+
+def _cells(key: str, value: str, half: float, body: str) -> str:
+    """Areas of the cells between the sides of squares about places, by the sum over ``value`` that covers them."""
+    squares = f"squares AS (SELECT {key} AS key, {value} AS cls, x - CAST({half} AS DOUBLE) AS x0, x + CAST({half} AS DOUBLE) AS x1, y - CAST({half} AS DOUBLE) AS y0, y + CAST({half} AS DOUBLE) AS y1 FROM pois)"
+    cut = lambda v: f"c{v} AS (SELECT key, v AS lo, lead(v) OVER (PARTITION BY key ORDER BY v) AS hi FROM (SELECT key, {v}0 AS v FROM squares UNION SELECT key, {v}1 FROM squares))"
+    cells = "covered AS (SELECT key, cx.lo AS cx0, cy.lo AS cy0, (cx.hi - cx.lo) * (cy.hi - cy.lo) AS area, min(cls) AS cls, max(cls) AS top FROM cx JOIN cy USING (key) JOIN squares USING (key) WHERE x0 <= cx.lo AND x1 >= cx.hi AND y0 <= cy.lo AND y1 >= cy.hi GROUP BY ALL)"
+    return with_layers(SIDE, POIS, squares, cut("x"), cut("y"), cells, body=body)
+
+
+def _total(parts, *by: str):
+    return parts.groupBy(*by).agg(F.round(F.sum("area"), 2).alias("area"))
+
+
+@query("x9_union", _cells("CAST(nation AS VARCHAR)", "0", 230.25, "SELECT key, round(sum(area), 2) AS area FROM covered GROUP BY key"))
+def x9_union(spark, d):
+    """Area of the union of the squares around the places of each nation."""
+    return _total(overlay.union(_squares(spark, d, 230.25).select(F.col("nation").alias("key"), "ring")), "key")
+
+
+_CLASS = "CASE quality WHEN 1000 THEN 0 WHEN 750 THEN 1 ELSE 2 END"
+
+
+@query("x9_overlay", _cells("''", _CLASS, 230.25, "SELECT cls, round(sum(area), 2) AS area FROM covered GROUP BY cls"))
+def x9_overlay(spark, d):
+    """Squares around all places, each spot given to the best quality that covers it."""
+    cls = F.expr(_CLASS)
+    return _total(overlay.overlay(_squares(spark, d, 230.25).select(F.lit("").alias("key"), cls.alias("cls"), "ring"), 3), "cls")
+
+
+@query("x9_difference", _cells("''", "CASE WHEN nation < 12 THEN 0 ELSE 1 END", 230.25, "SELECT round(sum(area), 2) AS area FROM covered WHERE top = 0"))
+def x9_difference(spark, d):
+    """What the squares of some nations cover and those of the others do not."""
+    squares = _squares(spark, d, 230.25).select(F.lit("").alias("key"), "nation", "ring")
+    return _total(overlay.difference(squares.filter("nation < 12"), squares.filter("nation >= 12")))
+
+
+@query("x9_intersection", _cells("''", "CASE WHEN nation < 12 THEN 0 ELSE 1 END", 230.25, "SELECT round(sum(area), 2) AS area FROM covered WHERE cls = 0 AND top = 1"))
+def x9_intersection(spark, d):
+    squares = _squares(spark, d, 230.25).select(F.lit("").alias("key"), "nation", "ring")
+    return _total(overlay.intersection(squares.filter("nation < 12"), squares.filter("nation >= 12")))
+
+
+_NEAR = [250.5, 500.5, 1000.5]
+_LEVEL = "CASE " + " ".join(f"WHEN m < CAST({r} AS DOUBLE) THEN {k}" for k, r in enumerate(_NEAR)) + " END"
+
+
+@query("t6_rings", with_layers(SIDE, POIS, PEOPLE, body=f"SELECT person AS pid, {_LEVEL} AS rank_no FROM (SELECT person, min(abs(p.x - q.x) + abs(p.y - q.y)) AS m FROM people q CROSS JOIN pois p GROUP BY person) WHERE m < CAST({_NEAR[-1]} AS DOUBLE)"))
+def t6_rings(spark, d):
+    """People in the rings around places, each ring without the better ones; with one segment a quarter turn a buffer is a square on its corner."""
+    matrix = spark.createDataFrame([(q, r, k) for k, r in enumerate(_NEAR) for q in (500, 750, 1000)], "quality int, distance double, rank_no int")
+    rings = overlay.rings_by_level(_pois(spark, d).select("quality", "x", "y"), matrix, quadrant=1)
+    aid = F.concat_ws(" ", "rank_no", F.xxhash64(F.to_json("shape")))
+    people = _people(spark, d).select(F.col("person").alias("pid"), "x", "y")
+    return spatial.points_in_rings(rings.select(aid.alias("aid"), "shape"), people, 500.0).select("pid", F.split("aid", " ")[0].cast("int").alias("rank_no"))
+
+
+_ARC = 8 * math.sin(math.pi / 8)  # the area of the polygon of 16 sides in a circle of radius 1
+
+
+def _wide(half: float, by: float) -> float:
+    return 4 * half**2 + 8 * half * by + _ARC * by**2 if by > 0 else 4 * (half + by) ** 2
+
+
+def _buffered(by: float) -> str:
+    return with_layers(SIDE, POIS, body=f"SELECT CAST(poi AS VARCHAR) AS key, round(CAST({_wide(OUTER, by) - _wide(HOLE, -by) + _wide(ISLAND, by)!r} AS DOUBLE), 1) AS area FROM pois")
+
+
+def _buffer(spark, d, by):
+    holed = _holed(spark, d).select(F.col("poi").alias("key"), "shape")
+    return overlay.buffer(holed, by, unit=1e-6).groupBy("key").agg(F.round(F.sum("area"), 1).alias("area"))
+
+
+@query("x8_widened", _buffered(20.0))
+def x8_widened(spark, d):
+    """Each place's shape widened by 20 m: its hole gets smaller."""
+    return _buffer(spark, d, 20.0)
+
+
+@query("x8_eroded", _buffered(-20.0))
+def x8_eroded(spark, d):
+    return _buffer(spark, d, -20.0)

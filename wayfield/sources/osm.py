@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry
+from wayfield.functions import geometry, shapes
+from wayfield.operators import overlay
+from wayfield.operators.spatial import pairs_that_meet
 from wayfield.operators import graph
 
 
@@ -90,6 +92,16 @@ def large_areas(areas: DataFrame, min_area: float = 200.0, min_width: float = 10
     return areas.filter((area >= min_area) & (2 * area / around >= min_width / 2))
 
 
+def green_areas(areas: DataFrame, min_area: float = 200.0, min_width: float = 10.0, gap: float = 5.0, meets: DataFrame | None = None, tile: float = 500.0) -> DataFrame:
+    """Parts (shape, area) of green areas (``shape`` or closed ``ring``, in metres) grown together: small and narrow ones go, by an opening of their
+    union. With ``meets`` (bid, ``shape`` or ``ring``) only parts that meet one of those."""
+    parts = overlay.opened(areas.select(F.lit("").alias("key"), shapes.of(areas).alias("shape")), min_area, min_width, gap, tile).select("shape", "area")
+    if meets is None:
+        return parts
+    named = parts.withColumn("aid", F.xxhash64(F.to_json("shape")))
+    return named.join(pairs_that_meet(named, meets, tile).select("aid").distinct(), "aid", "left_semi").drop("aid")
+
+
 def bounded(query: str, box: tuple[float, float, float, float]) -> str:
     """A query text with {{bbox}} filled in as south, west, north, east; ``box`` is xmin, ymin, xmax, ymax."""
     x0, y0, x1, y1 = box
