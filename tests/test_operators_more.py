@@ -99,6 +99,11 @@ def test_analyzer_run_save_and_load(spark, street, tmp_path):
     by_rank = {r.rank_no: r.n for r in edges.groupBy("rank_no").agg(F.sum("len").alias("n")).collect()}
     assert by_rank == {0: 120, 1: 90, None: 40}
     assert {(r.node, r.rank_no) for r in run.result["nodes"].filter("node < 5").collect()} == {(1, 0), (2, 0), (4, 1)}
+    points = {r.id: (r.x, r.y, r.rank_no) for r in run.result["points"].collect()}
+    ends = {i for r in edges.collect() for i in (r.u, r.v)}
+    assert ends <= set(points) and all(x is not None and y is not None for x, y, _ in points.values())
+    assert len(points) > 5 and {points[n][2] for n in points if n > 5} <= {None, 1}
+    assert run.to_hex(10.0, 0).cells.agg(F.min("rank_no")).first()[0] == 0
     run.save(spark, str(tmp_path / "run"))
     again = facade.AccessibilityAnalyzer.load(spark, str(tmp_path / "run"))
     assert again.distances == [60, 110] and again.result["edges"].count() == edges.count() and again.network.nodes.count() == 4
@@ -221,7 +226,12 @@ def test_files(spark, tmp_path):
 def test_scores_and_texts(spark):
     with pytest.raises(ValueError):
         scoring.adaptive_grid(lambda v: float(v > 1), 0, 2, 0.5)
-    assert set(scoring.adaptive_grids(lambda a, b: a * b, {"a": (0.0, 1.0), "b": (0.0, 2.0)}, 0.25)) == {"a", "b"}
+    grids = scoring.adaptive_grids(lambda a, b: a * b, {"a": (0.0, 1.0), "b": (0.0, 2.0)}, 0.25)
+    assert all(abs(a2 * b2 - a * b) <= 0.25 for a in grids["a"] for b in grids["b"] for a2, b2 in [(min([v for v in grids["a"] if v > a], default=a), b), (a, min([v for v in grids["b"] if v > b], default=b))])
+    mixed = scoring.adaptive_grids(lambda a, mode: a * {"bus": 1, "rail": 4}[mode], {"a": (0.0, 1.0), "mode": ["bus", "rail"]}, 0.5)
+    assert mixed == {"a": [k / 8 for k in range(9)], "mode": ["bus", "rail"]}
+    with pytest.raises(ValueError):
+        scoring.adaptive_grids(lambda a: float(a > 0.3), {"a": (0.0, 1.0)}, 0.5, max_rounds=20)
     model = facade.AccessScore()
     stops = spark.createDataFrame([(5.0, "rail", 30.0), (720.0, "bus", 10.0)], "headway double, mode string, speed double")
     assert [r.score for r in model.score_stops(stops).collect()] == pytest.approx([1.0, 0.1])

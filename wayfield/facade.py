@@ -15,6 +15,10 @@ from wayfield.session import materialize
 from wayfield.sources import files, osm
 
 
+#: A matrix has a row for each quality and step, and is made on the driver.
+MAX_QUALITIES = 100_000
+
+
 class Layer:
     """Named tables with attributes, saved in one folder with a manifest."""
 
@@ -305,7 +309,8 @@ class AccessibilityAnalyzer(Layer):
         return cls(StreetNetwork(**part("network_")), PointsOfInterest(**part("pois_")), result=part("result_"), **attributes)
 
     def run(self, min_edge: int = 0, max_distance: float = 1000.0, matrix: DataFrame | None = None, exact: bool = True) -> dict[str, DataFrame]:
-        """Tables ``reach`` (node, rank_no, remaining), ``nodes`` (node, rank_no), ``edges`` with their labels and ``placed`` (pid, node).
+        """Tables ``reach`` (node, rank_no, remaining), ``nodes`` (node, rank_no), ``edges`` with their labels, ``placed`` (pid, node) and
+        ``points`` (id, x, y, rank_no): all nodes that edges name, those where places snap and edges are cut too.
 
         Places snap to their nearest streets, which get nodes there. ``matrix`` (quality, distance, rank_no) gives levels by quality, with
         the places' ``quality`` column; without it the distances are the levels. With ``exact`` edges are cut where a level's reach ends.
@@ -320,17 +325,20 @@ class AccessibilityAnalyzer(Layer):
         reach = materialize(isochrone.reaches(whole, sources, matrix), "reach")
         edges = whole.withColumn("edge", F.xxhash64("u", "v", "key_no"))
         if exact:
-            first_id = (network.nodes.agg(F.max("id")).first()[0] or 0) + 1
-            _, labelled = isochrone.exact(edges.select("edge", "u", "v", "len"), reach, ranks, first_id, min_edge)
+            points, labelled = isochrone.result_network(network.nodes, edges.select("edge", "u", "v", "len"), reach, ranks, min_edge)
+            points, labelled = materialize(points, "result-points"), materialize(labelled, "result-edges")
         else:
             labelled = isochrone.edge_reaches(edges, reach, ranks, min_edge)
-        self.result = {"reach": reach, "nodes": isochrone.node_labels(reach, min_edge), "edges": labelled, "placed": placed}
+            points = network.nodes.join(isochrone.node_labels(reach, min_edge).withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", "rank_no")
+        self.result = {"reach": reach, "nodes": isochrone.node_labels(reach, min_edge), "edges": labelled, "placed": placed, "points": points}
         return self.result
 
     def default_distance_matrix(self, steps: Sequence[int]) -> DataFrame:
         """The standard matrix over the qualities (thousandths) that the places have."""
-        found = self.pois.places.select((F.col("quality") / 1000).alias("q")).filter("q > 0").distinct().orderBy(F.desc("q"))
-        return isochrone.default_matrix(self.network.nodes.sparkSession, [r["q"] for r in found.limit(1000).collect()], steps)
+        found = self.pois.places.select((F.col("quality") / 1000).alias("q")).filter("q > 0").distinct().limit(MAX_QUALITIES + 1).collect()
+        if len(found) > MAX_QUALITIES:
+            raise ValueError(f"more than {MAX_QUALITIES} qualities; round them first")
+        return isochrone.default_matrix(self.network.nodes.sparkSession, sorted((r["q"] for r in found), reverse=True), steps)
 
     def run_buffers(self, points: DataFrame) -> DataFrame:
         """points (pid, x, y) with the best ring of straight-line distance, null where none reaches."""
@@ -348,6 +356,6 @@ class AccessibilityAnalyzer(Layer):
         return overlay.rings_by_level(self.pois.places.withColumn("quality", quality), matrix, tile)
 
     def to_hex(self, base: float, resolution: int) -> HexGrid:
-        """The best level of the nodes in each hexagon."""
-        levels = self.result["nodes"].join(self.network.nodes, F.col("node") == F.col("id")).select("x", "y", "rank_no")
+        """The best level of the nodes in each hexagon, those where places snap and edges are cut too."""
+        levels = self.result["points"].filter("rank_no IS NOT NULL").select("x", "y", "rank_no")
         return HexGrid.from_points(levels, {"rank_no": "min"}, base, resolution)

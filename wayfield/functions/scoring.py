@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,10 +80,34 @@ def adaptive_grid(score: Callable[[float], float], low: float, high: float, delt
     raise ValueError(f"the score changes by more than {delta} within {(high - low) / 2**max_rounds}")
 
 
-def adaptive_grids(score: Callable[..., float], bounds: Mapping[str, tuple[float, float]], delta: float) -> dict[str, list[float]]:
-    """A grid per variable, the others held at the middle of their bounds."""
-    middle = {name: (lo + hi) / 2 for name, (lo, hi) in bounds.items()}
-    return {name: adaptive_grid(lambda v, name=name: score(**(middle | {name: v})), lo, hi, delta) for name, (lo, hi) in bounds.items()}
+def adaptive_grids(score: Callable[..., float], bounds: Mapping[str, tuple[float, float] | Sequence], delta: float, max_rounds: int = 30) -> dict[str, list]:
+    """A grid per variable such that a step along any of them changes the score by at most ``delta``, wherever on their grids the others are.
+
+    Two numbers in a tuple are the ends of a continuous variable; any other sequence is a discrete one, whose values are its grid. Axes are refined in
+    turns, against the largest change over the whole grids of the others. Raises where ``max_rounds`` rounds do not reach delta.
+    """
+    continuous = {k for k, b in bounds.items() if isinstance(b, tuple) and len(b) == 2 and all(isinstance(v, int | float) for v in b)}
+    grids = {k: [float(v) for v in b] if k in continuous else list(b) for k, b in bounds.items()}
+
+    def worst(name: str) -> list[float]:
+        """The largest change over each interval of an axis."""
+        others = [k for k in grids if k != name]
+        out = [0.0] * (len(grids[name]) - 1)
+        for values in product(*(grids[k] for k in others)):
+            along = [score(**dict(zip(others, values, strict=True)), **{name: v}) for v in grids[name]]
+            out = [max(w, abs(b - a)) for w, a, b in zip(out, along, along[1:], strict=False)]
+        return out
+
+    for _ in range(max_rounds):
+        changed = False
+        for name in continuous:
+            grid = grids[name]
+            middles = [(grid[i] + grid[i + 1]) / 2 for i, w in enumerate(worst(name)) if w > delta]
+            grids[name] = sorted(grid + middles)
+            changed |= bool(middles)
+        if not changed:
+            return grids
+    raise ValueError(f"the score changes by more than {delta} between neighbours after {max_rounds} rounds")
 
 
 #: The transit score's elasticities, mode factors, references and anchors.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfield.operators.graph import split_edges
 from wayfield.operators.raster import rank_of
+from wayfield.operators.snapping import with_ends
 from wayfield.operators.sssp import bounded_distances
 
 
@@ -35,12 +36,22 @@ def edge_reaches(edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int =
     """Edges (edge, u, v, len) with ``rank_no`` (best rank whose reaches from both ends meet) and the cuts per rank.
 
     A cut from an end lies at the rank's reach if that is inside the edge by ``min_edge``, past what better ranks
-    reach from there and short of what they reach from the other end. Two cuts that overlap are no cuts.
+    reach from there and short of what they reach from the other end. Two cuts that overlap are no cuts. ``after`` is the label of
+    a node at the cut: the best of the worse ranks that reach past it from there.
     """
     out = edges.join(_wide(reach, ranks, "u"), "u", "left").join(_wide(reach, ranks, "v"), "v", "left")
     zero = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
     room, label, cuts = F.col("len") - min_edge, F.lit(None).cast("int"), []
     better: dict[str, Column] = {"u": F.lit(0), "v": F.lit(0)}
+
+    def after(side: str, k: int) -> Column:
+        found = F.lit(None).cast("int")
+        for a in range(ranks - 1, k, -1):
+            nearer = [zero(f"{side}_{b}") for b in range(a)]
+            past = (zero(f"{side}_{a}") > (F.greatest(*nearer) if len(nearer) > 1 else nearer[0])) & (zero(f"{side}_{a}") > min_edge)
+            found = F.when(past, a).otherwise(found)
+        return found.alias("after")
+
     for k in range(ranks):
         u, v = zero(f"u_{k}"), zero(f"v_{k}")
         label = F.coalesce(label, F.when(u + v > room, k))
@@ -49,7 +60,7 @@ def edge_reaches(edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int =
             ok = (value >= min_edge) & (value > 0) & (value <= room) & (value <= room - better[other]) & (value >= better[mine] + min_edge)
             at[mine] = F.when(ok, value)
         both = F.coalesce(at["u"], F.lit(0)) + F.coalesce(at["v"], F.lit(0)) <= room
-        cuts += [F.struct(F.lit(k).alias("rank_no"), F.when(both, at["u"]).alias("at")), F.struct(F.lit(k).alias("rank_no"), F.when(both, F.col("len") - at["v"]).alias("at"))]
+        cuts += [F.struct(F.lit(k).alias("rank_no"), F.when(both, at["u"]).alias("at"), after("u", k)), F.struct(F.lit(k).alias("rank_no"), F.when(both, F.col("len") - at["v"]).alias("at"), after("v", k))]
         better = {"u": F.greatest(better["u"], u), "v": F.greatest(better["v"], v)}
     return out.select("edge", "u", "v", "len", label.alias("rank_no"), F.filter(F.array(*cuts), lambda c: c["at"].isNotNull()).alias("cuts"))
 
@@ -73,10 +84,12 @@ def default_matrix(spark, qualities: Sequence[float], steps: Sequence[float]) ->
 
 
 def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edge: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Cut nodes (id, edge, cut) and edges (edge, u, v, len, rank_no) with every edge cut where a rank's reach ends."""
+    """Cut nodes (id, edge, cut, rank_no: their own label, null for none) and edges (edge, u, v, len, rank_no) with every edge cut where
+    a rank's reach ends."""
     judged = edge_reaches(edges, reach, ranks, min_edge)
-    cuts = judged.select("edge", F.explode("cuts.at").alias("cut")).filter(F.col("cut") > 0).join(edges.select("edge", "len"), "edge").filter("cut < len").select("edge", "cut")
-    named, parts = split_edges(edges, cuts, first_id)
+    cuts = judged.select("edge", "len", F.explode("cuts").alias("c")).select("edge", "len", F.col("c.at").alias("cut"), "c.after").filter("cut > 0 AND cut < len")
+    named, parts = split_edges(edges, cuts.select("edge", "cut"), first_id)
+    named = named.join(cuts.groupBy("edge", "cut").agg(F.min("after").alias("rank_no")), ["edge", "cut"])
     wide = edges.select("edge", F.col("u").alias("eu"), F.col("v").alias("ev"), F.col("len").alias("elen")).join(_wide(reach, ranks, "u").withColumnRenamed("u", "eu"), "eu", "left").join(_wide(reach, ranks, "v").withColumnRenamed("v", "ev"), "ev", "left")
     at = named.select(F.col("id"), F.col("cut"))
     placed = parts.join(at.withColumnRenamed("id", "u").withColumnRenamed("cut", "from"), "u", "left").join(at.withColumnRenamed("id", "v").withColumnRenamed("cut", "to"), "v", "left")
@@ -87,6 +100,19 @@ def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edg
     return named, placed.select("edge", "u", "v", "len", label.alias("rank_no"))
 
 
+def result_network(nodes: DataFrame, edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, x, y, rank_no) and edges (edge, u, v, len, rank_no) of a graph (nodes: id, x, y; edges: edge, u, v, len) cut where the reach of a
+    rank ends: every end of an edge is a node there. Cut nodes get ids after the largest, lie on the straight line between the edge's
+    ends and have labels of their own; an edge has the best of what its place on the old edge is reached with."""
+    last = nodes.agg(F.max("id")).first()[0]
+    named, parts = exact(edges, reach, ranks, (last or 0) + 1, min_edge)
+    ends = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("cut") / F.col("len")
+    fresh = named.join(ends, "edge").select("id", at("ax", "bx").alias("x"), at("ay", "by").alias("y"), "rank_no")
+    old = nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(node_labels(reach, min_edge).withColumnRenamed("node", "id"), "id", "left")
+    return old.unionByName(fresh), parts
+
+
 def nearest_origin(edges: DataFrame, pois: DataFrame, cutoff: int) -> DataFrame:
     """(node, poi, dist): the nearest poi (poi, node) of every node within the cutoff; the least id among equals. One search."""
     sources = pois.select(F.lit(1).cast("long").alias("grp"), "node", F.col("poi").alias("label"))

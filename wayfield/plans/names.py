@@ -131,7 +131,8 @@ ends AS (SELECT g, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END A
 binned AS (SELECT kept.*, lo, hi, CAST(least(floor((v - lo) / (hi - lo) * 5), 4) AS INT) AS bin FROM kept JOIN ends USING (g)),
 counts AS (SELECT g, bin, count(*) AS n FROM binned GROUP BY 1, 2), modal AS (SELECT g, min(bin) AS b0, max(bin) AS b1 FROM (SELECT *, max(n) OVER (PARTITION BY g) AS most FROM counts) WHERE n = most GROUP BY g),
 inside AS (SELECT binned.* FROM binned JOIN modal USING (g) WHERE v >= lo + b0 * (hi - lo) / 5 AND v <= lo + (b1 + 1) * (hi - lo) / 5),
-stats AS (SELECT g, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM inside GROUP BY g), band AS (SELECT inside.*, m FROM inside JOIN stats USING (g) WHERE n = 1 OR abs(v - m) <= s)"""
+stats AS (SELECT g, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS s, CAST(sum(CAST(v AS BIGINT) * CAST(v AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM inside GROUP BY g),
+band AS (SELECT inside.*, CAST(s AS DOUBLE) / n AS m FROM inside JOIN stats USING (g) WHERE (n * CAST(v AS BIGINT) - s) * (n * CAST(v AS BIGINT) - s) <= n * q - s * s)"""
 _DAYS = "days AS (SELECT CAST(ts AS DATE) AS day, event_type AS feed, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2)"
 
 
@@ -281,3 +282,16 @@ def c1_multires_layers(spark, d):
     jobs = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("jobs"))
     layers = multires.MultiresLayers([jobs, parts, people], ["nation", "part", ""], {"people": "sum", "jobs": "sum"})
     return layers[1].filter("jobs IS NOT NULL").select("nation", "segment", "people", F.round("jobs", 4).alias("jobs"))
+
+
+_HALVED = "CAST(ceil(log2({0} * {1} / CAST(0.5 AS DOUBLE))) AS BIGINT)"
+
+
+@query("q3_adaptive_grids", f"""WITH b AS (SELECT CAST(min(l_quantity) AS DOUBLE) AS a0, CAST(max(l_quantity) AS DOUBLE) AS a1, CAST(min(l_discount) AS DOUBLE) AS b0, CAST(max(l_discount) AS DOUBLE) AS b1 FROM lineitem),
+h AS (SELECT *, power(2, {_HALVED.format('(a1 - a0)', 'b1')}) AS na, power(2, {_HALVED.format('(b1 - b0)', 'a1')}) AS nb FROM b)
+SELECT 'quantity' AS axis, round(a0 + (a1 - a0) * i / na, 9) AS value FROM h, (SELECT unnest(range(0, 4096)) AS i) WHERE i <= na UNION ALL SELECT 'discount', round(b0 + (b1 - b0) * i / nb, 9) FROM h, (SELECT unnest(range(0, 4096)) AS i) WHERE i <= nb""")
+def q3_adaptive_grids(spark, d):
+    """Grids of quantity and discount between which their product changes by 0.5 at most, whatever the other is."""
+    ends = table(spark, d, "lineitem").agg(*(f(c).cast("double") for c in ("l_quantity", "l_discount") for f in (F.min, F.max))).first()
+    grids = scoring.adaptive_grids(lambda quantity, discount: quantity * discount, {"quantity": (ends[0], ends[1]), "discount": (ends[2], ends[3])}, 0.5)
+    return spark.createDataFrame([(k, v) for k, grid in grids.items() for v in grid], "axis string, value double").withColumn("value", F.round("value", 9))

@@ -13,6 +13,7 @@ from wayfield.plans.core import ARCS, SNAP_POIS, _edges, _nodes, _people, _pois,
 from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, with_layers
 from wayfield.plans.registry import query
 from wayfield.plans.surfaces import STREETS, _squares
+from wayfield.session import materialize
 
 
 def _named_edges(spark, d):
@@ -203,11 +204,16 @@ def g4_near_parallels(spark, d):
     return graph.without_near_parallels(folded, 30.0).select("u", "v", "len")
 
 
-@query("t4_edge_cuts", with_layers(
+_CUTS = (
     *_WALKED, "e2 AS (SELECT u * 1000000 + v AS edge, e.len, greatest(coalesce(300 - a.dist, 0), 0) AS u0, greatest(coalesce(300 - b.dist, 0), 0) AS v0, greatest(coalesce(700 - a.dist, 0), 0) AS u1, greatest(coalesce(700 - b.dist, 0), 0) AS v1 FROM edges e LEFT JOIN reach a ON a.node = u LEFT JOIN reach b ON b.node = v)",
     "c0 AS (SELECT *, CASE WHEN u0 > 0 AND u0 <= len AND u0 >= 0 THEN u0 END AS a0, CASE WHEN v0 > 0 AND v0 <= len THEN v0 END AS b0, CASE WHEN u1 > 0 AND u1 <= len AND u1 <= len - v0 AND u1 >= u0 THEN u1 END AS a1, CASE WHEN v1 > 0 AND v1 <= len AND v1 <= len - u0 AND v1 >= v0 THEN v1 END AS b1 FROM e2)",
     "c1 AS (SELECT *, coalesce(a0, 0) + coalesce(b0, 0) <= len AS k0, coalesce(a1, 0) + coalesce(b1, 0) <= len AS k1 FROM c0)",
     "cuts AS (SELECT edge, 0 AS rank_no, a0 AS pos FROM c1 WHERE k0 UNION ALL SELECT edge, 0, len - b0 FROM c1 WHERE k0 UNION ALL SELECT edge, 1, a1 FROM c1 WHERE k1 UNION ALL SELECT edge, 1, len - b1 FROM c1 WHERE k1)",
+)
+
+
+@query("t4_edge_cuts", with_layers(
+    *_CUTS,
     body="SELECT c.edge, CASE WHEN u0 + v0 > len THEN 0 WHEN u1 + v1 > len THEN 1 END AS rank_no, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT rank_no || ':' || CAST(pos AS BIGINT) AS k FROM cuts x WHERE x.edge = c.edge AND pos IS NOT NULL)), '') AS cuts FROM c1 c",
     recursive=True,
 ))
@@ -219,3 +225,46 @@ def t4_edge_cuts(spark, d):
     judged = isochrone.edge_reaches(edges, reach, 2)
     text = F.transform("cuts", lambda c: F.concat(c["rank_no"].cast("string"), F.lit(":"), c["at"].cast("long").cast("string")))
     return judged.select("edge", "rank_no", F.array_join(F.array_sort(text), ",").alias("cuts"))
+
+
+def _cut_network(spark, d):
+    pois = _snap(spark, d, _pois(spark, d), "poi").select(F.lit(1).cast("long").alias("quality"), "node")
+    edges = _named_edges(spark, d)
+    reach = materialize(isochrone.reaches(edges, pois, isochrone.list_matrix(spark, [300, 700])), "reach")
+    return isochrone.result_network(_nodes(spark, d), edges, reach, 2)
+
+
+_SPOTS = """spots AS (SELECT edge, pos, min(after) AS rank_no FROM (
+  SELECT edge, CAST(pos AS DOUBLE) AS pos, len, after FROM (
+    SELECT edge, len, a0 AS pos, CASE WHEN u1 > u0 THEN 1 END AS after FROM c1 WHERE k0 UNION ALL SELECT edge, len, len - b0, CASE WHEN v1 > v0 THEN 1 END FROM c1 WHERE k0
+    UNION ALL SELECT edge, len, a1, NULL FROM c1 WHERE k1 UNION ALL SELECT edge, len, len - b1, NULL FROM c1 WHERE k1) WHERE pos > 0 AND pos < len) GROUP BY edge, pos)"""
+_MARKED = "marked AS (SELECT n.id, x, y, CASE WHEN dist < 300 THEN 0 WHEN dist < 700 THEN 1 END AS rank_no FROM nodes n LEFT JOIN reach ON node = n.id)"
+
+
+@query("t7_result_nodes", with_layers(
+    *_CUTS, _SPOTS, _MARKED,
+    body="""SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, rank_no FROM marked
+UNION ALL SELECT round(a.x + (b.x - a.x) * pos / e.len, 4), round(a.y + (b.y - a.y) * pos / e.len, 4), s.rank_no FROM spots s JOIN edges e ON s.edge = e.u * 1000000 + e.v JOIN nodes a ON a.id = e.u JOIN nodes b ON b.id = e.v""",
+    recursive=True,
+))
+def t7_result_nodes(spark, d):
+    """All nodes of the result network, those at cuts too, each with its own label."""
+    return _cut_network(spark, d)[0].select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "rank_no")
+
+
+@query("t7_result_network", with_layers(
+    *_CUTS, _SPOTS,
+    "stops AS (SELECT edge, pos FROM spots UNION ALL SELECT edge, CAST(0 AS DOUBLE) FROM e2 UNION ALL SELECT edge, CAST(len AS DOUBLE) FROM e2)",
+    "parts AS (SELECT edge, pos, lead(pos) OVER (PARTITION BY edge ORDER BY pos) AS till FROM stops)",
+    "judged AS (SELECT p.edge, till - pos AS len, (pos + till) / 2 AS mid, e2.len AS whole, u0, v0, u1, v1 FROM parts p JOIN e2 USING (edge) WHERE till IS NOT NULL)",
+    body="""SELECT edge, CASE WHEN (u0 >= mid AND u0 > 0) OR (v0 >= whole - mid AND v0 > 0) THEN 0 WHEN (u1 >= mid AND u1 > 0) OR (v1 >= whole - mid AND v1 > 0) THEN 1 END AS rank_no, round(len, 4) AS len,
+  true AS named FROM judged""",
+    recursive=True,
+))
+def t7_result_network(spark, d):
+    """Parts of streets with their labels; every part's ends are nodes of the result."""
+    nodes, parts = _cut_network(spark, d)
+    nodes = materialize(nodes, "result-nodes")
+    there = lambda s: nodes.select(F.col("id").alias(s), F.lit(True).alias(f"{s}_there"))
+    out = parts.join(there("u"), "u", "left").join(there("v"), "v", "left")
+    return out.select("edge", "rank_no", F.round("len", 4).alias("len"), (F.coalesce("u_there", F.lit(False)) & F.coalesce("v_there", F.lit(False))).alias("named"))
