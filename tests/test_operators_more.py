@@ -2,13 +2,15 @@
 
 import json
 import math
+import random
+from heapq import heapify, heappop, heappush
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfield import facade
 from wayfield.functions import crs, geometry, scoring, text
-from wayfield.operators import census, graph, hexcells, multires, population, raster, service, snapping
+from wayfield.operators import census, graph, hexcells, multires, population, raster, service, snapping, sssp
 from wayfield.operators.sssp import bounded_distances
 from wayfield.plans import workflows
 from wayfield.sources import files, osm, tiff
@@ -38,6 +40,38 @@ def test_searches_carry_labels(spark):
         assert {tuple(r) for r in bounded_distances(edges, sources, 20, max_broadcast_edges=most).collect()} == want
 
 
+def test_searches_in_cells(spark, monkeypatch):
+    """A grid of streets cut into many cells, by coordinates and by ids, against a plain search; several groups, labels, lone sources."""
+    monkeypatch.setattr(sssp, "CELL_NODES", 30)
+    monkeypatch.setattr(sssp, "STRETCH", 2)
+    rng = random.Random(5)
+    side = 18
+    edges = [(i * side + j, i * side + j + d, rng.randint(1, 9)) for i in range(side) for j in range(side) for d in (1, side) if (d == 1 and j < side - 1) or (d == side and i < side - 1)]
+    edges += [(0, 3, 40), (7, 7, 1), (5, 6, 1)]
+    sources = [(g, rng.randint(0, side * side - 1), rng.randint(0, 9)) for g in (1, 1, 1, 2, 1) for _ in range(3)] + [(2, 9999, 4)]
+    best = {}
+    for g in (1, 2):
+        heap = [(0, label, node) for k, node, label in sources if k == g]
+        heapify(heap)
+        while heap:
+            d, label, node = heappop(heap)
+            if (g, node) in best:
+                continue
+            best[g, node] = (d, label)
+            for u, v, n in edges:
+                for a, b in ((u, v), (v, u)):
+                    if a == node and a != b and d + n <= 45:
+                        heappush(heap, (d + n, label, b))
+    e, s = spark.createDataFrame(edges, "u long, v long, len long"), spark.createDataFrame(sources, "grp long, node long, label long")
+    nodes = spark.createDataFrame([(i * side + j, float(j), float(i)) for i in range(side) for j in range(side) if (i, j) != (4, 4)], "id long, x double, y double")
+    want = {(g, node, *b) for (g, node), b in best.items()}
+    for places in (None, nodes, nodes.withColumn("x", F.lit(1.0))):
+        assert {tuple(r) for r in bounded_distances(e, s, 45, 0, places).collect()} == want
+    assert {tuple(r) for r in bounded_distances(e, s, 45).collect()} == want
+    assert bounded_distances(e, s.limit(0), 45, 0).count() == 0
+    assert {tuple(r) for r in bounded_distances(e.limit(0), s.drop("label"), 45, 0).collect()} == {(g, node, 0) for g, node, _ in sources}
+
+
 def test_near_parallels(spark):
     rows = [(1, 2, 0, 100.0, 0.0, 0.0), (2, 1, 0, 105.0, 3.0, 0.0), (1, 2, 1, 140.0, 30.0, 0.0), (3, 4, 0, 9.0, 0.0, 0.0)]
     edges = spark.createDataFrame(rows, "u long, v long, key_no int, len double, mx double, my double")

@@ -322,7 +322,7 @@ class AccessibilityAnalyzer(Layer):
         matrix = isochrone.list_matrix(spark, self.distances) if matrix is None else matrix
         ranks = (matrix.agg(F.max("rank_no")).first()[0] or 0) + 1
         whole = network.edges.withColumn("len", F.round("len").cast("long"))  # whole metres, so that searches are exact
-        reach = materialize(isochrone.reaches(whole, sources, matrix), "reach")
+        reach = materialize(isochrone.reaches(whole, sources, matrix, network.nodes), "reach")
         edges = whole.withColumn("edge", F.xxhash64("u", "v", "key_no"))
         if exact:
             points, labelled = isochrone.result_network(network.nodes, edges.select("edge", "u", "v", "len"), reach, ranks, min_edge)

@@ -13,11 +13,12 @@ from wayfield.operators.snapping import with_ends
 from wayfield.operators.sssp import bounded_distances
 
 
-def reaches(edges: DataFrame, pois: DataFrame, matrix: DataFrame) -> DataFrame:
+def reaches(edges: DataFrame, pois: DataFrame, matrix: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, rank_no, remaining): the largest remaining distance per rank (0 best), from pois (node, quality) and
-    matrix (quality, distance, rank_no). One search per quality, cut off at its largest distance, serves all ranks."""
+    matrix (quality, distance, rank_no). One search per quality, cut off at its largest distance, serves all ranks.
+    ``nodes`` (id, x, y) places the cells of a large graph."""
     limit = matrix.agg(F.max("distance")).first()[0] or 0
-    reach = bounded_distances(edges, pois.select(F.col("quality").cast("long").alias("grp"), "node"), limit)
+    reach = bounded_distances(edges, pois.select(F.col("quality").cast("long").alias("grp"), "node"), limit, nodes=nodes)
     widest = matrix.groupBy(F.col("quality").cast("long").alias("grp"), "rank_no").agg(F.max("distance").alias("distance"))
     left = reach.join(widest, "grp").withColumn("remaining", F.col("distance") - F.col("dist")).filter("remaining >= 0")
     return left.groupBy("node", "rank_no").agg(F.max("remaining").alias("remaining"))
@@ -113,10 +114,10 @@ def result_network(nodes: DataFrame, edges: DataFrame, reach: DataFrame, ranks:
     return old.unionByName(fresh), parts
 
 
-def nearest_origin(edges: DataFrame, pois: DataFrame, cutoff: int) -> DataFrame:
+def nearest_origin(edges: DataFrame, pois: DataFrame, cutoff: int, nodes: DataFrame | None = None) -> DataFrame:
     """(node, poi, dist): the nearest poi (poi, node) of every node within the cutoff; the least id among equals. One search."""
     sources = pois.select(F.lit(1).cast("long").alias("grp"), "node", F.col("poi").alias("label"))
-    return bounded_distances(edges, sources, cutoff).select("node", F.col("label").alias("poi"), "dist")
+    return bounded_distances(edges, sources, cutoff, nodes=nodes).select("node", F.col("label").alias("poi"), "dist")
 
 
 def served(reach: DataFrame, origins: DataFrame) -> DataFrame:

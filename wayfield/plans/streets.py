@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfield.functions import crs, geometry
 from wayfield.operators import graph, isochrone, snapping
-from wayfield.operators.sssp import bounded_distances
+from wayfield.operators.sssp import bounded_distances, both_ways, in_cells
 from wayfield.plans.core import ARCS, SNAP_POIS, _edges, _nodes, _people, _pois, _snap, reach_sql
 from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, with_layers
 from wayfield.plans.registry import query
@@ -268,3 +268,16 @@ def t7_result_network(spark, d):
     there = lambda s: nodes.select(F.col("id").alias(s), F.lit(True).alias(f"{s}_there"))
     out = parts.join(there("u"), "u", "left").join(there("v"), "v", "left")
     return out.select("edge", "rank_no", F.round("len", 4).alias("len"), (F.coalesce("u_there", F.lit(False)) & F.coalesce("v_there", F.lit(False))).alias("named"))
+
+
+@query("g8_search_in_cells", with_layers(
+    SIDE, NODES, EDGES, POIS, SNAP_POIS, ARCS, reach_sql("SELECT DISTINCT CAST(quality AS BIGINT) AS grp, node FROM pois JOIN poi_nodes USING (poi)", 1500),
+    body="SELECT grp, node, dist FROM reach",
+    recursive=True,
+))
+def g8_search_in_cells(spark, d):
+    """Searches over a graph cut into cells, the way that large graphs go."""
+    pois = _pois(spark, d).join(_snap(spark, d, _pois(spark, d), "poi"), "poi")
+    arcs = both_ways(_edges(spark, d)).groupBy("u", "v").agg(F.min("len").alias("len"))
+    sources = pois.select(F.col("quality").cast("long").alias("grp"), "node", F.lit(0).cast("long").alias("label")).distinct()
+    return in_cells(arcs, sources, 1500, _nodes(spark, d)).drop("label")
