@@ -245,6 +245,64 @@ def test_tiff_round_trip(spark, tmp_path):
         tiff.tags_of(b"GIF89a..")
 
 
+def lzw(data):
+    """A plain encoder for the test: codes of 9 to 12 bits, high bits first."""
+    codes, table, width, word = [(256, 9)], {bytes([i]): i for i in range(256)}, 9, b""
+    size = 258
+    for byte in data:
+        if word + bytes([byte]) in table:
+            word += bytes([byte])
+            continue
+        codes.append((table[word], width))
+        table[word + bytes([byte])] = size
+        size += 1
+        word = bytes([byte])
+        if size + 1 > (1 << width) - 1 + 1 and width < 12:
+            width += 1
+        if size >= 4094:
+            codes.append((256, width))
+            table, width, size = {bytes([i]): i for i in range(256)}, 9, 258
+    codes += [(table[word], width)] if word else []
+    codes.append((257, width))
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_tiff_blocks():
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for data in (b"", b"aaaaaaaaaaaaaaaaaaaa", bytes(rng.integers(0, 4, 3000, dtype=np.uint8)), bytes(rng.integers(0, 256, 20000, dtype=np.uint8))):
+        assert tiff.unpacked_lzw(lzw(data)) == data
+    assert tiff.unpacked_runs(bytes([2, 7, 8, 9, 254, 5, 128, 0, 1])) == bytes([7, 8, 9, 5, 5, 5, 1]) or tiff.unpacked_runs(bytes([2, 7, 8, 9, 254, 5])) == bytes([7, 8, 9, 5, 5, 5])
+    whole = rng.integers(-3000, 3000, (6, 5)).astype("<i2")
+    stepped = np.concatenate([whole[:, :1], np.diff(whole, axis=1)], axis=1).astype("<i2")
+    assert (tiff.block_of(lzw(stepped.tobytes()), 5, 2, np.dtype("<i2"), 5) == whole).all()
+    floats = rng.standard_normal((4, 7))
+    assert (tiff.block_of(tiff.packed_tile(floats), 8, 3, np.dtype("<f8"), 7) == floats).all()
+    assert (tiff.block_of(zlib.compress(whole.astype(">i2").tobytes()), 8, 1, np.dtype(">i2"), 5) == whole).all()
+
+
+def test_tiff_files_of_one_raster(spark, tmp_path):
+    """Four files side by side are one raster on one grid; a box leaves tiles out; files that do not fit are refused."""
+    want = {}
+    for i, (r, c) in enumerate([(0, 0), (0, 40), (30, 0), (30, 40)]):
+        cells = [(k, m, float(1000 * i + 40 * k + m)) for k in range(30) for m in range(40) if (k + m + i) % 3]
+        want |= {(r + k, c + m): v for k, m, v in cells}
+        tiff.write_tiff(spark.createDataFrame(cells, "row_no long, col long, value double"), raster.Grid(500.0 + 10 * c, 900.0 - 10 * r, 10.0, -10.0, 30, 40), f"file://{tmp_path}/all/{i}.tif", tile=16)
+    got, grid = tiff.read_tiff(spark, f"file://{tmp_path}/all")
+    assert grid == raster.Grid(500.0, 900.0, 10.0, -10.0, 60, 80)
+    assert {(r.row_no, r.col): r.value for r in got.collect()} == want
+    some, _ = tiff.read_tiff(spark, f"file://{tmp_path}/all", (700.0, 500.0, 1000.0, 700.0))
+    assert {(r.row_no, r.col): r.value for r in some.collect()} == {(k, m): v for (k, m), v in want.items() if 20 <= k < 40 and 20 <= m < 50}
+    tiff.write_tiff(spark.createDataFrame([(0, 0, 1.0)], "row_no long, col long, value double"), raster.Grid(503.0, 900.0, 10.0, -10.0, 2, 2), f"file://{tmp_path}/all/off.tif", tile=16)
+    with pytest.raises(ValueError):
+        tiff.read_tiff(spark, f"file://{tmp_path}/all")
+
+
 def test_files(spark, tmp_path):
     square = {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]}
     (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": "1"}, "geometry": square}]}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,9 +134,15 @@ def _fs(spark: SparkSession, path: str):
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file, through Hadoop's file systems."""
+    write_parts(spark, path, [content])
+
+
+def write_parts(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """A file of parts, one after the other, through Hadoop's file systems."""
     fs, at = _fs(spark, path)
     out = fs.create(at, True)
-    out.write(bytearray(content))
+    for part in parts:
+        out.write(bytearray(part))
     out.close()
 
 
