@@ -362,3 +362,44 @@ def test_band_holds_values_exactly_one_deviation_away(spark):
     for parts in (1, 2, 3):
         assert sorted((r.feed, r.day) for r in service.modal_band(days.repartition(parts), "v", "feed").collect()) == want
     assert service.representative(days, "v", "day", "feed").first()["v"] == 9.0
+
+
+def test_lines_stay_with_edges(spark):
+    """Bent streets: snaps lie on the lines, cuts cut them, contraction draws them to the merged nodes and keeps tags."""
+    def line(*points):
+        return [{"x": float(x), "y": float(y)} for x, y in points]
+
+    schema = "edge long, u long, v long, key_no int, len double, line array<struct<x:double,y:double>>, highway string"
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 100.0), (3, 104.0, 100.0), (4, 104.0, 200.0)], "id long, x double, y double")
+    rows = [(10, 1, 2, 0, 200.0, line((0, 0), (100, 0), (100, 100)), "a"), (11, 2, 3, 0, 4.0, line((100, 100), (104, 100)), "b"), (12, 4, 3, 0, 100.0, line((104, 200), (104, 100)), "c")]
+    edges = spark.createDataFrame(rows, schema)
+    points = spark.createDataFrame([(1, 97.0, 30.0), (2, 50.0, 50.0)], "pid long, x double, y double")
+    snaps = {r.pid: r for r in snapping.nearest_edges(points, edges, nodes, 50.0).collect()}
+    assert (snaps[1].edge, snaps[1].share, snaps[1].d2) == (10, 0.65, 9.0)
+    assert snaps[2].edge == 10 and snaps[2].d2 == 2500.0
+    got, parts, placed = snapping.add_points(points.filter("pid = 1"), nodes, edges, 50.0, 20.0)
+    new = {r.id: (r.x, r.y) for r in got.collect() if r.id > 4}
+    assert list(new.values()) == [(100.0, 30.0)]
+    cut = sorted((r.len, r.highway, [(p.x, p.y) for p in r.line]) for r in parts.filter("edge = 10").collect())
+    assert cut == [(70.0, "a", [(100, 30), (100, 100)]), (130.0, "a", [(0, 0), (100, 0), (100, 30)])]
+    merged, kept = graph.simplify(nodes, edges.drop("edge"), min_edge=5.0)
+    assert {(r.id, r.x, r.y) for r in merged.collect()} == {(1, 0.0, 0.0), (2, 102.0, 100.0), (4, 104.0, 200.0)}
+    got = {(r.u, r.v): r for r in kept.collect()}
+    assert set(got) == {(1, 2), (4, 2)} and got[4, 2].highway == "c"
+    assert [(p.x, p.y) for p in got[4, 2].line] == [(104.0, 200.0), (102.0, 100.0)] and math.isclose(got[4, 2].len, math.hypot(2, 100))
+    assert [(p.x, p.y) for p in got[1, 2].line] == [(0.0, 0.0), (100.0, 0.0), (102.0, 100.0)]
+
+
+def test_simplify_parallels(spark):
+    schema = "u long, v long, key_no int, len double, line array<struct<x:double,y:double>>, maxspeed int"
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "id long, x double, y double")
+    bow = lambda y: [{"x": 0.0, "y": 0.0}, {"x": 50.0, "y": float(y)}, {"x": 100.0, "y": 0.0}]
+    rows = [(1, 2, 0, 100.0, bow(0), 50), (2, 1, 0, 100.0, list(reversed(bow(0))), 50), (2, 1, 1, 101.0, list(reversed(bow(6))), 50), (1, 2, 1, 130.0, bow(40), 50), (1, 1, 0, 9.0, bow(1), 50)]
+    edges = spark.createDataFrame(rows, schema)
+    many = graph.simplify(nodes, edges, multi=True)[1].collect()
+    assert sorted((r.u, r.v, r.len) for r in many) == [(1, 2, 100.0), (1, 2, 101.0), (1, 2, 130.0)]
+    assert all((r.line[0].x, r.line[-1].x) == (0.0, 100.0) for r in many)
+    apart = graph.simplify(nodes, edges, multi=True, separation=10.0)[1]
+    assert sorted((r.len, r.key_no) for r in apart.collect()) == [(100.0, 0), (130.0, 1)]
+    assert [r.len for r in graph.simplify(nodes, edges)[1].collect()] == [100.0]
+    assert graph.simplify(nodes, edges, loops=True)[1].count() == 2

@@ -71,7 +71,7 @@ class AreaOfInterest(Layer):
 
 @dataclass
 class StreetNetwork(Layer):
-    """Nodes (id, x, y) and edges (u, v, key_no, len)."""
+    """Nodes (id, x, y) and edges (u, v, key_no, len; also ``line``, the way that an edge takes, and other columns, which stay with it)."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -79,8 +79,8 @@ class StreetNetwork(Layer):
     def tables(self) -> dict[str, DataFrame]:
         return {"nodes": self.nodes, "edges": self.edges}
 
-    def simplify(self, min_edge: float = 0.0) -> StreetNetwork:
-        return StreetNetwork(*graph.simplify(self.nodes, self.edges, min_edge))
+    def simplify(self, min_edge: float = 0.0, separation: float = 0.0, loops: bool = False, multi: bool = False, undirected: bool = True) -> StreetNetwork:
+        return StreetNetwork(*graph.simplify(self.nodes, self.edges, min_edge, loops, multi, separation, undirected))
 
     def crop(self, area: AreaOfInterest) -> StreetNetwork:
         return StreetNetwork(*graph.crop(self.nodes, self.edges, area.clip(self.nodes).select("id")))
@@ -89,7 +89,7 @@ class StreetNetwork(Layer):
         """The network with a node where each point (pid, x, y) snaps to its nearest street, and (pid, node, distance)."""
         edges = self.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
         nodes, parts, placed = snapping.add_points(points, self.nodes, edges, cell, max_distance, min_edge)
-        return StreetNetwork(nodes, graph.keyed(parts.select("u", "v", "len"), "len")), placed
+        return StreetNetwork(nodes, graph.keyed(parts.drop("edge"), "len")), placed
 
     @classmethod
     def from_osm_xml(cls, spark: SparkSession, path: str, profile: str, **options) -> StreetNetwork:
@@ -325,7 +325,7 @@ class AccessibilityAnalyzer(Layer):
         reach = materialize(isochrone.reaches(whole, sources, matrix, network.nodes), "reach")
         edges = whole.withColumn("edge", F.xxhash64("u", "v", "key_no"))
         if exact:
-            points, labelled = isochrone.result_network(network.nodes, edges.select("edge", "u", "v", "len"), reach, ranks, min_edge)
+            points, labelled = isochrone.result_network(network.nodes, edges.drop("key_no"), reach, ranks, min_edge)
             points, labelled = materialize(points, "result-points"), materialize(labelled, "result-edges")
         else:
             labelled = isochrone.edge_reaches(edges, reach, ranks, min_edge)

@@ -77,6 +77,18 @@ def interpolate(points: Column, distance: Column) -> Column:
     return F.aggregate(segments(points), start, step)["at"]
 
 
+def substring(points: Column, start: Column, stop: Column) -> Column:
+    """The part of a line between two distances along it, clamped to its ends."""
+    at = F.struct(F.lit(0.0).alias("run"), F.array().cast(POINTS).alias("inner"))
+
+    def step(acc: Column, s: Column) -> Column:
+        run = acc["run"] + _norm(s["a"], s["b"])
+        return F.struct(run.alias("run"), F.when((run > start) & (run < stop), F.concat(acc["inner"], F.array(s["b"]))).otherwise(acc["inner"]).alias("inner"))
+
+    inner = F.aggregate(segments(points), at, step)["inner"]
+    return F.concat(F.array(interpolate(points, start)), inner, F.array(interpolate(points, stop)))
+
+
 def project(points: Column, x: Column, y: Column) -> Column:
     """struct(d2, along): squared distance from a point to a line, and how far along it the nearest place lies."""
     start = F.struct(F.lit(0.0).alias("run"), F.lit(float("inf")).alias("d2"), F.lit(0.0).alias("along"))

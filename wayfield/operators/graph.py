@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfield.functions import geometry
 from wayfield.operators.components import components
 from wayfield.session import materialize
 
@@ -68,88 +69,148 @@ def _close_pairs(xy: np.ndarray, limit: float) -> Iterator[tuple[float, int, int
                     yield d, min(int(i), j), max(int(i), j)
 
 
-def _complete_linkage(limit: float, two_merge: bool = True):
-    """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge.
+def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
+    """For each point the first point of its group, such that no two members of a group are farther apart than ``limit``.
 
     The nearest groups merge first (the least members among equals). Groups farther apart than ``limit`` never merge,
-    so only the pairs within it are held, whatever the component's size.
+    so only the pairs within it are held, however many points there are.
     """
+    into = list(range(len(xy)))
+    if len(xy) == 2 and two_merge:
+        return [0, 0]
+    far = defaultdict(dict)
+    heap = list(_close_pairs(xy, limit))
+    for d, a, b in heap:
+        far[a][b] = far[b][a] = d
+    heapify(heap)
+    while heap:
+        d, a, b = heappop(heap)
+        if far[a].get(b) != d:
+            continue
+        into[b] = a
+        mine, gone = far[a], far.pop(b)
+        del mine[b], gone[a]
+        for c in gone:
+            del far[c][b]
+        for c in [c for c in mine if c not in gone]:
+            del mine[c], far[c][a]
+        for c in mine:
+            if gone[c] > mine[c]:
+                mine[c] = far[c][a] = gone[c]
+                heappush(heap, (gone[c], min(a, c), max(a, c)))
+    for i in range(len(into)):  # groups go by their least member, so what a node merged into is settled before it
+        into[i] = into[into[i]]
+    return into
+
+
+def _complete_linkage(limit: float):
+    """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        into = list(range(len(pdf)))
-        if len(pdf) == 2 and two_merge:
-            into = [0, 0]
-        else:
-            far = defaultdict(dict)
-            heap = list(_close_pairs(pdf[["x", "y"]].to_numpy(dtype=float), limit))
-            for d, a, b in heap:
-                far[a][b] = far[b][a] = d
-            heapify(heap)
-            while heap:
-                d, a, b = heappop(heap)
-                if far[a].get(b) != d:
-                    continue
-                into[b] = a
-                mine, gone = far[a], far.pop(b)
-                del mine[b], gone[a]
-                for c in gone:
-                    del far[c][b]
-                for c in [c for c in mine if c not in gone]:
-                    del mine[c], far[c][a]
-                for c in mine:
-                    if gone[c] > mine[c]:
-                        mine[c] = far[c][a] = gone[c]
-                        heappush(heap, (gone[c], min(a, c), max(a, c)))
-        for i in range(len(into)):  # groups go by their least member, so what a node merged into is settled before it
-            into[i] = into[into[i]]
-        return pd.DataFrame({"id": pdf["id"], "target": [int(pdf["id"][a]) for a in into]})
+        into = _linked(pdf[["x", "y"]].to_numpy(dtype=float), limit, True)
+        return pd.DataFrame({"id": pdf["id"], "target": pdf["id"].to_numpy()[into]})
 
     return run
 
 
+#: Pairs of nodes with three parallels or more are linked in so many batches.
+LINK_BATCHES = 2048
+
+
 def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
     """Of edges (u, v, key_no, len, mx, my: its midpoint) between the same two nodes, those whose midpoints are at most ``separation``
     apart are one: the shortest stays (the least u, v, key_no among equals)."""
     pair = [F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")]
     numbered = edges.select("*", *pair, F.row_number().over(Window.partitionBy(*pair).orderBy("len", "u", "v", "key_no")).alias("id"))
-    many = numbered.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter("n > 1").select("a", "b", "id", F.col("mx").alias("x"), F.col("my").alias("y"))
-    link = _complete_linkage(separation, two_merge=False)
+    beside = Window.partitionBy("a", "b")
+    many = numbered.withColumn("n", F.count("*").over(beside)).filter("n > 1").select("a", "b", "id", "n", F.col("mx").alias("x"), F.col("my").alias("y"))
+    # Of two the second goes where they are near; three and more are linked, many pairs of nodes in one call.
+    order = beside.orderBy("id")
+    apart = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
+    of_two = many.filter("n = 2").withColumn("apart", apart).filter(F.col("apart") <= separation).select("a", "b", "id")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return link(pdf).assign(a=key[0], b=key[1])[["a", "b", "id", "target"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b", "id"])
+        a, b, place = (pdf[c].to_numpy() for c in ("a", "b", "id"))
+        xy = pdf[["x", "y"]].to_numpy(dtype=float)
+        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        gone = np.zeros(len(a), bool)
+        for i, j in zip(starts, [*starts[1:], len(a)], strict=True):
+            # A group goes by its least place, which is its shortest edge.
+            gone[i:j] = np.array(_linked(xy[i:j], separation, False)) != np.arange(j - i)
+        return pd.DataFrame({"a": a[gone], "b": b[gone], "id": place[gone]})
 
-    groups = many.groupBy("a", "b").applyInPandas(run, "a long, b long, id int, target int")
-    gone = groups.filter("id <> target").select("a", "b", "id")  # a group goes by its least place, which is its shortest edge
-    return numbered.join(gone, ["a", "b", "id"], "left_anti").select(*edges.columns)
+    batch = F.pmod(F.xxhash64("a", "b"), F.lit(LINK_BATCHES)).alias("batch")
+    of_more = many.filter("n > 2").groupBy(batch).applyInPandas(run, "a long, b long, id int")
+    return numbered.join(of_two.unionByName(of_more), ["a", "b", "id"], "left_anti").select(*edges.columns)
 
 
 def contract_short(nodes: DataFrame, edges: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
     """Merge nodes joined by edges of at most ``limit``: to their mean position, under the least id.
 
-    Components over short edges are split where members are more than twice ``limit`` apart. Edges that fall
-    inside one merged node go, and of the edges that then join the same two nodes the shortest stays.
+    Components over short edges are split where members are more than twice ``limit`` apart. Edges that fall inside one merged node go, and of
+    the edges between two merged nodes of one component the shortest stays; others stay beside each other. An edge's ``line``, where there
+    is one, is drawn to the merged nodes, and its length is the new line's; other columns stay.
     """
     short = edges.filter((F.col("len") <= limit) & (F.col("u") != F.col("v")))
     comp = components(short.select("u", "v"))
-    placed = nodes.join(comp, nodes["id"] == comp["node"]).select("id", "x", "y", "component")
+    placed = materialize(nodes.join(comp, nodes["id"] == comp["node"]).select("id", "x", "y", "component"), "short-components")
     target = placed.groupBy("component").applyInPandas(_complete_linkage(2 * limit), "id long, target long")
     moved = nodes.join(target, "id", "left").withColumn("target", F.coalesce("target", "id"))
     merged = moved.groupBy("target").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("target", "id")
-    side = lambda s: moved.select(F.col("id").alias(s), F.col("target").alias(f"{s}_t"))
+    known = moved.select("id", "target").join(placed.select("id", "component"), "id", "left")
+    there = known.join(merged.select(F.col("id").alias("target"), "x", "y"), "target")
+    side = lambda s: there.select(F.col("id").alias(s), F.col("target").alias(f"{s}_t"), F.col("component").alias(f"{s}_c"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"))
     wired = edges.join(side("u"), "u").join(side("v"), "v").filter("u_t <> v_t OR u = v")
-    wired = wired.select(F.col("u_t").alias("u"), F.col("v_t").alias("v"), "key_no", "len")
-    return merged, keyed(shortest_parallel(wired), "len")
-
-
-def simplify(nodes: DataFrame, edges: DataFrame, min_edge: float = 0.0, loops: bool = False, multi: bool = False) -> tuple[DataFrame, DataFrame]:
+    others = [c for c in edges.columns if c not in ("u", "v", "key_no", "len", "line")]
+    if "line" in edges.columns:
+        first = F.when(F.col("u_c").isNotNull(), geometry.with_first(F.col("line"), F.col("u_x"), F.col("u_y"))).otherwise(F.col("line"))
+        wired = wired.withColumn("line", first)
+        wired = wired.withColumn("line", F.when(F.col("v_c").isNotNull(), geometry.with_last(F.col("line"), F.col("v_x"), F.col("v_y"))).otherwise(F.col("line")))
+        wired = wired.withColumn("len", geometry.length(F.col("line")))
+        others = ["line", *others]
+    wired = wired.withColumn("__own", F.coalesce(F.col("u_c") == F.col("v_c"), F.lit(False))).select(F.col("u_t").alias("u"), F.col("v_t").alias("v"), "key_no", "len", *others, "__own")
+    wired = materialize(wired, "contracted")
+    within = shortest_parallel(wired.filter("__own"), undirected=False)
+    return merged, keyed(within.unionByName(wired.filter("NOT __own")).drop("__own"), "len", "key_no")
+
+
+def one_of_equal(edges: DataFrame) -> DataFrame:
+    """Undirected edges from the smaller node to the larger, lines turned with them; one of those with equal ends, length and, where there is
+    one, ``maxspeed``."""
+    turned = F.col("u") > F.col("v")
+    line = {"line": F.when(turned, F.reverse("line")).otherwise(F.col("line"))} if "line" in edges.columns else {}
+    out = edges.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v"), **line})
+    w = Window.partitionBy("u", "v", "len", *(["maxspeed"] if "maxspeed" in edges.columns else [])).orderBy("key_no")
+    return keyed(out.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k"), "len", "key_no")
+
+
+def with_midpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` with mx, my: half-way along the ``line``, or between the ends where there are no lines."""
+    if "line" in edges.columns:
+        return edges.withColumn("__m", geometry.midpoint(F.col("line"))).withColumns({"mx": F.col("__m.x"), "my": F.col("__m.y")}).drop("__m")
+    side = lambda s: nodes.select(F.col("id").alias(s), F.col("x").cast("double").alias(f"__{s}x"), F.col("y").cast("double").alias(f"__{s}y"))
+    out = edges.join(side("u"), "u").join(side("v"), "v")
+    return out.withColumns({"mx": (F.col("__ux") + F.col("__vx")) / 2, "my": (F.col("__uy") + F.col("__vy")) / 2}).select(*edges.columns, "mx", "my")
+
+
+def simplify(
+    nodes: DataFrame, edges: DataFrame, min_edge: float = 0.0, loops: bool = False, multi: bool = False, separation: float = 0.0, undirected: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without what says nothing new: loops (unless ``loops``), parallels (the shortest stays, or with ``multi`` one of equal ones), edges of
+    at most ``min_edge``, contracted, and, with ``multi``, parallels whose midpoints are at most ``separation`` apart. Lines and other columns of edges stay."""
     if not loops:
         edges = without_loops(edges)
     if not multi:
-        edges = keyed(shortest_parallel(edges), "len")
+        edges = keyed(shortest_parallel(edges, undirected), "len")
+    elif undirected:
+        edges = one_of_equal(edges)
     if min_edge > 0:
         nodes, edges = contract_short(nodes, edges, min_edge)
-        return simplify(nodes, edges, 0.0, loops, multi)
+        return simplify(nodes, edges, 0.0, loops, multi, separation, undirected)
+    if multi and separation > 0:
+        edges = keyed(without_near_parallels(with_midpoints(nodes, edges), separation).drop("mx", "my"), "len", "key_no")
     return nodes, edges
 
 
@@ -162,11 +223,21 @@ def merge_snaps(snaps: DataFrame, limit: float) -> DataFrame:
 
 
 def split_edges(edges: DataFrame, cuts: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (edge, u, v, len) cut at (edge, cut): the new nodes (id, edge, cut) and all edges (u, v, len), lengths kept in sum."""
+    """Edges (edge, u, v, len) cut at (edge, cut): the new nodes (id, edge, cut) and all edges (edge, u, v, len), lengths kept in sum. A ``line`` is cut
+    at the same shares of its length; other columns go to every part."""
     named = cuts.select("edge", "cut").filter("cut IS NOT NULL").distinct().repartitionByRange("edge", "cut").sortWithinPartitions("edge", "cut")
     named = materialize(named.withColumn("id", F.monotonically_increasing_id() + first_id), "cut-nodes")  # written once, so that the ids hold
     ends = edges.select("edge", F.lit(0.0).alias("cut"), F.col("u").alias("id")).union(edges.select("edge", F.col("len").cast("double"), "v"))
     points = named.select("edge", F.col("cut").cast("double").alias("cut"), "id").union(ends)
     w = Window.partitionBy("edge").orderBy("cut", "id")
     parts = points.withColumns({"v": F.lead("id").over(w), "len": F.lead("cut").over(w) - F.col("cut")}).filter("v IS NOT NULL")
-    return named, parts.select("edge", F.col("id").alias("u"), "v", "len")
+    out = parts.select("edge", F.col("id").alias("u"), "v", "len", "cut")
+    others = [c for c in edges.columns if c not in ("edge", "u", "v", "len", "line")]
+    if "line" in edges.columns or others:
+        scale = geometry.length(F.col("line")) / F.col("__len") if "line" in edges.columns else None
+        out = out.join(edges.select("edge", F.col("len").alias("__len"), *(["line"] if scale is not None else []), *others), "edge")
+        if scale is not None:
+            whole = (F.col("cut") <= 0) & (F.col("len") >= F.col("__len"))
+            out = out.withColumn("line", F.when(whole, F.col("line")).otherwise(geometry.substring(F.col("line"), F.col("cut") * scale, (F.col("cut") + F.col("len")) * scale)))
+        return named, out.select("edge", "u", "v", "len", *(["line"] if scale is not None else []), *others)
+    return named, out.drop("cut")

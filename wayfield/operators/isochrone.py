@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfield.operators.graph import split_edges
 from wayfield.operators.raster import rank_of
-from wayfield.operators.snapping import with_ends
+from wayfield.operators.snapping import cut_places
 from wayfield.operators.sssp import bounded_distances
 
 
@@ -98,18 +98,17 @@ def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edg
     middle, label = (F.col("from") + F.col("to")) / 2, F.lit(None).cast("int")
     for k in range(ranks):
         label = F.coalesce(label, F.when((F.coalesce(F.col(f"u_{k}"), F.lit(-1)) >= middle) | (F.coalesce(F.col(f"v_{k}"), F.lit(-1)) >= F.col("elen") - middle), k))
-    return named, placed.select("edge", "u", "v", "len", label.alias("rank_no"))
+    others = [c for c in edges.columns if c not in ("edge", "u", "v", "len")]
+    return named, placed.select("edge", "u", "v", "len", label.alias("rank_no"), *others)
 
 
 def result_network(nodes: DataFrame, edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, x, y, rank_no) and edges (edge, u, v, len, rank_no) of a graph (nodes: id, x, y; edges: edge, u, v, len) cut where the reach of a
-    rank ends: every end of an edge is a node there. Cut nodes get ids after the largest, lie on the straight line between the edge's
-    ends and have labels of their own; an edge has the best of what its place on the old edge is reached with."""
+    rank ends: every end of an edge is a node there. Cut nodes get ids after the largest, lie on the edge's line (or
+    straight between its ends) and have labels of their own; an edge has the best of what its place on the old edge is reached with."""
     last = nodes.agg(F.max("id")).first()[0]
     named, parts = exact(edges, reach, ranks, (last or 0) + 1, min_edge)
-    ends = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
-    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("cut") / F.col("len")
-    fresh = named.join(ends, "edge").select("id", at("ax", "bx").alias("x"), at("ay", "by").alias("y"), "rank_no")
+    fresh = cut_places(named, edges, nodes, "rank_no")
     old = nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(node_labels(reach, min_edge).withColumnRenamed("node", "id"), "id", "left")
     return old.unionByName(fresh), parts
 

@@ -1,6 +1,6 @@
 """Points on streets: nearest edges, new nodes where points snap, isochrones cut and cropped, polygons against streets.
 
-Edges are straight: (edge, u, v, len) over nodes (id, x, y); a place along an edge is its share of ``len``.
+Edges are (edge, u, v, len) over nodes (id, x, y), straight or, with a ``line`` column, along that line; a place along an edge is its share of ``len``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,19 @@ def _along(x: Column, y: Column) -> tuple[Column, Column]:
     return ex * ex + ey * ey, t
 
 
+def _pieces(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Straight pieces of edges: edge, len, ax, ay, bx, by and the share of the edge at which a piece begins (``from``) and that it is (``part``)."""
+    if "line" not in edges.columns:
+        ends = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
+        return ends.withColumns({"from": F.lit(0.0), "part": F.lit(1.0)})
+    s = edges.select("edge", "u", "v", F.col("len").cast("double").alias("len"), F.posexplode(geometry.segments(F.col("line"))).alias("k", "s"))
+    s = s.select("edge", "u", "v", "len", "k", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    n = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    along = Window.partitionBy("edge")
+    s = s.withColumn("n", n).withColumns({"run": F.sum("n").over(along.orderBy("k")) - F.col("n"), "all": F.sum("n").over(along)})
+    return s.withColumns({"from": F.coalesce(F.try_divide("run", "all"), F.lit(0.0)), "part": F.coalesce(F.try_divide("n", "all"), F.lit(0.0))}).drop("k", "n", "run", "all")
+
+
 def _cells_of(placed: DataFrame, size: float) -> DataFrame:
     """Edges once per cell of their box that they can touch."""
     span = lambda a, b: F.sequence(cell(F.least(a, b), size), cell(F.greatest(a, b), size))
@@ -43,7 +56,7 @@ def nearest_edges(points: DataFrame, edges: DataFrame, nodes: DataFrame, size: f
 
     Rings of cells are searched around a point until none farther out can hold a nearer edge; beyond ``max_distance`` a point has no row.
     """
-    placed = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
+    placed = _pieces(edges, nodes)
     number = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
     waiting = points.filter(number("x") & number("y")).select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     if placed.isEmpty():
@@ -54,6 +67,7 @@ def nearest_edges(points: DataFrame, edges: DataFrame, nodes: DataFrame, size: f
         cells = waiting.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
         cells = cells.select("pid", "x", "y", (cell(F.col("x"), level) + F.col("i")).alias("cx"), (cell(F.col("y"), level) + F.col("j")).alias("cy"))
         d2, share = _along(F.col("x"), F.col("y"))
+        share = F.col("from") + share * F.col("part")
         met = cells.join(_cells_of(placed, level), ["cx", "cy"]).select("pid", F.struct(d2.alias("d2"), "edge", share.alias("share"), "len").alias("b"))
         found = met.groupBy("pid").agg(F.min("b").alias("b")).select("pid", "b.edge", "b.d2", "b.share", "b.len")
         settled = materialize(found.filter(F.col("d2") <= (radius * level) ** 2), "nearest-edge")
@@ -84,8 +98,19 @@ def snap_cuts(snaps: DataFrame, limit: float) -> DataFrame:
     return one.join(cuts, ["edge", "__b"], "left").drop("__in", "__b")
 
 
+def cut_places(named: DataFrame, edges: DataFrame, nodes: DataFrame, *also: str) -> DataFrame:
+    """(id, x, y and columns named in ``also``) of new nodes (id, edge, cut), on the edges' lines or between their ends."""
+    if "line" in edges.columns:
+        line = F.col("line")
+        spot = geometry.interpolate(line, F.col("cut") / F.col("len") * geometry.length(line))
+        return named.join(edges.select("edge", "len", "line"), "edge").withColumn("__p", spot).select("id", F.col("__p.x").alias("x"), F.col("__p.y").alias("y"), *also)
+    ends = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("cut") / F.col("len")
+    return named.join(ends, "edge").select("id", at("ax", "bx").alias("x"), at("ay", "by").alias("y"), *also)
+
+
 def add_points(points: DataFrame, nodes: DataFrame, edges: DataFrame, size: float, max_distance: float, min_edge: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges (edge, u, v, len) with a node where each point snaps, and (pid, node, distance).
+    """Nodes and edges (edge, u, v, len; ``line`` and others as given) with a node where each point snaps, and (pid, node, distance).
 
     A point snaps to its nearest edge within ``max_distance``; near an end it takes that end's node. Points with no edge in
     reach have no node.
@@ -93,10 +118,8 @@ def add_points(points: DataFrame, nodes: DataFrame, edges: DataFrame, size: floa
     snaps = nearest_edges(points, edges, nodes, size, max_distance).withColumn("pd", F.col("share") * F.col("len"))
     cuts = materialize(snap_cuts(snaps.select("pid", "edge", "pd", "len", "d2"), min_edge), "snap-cuts")
     last = nodes.agg(F.max("id")).first()[0]
-    named, parts = split_edges(edges.select("edge", "u", "v", "len"), cuts.select("edge", "cut"), (last or 0) + 1)
-    ends = with_ends(edges.select("edge", "u", "v", F.col("len").cast("double").alias("len")), nodes)
-    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("cut") / F.col("len")
-    fresh = named.join(ends, "edge").select("id", at("ax", "bx").alias("x"), at("ay", "by").alias("y"))
+    named, parts = split_edges(edges.drop("key_no"), cuts.select("edge", "cut"), (last or 0) + 1)
+    fresh = cut_places(named, edges, nodes)
     all_nodes = nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).union(fresh)
     own = cuts.join(named.select("edge", "cut", F.col("id").alias("new")), ["edge", "cut"], "left").join(edges.select("edge", "u", "v"), "edge")
     node = F.coalesce("new", F.when(F.col("pd") * 2 <= F.col("len"), F.col("u")).otherwise(F.col("v")))

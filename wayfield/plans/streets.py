@@ -195,13 +195,29 @@ def x3_utm_reasonable(spark, d):
     return _pois(spark, d).select("poi", crs.is_utm_reasonable(x0, y0, x0 + F.col("quality").cast("double") / 100, y0 + (F.col("poi") % 25).cast("double")).alias("plane"))
 
 
-@query("g4_near_parallels", with_layers(SIDE, NODES, EDGES, STREETS, "folded AS (SELECT u % 50 AS u, v % 50 AS v, u AS k, len FROM edges)",
-                                        "ranked AS (SELECT *, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY len, u, v, k) AS r, count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) AS m FROM folded)",
-                                        body="SELECT u, v, len FROM ranked WHERE r = 1"))
+_BESIDE = """three AS (SELECT *, (u * 7 + v) % 60 AS d1, (u * 13 + v) % 45 AS d2 FROM edges),
+kept AS (SELECT u, v, len, CASE WHEN d1 <= d2 THEN d1 <= 30 ELSE d2 <= 30 END AS one, d1 <= d2 AS nearer, d1 + d2 <= 30 AS all_one, d1, d2 FROM three)"""
+
+
+@query("g4_near_parallels", with_layers(SIDE, NODES, EDGES, _BESIDE, body="""SELECT u, v, len, 0 AS key_no FROM kept
+UNION ALL SELECT u, v, len + 3, 1 FROM kept WHERE NOT (nearer AND one) AND NOT (one AND all_one) UNION ALL SELECT u, v, len + 7, 2 FROM kept WHERE NOT (NOT nearer AND one) AND NOT (one AND all_one)"""))
 def g4_near_parallels(spark, d):
-    """Streets folded onto 50 nodes, all midpoints alike: of those between the same two nodes the shortest stays."""
-    folded = _edges(spark, d).select((F.col("u") % 50).alias("u"), (F.col("v") % 50).alias("v"), F.col("u").alias("key_no"), "len", F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return graph.without_near_parallels(folded, 30.0).select("u", "v", "len")
+    """Three streets between the same two nodes, two of them beside the first by distances of their own: those whose midpoints are near each other
+    are one, by complete linkage."""
+    at = _edges(spark, d).withColumns({"d1": (F.col("u") * 7 + F.col("v")) % 60, "d2": (F.col("u") * 13 + F.col("v")) % 45})
+    copies = F.array(*(F.struct(F.lit(k).alias("key_no"), (F.col("len") + more).alias("len"), off.cast("double").alias("off")) for k, more, off in ((0, 0, F.lit(0)), (1, 3, F.col("d1")), (2, 7, -F.col("d2")))))
+    many = at.select("u", "v", F.explode(copies).alias("c")).select("u", "v", "c.key_no", "c.len", "c.off")
+    many = graph.with_midpoints(_nodes(spark, d), many).withColumn("my", F.col("my") + F.col("off")).drop("off")
+    return graph.without_near_parallels(many, 30.0).select("u", "v", "len", "key_no")
+
+
+@query("g6_split_lines", with_layers(SIDE, NODES, _LINES, body=f"""SELECT id AS edge, part, round(CASE part WHEN 0 THEN n * 0.25 ELSE n * 0.75 END, 4) AS len, round(CASE part WHEN 0 THEN n * 0.25 ELSE n * 0.75 END, 4) AS line_length, 'bus' AS highway
+FROM (SELECT id, {_step('a', 'b')} + {_step('b', 'c')} AS n FROM lines), (SELECT unnest([0, 1]) AS part)"""))
+def g6_split_lines(spark, d):
+    """Bent streets cut at a quarter of their length: the parts' lines are as long as they say, and keep the street's tags."""
+    lines = _lines(spark, d).select(F.col("id").alias("edge"), F.col("id").alias("u"), (F.col("id") + 2).alias("v"), geometry.length(F.col("line")).alias("len"), "line", F.lit("bus").alias("highway"))
+    _, parts = graph.split_edges(lines, lines.select("edge", (F.col("len") / 4).alias("cut")), 1 << 40)
+    return parts.select("edge", (F.col("u") != F.col("edge")).cast("int").alias("part"), F.round("len", 4).alias("len"), F.round(geometry.length(F.col("line")), 4).alias("line_length"), "highway")
 
 
 _CUTS = (

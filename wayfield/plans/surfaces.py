@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayfield.functions import hexgrid
@@ -9,6 +11,8 @@ from wayfield.operators import hexcells, population, raster, snapping, spatial
 from wayfield.plans.core import _edges, _nodes, _people, _pois
 from wayfield.plans.layers import EDGES, NODES, PEOPLE, POIS, SIDE, layer, with_layers
 from wayfield.plans.registry import query
+from wayfield.session import scratch_dir
+from wayfield.sources import tiff
 
 CELL = 100
 POP = f"pop AS (SELECT CAST(floor(y / {CELL}) AS BIGINT) AS row_no, CAST(floor(x / {CELL}) AS BIGINT) AS col, CAST(sum(population) AS BIGINT) AS value FROM people GROUP BY 1, 2)"
@@ -277,3 +281,18 @@ def j13_rings_that_meet(spark, d):
 @query("j14_points_in_rings", with_layers(SIDE, POIS, PEOPLE, body="SELECT poi AS aid, person AS pid FROM pois p JOIN people q ON q.x >= p.x - 230 AND q.x < p.x + 230 AND q.y >= p.y - 230 AND q.y < p.y + 230"))
 def j14_points_in_rings(spark, d):
     return spatial.points_in_rings(_squares(spark, d, 230).select(F.col("poi").alias("aid"), "ring"), _people(spark, d).select(F.col("person").alias("pid"), "x", "y"), 460.0)
+
+
+@query("s2_tiled_raster", with_layers(SIDE, PEOPLE, POP, body="SELECT row_no, col, CAST(value AS DOUBLE) AS value FROM pop"))
+def s2_tiled_raster(spark, d):
+    """Population as four TIFF files side by side, written in tiles, read back as one raster."""
+    cells, grid = _pop(spark, d)
+    half = -(-grid.n_rows // 2)
+    folder = f"{scratch_dir(spark)}/tiff-{uuid.uuid4().hex}"
+    for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        rows, cols = min(half, grid.n_rows - i * half), min(half, grid.n_cols - j * half)
+        mine = cells.select((F.lit(grid.n_rows - 1) - F.col("row_no") - i * half).alias("row_no"), (F.col("col") - j * half).alias("col"), "value")
+        where = raster.Grid(j * half * float(CELL), (grid.n_rows - i * half) * float(CELL), float(CELL), -float(CELL), rows, cols)
+        tiff.write_tiff(mine, where, f"{folder}/{i}{j}.tif", tile=32)
+    got, whole = tiff.read_tiff(spark, folder)
+    return got.select((F.lit(whole.n_rows - 1) - F.col("row_no")).alias("row_no"), "col", "value")
