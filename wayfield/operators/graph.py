@@ -114,8 +114,6 @@ def _complete_linkage(limit: float):
     return run
 
 
-#: Pairs of nodes with three parallels or more are linked in so many batches.
-LINK_BATCHES = 2048
 
 
 def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
@@ -125,13 +123,12 @@ def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
     numbered = edges.select("*", *pair, F.row_number().over(Window.partitionBy(*pair).orderBy("len", "u", "v", "key_no")).alias("id"))
     beside = Window.partitionBy("a", "b")
     many = numbered.withColumn("n", F.count("*").over(beside)).filter("n > 1").select("a", "b", "id", "n", F.col("mx").alias("x"), F.col("my").alias("y"))
-    # Of two the second goes where they are near; three and more are linked, many pairs of nodes in one call.
+    # Of two the second goes where they are near; three and more are linked, pair after pair as the sorted rows come.
     order = beside.orderBy("id")
     apart = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
     of_two = many.filter("n = 2").withColumn("apart", apart).filter(F.col("apart") <= separation).select("a", "b", "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b", "id"])
+    def gone_of(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, place = (pdf[c].to_numpy() for c in ("a", "b", "id"))
         xy = pdf[["x", "y"]].to_numpy(dtype=float)
         starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -141,8 +138,21 @@ def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
             gone[i:j] = np.array(_linked(xy[i:j], separation, False)) != np.arange(j - i)
         return pd.DataFrame({"a": a[gone], "b": b[gone], "id": place[gone]})
 
-    batch = F.pmod(F.xxhash64("a", "b"), F.lit(LINK_BATCHES)).alias("batch")
-    of_more = many.filter("n > 2").groupBy(batch).applyInPandas(run, "a long, b long, id int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = (pdf["a"] == pdf["a"].iloc[-1]) & (pdf["b"] == pdf["b"].iloc[-1])  # its rows may go on in the next batch
+            held, whole = pdf[last], pdf[~last]
+            if len(whole):
+                yield gone_of(whole)
+        if held is not None:
+            yield gone_of(held)
+
+    sorted_pairs = many.filter("n > 2").select("a", "b", "id", "x", "y").repartition("a", "b").sortWithinPartitions("a", "b", "id")
+    of_more = sorted_pairs.mapInPandas(run, "a long, b long, id int")
     return numbered.join(of_two.unionByName(of_more), ["a", "b", "id"], "left_anti").select(*edges.columns)
 
 

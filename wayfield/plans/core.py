@@ -231,9 +231,17 @@ def u7_pivot(spark, d):
     return wide.select("c_nationkey", *(F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s.lower()) for s in ("BUILDING", "MACHINERY")))
 
 
-@query("t1_distance_matrix", "SELECT q / CAST(1000 AS DOUBLE) AS poi_quality, d AS distance, round(greatest(0, 1 - (i + j) / CAST(8 AS DOUBLE)), 3) AS value FROM (VALUES (1000, 0), (800, 1), (600, 2), (400, 3), (200, 4)) a(q, i) CROSS JOIN (VALUES (250, 0), (500, 1), (750, 2), (1000, 3)) b(d, j)")
+@query("t1_distance_matrix", with_layers(
+    SIDE, POIS,
+    "a AS (SELECT q, row_number() OVER (ORDER BY q DESC) - 1 AS i, count(*) OVER () AS nq FROM (SELECT DISTINCT quality AS q FROM pois))",
+    "b AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS j, count(*) OVER () AS nd FROM (SELECT DISTINCT CAST((floor(l_quantity / 10) + 1) * 250 AS INT) AS d FROM lineitem))",
+    body="SELECT q / CAST(1000 AS DOUBLE) AS poi_quality, d AS distance, round(greatest(0, 1 - (i + j) / CAST(nq + nd - 1 AS DOUBLE)), 3) AS value FROM a CROSS JOIN b",
+))
 def t1_distance_matrix(spark, d):
-    return isochrone.default_matrix(spark, [1.0, 0.8, 0.6, 0.4, 0.2], [250, 500, 750, 1000])
+    """The standard matrix over the qualities that places have and the steps that quantities reach."""
+    qualities = [r["q"] / 1000 for r in _pois(spark, d).select(F.col("quality").alias("q")).distinct().collect()]
+    step = ((F.floor(F.col("l_quantity") / 10) + 1) * 250).cast("int").alias("d")
+    return isochrone.default_matrix(spark, qualities, sorted(r["d"] for r in table(spark, d, "lineitem").select(step).distinct().collect()))
 
 
 @query("q1_elasticity_score", "SELECT l_orderkey, l_linenumber, round(pow(l_quantity / CAST(10 AS DOUBLE), CAST(-0.35 AS DOUBLE)), 6) AS score FROM lineitem")

@@ -115,12 +115,16 @@ def t11_served_inside(spark, d):
     return snapping.served_inside(_nodes(spark, d), _squares(spark, d, 250).select(rank.alias("rank_no"), "ring"), 500.0)
 
 
-@query("t2_processing_order", """WITH m(q, d, v) AS (VALUES (1000, 500, 'A'), (1000, 800, 'A'), (1000, 900, 'B'), (750, 800, 'A'), (750, 900, NULL), (500, 500, 'B'), (500, 900, 'B'))
-SELECT CASE v WHEN 'A' THEN 0 ELSE 1 END AS rank_no, d AS distance, array_to_string(list_sort(list(q)), ',') AS qualities, v AS value FROM (SELECT q, v, max(d) AS d FROM m WHERE v IS NOT NULL GROUP BY 1, 2) GROUP BY v, d""")
+_GIVEN = "m AS (SELECT quality AS q, (nation % 5 + 1) * 100 AS d, CASE WHEN quality - nation * 20 > 600 THEN 'A' WHEN quality - nation * 20 > 300 THEN 'B' END AS v FROM pois)"
+
+
+@query("t2_processing_order", with_layers(SIDE, POIS, _GIVEN, body="""SELECT CASE v WHEN 'A' THEN 0 ELSE 1 END AS rank_no, CAST(d AS INT) AS distance, array_to_string(list_sort(list(q)), ',') AS qualities, v AS value
+FROM (SELECT q, v, max(d) AS d FROM m WHERE v IS NOT NULL GROUP BY 1, 2) GROUP BY v, d"""))
 def t2_processing_order(spark, d):
-    """A distance matrix as levels: farthest distance per quality and value, equal ones together."""
-    rows = [(1000, 500, "A"), (1000, 800, "A"), (1000, 900, "B"), (750, 800, "A"), (750, 900, None), (500, 500, "B"), (500, 900, "B")]
-    out = isochrone.processing_order(spark.createDataFrame(rows, "quality int, distance int, value string"), ["A", "B"])
+    """What places of a quality give at a distance, as levels: farthest distance per quality and value, equal ones together."""
+    worth = F.col("quality") - F.col("nation") * 20
+    rows = _pois(spark, d).select("quality", ((F.col("nation") % 5 + 1) * 100).cast("int").alias("distance"), F.when(worth > 600, "A").when(worth > 300, "B").alias("value"))
+    out = isochrone.processing_order(rows, ["A", "B"])
     return out.select("rank_no", "distance", F.array_join(F.transform("qualities", lambda q: q.cast("string")), ",").alias("qualities"), "value")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -133,12 +134,19 @@ def n2_area_density(spark, d):
 
 
 LABELS = ["A", "B", "C"]
-_MATRIX = [(5000.0, "C", None, "C"), (20000.0, "B", "C", None), (60000.0, "A", "B", "C")]
+_WIDE = """wide AS (SELECT DISTINCT CAST((nation % 4 + 1) * 5000 AS DOUBLE) AS density, CASE nation % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'B' ELSE 'A' END AS l0,
+  CASE nation % 4 WHEN 1 THEN 'C' WHEN 2 THEN 'B' WHEN 3 THEN 'A' END AS l1, CASE nation % 4 WHEN 2 THEN 'C' WHEN 3 THEN 'B' END AS l2 FROM people)"""
 
 
-@query("n3_processing_order", "SELECT d AS density, CAST(b AS DOUBLE) AS distance, l AS label, CASE l WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS importance FROM (VALUES (CAST(5000 AS DOUBLE), 0, 'C'), (5000, 200, 'C'), (20000, 0, 'B'), (20000, 100, 'C'), (60000, 0, 'A'), (60000, 100, 'B'), (60000, 200, 'C')) t(d, b, l)")
+@query("n3_processing_order", with_layers(SIDE, PEOPLE, _WIDE, body="""SELECT density, CAST(b AS DOUBLE) AS distance, l AS label, CASE l WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS importance
+FROM (SELECT density, 0 AS b, l0 AS l FROM wide UNION ALL SELECT density, 100, l1 FROM wide UNION ALL SELECT density, 200, l2 FROM wide) WHERE l IS NOT NULL"""))
 def n3_processing_order(spark, d):
-    return population.processing_order(spark.createDataFrame(_MATRIX, "density double, `0` string, `100` string, `200` string"), LABELS)
+    """A wide matrix of labels by density and distance, from people's nations, as rows in the order in which they are looked at."""
+    k = F.col("nation") % 4
+    pick = lambda **labels: reduce(lambda a, v: a.when(k == int(v[0][1:]), v[1]), list(labels.items())[1:], F.when(k == int(next(iter(labels))[1:]), next(iter(labels.values()))))
+    columns = {"0": pick(k0="C", k1="B", k2="A", k3="A"), "100": pick(k1="C", k2="B", k3="A"), "200": pick(k2="C", k3="B")}
+    wide = _people(spark, d).select(((k + 1) * 5000).cast("double").alias("density"), *(v.alias(c) for c, v in columns.items())).distinct()
+    return population.processing_order(wide, LABELS)
 
 
 _THRESHOLDS = [(0.0, 60_000_000.0, "A"), (100.0, 40_000_000.0, "A"), (0.0, 20_000_000.0, "B"), (200.0, 10_000_000.0, "C")]
