@@ -95,6 +95,14 @@ class StreetNetwork(Layer):
     def from_osm_xml(cls, spark: SparkSession, path: str, profile: str, **options) -> StreetNetwork:
         return cls(*osm.street_graph(spark, path, profile, **options))
 
+    @classmethod
+    def from_pbf(cls, spark: SparkSession, path: str, profile: str, area: AreaOfInterest | None = None, **options) -> StreetNetwork:
+        """The network of a PBF file, or of its part with a node in ``area`` (in degrees)."""
+        nodes, ways, relations = osm.read_elements(spark, path)
+        if area is not None:
+            nodes, ways, _ = osm.extract(*osm.with_tags(nodes, ways, osm.network_filters(profile)), relations.limit(0), area.clip)
+        return cls(*osm.graph_of(nodes, ways, profile, **options))
+
     @classmethod
     def from_graphml(cls, spark: SparkSession, path: str) -> StreetNetwork:
         return cls(*osm.read_graphml(spark, path))
@@ -146,6 +154,17 @@ class PointsOfInterest(Layer):
         """The same from a saved Overpass answer."""
         return cls.from_elements(osm.read_overpass(spark, path), kind, area)
 
+    @classmethod
+    def areas_from_elements(cls, elements: tuple[DataFrame, DataFrame, DataFrame], kind: str, area: AreaOfInterest | None = None) -> PointsOfInterest:
+        """Areas (kind, pid, shape, tags, open_ways, score) of a kind of ``osm.PLACES`` among nodes, ways and relations; with ``area`` those that meet it."""
+        found = osm.areas(elements, kind).withColumnRenamed("id", "pid").withColumn("score", F.lit(0.0))
+        return cls(found if area is None else files.in_box(found, area.bounds(found.sparkSession)).filter(shapes.meets(F.col("shape"), area.shape())))
+
+    @classmethod
+    def areas_from_overpass(cls, spark: SparkSession, path: str, kind: str, area: AreaOfInterest | None = None) -> PointsOfInterest:
+        """The same from a saved Overpass answer."""
+        return cls.areas_from_elements(osm.read_overpass_elements(spark, path), kind, area)
+
     def to_points(self, network: StreetNetwork, block: float = 500.0) -> PointsOfInterest:
         """Areas (pid, ``shape`` or closed ``ring``) as the points where streets enter them, other columns kept; those that no street enters go."""
         edges = network.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry, shapes
-from wayfield.operators import overlay
+from wayfield.operators import graph, overlay, stitching
 from wayfield.operators.spatial import pairs_that_meet
-from wayfield.operators import graph
+from wayfield.session import materialize
+from wayfield.sources import pbf
 
 
 def _is(key: str, *values: str) -> Column:
@@ -126,6 +127,53 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(F.col("_id").alias("id"), F.col("_lon").alias("x"), F.col("_lat").alias("y"), tags), ways.select(F.col("_id").alias("way"), F.col("nd._ref").alias("nodes"), tags)
 
 
+def read_xml_relations(spark: SparkSession, path: str) -> DataFrame:
+    """Relations (relation, members, tags) of an OSM XML file."""
+    rows = spark.read.format("xml").option("rowTag", "relation").schema("_id long, member array<struct<_type:string,_ref:long,_role:string>>, tag array<struct<_k:string,_v:string>>").load(path)
+    members = F.transform("member", lambda m: F.struct(m["_type"].alias("kind"), m["_ref"].alias("ref"), m["_role"].alias("role")))
+    tags = F.map_from_entries(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")))
+    return rows.select(F.col("_id").alias("relation"), F.coalesce(members, F.array().cast("array<struct<kind:string,ref:long,role:string>>")).alias("members"), tags.alias("tags"))
+
+
+def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations of a PBF (by its ending) or XML file."""
+    if path.rstrip("/").lower().endswith(".pbf"):
+        return pbf.read_pbf(spark, path)
+    return *read_xml(spark, path), read_xml_relations(spark, path)
+
+
+def with_tags(nodes: DataFrame, ways: DataFrame, filters: Mapping[str, bool | str | list[str]]) -> tuple[DataFrame, DataFrame]:
+    """Ways that the filter lets through and the nodes that they name."""
+    kept = ways.filter(tag_filter(filters))
+    return nodes.join(kept.select(F.explode("nodes").alias("id")).distinct(), "id", "left_semi"), kept
+
+
+def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame, inside: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies in an area (``inside`` gives the nodes there): ways with a node in it, whole, with all their nodes; relations with a node in it or such a
+    way as a member, and relations of those, up to the last."""
+    within = materialize(inside(nodes).select("id").distinct(), "extract-nodes")
+    steps = ways.select("way", F.explode("nodes").alias("id"))
+    kept = materialize(ways.join(steps.join(within, "id", "left_semi").select("way").distinct(), "way", "left_semi"), "extract-ways")
+    named = within.union(kept.select(F.explode("nodes").alias("id"))).distinct()
+    member = relations.select("relation", F.explode("members").alias("m")).select("relation", "m.kind", F.col("m.ref").alias("ref"))
+    of = lambda kind, found: member.filter(F.col("kind") == kind).join(found, "ref", "left_semi").select("relation")
+    fresh = of("node", within.withColumnRenamed("id", "ref")).union(of("way", kept.select(F.col("way").alias("ref")))).distinct()
+    found = fresh = materialize(fresh, "extract-relations")
+    while not fresh.isEmpty():
+        parents = of("relation", fresh.select(F.col("relation").alias("ref"))).distinct()
+        fresh = materialize(parents.join(found, "relation", "left_anti"), "extract-relations")
+        found = found.union(fresh)
+    return nodes.join(named, "id", "left_semi"), kept, relations.join(found, "relation", "left_semi")
+
+
+def areas(elements: tuple[DataFrame, DataFrame, DataFrame], kind: str | None = None) -> DataFrame:
+    """(kind, id, shape, tags, open_ways) of the areas among nodes, ways and relations, of one kind of PLACES or all. Ways and relations of other kinds are
+    left out before any line is drawn."""
+    nodes, ways, relations = elements
+    found = stitching.areas(nodes, ways, relations if kind is None else places(relations, kind))
+    return found if kind is None else places(found, kind)
+
+
 def read_overpass(spark: SparkSession, path: str) -> DataFrame:
     """Elements (type, id, x, y, tags) of a saved Overpass answer."""
     schema = "elements array<struct<type:string,id:long,lon:double,lat:double,center:struct<lon:double,lat:double>,tags:map<string,string>>>"
@@ -133,14 +181,52 @@ def read_overpass(spark: SparkSession, path: str) -> DataFrame:
     return one.select("e.type", "e.id", F.coalesce("e.lon", "e.center.lon").alias("x"), F.coalesce("e.lat", "e.center.lat").alias("y"), "e.tags")
 
 
+def read_overpass_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations of a saved Overpass answer: with the nodes that ways name, or with geometry at ways and members; there a
+    point's id is a hash of its coordinates, and a point that the answer cuts off (null) has none."""
+    point = "struct<lat:double,lon:double>"
+    member = f"struct<type:string,ref:long,role:string,geometry:array<{point}>>"
+    schema = f"elements array<struct<type:string,id:long,lon:double,lat:double,nodes:array<long>,geometry:array<{point}>,members:array<{member}>,tags:map<string,string>>>"
+    one = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*")
+    no_tags = F.create_map().cast("map<string,string>")
+    tags = F.coalesce("tags", no_tags).alias("tags")
+    part = one.filter("type = 'relation'").select(F.explode("members").alias("m")).filter("m.type = 'way' AND m.geometry IS NOT NULL")
+    drawn = one.filter("type = 'way' AND geometry IS NOT NULL").select(F.col("id").alias("way"), "geometry", tags).union(part.select(F.col("m.ref"), F.col("m.geometry"), no_tags))
+    # a way may be there itself and as a member: its own row, with tags, is the larger one
+    drawn = drawn.groupBy("way").agg(F.max(F.struct(F.size("tags").alias("n"), F.map_entries("tags").alias("t"), "geometry")).alias("b")).select("way", "b.geometry", F.map_from_entries("b.t").alias("tags"))
+    key = lambda p: F.when(p["lon"].isNotNull() & p["lat"].isNotNull(), F.xxhash64(p["lon"], p["lat"]))
+    at = drawn.select(F.explode("geometry").alias("p")).select(key(F.col("p")).alias("id"), F.col("p.lon").alias("x"), F.col("p.lat").alias("y")).filter("id IS NOT NULL").distinct()
+    nodes = one.filter("type = 'node'").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), tags).dropDuplicates(["id"]).unionByName(at.withColumn("tags", no_tags))
+    plain = one.filter("type = 'way' AND geometry IS NULL AND nodes IS NOT NULL").select(F.col("id").alias("way"), "nodes", tags).dropDuplicates(["way"]).join(drawn, "way", "left_anti")
+    ways = drawn.select("way", F.transform("geometry", key).alias("nodes"), "tags").unionByName(plain)
+    members = F.transform("members", lambda m: F.struct(m["type"].alias("kind"), m["ref"].alias("ref"), m["role"].alias("role")))
+    return nodes, ways, one.filter("type = 'relation'").select(F.col("id").alias("relation"), members.alias("members"), tags).dropDuplicates(["relation"])
+
+
+def expanded(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Tags as columns, ``type`` as ``geometry_type``; a column that is there already stays and its tag goes. Without ``keys`` all that occur, in
+    order of the alphabet: their names come to the driver, as any table's do."""
+    if keys is None:
+        keys = [r.k for r in df.select(F.explode(F.map_keys("tags")).alias("k")).distinct().orderBy("k").collect()]
+    named = {"geometry_type" if k == "type" else k: k for k in keys}
+    there = {c.lower() for c in df.columns if c != "tags"}
+    tags = [F.col("tags")[k].alias(name) for name, k in named.items() if name.lower() not in there]
+    return df.select(*(f"`{c}`" for c in df.columns if c != "tags"), *tags)
+
+
 def smallest_region(regions: DataFrame, contains: Column) -> DataFrame:
     """Of the regions that contain the area, the one of least area."""
     return regions.filter(contains).orderBy("area", "id").limit(1)
 
 
 def street_graph(spark: SparkSession, path: str, profile: str, project: Callable[[Column, Column], Column] | None = None, inside: Callable[[DataFrame], DataFrame] | None = None, min_edge: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a saved OSM XML extract: the profile's ways, projected, cropped to ``inside`` (a clip of nodes) and simplified."""
-    nodes, ways = read_xml(spark, path)
+    """Nodes and edges of a saved OSM extract (XML or PBF): the profile's ways, projected, cropped to ``inside`` (a clip of nodes) and simplified."""
+    nodes, ways, _ = read_elements(spark, path)
+    return graph_of(nodes, ways, profile, project, inside, min_edge)
+
+
+def graph_of(nodes: DataFrame, ways: DataFrame, profile: str, project: Callable[[Column, Column], Column] | None = None, inside: Callable[[DataFrame], DataFrame] | None = None, min_edge: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The same of nodes and ways."""
     at = nodes.select("id", "x", "y")
     if project is not None:
         at = at.select("id", project(F.col("x"), F.col("y")).alias("p")).select("id", "p.x", "p.y")
