@@ -27,6 +27,23 @@ def test_complete_linkage_splits_a_long_chain():
     assert len(set(got.values())) == 2
 
 
+def test_linkage_by_rounds_equals_that_in_one_task(spark):
+    """Clumps, a lattice full of ties, repeated points, a line of ever shorter gaps, and a component of two; ``max_task`` decides the way, never the groups."""
+    import random
+
+    rng = random.Random(3)
+    clumps = [(k, rng.gauss(40.0 * (k % 7), 6), rng.gauss(0, 9), 1) for k in range(260)]
+    lattice = [(1000 + k, 3.0 * (k % 12), 3.0 * (k // 12), 2) for k in range(144)]
+    repeated = [(2000 + k, float(k % 5 // 2), 0.0, 3) for k in range(90)]
+    line = [(3000 + k, sum((9.0 - 0.5 * j for j in range(k)), 0.0), 0.0, 4) for k in range(16)]
+    rng.shuffle(rows := [*clumps, *lattice, *repeated, *line, (4000, 0.0, 0.0, 5), (4001, 500.0, 0.0, 5), (-8, 2.0, 2.0, 6)])
+    points = spark.createDataFrame(rows, "id long, x double, y double, component long")
+    for limit, bounds in ((10.0, (100, 0)), (0.0, (0,))):
+        want, *others = ({r.id: r.target for r in graph.linked(points, limit, n).collect()} for n in (100_000, *bounds))
+        assert len(want) == len(rows) and all(o == want for o in others), limit
+        assert want[4001] == 4000
+
+
 def test_ways_become_edges(spark):
     at = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 10.0), (9, 1.0, 1.0)], "id long, x double, y double")
     ways = spark.createDataFrame([(7, [1, 2, 3])], "way long, nodes array<long>")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from wayfield.functions import geometry
 from wayfield.operators.components import components
-from wayfield.session import materialize
+from wayfield.session import discard, materialize
+
+#: Points of a component, or pairs left, that one task links.
+MAX_TASK = 100_000
 
 
 def keyed(edges: DataFrame, *order: str) -> DataFrame:
@@ -69,17 +73,11 @@ def _close_pairs(xy: np.ndarray, limit: float) -> Iterator[tuple[float, int, int
                     yield d, min(int(i), j), max(int(i), j)
 
 
-def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
-    """For each point the first point of its group, such that no two members of a group are farther apart than ``limit``.
-
-    The nearest groups merge first (the least members among equals). Groups farther apart than ``limit`` never merge,
-    so only the pairs within it are held, however many points there are.
-    """
-    into = list(range(len(xy)))
-    if len(xy) == 2 and two_merge:
-        return [0, 0]
+def merges_of(pairs: Iterable[tuple[float, int, int]]) -> Iterator[tuple[int, int]]:
+    """(gone, into): merges of complete linkage over all pairs (distance, a, b), a < b, that may merge. The nearest groups merge first (the least members
+    among equals), and go by their least member."""
     far = defaultdict(dict)
-    heap = list(_close_pairs(xy, limit))
+    heap = list(pairs)
     for d, a, b in heap:
         far[a][b] = far[b][a] = d
     heapify(heap)
@@ -87,7 +85,7 @@ def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
         d, a, b = heappop(heap)
         if far[a].get(b) != d:
             continue
-        into[b] = a
+        yield b, a
         mine, gone = far[a], far.pop(b)
         del mine[b], gone[a]
         for c in gone:
@@ -98,6 +96,18 @@ def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
             if gone[c] > mine[c]:
                 mine[c] = far[c][a] = gone[c]
                 heappush(heap, (gone[c], min(a, c), max(a, c)))
+
+
+def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
+    """For each point the first point of its group, such that no two members of a group are farther apart than ``limit``.
+
+    Groups farther apart than ``limit`` never merge, so only the pairs within it are held, however many points there are.
+    """
+    into = list(range(len(xy)))
+    if len(xy) == 2 and two_merge:
+        return [0, 0]
+    for gone, a in merges_of(_close_pairs(xy, limit)):
+        into[gone] = a
     for i in range(len(into)):  # groups go by their least member, so what a node merged into is settled before it
         into[i] = into[into[i]]
     return into
@@ -114,6 +124,68 @@ def _complete_linkage(limit: float):
     return run
 
 
+def linked(points: DataFrame, limit: float, max_task: int = MAX_TASK) -> DataFrame:
+    """(id, target): the groups of points (id, x, y, component) by complete linkage in each component, as ``_linked`` has them, by their least id.
+
+    Components of at most ``max_task`` points are one task's work each, the larger ones are linked by rounds.
+    """
+    size = points.groupBy("component").agg(F.count("*").alias("n"))
+    large = materialize(size.filter(F.col("n") > max(max_task, 2)).select("component"), "large-components")
+    in_tasks = lambda df: df.groupBy("component").applyInPandas(_complete_linkage(limit), "id long, target long")
+    if large.isEmpty():
+        return in_tasks(points)
+    return in_tasks(points.join(large, "component", "left_anti")).unionByName(_linked_by_rounds(points.join(large, "component", "left_semi"), limit, max_task))
+
+
+def _near_pairs(points: DataFrame, limit: float) -> DataFrame:
+    """(a, b, d), a < b, of points (id, x, y, component) of one component at most ``limit`` apart, by grid cells of that size."""
+    cell = lambda c: F.floor(F.col(c) / (limit or 1.0)).cast("long")
+    placed = points.select("component", "id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    shift = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    spread = placed.select("component", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.inline(shift))
+    spread = spread.select("component", "id2", "x2", "y2", ((F.col("i") == 0) & (F.col("j") == 0)).alias("own"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
+    met = placed.join(spread, ["component", "cx", "cy"]).filter("NOT own OR id < id2").withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
+    return met.filter(F.col("d") <= limit).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "d")
+
+
+def _linked_by_rounds(points: DataFrame, limit: float, max_task: int) -> DataFrame:
+    """The groups that the nearest-first order gives, for components of any size.
+
+    Two groups that are each other's nearest stay so whatever else merges, as no merge brings a third one nearer; so all of them merge at once. A round is
+    an aggregate over ends, two joins and an aggregate over pairs, and is written. Rounds end when at most ``max_task`` pairs are left, which one
+    task merges; there are few on street networks, and in the worst case (groups each nearer to the next, along a line) half as many as points.
+
+    Points at one place are one from the start: nothing is nearer to them, and they are as far from all others.
+    """
+    spots = materialize(points.groupBy("component", "x", "y").agg(F.min("id").alias("id")), "linkage-spots")
+    same = points.join(spots.withColumnRenamed("id", "a"), ["component", "x", "y"]).filter("id <> a").select(F.col("id").alias("b"), "a")
+    pairs = materialize(_near_pairs(spots, limit), "linkage-pairs")
+    done = [same]
+    while pairs.count() > max_task:
+        near = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("c"), "d", "a", "b"), F.struct(F.col("b").alias("c"), "d", "a", "b"))))
+        nearest = near.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("m"))
+        mutual = nearest.groupBy("m").agg(F.count("*").alias("n")).filter("n = 2").select("m.a", "m.b")
+        merged = materialize(mutual, "linkage-merges")
+        done.append(merged.select("b", "a"))
+        moved = merged.select(F.inline(F.array(F.struct(F.col("a").alias("c"), F.col("a").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))))
+        side = lambda s: moved.select(F.col("c").alias(s), F.col("to").alias(f"{s}_to"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        end = lambda s: F.coalesce(f"{s}_to", s)
+        of = lambda s: F.when(F.col(f"{s}_to").isNull(), 1).otherwise(2)
+        named = both.select(F.least(end("a"), end("b")).alias("a"), F.greatest(end("a"), end("b")).alias("b"), "d", (of("a") * of("b")).alias("need")).filter("a <> b")
+        whole = named.groupBy("a", "b").agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("need").alias("need"))
+        after = materialize(whole.filter("n = need").select("a", "b", "d"), "linkage-pairs")
+        discard(pairs)
+        pairs = after
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest = zip(pdf["d"].tolist(), pdf["a"].tolist(), pdf["b"].tolist(), strict=True)
+        return pd.DataFrame(list(merges_of(rest)), columns=["b", "a"], dtype="int64")
+
+    done.append(pairs.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(last, "b long, a long"))
+    into = components(materialize(reduce(DataFrame.unionByName, done), "linkage-merges").select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return points.join(into.select(F.col("node").alias("id"), F.col("component").alias("target")), "id", "left").select("id", F.coalesce("target", "id").alias("target"))
+
 
 
 def without_near_parallels(edges: DataFrame, separation: float) -> DataFrame:
@@ -166,7 +238,7 @@ def contract_short(nodes: DataFrame, edges: DataFrame, limit: float) -> tuple[Da
     short = edges.filter((F.col("len") <= limit) & (F.col("u") != F.col("v")))
     comp = components(short.select("u", "v"))
     placed = materialize(nodes.join(comp, nodes["id"] == comp["node"]).select("id", "x", "y", "component"), "short-components")
-    target = placed.groupBy("component").applyInPandas(_complete_linkage(2 * limit), "id long, target long")
+    target = linked(placed, 2 * limit)
     moved = nodes.join(target, "id", "left").withColumn("target", F.coalesce("target", "id"))
     merged = moved.groupBy("target").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("target", "id")
     known = moved.select("id", "target").join(placed.select("id", "component"), "id", "left")

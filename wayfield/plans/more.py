@@ -80,6 +80,20 @@ def t4_exact_edges(spark, d):
     return out
 
 
+#: Places of five nodes along a street by person, and the first node of the group that each falls into within 30 m.
+_ALONG = [([0, 10, 19, 40, 65], [0, 0, 0, 3, 3]), ([0, 30, 60, 90, 120], [0, 0, 2, 2, 4]), ([0, 0, 0, 29, 31], [0, 0, 0, 3, 3])]
+_FIRST = "CASE person % 3 " + " ".join(f"WHEN {k} THEN CASE j " + " ".join(f"WHEN {j} THEN {t}" for j, t in enumerate(targets)) + " END" for k, (_, targets) in enumerate(_ALONG)) + " END"
+
+
+@query("g2_linkage_rounds", with_layers(SIDE, PEOPLE, body=f"SELECT person * 8 + j AS id, person * 8 + {_FIRST} AS target FROM people CROSS JOIN unnest([0, 1, 2, 3, 4]) AS t(j)"))
+def g2_linkage_rounds(spark, d):
+    """Complete linkage by rounds of mutual nearest neighbours: groups of nodes of each person's street at most 30 m wide, with ties and repeated points."""
+    people = layer(spark, d, SIDE, PEOPLE, name="people").select("person", "x", "y")
+    at = F.element_at(F.create_map(*(v for k, (places, _) in enumerate(_ALONG) for v in (F.lit(k), F.array(*map(F.lit, places))))), (F.col("person") % 3).cast("int"))
+    nodes = people.select("person", "x", "y", F.posexplode(at).alias("j", "dx")).select((F.col("person") * 8 + F.col("j")).alias("id"), (F.col("x") + F.col("dx")).cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("person").alias("component"))
+    return graph.linked(nodes, 30.0, max_task=0)
+
+
 @query("g3_contract_short")
 def g3_contract_short(spark, d):
     """Nodes after short edges are contracted; rows only (complete linkage)."""
