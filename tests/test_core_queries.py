@@ -5,7 +5,7 @@ import pytest
 
 from wayfield.operators.spatial import nearest
 from wayfield.operators.sssp import bounded_distances
-from wayfield.plans import areas, core, extracts, more, names, streets, surfaces  # noqa: F401
+from wayfield.plans import areas, core, extracts, more, names, runs, streets, surfaces  # noqa: F401
 from wayfield.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
