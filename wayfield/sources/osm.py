@@ -143,9 +143,9 @@ def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def with_tags(nodes: DataFrame, ways: DataFrame, filters: Mapping[str, bool | str | list[str]]) -> tuple[DataFrame, DataFrame]:
-    """Ways that the filter lets through and the nodes that they name."""
-    kept = ways.filter(tag_filter(filters))
-    return nodes.join(kept.select(F.explode("nodes").alias("id")).distinct(), "id", "left_semi"), kept
+    """Ways that the filter lets through and the nodes that they name; both are written, so a source that is slow to decode is read once."""
+    kept = materialize(ways.filter(tag_filter(filters)), "tagged-ways")
+    return materialize(nodes.join(kept.select(F.explode("nodes").alias("id")).distinct(), "id", "left_semi"), "tagged-nodes"), kept
 
 
 def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame, inside: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -155,6 +155,7 @@ def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame, inside: Cal
     steps = ways.select("way", F.explode("nodes").alias("id"))
     kept = materialize(ways.join(steps.join(within, "id", "left_semi").select("way").distinct(), "way", "left_semi"), "extract-ways")
     named = within.union(kept.select(F.explode("nodes").alias("id"))).distinct()
+    relations = materialize(relations, "extract-all-relations")
     member = relations.select("relation", F.explode("members").alias("m")).select("relation", "m.kind", F.col("m.ref").alias("ref"))
     of = lambda kind, found: member.filter(F.col("kind") == kind).join(found, "ref", "left_semi").select("relation")
     fresh = of("node", within.withColumnRenamed("id", "ref")).union(of("way", kept.select(F.col("way").alias("ref")))).distinct()
