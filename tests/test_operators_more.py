@@ -403,3 +403,12 @@ def test_simplify_parallels(spark):
     assert sorted((r.len, r.key_no) for r in apart.collect()) == [(100.0, 0), (130.0, 1)]
     assert [r.len for r in graph.simplify(nodes, edges)[1].collect()] == [100.0]
     assert graph.simplify(nodes, edges, loops=True)[1].count() == 2
+
+
+def test_a_street_through_a_corner_crosses_both_sides(spark):
+    nodes = spark.createDataFrame([(1, -5.0, 15.0), (2, 5.0, 5.0), (3, 5.0, 25.0)], "id long, x double, y double")
+    edges = spark.createDataFrame([(7, 1, 2), (8, 2, 3)], "edge long, u long, v long")
+    areas = spark.range(1).select(F.lit(1).alias("pid"), square().alias("ring"))
+    for block in (3.0, 10.0, 100.0):
+        got = sorted(tuple(r) for r in snapping.boundary_points(areas, edges, nodes, block).collect())
+        assert got == [(1, 7, 0.0, 10.0), (1, 7, 0.0, 10.0), (1, 8, 5.0, 10.0)]

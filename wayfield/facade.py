@@ -168,7 +168,7 @@ class PointsOfInterest(Layer):
     def to_points(self, network: StreetNetwork, block: float = 500.0) -> PointsOfInterest:
         """Areas (pid, ``shape`` or closed ``ring``) as the points where streets enter them, other columns kept; those that no street enters go."""
         edges = network.edges.withColumn("edge", F.xxhash64("u", "v", "key_no"))
-        at = snapping.boundary_points(self.places.select("pid", shapes.of(self.places).alias("shape")), edges, network.nodes, block).select("pid", "x", "y")
+        at = snapping.boundary_points(self.places.select("pid", shapes.of(self.places).alias("shape")), edges, network.nodes, block).distinct().select("pid", "x", "y")
         return PointsOfInterest(at.join(self.places.drop("ring", "shape", "x", "y"), "pid"))
 
     def to_hex(self, values: dict[str, str], base: float, resolution: int) -> HexGrid:
