@@ -412,3 +412,20 @@ def test_a_street_through_a_corner_crosses_both_sides(spark):
     for block in (3.0, 10.0, 100.0):
         got = sorted(tuple(r) for r in snapping.boundary_points(areas, edges, nodes, block).collect())
         assert got == [(1, 7, 0.0, 10.0), (1, 7, 0.0, 10.0), (1, 8, 5.0, 10.0)]
+
+
+def test_a_search_in_cells_broadcasts_no_table(spark, monkeypatch):
+    monkeypatch.setattr(sssp, "CELL_NODES", 5)
+    plans, kept = [], sssp.materialize
+
+    def noted(df, label, *also):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label, *also)
+
+    monkeypatch.setattr(sssp, "materialize", noted)
+    edges = spark.range(20).selectExpr("id AS u", "id + 1 AS v", "10L AS len")
+    sources = spark.createDataFrame([(1, 0)], "grp long, node long")
+    reach = bounded_distances(edges, sources, 1000, max_broadcast_edges=0)
+    plans.append(reach.join(sources, "node", "left")._jdf.queryExecution().executedPlan().toString())
+    assert {(r["node"], r["dist"]) for r in reach.collect()} == {(i, 10 * i) for i in range(21)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)

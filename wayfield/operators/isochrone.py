@@ -20,17 +20,18 @@ def reaches(edges: DataFrame, pois: DataFrame, matrix: DataFrame, nodes: DataFra
     limit = matrix.agg(F.max("distance")).first()[0] or 0
     reach = bounded_distances(edges, pois.select(F.col("quality").cast("long").alias("grp"), "node"), limit, nodes=nodes)
     widest = matrix.groupBy(F.col("quality").cast("long").alias("grp"), "rank_no").agg(F.max("distance").alias("distance"))
-    left = reach.join(widest, "grp").withColumn("remaining", F.col("distance") - F.col("dist")).filter("remaining >= 0")
+    left = reach.join(F.broadcast(widest), "grp").withColumn("remaining", F.col("distance") - F.col("dist")).filter("remaining >= 0")
     return left.groupBy("node", "rank_no").agg(F.max("remaining").alias("remaining"))
 
 
 def node_labels(reach: DataFrame, min_edge: int = 0) -> DataFrame:
-    """(node, rank_no): the best rank that reaches farther than ``min_edge`` past the node."""
-    return reach.filter(F.col("remaining") > min_edge).groupBy("node").agg(F.min("rank_no").alias("rank_no"))
+    """(node, rank_no): the best rank that reaches farther than ``min_edge`` past the node; as large as the graph, so joins exchange it."""
+    return reach.filter(F.col("remaining") > min_edge).groupBy("node").agg(F.min("rank_no").alias("rank_no")).hint("merge")
 
 
 def _wide(reach: DataFrame, ranks: int, side: str) -> DataFrame:
-    return reach.groupBy(F.col("node").alias(side)).agg(*(F.max(F.when(F.col("rank_no") == k, F.col("remaining"))).alias(f"{side}_{k}") for k in range(ranks)))
+    """A row per node with what is left per rank; as large as the graph, so joins exchange it."""
+    return reach.groupBy(F.col("node").alias(side)).agg(*(F.max(F.when(F.col("rank_no") == k, F.col("remaining"))).alias(f"{side}_{k}") for k in range(ranks))).hint("merge")
 
 
 def edge_reaches(edges: DataFrame, reach: DataFrame, ranks: int, min_edge: int = 0) -> DataFrame:

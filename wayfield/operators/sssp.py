@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.session import discard, materialize
+from wayfield.session import discard, exchanged_joins, materialize
 
 MAX_BROADCAST_EDGES = 2_000_000
 #: Nodes of a cell; sources that make a stretch of their own worth while.
@@ -168,7 +168,13 @@ def _told(kind: int, grp: int, cell: int, node: np.ndarray, dist: np.ndarray, la
 
 
 def in_cells(arcs: DataFrame, sources: DataFrame, cutoff: int, nodes: DataFrame | None = None) -> DataFrame:
-    """(grp, node, dist, label) by rounds over cells. Sources that no arc has reach themselves."""
+    """(grp, node, dist, label) by rounds over cells. Sources that no arc has reach themselves. All joins are by exchanges: the tables of a
+    large graph are small files when written, and Spark would send them whole through the driver in every round; what is found is marked likewise."""
+    with exchanged_joins(arcs.sparkSession):
+        return _by_rounds(arcs, sources, cutoff, nodes).hint("merge")
+
+
+def _by_rounds(arcs: DataFrame, sources: DataFrame, cutoff: int, nodes: DataFrame | None) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
