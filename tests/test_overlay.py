@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_shapes import SHAPE, wkt
 from wayfield.facade import AreaOfInterest
 from wayfield.functions import geometry, shapes
-from wayfield.operators import overlay
+from wayfield.operators import overlay, spatial
 from wayfield.sources import osm
 
 
@@ -150,3 +150,20 @@ def test_rings_of_places_and_union_of_area(spark):
     assert got[1] > 400 + 80 * 60 + math.pi * 3600 - first
     area = AreaOfInterest.union_of(table(spark, [("a", 0, square(0, 0, 10)), ("b", 0, square(15, 0, 10)), ("b", 0, square(100, 0, 10))]))
     assert abs(spark.range(1).select(shapes.area(area.shape()).alias("a")).first().a - (35 * 20 + 400)) < 1e-6
+
+
+def test_an_area_costs_its_sides_and_blocks_and_not_their_product(spark):
+    n = 400
+    star = [(500 + (450 if k % 2 else 380) * math.cos(2 * math.pi * k / n), 500 + (450 if k % 2 else 380) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    wkt = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*star, star[0]]) + "), (300 300, 300 600, 600 500, 300 300))"
+    area = spark.createDataFrame([(1, wkt)], "aid long, wkt string").select("aid", shapes.from_wkt(F.col("wkt")).alias("shape"))
+    points = spark.range(2500).selectExpr("id AS pid", "cast(id % 50 * 20 as double) AS x", "cast(id div 50 * 20 as double) AS y")
+    whole = {r["pid"] for r in points.crossJoin(area).filter(shapes.contains(F.col("shape"), F.col("x"), F.col("y"))).collect()}
+    assert {r["pid"] for r in spatial.points_in_rings(area, points, 40.0).collect()} == whole and len(whole) > 1000
+    assert spatial.in_blocks(area, 40.0).agg(F.sum(F.size(shapes.sides(F.col("shape"))))).first()[0] < 5 * n  # 625 blocks of 400 sides before
+
+
+def test_geometry_is_dealt_to_all_cores_whatever_its_bytes(spark):
+    squares = spark.range(40).select(F.lit("").alias("key"), F.expr("transform(array(0, 1, 2, 3, 0), k -> struct(id * 300D + IF(k in (1, 2), 200, 0) AS x, IF(k > 1, 200D, 0D) AS y))").alias("ring"))
+    pieces = overlay._cut(squares.select("key", F.lit(0).alias("cls"), F.lit("").alias("area"), F.array(F.array("ring")).alias("shape")), 0.001, 1 << 19)
+    assert overlay._faces(pieces, 1, "best", 1 << 19).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

@@ -28,12 +28,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry, shapes
+from wayfield.operators.spatial import in_blocks
 from wayfield.session import discard, materialize
 
 UNIT = 0.001
 MAX_SIDES = 1500
 SMALLEST = 64
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to enough tasks for all cores. Geometry is long work on few bytes, which Spark would put into one or two tasks by its bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 PIECES = "key string, x0 long, y0 long, size long, cls int, area string, ring array<long>, sides int"
 
 
@@ -47,6 +54,8 @@ def _half(ring: np.ndarray, axis: int, at: int, upper: bool) -> np.ndarray:
         return ring
     if not keep.any():
         return ring[:0]
+    if len(ring) <= 24:
+        return _half_of_few(ring.tolist(), axis, at, keep.tolist())
     after = np.roll(ring, -1, axis=0)
     cut = keep != np.roll(keep, -1)
     a, b = ring[cut], after[cut]
@@ -63,6 +72,22 @@ def _half(ring: np.ndarray, axis: int, at: int, upper: bool) -> np.ndarray:
     return out[(out != np.roll(out, -1, axis=0)).any(axis=1)]
 
 
+def _half_of_few(ring: list[list[int]], axis: int, at: int, keep: list[bool]) -> np.ndarray:
+    """``_half`` for a ring of few points, where numpy's calls cost more than the work; the same numbers."""
+    other, out = 1 - axis, []
+    for k, p in enumerate(ring):
+        q, stays = ring[(k + 1) % len(ring)], keep[(k + 1) % len(ring)]
+        if keep[k]:
+            out.append(p)
+        if keep[k] != stays:
+            a, b = (q, p) if p > q else (p, q)
+            met = [at, at]
+            met[other] = round(a[other] + (at - a[axis]) / (b[axis] - a[axis]) * (b[other] - a[other]))
+            out.append(met)
+    kept = [p for k, p in enumerate(out) if p != out[(k + 1) % len(out)]]
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
 def _tiles(ring: np.ndarray, x0: int, y0: int, nx: int, ny: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(x0, y0, clipped ring) of the tiles that a ring meets, by halving the block of nx by ny tiles."""
     if len(ring) < 3:
@@ -156,8 +181,10 @@ def _balanced(pieces: DataFrame) -> list[DataFrame]:
     """Tables of tiles: those with more than MAX_SIDES sides in quarters, until none is left (or tiles are smallest). Whole tiles are kept
     once a class."""
     tile = ["key", "x0", "y0", "size"]
-    loose = pieces.filter("sides > 0").unionByName(pieces.filter("sides = 0").dropDuplicates([*tile, "cls"]))
+    cut = materialize(pieces, "cut")  # written, so that areas are cut once for both
+    loose = cut.filter("sides > 0").unionByName(cut.filter("sides = 0").dropDuplicates([*tile, "cls"]))
     now, done = materialize(loose, "tiles"), []
+    discard(cut)
     while True:
         load = now.groupBy(*tile).agg(F.sum("sides").alias("load")).filter((F.col("load") > MAX_SIDES) & (F.col("size") > SMALLEST)).select(*tile)
         hot = materialize(load, "hot-tiles")
@@ -197,6 +224,17 @@ def _kept(counts: np.ndarray, how: str) -> np.ndarray:
     return np.where(covered.all(axis=1), 0, -1)
 
 
+def _needed(rings: list[tuple[int, int, np.ndarray]], whole: set[int], how: str) -> list[tuple[int, int, np.ndarray]]:
+    """The rings (area, class, points) of a tile that can matter beside the classes that cover all of it."""
+    if not whole:
+        return rings
+    if how == "best":
+        return [r for r in rings if r[1] < min(whole)]
+    if how == "difference" and max(whole) > 0:
+        return []
+    return [r for r in rings if r[1] not in whole]
+
+
 class _Edges:
     """Directed boundary edges per class, the inside on their left, with the side that they come from (-1: none)."""
 
@@ -345,6 +383,7 @@ def _faces(pieces: DataFrame, n_classes: int, how: str, base: int) -> DataFrame:
                 rings.append((numbers.setdefault((cls, area), len(numbers)), cls, np.array(ring, np.int64).reshape(-1, 2)))
             else:
                 whole.add(cls)
+        rings = _needed(rings, whole, how)
         edges = _sweep(rings, whole, (x0, y0, x1, y1), n_classes, how)
         out: list[tuple] = []
         inner: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
@@ -362,7 +401,8 @@ def _faces(pieces: DataFrame, n_classes: int, how: str, base: int) -> DataFrame:
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["key", "cls", "kind", "cx", "cy", "points"])
 
-    return pieces.groupBy("key", "x0", "y0", "size").applyInArrow(arrange, FOUND)
+    tile = ["key", "x0", "y0", "size"]
+    return _dealt(pieces, *tile).groupBy(*tile).applyInArrow(arrange, FOUND)
 
 
 def _borders(found: DataFrame) -> DataFrame:
@@ -412,6 +452,7 @@ def _rings(chains: DataFrame, size: int) -> list[DataFrame]:
     now, tables = chains, []
     for level in range(1, 40):
         up = now.withColumns({c: F.floor((F.col(c) + 2) / 4).cast("long") for c in ("cx", "cy")})
+        up = _dealt(up, "key", "cls", "cx", "cy") if level <= 2 else up
         joined = materialize(up.groupBy("key", "cls", "cx", "cy").applyInArrow(_join_blocks(level, size), schema), "joined")
         tables.append(joined)
         now = joined.filter("NOT closed").drop("closed")
@@ -461,8 +502,8 @@ def overlay(areas: DataFrame, n_classes: int, how: str = "best", tile: float = 5
         raise ValueError("how must be best, difference or intersection")
     size = 1 << max(8, int(np.ceil(np.log2(tile / unit))))
     rows = areas.select(F.col("key").cast("string").alias("key"), F.col("cls").cast("int").alias("cls"), shapes.of(areas).alias("shape")).filter("size(shape) > 0")
-    rows = rows.select("key", "cls", F.sha2(F.to_json("shape"), 256).alias("area"), "shape").dropDuplicates(["key", "cls", "area"])
-    pieces = _balanced(_cut(rows, unit, size))
+    rows = rows.select("key", "cls", F.sha2(F.to_json("shape"), 256).alias("area"), "shape")
+    pieces = _balanced(_cut(_dealt(rows, "area").dropDuplicates(["key", "cls", "area"]), unit, size))
     found = materialize(_faces(reduce(DataFrame.unionByName, pieces), n_classes, how, size), "faces")
     for p in pieces:
         discard(p)
@@ -515,20 +556,18 @@ def _measured(rings: DataFrame, unit: float) -> DataFrame:
 def _parts(rings: DataFrame, block: float) -> DataFrame:
     """Outer rings with the holes that they are the smallest to hold."""
     outer = rings.filter("area > 0").select("key", "cls", "id", "ring", "area")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / block).cast("long"), F.floor(F.col(hi) / block).cast("long"))
-    box = outer.withColumn("b", F.expr("struct(array_min(ring.x) AS x0, array_min(ring.y) AS y0, array_max(ring.x) AS x1, array_max(ring.y) AS y1)"))
-    spread = box.withColumn("cx", F.explode(span("b.x0", "b.x1"))).withColumn("cy", F.explode(span("b.y0", "b.y1"))).select("key", "cls", "cx", "cy", F.col("id").alias("of"), F.col("ring").alias("around"), F.col("area").alias("size"))
+    spread = in_blocks(outer.select("key", "cls", F.col("id").alias("of"), F.col("area").alias("size"), shapes.of_ring(F.col("ring")).alias("shape")), block)
     # A hole's side runs clockwise: a little to its left is the class itself, which only the outer ring of its part holds most closely.
     a, b = F.col("ring")[0], F.col("ring")[1]
     x = (a["x"] + b["x"]) / 2 - (b["y"] - a["y"]) * 1e-6
     y = (a["y"] + b["y"]) / 2 + (b["x"] - a["x"]) * 1e-6
     held = rings.filter("area < 0").select("key", "cls", F.col("id").alias("hole"), "ring", F.col("area").alias("lost"), x.alias("x"), y.alias("y"))
     held = held.withColumns({"cx": F.floor(F.col("x") / block).cast("long"), "cy": F.floor(F.col("y") / block).cast("long")})
-    inside = shapes.contains(shapes.of_ring(F.col("around")), F.col("x"), F.col("y"))
-    mine = held.join(spread, ["key", "cls", "cx", "cy"]).filter(inside).groupBy("hole").agg(F.min_by(F.struct("of", "ring", "lost"), "size").alias("m"))
+    inside = shapes.contains(F.col("shape"), F.col("x"), F.col("y"))
+    mine = held.join(spread.hint("merge"), ["key", "cls", "cx", "cy"]).filter(inside).groupBy("hole").agg(F.min_by(F.struct("of", "ring", "lost"), "size").alias("m"))
     holes = mine.groupBy(F.col("m.of").alias("id")).agg(F.collect_list("m.ring").alias("holes"), F.sum("m.lost").alias("lost"))
     shape = F.array(F.concat(F.array("ring"), F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))))
-    return outer.join(holes, "id", "left").select("key", "cls", shape.alias("shape"), (F.col("area") + F.coalesce("lost", F.lit(0.0))).alias("area"))
+    return outer.join(holes.hint("merge"), "id", "left").select("key", "cls", shape.alias("shape"), (F.col("area") + F.coalesce("lost", F.lit(0.0))).alias("area"))
 
 
 def buffer(areas: DataFrame, distance: float, tile: float = 500.0, quadrant: int = 4, unit: float = UNIT) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +70,93 @@ def pairs_that_meet(a: DataFrame, b: DataFrame, block: float) -> DataFrame:
     return found.select(F.col("tid").alias("aid"), F.col("sid").alias("bid"))
 
 
+def _row_blocks(s: np.ndarray, block: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(cx, cy, sides) of the blocks of a shape's sides (ax, ay, bx, by), so that in each its sides hold a point as all sides do."""
+    s = s[np.isfinite(s).all(axis=1) & (s[:, 1] != s[:, 3])]
+    if not len(s):
+        return
+    low, high = np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 1], s[:, 3])
+    r0, r1 = np.floor(low / block).astype(np.int64), np.floor(high / block).astype(np.int64)
+    side = np.repeat(np.arange(len(s)), r1 - r0 + 1)
+    row = r0[side] + np.arange(len(side)) - np.repeat(np.cumsum(r1 - r0 + 1) - (r1 - r0 + 1), r1 - r0 + 1)
+    # Where a side lies while it is in a row, a little wider than that.
+    ax, ay, bx, by = s[side].T
+    at = [ax + (bx - ax) * np.clip(((row + k) * block - ay) / (by - ay), 0, 1) for k in (0, 1)]
+    slack = 1e-9 * (np.abs(s[:, [0, 2]]).max() + block)
+    c0 = np.floor(np.maximum(np.minimum(*at) - slack, np.minimum(ax, bx)) / block).astype(np.int64)
+    c1 = np.floor(np.minimum(np.maximum(*at) + slack, np.maximum(ax, bx)) / block).astype(np.int64)
+    under, over = low.min() - block, high.max() + block
+    beyond = s[:, [0, 2]].max() + block
+    order = np.lexsort((-c0, row))
+    for mine in np.split(order, np.flatnonzero(np.diff(row[order])) + 1):
+        cy = int(row[mine[0]])
+        here: dict[int, list[int]] = {}
+        for i in mine.tolist():
+            for c in range(c0[i], c1[i] + 1):
+                here.setdefault(c, []).append(i)
+        # A side wholly to the right is crossed where just one of its ends is above: of ends at one height only an odd one matters.
+        odd: set[float] = set()
+        nxt = 0
+        for cx in range(int(c1[mine].max()), int(c0[mine].min()) - 1, -1):
+            while nxt < len(mine) and c0[mine[nxt]] > cx:
+                for y in (ay[mine[nxt]], by[mine[nxt]]):
+                    c = np.floor(y / block)
+                    odd ^= {under if c < cy else over if c > cy else float(y)}
+                nxt += 1
+            heights = np.array(sorted(odd)).reshape(-1, 2)
+            right = np.column_stack([np.full(len(heights), beyond), heights[:, 0], np.full(len(heights), beyond), heights[:, 1]])
+            local = s[side[here[cx]]] if cx in here else s[:0]
+            if len(local) or len(right):
+                yield cx, cy, np.concatenate([local, right])
+
+
+def _shape_sides(shape: pa.ListScalar) -> np.ndarray:
+    rings = shape.values.flatten()
+    x, y = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in rings.flatten().flatten())
+    last = np.cumsum(rings.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) - 1
+    keep = np.ones(len(x), bool)
+    keep[last[last >= 0]] = False
+    at = np.flatnonzero(keep)
+    return np.column_stack([x[at], y[at], x[at + 1], y[at + 1]])
+
+
+def in_blocks(areas: DataFrame, block: float) -> DataFrame:
+    """Areas (``shape`` and other columns) once per square block (cx, cy) in which they can hold a point, each with ``shape`` cut down to the
+    sides that matter there: ``shapes.contains`` gives for the block's points what it gives for the whole shape. Sides in the block stay;
+    those to its right become upright ones that are crossed at the same heights, with equal ends cancelled. So an area costs as much
+    as it has sides and blocks, and not their product."""
+    others = [c for c in areas.columns if c != "shape"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            points = np.concatenate(cut).reshape(-1, 2)
+            xy = pa.StructArray.from_arrays([pa.array(points[:, k]) for k in (0, 1)], names=["x", "y"])
+            lines = pa.ListArray.from_arrays(pa.array(np.arange(0, len(points) + 1, 2), pa.int32()), xy)
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]), pa.int32()), lines)
+            shape = pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1), pa.int32()), parts)
+            own = [batch.column(c).take(pa.array(rows)) for c in others]
+            return pa.RecordBatch.from_arrays([*own, pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), shape], names=[*others, "cx", "cy", "shape"])
+
+        for batch in batches:
+            rows, cx, cy, cut, n = [], [], [], [], 0
+            for i, shape in enumerate(batch.column("shape")):
+                if not shape.is_valid:
+                    continue
+                for x, y, sides in _row_blocks(_shape_sides(shape), block):
+                    rows.append(i), cx.append(x), cy.append(y), cut.append(sides)
+                    n += len(sides)
+                    if n > 50_000:
+                        yield flush()
+                        rows, cx, cy, cut, n = [], [], [], [], 0
+            if rows:
+                yield flush()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in areas.select(*others).schema)
+    return areas.select(*others, "shape").mapInArrow(run, f"{fields}, cx long, cy long, shape {shapes.SHAPE}")
+
+
 def points_in_rings(areas: DataFrame, points: DataFrame, block: float) -> DataFrame:
     """(aid, pid) of points (pid, x, y) inside areas (aid, ``shape`` or closed ``ring``), by an equi-join on square blocks."""
-    box = shapes.bbox(F.col("shape"))
-    span = lambda lo, hi: F.sequence(cell(box[lo], block), cell(box[hi], block))
-    spread = areas.select("aid", shapes.of(areas).alias("shape")).withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
+    spread = in_blocks(areas.select("aid", shapes.of(areas).alias("shape")), block)
     keyed = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": cell(F.col("x"), block), "cy": cell(F.col("y"), block)})
-    return keyed.join(spread, ["cx", "cy"]).filter(shapes.contains(F.col("shape"), F.col("x"), F.col("y"))).select("aid", "pid")
+    return keyed.join(spread.hint("merge"), ["cx", "cy"]).filter(shapes.contains(F.col("shape"), F.col("x"), F.col("y"))).select("aid", "pid")
