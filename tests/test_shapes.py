@@ -131,3 +131,17 @@ def test_facade_takes_holes_and_parts(spark, table):
     assert len(crossings) == 4  # into the star, into its hole, out of the hole, out of the star
     ranks = snapping.served_inside(spark.createDataFrame([(1, 40.0, 15.0), (2, 38.0, 30.0)], "id long, x double, y double"), table.filter("id = 1").select(F.lit(2).alias("rank_no"), "shape"), 50.0)
     assert [(r.node, r.rank_no) for r in ranks.collect()] == [(1, 2)]
+
+
+def below_the_dealing(df):
+    """The plan under the first exchange that deals rows to all cores."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+    return plan[plan.index("Repartition") :]
+
+
+def test_rasterize_deals_areas_before_it_looks_at_them(spark):
+    areas = spark.range(5).select(F.lit(1).alias("value"), hexcells.box(F.col("id"), F.col("id"), F.col("id") + 3, F.col("id") + 3).alias("ring"))
+    got = raster.rasterize(areas, raster.Grid(0.0, 0.0, 1.0, 1.0, 8, 8), "value")
+    assert "lambda" not in below_the_dealing(got)
+    assert got.count() == 9 + 4 * 5

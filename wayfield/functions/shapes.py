@@ -45,9 +45,23 @@ def bbox(shape: Column) -> Column:
     return geometry.bbox(points(shape))
 
 
-def contains(shape: Column, x: Column, y: Column) -> Column:
+def crossings(shape: Column, y: Column) -> Column:
+    """Where the sides cross a height: ``contains`` for all points on it is ``right_of`` these."""
+    at = F.filter(sides(shape), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+    return F.transform(at, lambda s: (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
+
+
+def right_of(crossed: Column, x: Column) -> Column:
+    return F.size(F.filter(crossed, lambda c: x < c)) % 2 == 1
+
+
+def _holds(its_sides: Column, x: Column, y: Column) -> Column:
     crossing = lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
-    return F.size(F.filter(sides(shape), crossing)) % 2 == 1
+    return F.size(F.filter(its_sides, crossing)) % 2 == 1
+
+
+def contains(shape: Column, x: Column, y: Column) -> Column:
+    return _holds(sides(shape), x, y)
 
 
 def _signed(part: Column) -> Column:
@@ -75,17 +89,28 @@ def centroid(shape: Column) -> Column:
     each = F.filter(F.transform(F.flatten(F.transform(shape, _signed)), weighted), lambda s: s["w"] != 0)
     start = F.struct(*(F.lit(0.0).alias(c) for c in ("w", "x", "y")))
     total = F.aggregate(each, start, lambda a, s: F.struct((a["w"] + s["w"]).alias("w"), (a["x"] + s["w"] * s["x"]).alias("x"), (a["y"] + s["w"] * s["y"]).alias("y")))
-    return F.when(total["w"] != 0, F.struct((total["x"] / total["w"]).alias("x"), (total["y"] / total["w"]).alias("y")))
+    of = lambda t: F.when(t["w"] != 0, F.struct((t["x"] / t["w"]).alias("x"), (t["y"] / t["w"]).alias("y")))
+    return F.transform(F.array(total), of)[0]  # the sums are bound, not made again for each use
 
 
 def _cross(a: Column, b: Column) -> Column:
-    return F.exists(sides(a), lambda s: F.exists(sides(b), lambda t: geometry.segments_cross(s["a"], s["b"], t["a"], t["b"])))
+    return _sides_cross(sides(a), sides(b))
+
+
+def _sides_cross(a: Column, b: Column) -> Column:
+    return F.exists(a, lambda s: F.exists(b, lambda t: geometry.segments_cross(s["a"], s["b"], t["a"], t["b"])))
 
 
 def meets(a: Column, b: Column) -> Column:
     """Whether two shapes have a point in common; one that lies in a hole of the other does not."""
-    vertex = F.exists(points(a), lambda p: contains(b, p["x"], p["y"])) | F.exists(points(b), lambda p: contains(a, p["x"], p["y"]))
-    return vertex | _cross(a, b)
+
+    def met(s: Column) -> Column:
+        vertex = F.exists(s["pa"], lambda p: _holds(s["b"], p["x"], p["y"])) | F.exists(s["pb"], lambda p: _holds(s["a"], p["x"], p["y"]))
+        return vertex | _sides_cross(s["a"], s["b"])
+
+    # Points and sides are bound once for a pair, not made again for every point of the other shape.
+    bound = F.struct(points(a).alias("pa"), sides(a).alias("a"), points(b).alias("pb"), sides(b).alias("b"))
+    return F.transform(F.array(bound), met)[0]
 
 
 def inside(a: Column, b: Column) -> Column:

@@ -29,18 +29,12 @@ from pyspark.sql import functions as F
 
 from wayfield.functions import geometry, shapes
 from wayfield.operators.spatial import in_blocks
-from wayfield.session import discard, materialize
+from wayfield.session import dealt, discard, materialize
 
 UNIT = 0.001
 MAX_SIDES = 1500
 SMALLEST = 64
 
-def _dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt to enough tasks for all cores. Geometry is long work on few bytes, which Spark would put into one or two tasks by its bytes."""
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
-
-
 PIECES = "key string, x0 long, y0 long, size long, cls int, area string, ring array<long>, sides int"
 
 
@@ -402,7 +396,7 @@ def _faces(pieces: DataFrame, n_classes: int, how: str, base: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["key", "cls", "kind", "cx", "cy", "points"])
 
     tile = ["key", "x0", "y0", "size"]
-    return _dealt(pieces, *tile).groupBy(*tile).applyInArrow(arrange, FOUND)
+    return dealt(pieces, *tile).groupBy(*tile).applyInArrow(arrange, FOUND)
 
 
 def _borders(found: DataFrame) -> DataFrame:
@@ -452,7 +446,7 @@ def _rings(chains: DataFrame, size: int) -> list[DataFrame]:
     now, tables = chains, []
     for level in range(1, 40):
         up = now.withColumns({c: F.floor((F.col(c) + 2) / 4).cast("long") for c in ("cx", "cy")})
-        up = _dealt(up, "key", "cls", "cx", "cy") if level <= 2 else up
+        up = dealt(up, "key", "cls", "cx", "cy") if level <= 2 else up
         joined = materialize(up.groupBy("key", "cls", "cx", "cy").applyInArrow(_join_blocks(level, size), schema), "joined")
         tables.append(joined)
         now = joined.filter("NOT closed").drop("closed")
@@ -503,7 +497,7 @@ def overlay(areas: DataFrame, n_classes: int, how: str = "best", tile: float = 5
     size = 1 << max(8, int(np.ceil(np.log2(tile / unit))))
     rows = areas.select(F.col("key").cast("string").alias("key"), F.col("cls").cast("int").alias("cls"), shapes.of(areas).alias("shape")).filter("size(shape) > 0")
     rows = rows.select("key", "cls", F.sha2(F.to_json("shape"), 256).alias("area"), "shape")
-    pieces = _balanced(_cut(_dealt(rows, "area").dropDuplicates(["key", "cls", "area"]), unit, size))
+    pieces = _balanced(_cut(dealt(rows, "area").dropDuplicates(["key", "cls", "area"]), unit, size))
     found = materialize(_faces(reduce(DataFrame.unionByName, pieces), n_classes, how, size), "faces")
     for p in pieces:
         discard(p)

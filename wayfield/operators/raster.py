@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import shapes
+from wayfield.session import dealt
 
 
 @dataclass(frozen=True)
@@ -110,19 +111,23 @@ def rasterize(areas: DataFrame, grid: Grid, value: str, order: Sequence | None =
     """(row_no, col, value) of areas (``shape`` or closed ``ring``): the first listed of ``order`` wins, else the largest value.
 
     An area is burnt into the cells whose centre it holds, or with ``all_touched`` into those it touches. Candidates
-    come from its box, so the work is in proportion to the area covered.
+    come from its box, so the work is in proportion to the area covered; areas are dealt to all cores before that.
     """
-    boxed = areas.select(F.col(value).alias("value"), shapes.of(areas).alias("shape")).withColumn("b", shapes.bbox(F.col("shape")))
+    boxed = dealt(areas.select(F.col(value).alias("value"), shapes.of(areas).alias("shape"))).withColumn("b", shapes.bbox(F.col("shape")))
     ends = lambda f, lo, hi, n: (F.greatest(F.least(f(lo), f(hi)), F.lit(0).cast("long")), F.least(F.greatest(f(lo), f(hi)), F.lit(n - 1).cast("long")))
     r0, r1 = ends(grid.row, F.col("b.ymin"), F.col("b.ymax"), grid.n_rows)
     c0, c1 = ends(grid.col, F.col("b.xmin"), F.col("b.xmax"), grid.n_cols)
     spread = boxed.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 AND c0 <= c1")
-    spread = spread.select("value", "shape", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_no")).select("value", "shape", "row_no", F.explode(F.sequence("c0", "c1")).alias("col"))
+    spread = spread.select("value", "shape", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_no"))
+    # The sides that a row of cells crosses are the same for all of its columns.
+    if not all_touched:
+        spread = spread.withColumn("shape", shapes.crossings(F.col("shape"), grid.y(F.col("row_no"))))
+    spread = spread.select("value", "shape", "row_no", F.explode(F.sequence("c0", "c1")).alias("col"))
     if all_touched:
         xs, ys = (grid.x(F.col("col"), 0.0), grid.x(F.col("col"), 1.0)), (grid.y(F.col("row_no"), 0.0), grid.y(F.col("row_no"), 1.0))
         hit = shapes.touches_box(F.col("shape"), F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
     else:
-        hit = shapes.contains(F.col("shape"), grid.x(F.col("col")), grid.y(F.col("row_no")))
+        hit = shapes.right_of(F.col("shape"), grid.x(F.col("col")))
     burnt = spread.filter(hit)
     if order is None:
         return burnt.groupBy("row_no", "col").agg(F.max("value").alias("value"))

@@ -13,6 +13,7 @@ from wayfield.plans.core import _people, _pois
 from wayfield.plans.layers import NODES, PEOPLE, POIS, SIDE, layer, with_layers
 from wayfield.plans.registry import query
 from wayfield.plans.surfaces import GRID_CELLS, HEXES, SIZE, _homes, _pop, _squares
+from wayfield.session import dealt
 
 OUTER, HOLE, ISLAND, AWAY = 230.25, 90.25, 60.25, 400
 
@@ -27,7 +28,7 @@ def _square(dx: float, half: float) -> str:
 def _holed(spark, d):
     """(poi, quality, nation, shape): a square with a square hole around each place, and a small square apart from it."""
     wkt = f"concat('MULTIPOLYGON ((', {_square(0, OUTER)}, ', ', {_square(0, HOLE)}, '), (', {_square(AWAY, ISLAND)}, '))')"
-    return _pois(spark, d).select("poi", "quality", "nation", "x", "y", shapes.from_wkt(F.expr(wkt)).alias("shape"))
+    return dealt(_pois(spark, d)).select("poi", "quality", "nation", "x", "y", shapes.from_wkt(F.expr(wkt)).alias("shape"))
 
 
 def _in(x: str, y: str, half: float, dx: float = 0, px: str = "p.x", py: str = "p.y") -> str:
