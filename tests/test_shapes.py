@@ -145,3 +145,14 @@ def test_rasterize_deals_areas_before_it_looks_at_them(spark):
     got = raster.rasterize(areas, raster.Grid(0.0, 0.0, 1.0, 1.0, 8, 8), "value")
     assert "lambda" not in below_the_dealing(got)
     assert got.count() == 9 + 4 * 5
+
+
+def test_fill_deals_areas_and_looks_at_their_candidates_once(spark):
+    areas = spark.createDataFrame([(1, 0.0, 10.0), (2, 60.0, 1.0), (3, 41.0, 2.0)], "id long, x double, w double").select("id", hexcells.box(F.col("x"), F.col("x"), F.col("x") + F.col("w"), F.col("x") + F.col("w")).alias("ring"))
+    fill = lambda how: {tuple(r) for r in hexcells.fill(areas, "id", 4.0, how).collect()}
+    centre, overlap = fill("center"), fill("overlap")
+    got = hexcells.fill(areas, "id", 4.0, "center_overlap")
+    assert {tuple(r) for r in got.collect()} == centre | {r for r in overlap if r[0] not in {c[0] for c in centre}}
+    assert len(centre) < len(overlap) and {r[0] for r in overlap} == {1, 2, 3}
+    assert "lambda" not in below_the_dealing(got)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # 4 before: candidates were made twice

@@ -6,11 +6,12 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import hexgrid, shapes
 from wayfield.operators.raster import label_of, rank_of
+from wayfield.session import dealt
 
 CONTAIN = ("center", "centroid", "full", "overlap", "bbox_overlap", "center_overlap")
 
@@ -43,22 +44,26 @@ def fill(areas: DataFrame, key: str, size: float, contain: str = "center") -> Da
         at = shapes.centroid(shapes.of(areas))
         return areas.select(key, at.alias("__p")).filter("__p IS NOT NULL").select(key, hexgrid.cell(F.col("__p.x"), F.col("__p.y"), size).alias("__c")).select(key, "__c.q", "__c.r")
     shape, hexagon = F.col("shape"), shapes.of_ring(_hexagon(size))
-    near = candidates(areas.select(key, shapes.of(areas).alias("shape")), size)
+    near = candidates(dealt(areas.select(key, shapes.of(areas).alias("shape"))), size)
     x, y = hexgrid.centre(F.col("q").cast("double"), F.col("r").cast("double"), size)
     centre = shapes.contains(shape, x, y)
+    # Boxes first, a little wider than they are: most candidates go before their sides are looked at.
+    b, half = shapes.bbox(shape), hexgrid.ROOT3 / 2 * size
+    slack = (F.abs(x) + F.abs(y) + size) * 1e-9
+    boxes = lambda by: (x + half + by >= b["xmin"]) & (x - half - by <= b["xmax"]) & (y + size + by >= b["ymin"]) & (y - size - by <= b["ymax"])
     if contain == "center":
         out = near.filter(centre)
     elif contain == "full":
         out = near.filter(shapes.inside(shape, hexagon))
     elif contain == "bbox_overlap":
-        b, half = shapes.bbox(shape), hexgrid.ROOT3 / 2 * size
-        out = near.filter((x + half >= b["xmin"]) & (x - half <= b["xmax"]) & (y + size >= b["ymin"]) & (y - size <= b["ymax"]))
+        out = near.filter(boxes(F.lit(0.0)))
+    elif contain == "overlap":
+        out = near.filter(boxes(slack)).filter(shapes.meets(shape, hexagon))
     else:
-        out = near.filter(shapes.meets(shape, hexagon))
-        if contain == "center_overlap":
-            mine = near.filter(centre)
-            rest = out.join(mine.select(key).distinct(), key, "left_anti")
-            out = mine.unionByName(rest)
+        held = near.filter(boxes(slack)).withColumn("__in", F.coalesce(centre, F.lit(False)))
+        held = held.filter(F.col("__in") | shapes.meets(shape, hexagon)).select(key, "q", "r", "__in")
+        any_in = F.max("__in").over(Window.partitionBy(key))
+        out = held.withColumn("__any", any_in).filter("__in OR NOT __any")
     return out.select(key, "q", "r")
 
 
