@@ -156,3 +156,12 @@ def test_fill_deals_areas_and_looks_at_their_candidates_once(spark):
     assert len(centre) < len(overlap) and {r[0] for r in overlap} == {1, 2, 3}
     assert "lambda" not in below_the_dealing(got)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # 4 before: candidates were made twice
+
+
+def test_matches_deal_sources_and_make_a_centre_once(spark):
+    homes = spark.range(20).select(F.col("id").alias("sid"), hexcells.box(F.col("id") * 7, F.col("id") * 7, F.col("id") * 7 + 4, F.col("id") * 7 + 4).alias("ring"))
+    blocks = spark.range(4).select(F.col("id").alias("tid"), hexcells.box(F.col("id") * 40 - 0.5, F.lit(-0.5), F.col("id") * 40 + 39.5, F.lit(200.0)).alias("ring"))
+    got = hexcells.matches(homes, blocks, 40.0, "center")
+    assert {tuple(r) for r in got.collect()} == {((7 * i + 2) // 40, i) for i in range(20)}
+    under = below_the_dealing(got).splitlines()[1:3]
+    assert "Range" in under[1] and "lambda" not in "".join(under)  # a centre is not made in the task that reads the homes

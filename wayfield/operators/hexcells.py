@@ -126,10 +126,20 @@ def matches(sources: DataFrame, targets: DataFrame, block: float, contain: str =
     center and centroid: the source's centroid lies in the target; full: the whole source does; overlap: they meet;
     bbox_overlap: their boxes do; center_overlap: center, and overlap for sources that it places nowhere.
     """
-    # Centres and boxes are columns of their own side, so that no pair computes them again.
-    held = sources.select("sid", shapes.of(sources).alias("source"))
-    s = _blocked(held.select("sid", "source", shapes.centroid(F.col("source")).alias("at"), shapes.bbox(F.col("source")).alias("s_box")), block, "s_box")
+    # Centres and boxes are columns of their own side, so that no pair computes them again; sources are dealt to all cores for that.
+    held = dealt(sources.select("sid", shapes.of(sources).alias("source")))
+    held = held.select("sid", "source", shapes.centroid(F.col("source")).alias("at"), shapes.bbox(F.col("source")).alias("s_box"))
     t = _blocked(targets.select("tid", shapes.of(targets).alias("target")).withColumn("t_box", shapes.bbox(F.col("target"))), block, "t_box")
+    if contain in ("center", "centroid"):
+        # Only the block that holds the centre can hold a target of it, and nothing else of the source is looked at.
+        place = lambda c: F.floor(F.col("at")[c] / block).cast("long")
+        # By way of explode() a centre is worked out once, not again for each column that is made of it.
+        s = held.select("sid", F.explode(F.array("at")).alias("at")).withColumns({"bx": place("x"), "by": place("y")})
+        x, y, b = F.col("at.x"), F.col("at.y"), F.col("t_box")
+        slack = (F.abs(x) + block) * 1e-9
+        near = s.join(t, ["bx", "by"]).filter((y >= b["ymin"]) & (y <= b["ymax"]) & (x >= b["xmin"] - slack) & (x <= b["xmax"] + slack))
+        return near.filter(shapes.contains(F.col("target"), x, y)).select("tid", "sid").distinct()
+    s = _blocked(held, block, "s_box")
     near = s.join(t, ["bx", "by"])
     source, target, at, a, b = (F.col(c) for c in ("source", "target", "at", "s_box", "t_box"))
     boxes = (a["xmax"] >= b["xmin"]) & (a["xmin"] <= b["xmax"]) & (a["ymax"] >= b["ymin"]) & (a["ymin"] <= b["ymax"])
