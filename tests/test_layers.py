@@ -196,3 +196,11 @@ def test_linkage_is_that_of_the_whole_matrix():
         want = {i: g[0] for g in groups for i in g} if len(xy) != 2 else {0: 0, 1: 0}
         got = graph._complete_linkage(limit)(pd.DataFrame({"id": range(len(xy)), "x": xy[:, 0], "y": xy[:, 1]}))
         assert dict(zip(got["id"], got["target"], strict=True)) == want
+
+
+def test_components_are_linked_in_dealt_streams(spark):
+    # Components of three nodes, 30 m apart, and of one; no group of rows of its own for each.
+    points = spark.range(6000).selectExpr("id", "id % 4 * 30D AS x", "0D AS y", "id div 4 * 10 + IF(id % 4 = 0, 0, 1) AS component")
+    got = graph.linked(points, 35.0)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["target"] for r in got.collect()} == {i: i - 1 if i % 4 == 2 else i for i in range(6000)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfield.functions import geometry
 from wayfield.operators.components import components
-from wayfield.session import discard, materialize
+from wayfield.session import dealt, discard, materialize
 
 #: Points of a component, or pairs left, that one task links.
 MAX_TASK = 100_000
@@ -114,16 +114,45 @@ def _linked(xy: np.ndarray, limit: float, two_merge: bool) -> list[int]:
 
 
 def _complete_linkage(limit: float):
-    """Groups of one component such that no two members are farther apart than ``limit``; two nodes always merge."""
+    """Groups of each component (all rows are one, without that column) such that no two members are farther apart than ``limit``; two nodes always merge."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        into = _linked(pdf[["x", "y"]].to_numpy(dtype=float), limit, True)
-        return pd.DataFrame({"id": pdf["id"], "target": pdf["id"].to_numpy()[into]})
+        pdf = pdf.sort_values(["component", "id"] if "component" in pdf else ["id"]).reset_index(drop=True)
+        ids, xy = pdf["id"].to_numpy(), pdf[["x", "y"]].to_numpy(dtype=float)
+        component = pdf["component"].to_numpy() if "component" in pdf else np.zeros(len(ids))
+        starts = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+        ends = np.concatenate([starts[1:], [len(ids)]])
+        into = np.repeat(starts, ends - starts)
+        for k in np.flatnonzero(ends - starts > 2):
+            i, j = starts[k], ends[k]
+            into[i:j] = i + np.array(_linked(xy[i:j], limit, True))
+        return pd.DataFrame({"id": ids, "target": ids[into]})
 
     return run
 
 
+def _linked_in_tasks(points: DataFrame, limit: float) -> DataFrame:
+    """Components are dealt to all cores and come after each other in a task: most have two nodes, and a group of rows of its own for each
+    costs more than its work."""
+    targets = _complete_linkage(limit)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["component"] == pdf["component"].iloc[-1]  # its rows may go on in the next batch
+            held, whole = pdf[last], pdf[~last]
+            if len(whole):
+                yield targets(whole)
+        if held is not None:
+            yield targets(held)
+
+    rows = dealt(points.select("component", "id", "x", "y"), "component").sortWithinPartitions("component", "id")
+    return rows.mapInPandas(run, "id long, target long")
+
+
 def linked(points: DataFrame, limit: float, max_task: int = MAX_TASK) -> DataFrame:
     """(id, target): the groups of points (id, x, y, component) by complete linkage in each component, as ``_linked`` has them, by their least id.
 
@@ -131,10 +160,9 @@ def linked(points: DataFrame, limit: float, max_task: int = MAX_TASK) -> DataFra
     """
     size = points.groupBy("component").agg(F.count("*").alias("n"))
     large = materialize(size.filter(F.col("n") > max(max_task, 2)).select("component"), "large-components")
-    in_tasks = lambda df: df.groupBy("component").applyInPandas(_complete_linkage(limit), "id long, target long")
     if large.isEmpty():
-        return in_tasks(points)
-    return in_tasks(points.join(large, "component", "left_anti")).unionByName(_linked_by_rounds(points.join(large, "component", "left_semi"), limit, max_task))
+        return _linked_in_tasks(points, limit)
+    return _linked_in_tasks(points.join(large, "component", "left_anti"), limit).unionByName(_linked_by_rounds(points.join(large, "component", "left_semi"), limit, max_task))
 
 
 def _near_pairs(points: DataFrame, limit: float) -> DataFrame:
@@ -238,7 +266,7 @@ def contract_short(nodes: DataFrame, edges: DataFrame, limit: float) -> tuple[Da
     short = edges.filter((F.col("len") <= limit) & (F.col("u") != F.col("v")))
     comp = components(short.select("u", "v"))
     placed = materialize(nodes.join(comp, nodes["id"] == comp["node"]).select("id", "x", "y", "component"), "short-components")
-    target = linked(placed, 2 * limit)
+    target = materialize(linked(placed, 2 * limit), "short-targets")  # written, so that nodes are linked once for all that reads them
     moved = nodes.join(target, "id", "left").withColumn("target", F.coalesce("target", "id"))
     merged = moved.groupBy("target").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("target", "id")
     known = moved.select("id", "target").join(placed.select("id", "component"), "id", "left")
