@@ -167,3 +167,12 @@ def test_geometry_is_dealt_to_all_cores_whatever_its_bytes(spark):
     squares = spark.range(40).select(F.lit("").alias("key"), F.expr("transform(array(0, 1, 2, 3, 0), k -> struct(id * 300D + IF(k in (1, 2), 200, 0) AS x, IF(k > 1, 200D, 0D) AS y))").alias("ring"))
     pieces = overlay._cut(squares.select("key", F.lit(0).alias("cls"), F.lit("").alias("area"), F.array(F.array("ring")).alias("shape")), 0.001, 1 << 19)
     assert overlay._faces(pieces, 1, "best", 1 << 19).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_tiles_of_buffers_are_as_wide_as_the_areas(spark):
+    areas = table(spark, [("a", 0, square(0, 0, 400)), ("b", 0, square(3000, 100, 500))])
+    assert overlay.tile_of(areas) == 900.0
+    assert overlay.tile_of(table(spark, [("a", 0, square(0, 0, 4))])) == 500.0 and overlay.tile_of(areas.limit(0)) == 500.0
+    assert overlay.tile_of(table(spark, [("a", 0, square(0, 0, 90000))]), 1e-6) == (1 << 30) * 1e-6
+    total = lambda tile: {r["key"]: round(r["area"], 1) for r in overlay.buffer(areas, 20.0, tile, unit=1e-6).collect()}
+    assert total(None) == total(500.0)

@@ -564,12 +564,23 @@ def _parts(rings: DataFrame, block: float) -> DataFrame:
     return outer.join(holes.hint("merge"), "id", "left").select("key", "cls", shape.alias("shape"), (F.col("area") + F.coalesce("lost", F.lit(0.0))).alias("area"))
 
 
-def buffer(areas: DataFrame, distance: float, tile: float = 500.0, quadrant: int = 4, unit: float = UNIT) -> DataFrame:
+def tile_of(areas: DataFrame, unit: float = UNIT) -> float:
+    """A tile as wide as areas (``shape`` or closed ``ring``) are on average, from 500 m to 2 km: one that spans many tiles is cut and swept once for each.
+    Crowded tiles are cut again anyway. In a tile of 2 ** 30 units areas are exact in 64 bits."""
+    b = shapes.bbox(shapes.of(areas))
+    wide = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    mean = areas.select(wide.alias("w")).filter("w < double('infinity')").agg(F.avg("w")).first()[0]
+    return min(max(500.0, mean or 0.0), 2000.0, (1 << 30) * unit)
+
+
+def buffer(areas: DataFrame, distance: float, tile: float | None = None, quadrant: int = 4, unit: float = UNIT) -> DataFrame:
     """Parts (key, shape, area) of areas (key, ``shape`` or closed ``ring``) widened by ``distance``, or eroded by a negative one.
 
     What lies within the distance of a boundary is the union of capsules around its sides, round ends with ``quadrant`` segments a quarter. Widened: the
-    union of the areas and the capsules; eroded: the areas without them. Overlapping areas of a key are one area before that.
+    union of the areas and the capsules; eroded: the areas without them. Overlapping areas of a key are one area before that. Tiles are as wide as
+    the areas are unless ``tile`` says otherwise.
     """
+    tile = tile_of(areas, unit) if tile is None else tile
     if distance == 0:
         return union(areas, tile, unit)
     whole = union(areas, tile, unit)
