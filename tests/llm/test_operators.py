@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -147,6 +148,30 @@ def test_near_duplicates_hold_little_at_once(spark, monkeypatch):
     assert shared._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
     assert sorted(map(tuple, shared.collect())) == [(1, 5, 0), (1, 6, 0)]
 
+def test_suffix_levels_have_a_file_per_bucket_where_exchanges_are_wide(spark, monkeypatch):
+    wide, kept, found = 24, spark.conf.get("spark.sql.shuffle.partitions"), []
+    deal, write = DataFrame.repartition, suffix_levels.SuffixLevels._write
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *by: deal(self, max(n, wide) if by and isinstance(n, int) else n, *by))
+
+    def written(self, entries):
+        name = write(self, entries)
+        found.append((len(self.spark.table(name).inputFiles()), self.buckets))
+        return name
+
+    monkeypatch.setattr(suffix_levels.SuffixLevels, "_write", written)
+    rnd = random.Random(4)
+    shared = "".join(rnd.choices("abcdefgh ", k=600))
+    texts = ["".join(rnd.choices("abcdefgh ", k=9000)) + shared for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(wide))
+    try:
+        got = suffix_levels.remove_repeats(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(got) == 60 and all(r["n_removed"] >= 600 for r in got)
+    assert found and all(files <= buckets for files, buckets in found)
+
+
 
 def test_levels_persist_and_merge_geometrically(spark, tmp_path):
     texts = ["".join(random.Random(i).choices("abcdef ", k=900)) for i in range(6)]
