@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfield import facade
 from wayfield.functions import crs, geometry, scoring, text
-from wayfield.operators import census, graph, hexcells, multires, population, raster, service, snapping, sssp
+from wayfield.operators import census, graph, hexcells, isochrone, multires, population, raster, service, snapping, sssp
 from wayfield.operators.sssp import bounded_distances
 from wayfield.plans import workflows
 from wayfield.sources import files, osm, tiff
@@ -429,3 +429,17 @@ def test_a_search_in_cells_broadcasts_no_table(spark, monkeypatch):
     plans.append(reach.join(sources, "node", "left")._jdf.queryExecution().executedPlan().toString())
     assert {(r["node"], r["dist"]) for r in reach.collect()} == {(i, 10 * i) for i in range(21)}
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_networks_cut_at_a_reach_broadcast_no_table(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = spark.range(21).selectExpr("id", "10D * id AS x", "0D AS y")
+    edges = spark.range(20).selectExpr("100 + id AS edge", "id AS u", "id + 1 AS v", "10L AS len")
+    reach, parts = snapping.isochrone(edges, spark.createDataFrame([(0,)], "node long"), 35, 1000)
+    assert sorted((r["edge"], r["len"]) for r in parts.collect()) == [(100, 10), (101, 10), (102, 10), (103, 5)]
+    inside = reach.filter("remaining > 0").select("node")
+    cropped = snapping.crop_by_reach(edges, inside, inside.limit(0))
+    left = spark.createDataFrame([(i, 0, 25 - 10 * i) for i in range(3)], "node long, rank_no int, remaining long")
+    fresh, cut = isochrone.result_network(nodes, edges, left, 1)
+    assert sorted((r["edge"], r["rank_no"], r["len"]) for r in cut.filter("rank_no IS NOT NULL").collect()) == [(100, 0, 10.0), (101, 0, 5.0), (101, 0, 5.0), (102, 0, 5.0)]
+    assert not any("Broadcast" in plan(df) for df in (reach, parts, cropped, fresh, cut))

@@ -334,9 +334,9 @@ def merge_snaps(snaps: DataFrame, limit: float) -> DataFrame:
 
 def split_edges(edges: DataFrame, cuts: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """Edges (edge, u, v, len) cut at (edge, cut): the new nodes (id, edge, cut) and all edges (edge, u, v, len), lengths kept in sum. A ``line`` is cut
-    at the same shares of its length; other columns go to every part."""
+    at the same shares of its length; other columns go to every part. The new nodes are as many as the graph's edges, so joins exchange them."""
     named = cuts.select("edge", "cut").filter("cut IS NOT NULL").distinct().repartitionByRange("edge", "cut").sortWithinPartitions("edge", "cut")
-    named = materialize(named.withColumn("id", F.monotonically_increasing_id() + first_id), "cut-nodes")  # written once, so that the ids hold
+    named = materialize(named.withColumn("id", F.monotonically_increasing_id() + first_id), "cut-nodes").hint("merge")  # written once, so that the ids hold
     ends = edges.select("edge", F.lit(0.0).alias("cut"), F.col("u").alias("id")).union(edges.select("edge", F.col("len").cast("double"), "v"))
     points = named.select("edge", F.col("cut").cast("double").alias("cut"), "id").union(ends)
     w = Window.partitionBy("edge").orderBy("cut", "id")

@@ -91,11 +91,11 @@ def exact(edges: DataFrame, reach: DataFrame, ranks: int, first_id: int, min_edg
     judged = edge_reaches(edges, reach, ranks, min_edge)
     cuts = judged.select("edge", "len", F.explode("cuts").alias("c")).select("edge", "len", F.col("c.at").alias("cut"), "c.after").filter("cut > 0 AND cut < len")
     named, parts = split_edges(edges, cuts.select("edge", "cut"), first_id)
-    named = named.join(cuts.groupBy("edge", "cut").agg(F.min("after").alias("rank_no")), ["edge", "cut"])
+    named = named.join(cuts.groupBy("edge", "cut").agg(F.min("after").alias("rank_no")), ["edge", "cut"]).hint("merge")
     wide = edges.select("edge", F.col("u").alias("eu"), F.col("v").alias("ev"), F.col("len").alias("elen")).join(_wide(reach, ranks, "u").withColumnRenamed("u", "eu"), "eu", "left").join(_wide(reach, ranks, "v").withColumnRenamed("v", "ev"), "ev", "left")
     at = named.select(F.col("id"), F.col("cut"))
     placed = parts.join(at.withColumnRenamed("id", "u").withColumnRenamed("cut", "from"), "u", "left").join(at.withColumnRenamed("id", "v").withColumnRenamed("cut", "to"), "v", "left")
-    placed = placed.join(wide, "edge").withColumns({"from": F.coalesce("from", F.lit(0.0)), "to": F.coalesce("to", F.col("elen").cast("double"))})
+    placed = placed.join(wide.hint("merge"), "edge").withColumns({"from": F.coalesce("from", F.lit(0.0)), "to": F.coalesce("to", F.col("elen").cast("double"))})
     middle, label = (F.col("from") + F.col("to")) / 2, F.lit(None).cast("int")
     for k in range(ranks):
         label = F.coalesce(label, F.when((F.coalesce(F.col(f"u_{k}"), F.lit(-1)) >= middle) | (F.coalesce(F.col(f"v_{k}"), F.lit(-1)) >= F.col("elen") - middle), k))

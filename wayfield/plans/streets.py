@@ -285,7 +285,7 @@ def t7_result_network(spark, d):
     """Parts of streets with their labels; every part's ends are nodes of the result."""
     nodes, parts = _cut_network(spark, d)
     nodes = materialize(nodes, "result-nodes")
-    there = lambda s: nodes.select(F.col("id").alias(s), F.lit(True).alias(f"{s}_there"))
+    there = lambda s: nodes.select(F.col("id").alias(s), F.lit(True).alias(f"{s}_there")).hint("merge")
     out = parts.join(there("u"), "u", "left").join(there("v"), "v", "left")
     return out.select("edge", "rank_no", F.round("len", 4).alias("len"), (F.coalesce("u_there", F.lit(False)) & F.coalesce("v_there", F.lit(False))).alias("named"))
 
