@@ -198,6 +198,18 @@ def test_linkage_is_that_of_the_whole_matrix():
         assert dict(zip(got["id"], got["target"], strict=True)) == want
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    from wayfield.operators import components as module
+
+    rounds, stars = [], module._stars
+    monkeypatch.setattr(module, "_stars", lambda edges: rounds.append(1) or stars(edges))
+    found = lambda rows: {tuple(r) for r in module.components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert found([(2, 1), (1, 3), (3, 1), (7, 5), (9, 9)]) == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5)} and not rounds
+    assert found([]) == set() and not rounds
+    assert found([(3, 2), (2, 1)]) == {(1, 1), (2, 1), (3, 1)} and len(rounds) == 1
+    assert found([(3, 1), (3, 2)]) == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_components_are_linked_in_dealt_streams(spark):
     # Components of three nodes, 30 m apart, and of one; no group of rows of its own for each.
     points = spark.range(6000).selectExpr("id", "id % 4 * 30D AS x", "0D AS y", "id div 4 * 10 + IF(id % 4 = 0, 0, 1) AS component")

@@ -25,6 +25,7 @@ takes no part in the least doc_id; an empty table gives no rows; extra columns,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,7 @@ def sketch_slices(counts: np.ndarray) -> list[bytes]:
 
 
 def sketch_of(slices: DataFrame) -> np.ndarray:
-    """The whole sketch from all tasks' (slice, counts); its size is fixed, whatever the input's."""
+    """The whole sketch from all tasks' (slice, counts); its size is fixed, whatever the input's. Slices come to the driver deflated."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -86,11 +87,11 @@ def sketch_of(slices: DataFrame) -> np.ndarray:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(part, dtype="<u4").astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), dtype=np.int64)
     for row in slices.repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.int64)
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return out.ravel()
 
 
@@ -257,8 +258,10 @@ def _fragments(docs: DataFrame, wanted: DataFrame, text: str, ranks: np.ndarray,
     return out.groupBy("cls", "fragment").agg(F.first("shingles").alias("shingles"))
 
 
-def _linked(pairs: DataFrame, known: DataFrame, fragments) -> DataFrame:
-    """The pairs (u, v) whose Jaccard similarity reaches the threshold; ``known`` has cls, n and content."""
+def _linked(met: DataFrame, bitmaps: DataFrame, known: DataFrame, fragments) -> DataFrame:
+    """The pairs (u, v) whose Jaccard similarity reaches the threshold; ``known`` has cls, n and content. Pairs are written where
+    they are read in several places, as each of these would hold the whole plan that finds them."""
+    pairs = materialize(_promising(met, bitmaps), "pairs-promising")
     ids = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
     parts = materialize(fragments(known.join(ids, "cls", "left_semi").select("content", "cls")), "fragments")
     side = lambda x: parts.select(F.col("cls").alias(x), "fragment", F.col("shingles").alias(f"{x}_shingles"))
@@ -268,6 +271,7 @@ def _linked(pairs: DataFrame, known: DataFrame, fragments) -> DataFrame:
     sized = overlap.join(size("u"), "u").join(size("v"), "v")
     out = materialize(sized.filter(DENOMINATOR * F.col("c") >= NUMERATOR * (F.col("u_n") + F.col("v_n") - F.col("c"))).select("u", "v"), "links")
     discard(parts)
+    discard(pairs)
     return out
 
 
@@ -282,7 +286,7 @@ def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
     degree = found.groupBy("cls").agg(F.count("*").alias("degree"))
     members = materialize(found.join(degree, "cls"), "members-by-degree")
     discard(found)
-    links = tested = spark.createDataFrame([], "u long, v long")
+    tested = spark.createDataFrame([], "u long, v long")
     now = members.withColumn("comp", F.col("cls"))
     comps = spark.createDataFrame([], "node long, component long")
     spent = [members]
@@ -294,8 +298,7 @@ def link_classes(shared: DataFrame, candidates, linked) -> DataFrame:
                 continue
             break
         tested = tested.union(pairs)
-        links = links.union(linked(pairs))
-        comps = components(links)
+        comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(linked(pairs)))  # what was found before is stars by now
         if step < LEADER_ROUNDS:
             labelled = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
             token = Window.partitionBy("token")
@@ -321,8 +324,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ranks = frequency_classes(counts)
         pivots = fragment_pivots(counts, ranks)
         fragments = lambda wanted: _fragments(docs, wanted, "text", ranks, pivots)
-        pairs = lambda a, b, tested: _promising(_pairs(a, b).join(tested, ["u", "v"], "left_anti"), bitmaps)
-        comps = link_classes(shared_members(prefixes(docs, ranks, "text")), pairs, lambda found: _linked(found, known, fragments))
+        pairs = lambda a, b, tested: _pairs(a, b).join(tested, ["u", "v"], "left_anti")
+        comps = link_classes(shared_members(prefixes(docs, ranks, "text")), pairs, lambda met: _linked(met, bitmaps, known, fragments))
         placed = known.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), "least")
         least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
         by_class = materialize(placed.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component")), "class-components")
